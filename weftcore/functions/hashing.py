@@ -31,8 +31,8 @@ def uniform01(pid: Column | str, seed: int) -> Column:
 
 def uniform_sql(pid_expr: str, seed: int) -> str:
     """DuckDB expression equal to :func:`uniform01`."""
-    return (f"((('0x' || substr(md5(CAST({pid_expr} AS VARCHAR) || ':{int(seed)}'), 1, 13))"
-            f"::BIGINT + 1) / 4503599627370496.0)")
+    return (f"((CAST(('0x' || substr(md5(CAST({pid_expr} AS VARCHAR) || ':{int(seed)}'), 1, 13))"
+            f"::BIGINT AS DOUBLE) + CAST(1 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))")
 
 
 def md5_key_sql(pid_expr: str, seed: int) -> str:

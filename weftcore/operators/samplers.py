@@ -118,7 +118,7 @@ class Sampler:
         raise NotImplementedError
 
     def _seed(self, seed: int, salt: int) -> int:
-        return seed if self.consistent else seed * 1_000_003 + salt
+        return seed if self.consistent else seed + 1_000_003 * salt
 
 
 @dataclass

@@ -60,19 +60,20 @@ def read_lines_stream(
 
 
 def _finish(df: DataFrame, features: Column, corrupt: Column, mode: str,
-            keep: list[str]) -> DataFrame:
+            keep: list[str], line: str) -> DataFrame:
     mode = mode.upper()
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
     out = df.select(*keep, F.when(corrupt, F.lit(None)).otherwise(features).alias("features"),
-                    corrupt.alias("_corrupt"))
+                    corrupt.alias("_corrupt"), F.col(line).alias("_line"))
     if mode == "DROPMALFORMED":
-        return out.where(~F.col("_corrupt")).drop("_corrupt")
+        return out.where(~F.col("_corrupt")).drop("_corrupt", "_line")
     if mode == "FAILFAST":
         checked = F.when(F.col("_corrupt"), F.raise_error(
-            F.concat(F.lit("malformed point line: "), F.col("value")))).otherwise(F.col("features"))
-        return out.withColumn("features", checked.cast(out.schema["features"].dataType)).drop("_corrupt")
-    return out
+            F.concat(F.lit("malformed point line: "), F.col("_line")))).otherwise(F.col("features"))
+        return (out.withColumn("features", checked.cast(out.schema["features"].dataType))
+                .drop("_corrupt", "_line"))
+    return out.drop("_line")
 
 
 def parse_dense(df: DataFrame, col: str = "value", drop_last: bool = True,
@@ -90,7 +91,7 @@ def parse_dense(df: DataFrame, col: str = "value", drop_last: bool = True,
     corrupt = F.col(col).isNull() | bad_token
     if drop_last:
         corrupt = corrupt | (n < 2)
-    return _finish(df, feats, corrupt, mode, keep)
+    return _finish(df, feats, corrupt, mode, keep, col)
 
 
 def parse_sparse(df: DataFrame, col: str = "value", mode: str = "PERMISSIVE",
@@ -119,7 +120,7 @@ def parse_sparse(df: DataFrame, col: str = "value", mode: str = "PERMISSIVE",
                | (size < 0)
                | F.exists(idx, lambda i: i.isNull() | (i < 0) | (i >= size))
                | F.exists(vals, lambda v: v.isNull()))
-    return _finish(df, sv, F.coalesce(corrupt, F.lit(True)), mode, keep)
+    return _finish(df, sv, F.coalesce(corrupt, F.lit(True)), mode, keep, col)
 
 
 def dense_line(features: Column | str, label: Column | str | None = None) -> Column:
