@@ -329,12 +329,13 @@ def take(df: DataFrame, s: int, sampler: Sampler, seed: int, keys: list[str] | N
 
 
 def take_ids(df: DataFrame, s: int, sampler: Sampler, seed: int) -> DataFrame:
-    """Ids of the sample, equal points collapsing to the last (largest) id."""
+    """One id per sampled row; equal points map to the last (largest) id
+    among them, so an id may repeat (as in the reference's id map)."""
     if not sampler.subset:
         raise ValueError(f"sampler {sampler.name} does not return input rows")
-    sample = sampler.sample(df, [], s, seed).select("pid", "features")
+    sample = sampler.sample(df, [], s, seed).select("features")
     last = df.groupBy("features").agg(F.max("pid").alias("_last"))
-    return sample.join(last, "features").select(F.col("_last").alias("pid")).distinct()
+    return sample.join(last, "features").select(F.col("_last").alias("pid"))
 
 
 def reservoir_sample(dfs: list[DataFrame], s: int, seed: int) -> DataFrame:

@@ -138,7 +138,7 @@ def run_streaming(spark: SparkSession, cfg: JobConfig):
 
     _apply_spark_params(spark, cfg)
     lines = read_lines_stream(spark, cfg.input, cfg.max_files_per_trigger,
-                              f"{100 * cfg.batch_secs} seconds", cfg.parallelism)
+                              f"{100 * cfg.batch_secs}s", cfg.parallelism)
     parsed = (parse_dense(lines, mode="FAILFAST", keep=[]) if cfg.dense
               else parse_sparse(lines, mode="FAILFAST", keep=[]))
     from weftcore.functions.vectors import sparse_to_dense

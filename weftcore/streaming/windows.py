@@ -16,6 +16,10 @@ def sliding_sum(df: DataFrame, time_col: str, value_col: str | None, window: str
                 slide: str, watermark: str | None = None, out: str = "num_points") -> DataFrame:
     """Per sliding window ``[start, end)``: rows and the sum of ``value_col``."""
     if watermark:
+        # watermarks need TIMESTAMP; wall-clock NTZ values are read in the
+        # session time zone (UTC in weftcore sessions)
+        if isinstance(df.schema[time_col].dataType, T.TimestampNTZType):
+            df = df.withColumn(time_col, F.col(time_col).cast("timestamp"))
         df = df.withWatermark(time_col, watermark)
     val = F.col(value_col) if value_col else F.lit(1)
     return (df.groupBy(F.window(time_col, window, slide).alias("w"))
