@@ -134,16 +134,19 @@ class UniformSampler(Sampler):
     consistent: bool = True
 
     def sample(self, df, keys, s, seed, salt=0):
-        df = _strip(df, keys)
         seed = self._seed(seed, salt)
-        # importance 1 => priority 1/u => order by u ascending
-        top = priority_select(df, keys, s, seed, F.lit(1.0))
-        totals = _group_agg(df, keys, F.sum("weight").alias("_W"), F.count(F.lit(1)).alias("_n"))
-        kept = _group_agg(top, keys, F.count(F.lit(1)).alias("_k"))
-        stats = totals.join(kept, keys) if keys else totals.crossJoin(kept)
-        out = _join_stats(top, stats, keys)
-        w = F.when(F.col("_n") <= s, F.col("weight")).otherwise(F.col("_W") / F.col("_k"))
-        return out.withColumn("weight", w).select(*keys, *POINT_COLS)
+        if "_n" in df.columns and "_W" in df.columns:
+            # group size and weight already attached by the tree (C13 counts)
+            x = df.select(*keys, *POINT_COLS, "_n", "_W")
+        else:
+            x = _strip(df, keys)
+            totals = _group_agg(x, keys, F.sum("weight").alias("_W"), F.count(F.lit(1)).alias("_n"))
+            x = _join_stats(x, totals, keys)
+        # importance 1 => priority 1/u => order by u ascending.  A group above
+        # s keeps exactly s rows, which share its total weight.
+        top = priority_select(x, keys, s, seed, F.lit(1.0))
+        w = F.when(F.col("_n") <= s, F.col("weight")).otherwise(F.col("_W") / F.lit(float(s)))
+        return top.withColumn("weight", w).select(*keys, *POINT_COLS)
 
 
 @dataclass

@@ -9,7 +9,7 @@ sampled to at most s rows when ``n >= T`` and otherwise left whole.
 
 Round (C16): containers with ``n >= T`` are sampled and climb to
 ``(level + 1, node div fan_in)`` (C17); the others stay.  Rounds repeat
-until nothing climbs.  Each round's result is written to the shared
+until nothing climbs.  Every few rounds the tree is written to the shared
 checkpoint folder, which cuts the plan and survives executor loss.
 
 Leaves (C15) replace the reference's physical partition number with an
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftcore.functions.hashing import bucket
 from weftcore.operators.samplers import POINT_COLS, Sampler
-from weftcore.sources.points import cut_lineage
+from weftcore.sources.points import materialize
 
 TREE_COLS = ["level", "node", *POINT_COLS]
 
@@ -86,18 +86,24 @@ def assign_leaves(points: DataFrame, cfg: TreeConfig, leaves: int | None = None,
     return points.withColumn("leaf", leaf.cast("long"))
 
 
+def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows ``_n`` and weight ``_W`` per container (map-side partial aggregate)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("weight").alias("_W"))
+
+
 def chunk_sample(df: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampler,
-                 seed: int, salt: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 seed: int, salt: int = 0, counts: DataFrame | None = None
+                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C13 on keyed containers: returns (sampled rows, untouched rows, counts).
 
-    Group sizes come from one aggregate (map-side partial counts); only the
-    groups at or above the threshold reach the sampler.
+    Only the groups at or above the threshold reach the sampler; they carry
+    their ``_n`` / ``_W`` so samplers need not aggregate again.
     """
     T = cfg.threshold
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts if counts is not None else group_counts(df, keys)
     marked = df.join(counts, keys)
-    big = marked.where(F.col("_n") >= T).drop("_n")
-    small = marked.where(F.col("_n") < T).drop("_n")
+    big = marked.where(F.col("_n") >= T)
+    small = marked.where(F.col("_n") < T).drop("_n", "_W")
     sampled = sampler.sample(big, keys, cfg.sample_size, seed, salt)
     return sampled, small, counts
 
@@ -125,27 +131,30 @@ def tree_reduce(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
                 stats: list | None = None) -> DataFrame:
     """Merge-and-reduce rounds until no container climbs.
 
-    One small action per round (is any container at the threshold?) plus
-    the checkpoint write.  ``stats`` collects ``(round, rows, moved groups)``.
+    Per round: the container sizes (a small table, kept in memory for the
+    round) answer "is any container at the threshold?" and feed the join;
+    then the round's tree is written to the shared checkpoint folder, which
+    cuts the plan and survives executor loss.  Two jobs per round.
+    ``stats`` collects ``(round, rows, containers at the threshold)``.
     """
     tree = tree.select(*TREE_COLS)
     T = cfg.threshold
     for rnd in range(1, cfg.max_rounds + 1):
-        counts = tree.groupBy("level", "node").agg(F.count(F.lit(1)).alias("_n"))
-        counts = cut_lineage(counts)
-        summary = counts.agg(F.sum("_n").alias("rows"),
-                             F.sum(F.when(F.col("_n") >= T, 1).otherwise(0)).alias("moved")).first()
-        moved = int(summary["moved"] or 0)
-        if stats is not None:
-            stats.append((rnd, int(summary["rows"] or 0), moved))
-        if moved == 0:
-            return tree
-        marked = tree.join(counts, ["level", "node"])
-        big = marked.where(F.col("_n") >= T).drop("_n")
-        small = marked.where(F.col("_n") < T).drop("_n")
-        sampled = sampler.sample(big, ["level", "node"], cfg.sample_size, seed, salt=rnd)
-        tree = cut_lineage(small.select(*TREE_COLS).unionByName(
-            climb(sampled, cfg.fan_in)))
+        counts = group_counts(tree, ["level", "node"]).persist()
+        try:
+            summary = counts.agg(F.sum("_n").alias("rows"), F.sum(
+                F.when(F.col("_n") >= T, 1).otherwise(0)).alias("moved")).first()
+            moved = int(summary["moved"] or 0)
+            if stats is not None:
+                stats.append((rnd, int(summary["rows"] or 0), moved))
+            if moved == 0:
+                return tree
+            sampled, small, _ = chunk_sample(tree, ["level", "node"], cfg, sampler, seed,
+                                             salt=rnd, counts=counts)
+            tree = materialize(small.select(*TREE_COLS).unionByName(climb(sampled, cfg.fan_in)),
+                               "tree-round")
+        finally:
+            counts.unpersist()
     raise RuntimeError(f"tree did not settle in {cfg.max_rounds} rounds; "
                        f"sampler {sampler.name} must return fewer rows than it gets")
 
@@ -160,7 +169,7 @@ def build_tree(points: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
                leaves: int | None = None, stats: list | None = None) -> DataFrame:
     """C15 + C16: the forest over a bulk input."""
     sampler = sampler.prepare(points)
-    leaves_df = cut_lineage(leaf_sample(points, cfg, sampler, seed, leaves))
+    leaves_df = materialize(leaf_sample(points, cfg, sampler, seed, leaves), "tree-leaves")
     return tree_reduce(leaves_df, cfg, sampler, seed, stats)
 
 

@@ -90,6 +90,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """K4 for tables whose partitioning does not matter: write Parquet to the
+    shared checkpoint folder (one job) and continue from the files."""
+    from weftcore.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def number_rows(df: DataFrame, order_cols: list[str], idx_col: str = "idx",
                 num_ranges: int | None = None) -> DataFrame:
     """Number rows 0, 1, 2, ... in ``order_cols`` order without a one-task window.

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from weftcore.operators.samplers import POINT_COLS, Sampler
 from weftcore.operators.tree import (TREE_COLS, TreeConfig, assign_leaves, final_sample,
-                                     leaf_sample, suggest_leaves, tree_reduce)
-from weftcore.sources.points import cut_lineage
+                                     leaf_sample, tree_reduce)
+from weftcore.sources.points import materialize
 
 # pid layout for streams without an id column: batch | partition | position.
 _POS_BITS, _PART_BITS = 26, 16
@@ -123,13 +123,15 @@ class StreamingTreeSampler:
             if self.before:
                 self.before(batch, batch_id)
             sampler = self.sampler.prepare(batch)
-            L = self.leaves_per_batch or suggest_leaves(
-                n, self.cfg, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            # One leaf per task slot: leaves are sampled with a map-side
+            # partial top-k, so big leaves are cheap and the tree stays shallow.
+            L = self.leaves_per_batch or self.cfg.leaves or int(
+                spark.conf.get("spark.sql.shuffle.partitions"))
             leaves = leaf_sample(assign_leaves(batch, self.cfg, L), self.cfg, sampler, self.seed)
             prev = self.previous_tree(spark, batch_id)
             merged = leaves if prev is None else prev.unionByName(leaves)
             stats: list = []
-            tree = tree_reduce(cut_lineage(merged), self.cfg, sampler, self.seed, stats)
+            tree = tree_reduce(materialize(merged, "stream-merged"), self.cfg, sampler, self.seed, stats)
             self.round_stats.append((batch_id, stats))
             tree.write.mode("overwrite").parquet(os.path.join(self.tree_dir, f"batch_id={batch_id}"))
             tree = spark.read.parquet(os.path.join(self.tree_dir, f"batch_id={batch_id}"))
