@@ -128,7 +128,7 @@ def climb(df: DataFrame, fan_in: int) -> DataFrame:
 
 
 def tree_reduce(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
-                stats: list | None = None) -> DataFrame:
+                stats: list | None = None, round_dir: str | None = None) -> DataFrame:
     """Merge-and-reduce rounds until no container climbs.
 
     Per round: the container sizes (a small table, kept in memory for the
@@ -136,6 +136,7 @@ def tree_reduce(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
     then the round's tree is written to the shared checkpoint folder, which
     cuts the plan and survives executor loss.  Two jobs per round.
     ``stats`` collects ``(round, rows, containers at the threshold)``.
+    With ``round_dir`` the round tables go to ``round_dir/round=R``.
     """
     tree = tree.select(*TREE_COLS)
     T = cfg.threshold
@@ -151,8 +152,9 @@ def tree_reduce(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
                 return tree
             sampled, small, _ = chunk_sample(tree, ["level", "node"], cfg, sampler, seed,
                                              salt=rnd, counts=counts)
+            path = f"{round_dir}/round={rnd}" if round_dir else None
             tree = materialize(small.select(*TREE_COLS).unionByName(climb(sampled, cfg.fan_in)),
-                               "tree-round")
+                               "tree-round", path)
         finally:
             counts.unpersist()
     raise RuntimeError(f"tree did not settle in {cfg.max_rounds} rounds; "

@@ -9,7 +9,6 @@ BIGINT unless stated.
 from __future__ import annotations
 
 import os
-import time
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -302,6 +301,23 @@ def _event_points(df: DataFrame) -> DataFrame:
                      F.lit(1.0).alias("weight"))
 
 
+def order_new_files(spark, folder: str, rank: int) -> None:
+    """Give files without a rank the modification time ``rank`` (seconds
+    after the epoch day 2000-01-01), so the file source takes the parts in
+    write order on any Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(conf)
+    base = 946684800000
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if st.getModificationTime() > base + 10_000_000:
+            fs.setTimes(st.getPath(), base + rank * 1000, -1)
+
+
 def run_event_stream(spark, sf) -> tuple[str, str]:
     """Cut ``events`` into 4 files by row number (written one after another,
     so the file source takes them in order), stream them one file per
@@ -318,7 +334,7 @@ def run_event_stream(spark, sf) -> tuple[str, str]:
     for part in range(STREAM_FILES):
         (numbered.where(F.col("part") == part).drop("idx", "part").coalesce(1)
          .write.mode("append").parquet(src))
-        time.sleep(1.1)
+        order_new_files(spark, src, part)
     stream = (spark.readStream.schema(ev_df.schema).option("maxFilesPerTrigger", 1)
               .parquet(src))
     state, results = scratch_path(spark, "events-state"), scratch_path(spark, "events-results")

@@ -90,12 +90,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """K4 for tables whose partitioning does not matter: write Parquet to the
-    shared checkpoint folder (one job) and continue from the files."""
+    shared checkpoint folder (or ``path``, overwritten) in one job and
+    continue from the files."""
     from weftcore.session import scratch_path
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -75,7 +75,7 @@ class StreamingKMeansState:
         self.seed, self.decay, self.carry = seed, decay, carry
 
     def _load(self, spark: SparkSession, batch_id: int):
-        from weftcore.streaming.tree_stream import latest_version
+        from weftcore.streaming.tree_stream import latest_version  # noqa: PLC0415
         if not self.carry:
             return random_centres(self.k, self.dim, self.seed), [0.0] * self.k
         v = latest_version(spark, os.path.join(self.state_dir, "commits"), before=batch_id)

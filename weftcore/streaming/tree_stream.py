@@ -64,6 +64,17 @@ def latest_version(spark: SparkSession, commits_dir: str, before: int | None = N
     return None if v is None else int(v)
 
 
+def latest_commit(spark: SparkSession, commits_dir: str, before: int | None = None):
+    """The commit row (batch_id, num_points, tree_path) of the latest batch."""
+    try:
+        c = spark.read.parquet(commits_dir)
+    except AnalysisException:
+        return None
+    if before is not None:
+        c = c.where(F.col("batch_id") < before)
+    return c.orderBy(F.col("batch_id").desc()).limit(1).first()
+
+
 def latest_result(results: DataFrame) -> DataFrame:
     """The result with the greatest batch id (the model after the last
     non-empty batch)."""
@@ -95,17 +106,18 @@ class StreamingTreeSampler:
     def commits_dir(self) -> str:
         return os.path.join(self.state_dir, "commits")
 
-    def previous_tree(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        v = latest_version(spark, self.commits_dir, before=batch_id)
-        if v is None:
+    def _tree_at(self, spark: SparkSession, before: int | None) -> DataFrame | None:
+        c = latest_commit(spark, self.commits_dir, before)
+        if c is None:
             return None
-        return spark.read.parquet(os.path.join(self.tree_dir, f"batch_id={v}")).select(*TREE_COLS)
+        return spark.read.parquet(c["tree_path"]).select(*TREE_COLS)
+
+    def previous_tree(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """The forest committed by the latest batch before ``batch_id``."""
+        return self._tree_at(spark, batch_id)
 
     def current_tree(self, spark: SparkSession) -> DataFrame | None:
-        v = latest_version(spark, self.commits_dir)
-        if v is None:
-            return None
-        return spark.read.parquet(os.path.join(self.tree_dir, f"batch_id={v}")).select(*TREE_COLS)
+        return self._tree_at(spark, None)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -130,11 +142,14 @@ class StreamingTreeSampler:
             leaves = leaf_sample(assign_leaves(batch, self.cfg, L), self.cfg, sampler, self.seed)
             prev = self.previous_tree(spark, batch_id)
             merged = leaves if prev is None else prev.unionByName(leaves)
+            # The batch's rounds are written under its own folder (a retry
+            # overwrites them); the commit names the round holding the tree.
+            round_dir = os.path.join(self.tree_dir, f"batch_id={batch_id}")
             stats: list = []
-            tree = tree_reduce(materialize(merged, "stream-merged"), self.cfg, sampler, self.seed, stats)
+            tree = tree_reduce(materialize(merged, path=f"{round_dir}/round=0"), self.cfg, sampler,
+                               self.seed, stats, round_dir=round_dir)
             self.round_stats.append((batch_id, stats))
-            tree.write.mode("overwrite").parquet(os.path.join(self.tree_dir, f"batch_id={batch_id}"))
-            tree = spark.read.parquet(os.path.join(self.tree_dir, f"batch_id={batch_id}"))
+            tree_path = f"{round_dir}/round={stats[-1][0] - 1}"
             sample = final_sample(tree, self.cfg, sampler, self.seed)
             if self.process_sample is not None:
                 result = self.process_sample(batch, sample, batch_id, n)
@@ -143,7 +158,8 @@ class StreamingTreeSampler:
             if self.results_dir and result is not None:
                 (result.coalesce(1).write.mode("overwrite")
                  .parquet(os.path.join(self.results_dir, f"batch_id={batch_id}")))
-            (spark.createDataFrame([(int(batch_id), int(n))], "batch_id long, num_points long")
+            (spark.createDataFrame([(int(batch_id), int(n), tree_path)],
+                                   "batch_id long, num_points long, tree_path string")
              .coalesce(1).write.mode("overwrite")
              .parquet(os.path.join(self.commits_dir, f"batch_id={batch_id}")))
             if self.after:
