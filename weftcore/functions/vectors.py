@@ -116,3 +116,34 @@ def sparse_text(sv: Column | str) -> Column:
     return F.concat(F.lit("("), sv["size"].cast("string"), F.lit(",["),
                     F.array_join(sv["indices"].cast("array<string>"), ","), F.lit("],["),
                     F.array_join(sv["values"].cast("array<string>"), ","), F.lit("])"))
+
+
+def is_sparse_type(dtype) -> bool:
+    """True for the sparse struct type (``size``, ``indices``, ``values``)."""
+    from pyspark.sql.types import StructType
+    return isinstance(dtype, StructType) and {f.name for f in dtype.fields} >= {
+        "size", "indices", "values"}
+
+
+def any_sq_norm(f: Column | str, sparse: bool) -> Column:
+    return sparse_sq_norm(f) if sparse else sq_norm(f)
+
+
+def nearest_sparse(features: Column | str, centres: Column | str, centre_norms: Column | str) -> Column:
+    """J6 for a sparse point: nearest of dense centres using
+    ``|x|^2 - 2 x.c + |c|^2`` over the point's non-zeros (norms precomputed)."""
+    f = _c(features)
+    xn = sparse_sq_norm(f)
+    dists = F.zip_with(_c(centres), _c(centre_norms),
+                       lambda c, cn: F.greatest(xn - 2.0 * sparse_dot_dense(f, c) + cn, F.lit(0.0)))
+    best = F.array_min(dists)
+    return F.struct((F.array_position(dists, best) - 1).cast("int").alias("idx"),
+                    best.alias("d2"))
+
+
+def nonzero_cells(df, keys: list[str], features: str = "features", weight: str = "weight"):
+    """One row per non-zero entry: ``keys..., pid, weight, j, v`` (sparse points)."""
+    e = F.explode(F.arrays_zip(F.col(f"{features}.indices").alias("j"),
+                               F.col(f"{features}.values").alias("v")))
+    return df.select(*keys, "pid", F.col(weight).alias("weight"), e.alias("_e")).select(
+        *keys, "pid", "weight", F.col("_e.j").alias("j"), F.col("_e.v").alias("v"))

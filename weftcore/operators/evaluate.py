@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftcore.functions.linalg import combine_rows
-from weftcore.functions.vectors import coord_mean, dot, nearest, sq_dist, sq_norm
+from weftcore.functions.vectors import (coord_mean, dot, is_sparse_type, nearest, nearest_sparse,
+                                        sparse_dot_dense, sparse_sq_norm, sq_dist, sq_norm)
 
 # Results broadcast for the prefix join must stay below this many bytes;
 # above it the join runs without the hint.
@@ -18,8 +19,18 @@ MAX_RESULTS_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def centres_frame(spark: SparkSession, centres: list) -> DataFrame:
-    return spark.createDataFrame([([[float(x) for x in c] for c in centres],)],
-                                 "c array<array<double>>")
+    """One row: centres ``c`` and their squared norms ``cn`` (k x d: the model)."""
+    cs = [[float(x) for x in c] for c in centres]
+    return spark.createDataFrame([(cs, [sum(x * x for x in c) for c in cs])],
+                                 "c array<array<double>>, cn array<double>")
+
+
+def _nearest_d2(points: DataFrame, centres: str = "c", norms: str | None = "cn"):
+    """Squared distance to the nearest centre, dense or sparse points."""
+    if is_sparse_type(points.schema["features"].dataType):
+        cn = F.col(norms) if norms else F.transform(centres, lambda c: sq_norm(c))
+        return nearest_sparse("features", centres, cn)["d2"]
+    return nearest("features", centres)["d2"]
 
 
 def kmeans_cost(points: DataFrame, centres: list | DataFrame, weighted: bool = False) -> DataFrame:
@@ -32,7 +43,7 @@ def kmeans_cost(points: DataFrame, centres: list | DataFrame, weighted: bool = F
     cdf = centres_frame(spark, centres) if isinstance(centres, list) else centres
     if isinstance(centres, list) and not centres:
         raise ValueError("k-means cost needs at least one centre")
-    d2 = nearest("features", "c")["d2"]
+    d2 = _nearest_d2(points, "c", "cn" if "cn" in cdf.columns else None)
     w = F.col("weight") if weighted else F.lit(1.0)
     return points.crossJoin(F.broadcast(cdf)).agg(F.sum(w * d2).alias("cost"))
 
@@ -54,6 +65,15 @@ def svd_cost(points: DataFrame, axes: list) -> DataFrame:
         raise ValueError("SVD cost needs at least one axis")
     dim = len(axes[0])
     adf = spark.createDataFrame([([[float(x) for x in r] for r in axes],)], "a array<array<double>>")
+    if is_sparse_type(points.schema["features"].dataType):
+        # sparse points, orthonormal axes (SVD output): |xVV^T|^2 = |xV|^2
+        p = F.transform("a", lambda ax: sparse_dot_dense("features", ax))
+        proj = sq_norm(p)
+        xn = sparse_sq_norm("features")
+        return points.crossJoin(F.broadcast(adf)).agg(
+            F.sqrt(F.sum(proj)).alias("projection_norm"),
+            F.sqrt(F.greatest(F.sum(xn) - F.sum(proj), F.lit(0.0))).alias("residual_norm"),
+            F.sqrt(F.sum(xn)).alias("frobenius_norm"))
     proj, resid = projection_terms("features", "a", dim)
     return points.crossJoin(F.broadcast(adf)).agg(
         F.sqrt(F.sum(proj)).alias("projection_norm"),
@@ -101,8 +121,10 @@ def progressive_cost(points: DataFrame, results: DataFrame, cost: str = "kmeans"
     est = nres * max(1, width["k"] or 1) * max(1, width["d"] or 1) * 8
     side = F.broadcast(res) if est <= MAX_RESULTS_BROADCAST_BYTES else res
     pairs = points.select(idx_col, "features").join(side, F.col(idx_col) < F.col("cum_points"))
+    if cost == "svd" and is_sparse_type(points.schema["features"].dataType):
+        raise ValueError("progressive SVD cost is for dense points")
     if cost == "kmeans":
-        term = nearest("features", "points")["d2"]
+        term = _nearest_d2(pairs, "points", None)
         agg = [F.sum(term).alias("cost")]
     elif cost == "svd":
         dim = width["d"] or 0

@@ -92,12 +92,20 @@ def repartition_nodes(tree: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def chunk_ids(df: DataFrame, key: str | list[str], order: str | list[str], size: int,
-              out: str = "chunk") -> DataFrame:
-    """``grouped(n)`` -- consecutive chunks of at most ``size`` rows per key."""
+              out: str = "chunk", bounded: bool = False) -> DataFrame:
+    """``grouped(n)`` -- consecutive chunks of at most ``size`` rows per key.
+
+    Ranks come from :func:`rank_within` (a hot key stays spread over many
+    tasks); ``bounded=True`` uses a plain window for small groups.
+    """
     keys = [key] if isinstance(key, str) else key
     order = [order] if isinstance(order, str) else order
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(out, F.floor((rn - 1) / F.lit(size)).cast("int"))
+    if bounded:
+        rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(out, F.floor((rn - 1) / F.lit(size)).cast("int"))
+    from weftcore.sources.points import rank_within
+    r = rank_within(df, keys, order, "_rk")
+    return r.withColumn(out, F.floor((F.col("_rk") - 1) / F.lit(size)).cast("int")).drop("_rk")
 
 
 def keys_of(df: DataFrame, key: str) -> DataFrame:

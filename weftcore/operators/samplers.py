@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftcore.functions.hashing import bucket, uniform01
-from weftcore.functions.vectors import nearest, sq_dist, sq_norm
+from weftcore.functions.vectors import (any_sq_norm, is_sparse_type, nearest, nearest_sparse,
+                                        nonzero_cells, sparse_sq_norm, sq_dist, sq_norm)
 
 POINT_COLS = ["pid", "features", "weight"]
 
@@ -97,6 +98,38 @@ def _strip(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *POINT_COLS)
 
 
+def is_sparse(df: DataFrame) -> bool:
+    """Whether ``features`` holds sparse structs (C3: one protocol, two forms)."""
+    return is_sparse_type(df.schema["features"].dataType)
+
+
+def sparse_group_mean_cells(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Weighted group means of sparse points as cells ``keys..., j, _m`` (only
+    coordinates some point uses) plus ``keys..., _W, _n, _mn`` (|mu|^2).
+    Never builds a dense d-vector per row."""
+    g = _group_agg(df, keys, F.sum("weight").alias("_W"), F.count(F.lit(1)).alias("_n"))
+    cells = nonzero_cells(df, keys)
+    mu = _join_stats(cells.groupBy(*keys, "j").agg(F.sum(F.col("weight") * F.col("v")).alias("_sv")),
+                     g, keys).select(*keys, "j", (F.col("_sv") / F.col("_W")).alias("_m"))
+    mn = _group_agg(mu, keys, F.sum(F.col("_m") * F.col("_m")).alias("_mn"))
+    g = g.join(mn, keys) if keys else g.crossJoin(mn)
+    return mu, g
+
+
+def sparse_dist_to_group_mean(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``_d2 = |x - mu|^2`` to their group's weighted mean, and
+    ``_W``, for sparse points: ``|x|^2 - 2 x.mu + |mu|^2`` with ``x.mu`` from a
+    join on (group, coordinate) over the non-zeros."""
+    mu, g = sparse_group_mean_cells(df, keys)
+    cells = nonzero_cells(df, keys)
+    dots = cells.join(mu, [*keys, "j"]).groupBy(*keys, "pid").agg(
+        F.sum(F.col("v") * F.col("_m")).alias("_xm"))
+    x = df.join(dots, [*keys, "pid"], "left").fillna(0.0, ["_xm"])
+    x = _join_stats(x, g, keys)
+    d2 = F.greatest(sparse_sq_norm("features") - 2.0 * F.col("_xm") + F.col("_mn"), F.lit(0.0))
+    return x.withColumn("_d2", d2)
+
+
 # ----------------------------------------------------------------- samplers ---
 
 @dataclass
@@ -114,7 +147,9 @@ class Sampler:
         return self
 
     def sample(self, df: DataFrame, keys: list[str], s: int, seed: int,
-               salt: int = 0) -> DataFrame:
+               salt: int = 0, bounded: bool = False) -> DataFrame:
+        """``bounded=True`` promises every group fits in one task (tree
+        containers), which lets rank-based samplers use plain windows."""
         raise NotImplementedError
 
     def _seed(self, seed: int, salt: int) -> int:
@@ -133,7 +168,7 @@ class UniformSampler(Sampler):
     name: str = "uniform"
     consistent: bool = True
 
-    def sample(self, df, keys, s, seed, salt=0):
+    def sample(self, df, keys, s, seed, salt=0, bounded=False):
         seed = self._seed(seed, salt)
         if "_n" in df.columns and "_W" in df.columns:
             # group size and weight already attached by the tree (C13 counts)
@@ -158,8 +193,11 @@ class LightSampler(Sampler):
     name: str = "light"
 
     def importance(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        stats = weighted_mean(df, keys)
-        x = _join_stats(df, stats, keys).withColumn("_d2", sq_dist("features", "_mu"))
+        if is_sparse(df):
+            x = sparse_dist_to_group_mean(df, keys)
+        else:
+            stats = weighted_mean(df, keys)
+            x = _join_stats(df, stats, keys).withColumn("_d2", sq_dist("features", "_mu"))
         cost = _group_agg(x, keys, F.sum(F.col("weight") * F.col("_d2")).alias("_C"))
         x = _join_stats(x, cost, keys)
         v = F.when(F.col("_C") > 0, F.col("weight") * (
@@ -167,7 +205,7 @@ class LightSampler(Sampler):
         ).otherwise(F.col("weight") / F.col("_W"))
         return x.withColumn("_imp", v)
 
-    def sample(self, df, keys, s, seed, salt=0):
+    def sample(self, df, keys, s, seed, salt=0, bounded=False):
         df = _strip(df, keys)
         x = self.importance(df, keys).select(*keys, *POINT_COLS, "_imp")
         out = priority_select(x, keys, s, self._seed(seed, salt), "_imp")
@@ -190,22 +228,34 @@ class SensitivitySampler(Sampler):
     max_iter: int = 5
     centres: list | None = None
 
+    rough_sample: int = 20_000
+
     def prepare(self, points):
+        """Rough centres: k-means|| on the points (dense, JVM-side), or on a
+        uniform sample of ``rough_sample`` points for sparse input (the
+        sparse struct needs a per-row conversion to an ML vector)."""
         if self.centres is None:
             from weftcore.operators.models import kmeans_centres
-            self.centres = kmeans_centres(points, self.k, seed=self.seed, max_iter=self.max_iter,
+            pts = points
+            if is_sparse(points):
+                pts = UniformSampler().sample(points.select(*POINT_COLS), [], self.rough_sample,
+                                              self.seed).withColumn("weight", F.lit(1.0))
+            self.centres = kmeans_centres(pts, self.k, seed=self.seed, max_iter=self.max_iter,
                                           init_steps=2)
         return self
 
-    def sample(self, df, keys, s, seed, salt=0):
+    def sample(self, df, keys, s, seed, salt=0, bounded=False):
         if self.centres is None:
             self.prepare(df)
         df = _strip(df, keys)
         spark = df.sparkSession
         k = len(self.centres)
         alpha = 16.0 * (math.log(max(k, 1)) + 2.0)
-        cdf = spark.createDataFrame([(self.centres,)], "c array<array<double>>")
-        near = df.crossJoin(F.broadcast(cdf)).withColumn("_nb", nearest("features", "c"))
+        norms = [float(sum(x * x for x in c)) for c in self.centres]
+        cdf = spark.createDataFrame([(self.centres, norms)], "c array<array<double>>, cn array<double>")
+        nb = nearest_sparse("features", "c", "cn") if is_sparse(df) else nearest("features", "c")
+        # one broadcast row of k centres (k x d doubles, the model's size)
+        near = df.crossJoin(F.broadcast(cdf)).withColumn("_nb", nb)
         x = near.select(*keys, *POINT_COLS, F.col("_nb.idx").alias("_b"),
                         F.col("_nb.d2").alias("_d2"))
         g = _group_agg(x, keys, F.sum("weight").alias("_W"),
@@ -230,9 +280,9 @@ class NormSampler(Sampler):
 
     name: str = "norm"
 
-    def sample(self, df, keys, s, seed, salt=0):
+    def sample(self, df, keys, s, seed, salt=0, bounded=False):
         df = _strip(df, keys)
-        v = F.col("weight") * sq_norm("features")
+        v = F.col("weight") * any_sq_norm("features", is_sparse(df))
         out = priority_select(df, keys, s, self._seed(seed, salt), v)
         return out.select(*keys, *POINT_COLS)
 
@@ -241,16 +291,27 @@ class NormSampler(Sampler):
 class SystematicSampler(Sampler):
     """W4, the reference's test sampler: sort the group, step = n div s, keep
     positions 0, step, 2 step, ...; only when n > s.  May keep more than s
-    rows when s does not divide n.  Weights pass unchanged."""
+    rows when s does not divide n.  Weights pass unchanged.  Unbounded
+    groups are ranked with :func:`rank_within` (no group in one task)."""
 
     name: str = "systematic"
     order_col: str = "pid"
 
-    def sample(self, df, keys, s, seed, salt=0):
+    def sample(self, df, keys, s, seed, salt=0, bounded=False):
+        from weftcore.sources.points import number_rows, rank_within
+        df = df.drop("_n", "_W")
         cols = df.columns
-        w = Window.partitionBy(*keys)
-        x = (df.withColumn("_rn", F.row_number().over(w.orderBy(self.order_col, "pid")))
-             .withColumn("_n", F.count(F.lit(1)).over(w)))
+        order = [self.order_col, "pid"] if self.order_col != "pid" else ["pid"]
+        if bounded:
+            w = Window.partitionBy(*keys)
+            x = (df.withColumn("_rn", F.row_number().over(w.orderBy(*order)))
+                 .withColumn("_n", F.count(F.lit(1)).over(w)))
+        elif not keys:
+            n = df.count()
+            x = (number_rows(df, order, "_rn").withColumn("_rn", F.col("_rn") + 1)
+                 .withColumn("_n", F.lit(n)))
+        else:
+            x = rank_within(df, keys, order, "_rn", count_col="_n")
         step = F.floor(F.col("_n") / F.lit(s))
         keep = (F.col("_n") <= s) | (((F.col("_rn") - 1) % step) == 0)
         return x.where(keep).select(*cols)
@@ -263,7 +324,8 @@ class FirstSampler(Sampler):
     name: str = "first"
     order_col: str = "pid"
 
-    def sample(self, df, keys, s, seed, salt=0):
+    def sample(self, df, keys, s, seed, salt=0, bounded=False):
+        df = df.drop("_n", "_W")
         cols = df.columns
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy(self.order_col, "pid"))
         return df.withColumn("_rn", rn).where(F.col("_rn") <= s).select(*cols)
@@ -280,8 +342,10 @@ class ClusterMeanSampler(Sampler):
     name: str = "cluster_mean"
     subset: bool = False
 
-    def sample(self, df, keys, s, seed, salt=0):
+    def sample(self, df, keys, s, seed, salt=0, bounded=False):
         df = _strip(df, keys)
+        if is_sparse(df):
+            return self._sample_sparse(df, keys, s, seed, salt)
         seeds = LightSampler().sample(df, keys, s, seed, salt)
         cent = _group_agg(seeds, keys, F.array_sort(F.collect_list(
             F.struct("pid", "features"))).alias("_seeds"))
@@ -296,6 +360,51 @@ class ClusterMeanSampler(Sampler):
             F.sum("weight").alias("weight"))
         return small.unionByName(red.select(*keys, *POINT_COLS))
 
+    def _sample_sparse(self, df, keys, s, seed, salt):
+        """Sparse form: distances to the seeds from a join on (group,
+        coordinate) over non-zeros; a seed sharing no coordinate with a row
+        is at ``|x|^2 + |seed|^2``, found in the group's norm-sorted seed
+        list.  Cluster means are built as sparse cells."""
+        seeds = LightSampler().sample(df, keys, s, seed, salt)
+        snorm = seeds.select(*keys, F.col("pid").alias("_sid"), sparse_sq_norm("features").alias("_sn"))
+        by_norm = _group_agg(snorm, keys, F.array_sort(F.collect_list(
+            F.struct("_sn", "_sid"))).alias("_byn"))
+        sc = nonzero_cells(seeds, keys).select(*keys, F.col("pid").alias("_sid"), "j",
+                                               F.col("v").alias("_vs"))
+        n = _group_agg(df, keys, F.count(F.lit(1)).alias("_n"))
+        x = _join_stats(df, n, keys)
+        small = x.where(F.col("_n") <= s).select(*keys, *POINT_COLS)
+        big = x.where(F.col("_n") > s).drop("_n")
+        ov = (nonzero_cells(big, keys).join(sc, [*keys, "j"])
+              .groupBy(*keys, "pid", "_sid").agg(F.sum(F.col("v") * F.col("_vs")).alias("_dot"))
+              .join(snorm, [*keys, "_sid"])
+              .withColumn("_val", F.col("_sn") - 2.0 * F.col("_dot")))
+        best = ov.groupBy(*keys, "pid").agg(F.min(F.struct("_val", "_sid")).alias("_b"),
+                                            F.collect_list("_sid").alias("_ovs"))
+        y = _join_stats(big.join(best, [*keys, "pid"], "left"), by_norm, keys)
+        ovs = F.coalesce(F.col("_ovs"), F.array().cast("array<bigint>"))
+        other = F.get(F.filter("_byn", lambda e: ~F.array_contains(ovs, e["_sid"])), 0)
+        y = y.withColumn("_o", other)
+        k = (F.when(F.col("_b").isNull(), F.col("_o._sid"))
+             .when(F.col("_o").isNull(), F.col("_b._sid"))
+             .when(F.col("_b._val") <= F.col("_o._sn"), F.col("_b._sid"))
+             .otherwise(F.col("_o._sid")))
+        y = y.select(*keys, *POINT_COLS, k.alias("_k"))
+        tot = y.groupBy(*keys, "_k").agg(F.min("pid").alias("pid"), F.sum("weight").alias("weight"),
+                                        F.max("features.size").alias("_size"))
+        cells = nonzero_cells(y.withColumnRenamed("_k", "_kk"), [*keys, "_kk"]).groupBy(
+            *keys, F.col("_kk").alias("_k"), "j").agg(F.sum(F.col("weight") * F.col("v")).alias("_sv"))
+        vec = cells.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(F.struct("j", "_sv"))).alias("_c"))
+        red = tot.join(vec, [*keys, "_k"], "left").select(
+            *keys, "pid",
+            F.struct(F.col("_size").cast("int").alias("size"),
+                     F.coalesce(F.transform("_c", lambda e: e["j"]), F.array().cast("array<int>"))
+                     .cast("array<int>").alias("indices"),
+                     F.coalesce(F.transform("_c", lambda e: e["_sv"] / F.col("weight")),
+                                F.array().cast("array<double>")).alias("values")).alias("features"),
+            "weight")
+        return small.unionByName(red)
+
 
 @dataclass
 class FixedCentreReducer:

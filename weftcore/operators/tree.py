@@ -92,8 +92,8 @@ def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chunk_sample(df: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampler,
-                 seed: int, salt: int = 0, counts: DataFrame | None = None
-                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 seed: int, salt: int = 0, counts: DataFrame | None = None,
+                 bounded: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C13 on keyed containers: returns (sampled rows, untouched rows, counts).
 
     Only the groups at or above the threshold reach the sampler; they carry
@@ -104,7 +104,7 @@ def chunk_sample(df: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampl
     marked = df.join(counts, keys)
     big = marked.where(F.col("_n") >= T)
     small = marked.where(F.col("_n") < T).drop("_n", "_W")
-    sampled = sampler.sample(big, keys, cfg.sample_size, seed, salt)
+    sampled = sampler.sample(big, keys, cfg.sample_size, seed, salt, bounded=bounded)
     return sampled, small, counts
 
 
@@ -150,8 +150,9 @@ def tree_reduce(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
                 stats.append((rnd, int(summary["rows"] or 0), moved))
             if moved == 0:
                 return tree
+            # containers hold at most fan_in * (T - 1) rows: bounded groups
             sampled, small, _ = chunk_sample(tree, ["level", "node"], cfg, sampler, seed,
-                                             salt=rnd, counts=counts)
+                                             salt=rnd, counts=counts, bounded=True)
             path = f"{round_dir}/round={rnd}" if round_dir else None
             tree = materialize(small.select(*TREE_COLS).unionByName(climb(sampled, cfg.fan_in)),
                                "tree-round", path)
@@ -164,7 +165,7 @@ def tree_reduce(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
 def final_sample(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int) -> DataFrame:
     """Flatten every node of the forest and take ``sample_size``."""
     pts = tree.select(*POINT_COLS)
-    return sampler.sample(pts, [], cfg.sample_size, seed, salt=10_000)
+    return sampler.sample(pts, [], cfg.sample_size, seed, salt=10_000, bounded=True)
 
 
 def build_tree(points: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,

@@ -96,9 +96,9 @@ def _apply_spark_params(spark: SparkSession, cfg: JobConfig) -> None:
 
 
 def _dense_points(df: DataFrame, dense: bool) -> DataFrame:
-    from weftcore.functions.vectors import sparse_to_dense
-    feats = F.col("features") if dense else sparse_to_dense("features")
-    return df.select("pid", feats.alias("features"), F.lit(1.0).alias("weight"))
+    """Unit-weight points; sparse input stays sparse (samplers, costs and
+    models all take the sparse struct)."""
+    return df.select("pid", "features", F.lit(1.0).alias("weight"))
 
 
 def load_points(spark: SparkSession, cfg: JobConfig) -> DataFrame:
@@ -141,9 +141,7 @@ def run_streaming(spark: SparkSession, cfg: JobConfig):
                               f"{100 * cfg.batch_secs}s", cfg.parallelism)
     parsed = (parse_dense(lines, mode="FAILFAST", keep=[]) if cfg.dense
               else parse_sparse(lines, mode="FAILFAST", keep=[]))
-    from weftcore.functions.vectors import sparse_to_dense
-    feats = F.col("features") if cfg.dense else sparse_to_dense("features")
-    points = parsed.select(feats.alias("features"), F.lit(1.0).alias("weight"))
+    points = parsed.select("features", F.lit(1.0).alias("weight"))
     ckpt = cfg.checkpoint_location or scratch_path(spark, "stream-ckpt")
     state = os.path.join(cfg.output, "_state")
 

@@ -96,6 +96,10 @@ def _gram_sql() -> str:
     return f"WITH p AS ({_li_points()})\n" + "\nUNION ALL ".join(sel)
 
 
+DOC_CELLS = f"""t AS (SELECT doc_id, UNNEST(string_split(text, ' ')) AS t FROM documents),
+cells AS (SELECT doc_id AS pid, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {TERM_BUCKETS} AS j,
+                 CAST(count(*) AS DOUBLE) AS v FROM t WHERE t <> '' GROUP BY doc_id, j)"""
+
 ORACLES: dict[str, str] = {
     "dense_text_roundtrip": """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f, label FROM embeddings),
@@ -271,4 +275,20 @@ c AS (SELECT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {TERM_BUCKETS} A
       FROM t WHERE t <> '' GROUP BY doc_id, i)
 SELECT doc_id, CAST({TERM_BUCKETS} AS BIGINT) AS size, count(*) AS nnz, CAST(sum(c) AS BIGINT) AS total,
        round(sum(CAST(c AS DOUBLE) * c), 2) AS sq_norm FROM c GROUP BY doc_id""",
+
+    "sparse_light_coreset": _priority(
+        f"""{DOC_CELLS},
+n AS (SELECT CAST(count(DISTINCT pid) AS DOUBLE) AS n FROM cells),
+mu AS (SELECT j, sum(v) / (SELECT n FROM n) AS m FROM cells GROUP BY j),
+mn AS (SELECT sum(m * m) AS mn FROM mu),
+xm AS (SELECT c.pid, sum(c.v * mu.m) AS xm FROM cells c JOIN mu USING (j) GROUP BY c.pid),
+xn AS (SELECT pid, sum(v * v) AS xn FROM cells GROUP BY pid),
+d AS (SELECT xn.pid, greatest(xn.xn - 2.0 * xm.xm + mn.mn, 0.0) AS d2 FROM xn JOIN xm USING (pid), mn),
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(d2) AS c FROM d),
+v AS (SELECT pid, CASE WHEN c > 0 THEN 0.5 / n + 0.5 * d2 / c ELSE 1.0 / n END AS v FROM d, tot)""",
+        "v", 50),
+
+    "sparse_norm_coreset": _priority(
+        f"""{DOC_CELLS},
+v AS (SELECT pid, sum(v * v) AS v FROM cells GROUP BY pid)""", "v", 50),
 }

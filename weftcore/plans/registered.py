@@ -270,7 +270,7 @@ def q_svd_axes(spark, sf):
 
 def q_weighted_svd(spark, sf):
     """M3: weighted SVD axes fitted on a norm coreset of lineitem (rows only)."""
-    s = NormSampler().sample(lineitem_points(spark, sf), [], 200, SEED)
+    s = NormSampler().sample(lineitem_points(spark, sf), [], 200, SEED).persist()
     return _axes_rows(models.svd_axes(s, 2, weighted=True), spark)
 
 
@@ -281,7 +281,7 @@ def _centre_rows(centres: list, spark) -> DataFrame:
 
 def q_weighted_kmeans(spark, sf):
     """M1: weighted k-means (k = 10) on a light coreset of 100 embeddings (rows only)."""
-    s = LightSampler().sample(embedding_points(spark, sf).drop("label"), [], 100, SEED)
+    s = LightSampler().sample(embedding_points(spark, sf).drop("label"), [], 100, SEED).persist()
     return _centre_rows(models.weighted_kmeans(s, 10, SEED), spark)
 
 
@@ -459,23 +459,72 @@ def q_scalable_row_index(spark, sf):
 TERM_BUCKETS = 1024
 
 
-def q_document_term_vectors(spark, sf):
-    """S9 on text: each whole document as a hashed term-count sparse vector
-    (1024 buckets from md5 of the space-separated token); per document the
-    size, non-zeros, total count and squared norm."""
+def document_points(spark, sf) -> DataFrame:
+    """Each whole document as a sparse hashed term-count vector (1024 buckets
+    from md5 of each space-separated token): ``pid`` = doc_id, unit weight.
+    Documents without tokens have no point."""
+    from weftcore.sources.points import sparse_from_pairs
     d = _t(spark, sf, "documents")
     tok = d.select("doc_id", F.explode(F.split("text", " ")).alias("t")).where(F.col("t") != "")
     idx = F.pmod(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long"), F.lit(TERM_BUCKETS))
     counts = tok.groupBy("doc_id", idx.alias("i")).agg(F.count(F.lit(1)).alias("c"))
-    from weftcore.sources.points import sparse_from_pairs
     vec = counts.groupBy("doc_id").agg(sparse_from_pairs(
         F.lit(TERM_BUCKETS), F.collect_list(F.struct(F.col("i").cast("int").alias("index"),
                                                      F.col("c").cast("double").alias("value"))))
-        .alias("v"))
-    return vec.select("doc_id", F.col("v.size").cast("bigint").alias("size"),
-                      F.size("v.indices").cast("bigint").alias("nnz"),
-                      F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("total"),
-                      _r(sq_norm("v.values"), 2).alias("sq_norm"))
+        .alias("features"))
+    # derived input read by several jobs below: computed once per query
+    return vec.select(F.col("doc_id").alias("pid"), "features", F.lit(1.0).alias("weight")).persist()
+
+
+def q_document_term_vectors(spark, sf):
+    """S9 on text: per document the sparse vector's size, non-zeros, total
+    count and squared norm."""
+    v = document_points(spark, sf)
+    return v.select(F.col("pid").alias("doc_id"), F.col("features.size").cast("bigint").alias("size"),
+                    F.size("features.indices").cast("bigint").alias("nnz"),
+                    F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x).cast("bigint")
+                    .alias("total"), _r(sq_norm("features.values"), 2).alias("sq_norm"))
+
+
+def q_sparse_light_coreset(spark, sf):
+    """C6 (light, sparse): 50 documents by light sensitivity on their sparse
+    term vectors; distances from non-zeros only."""
+    s = LightSampler().sample(document_points(spark, sf), [], 50, SEED)
+    return s.select("pid", _r("weight").alias("weight"))
+
+
+def q_sparse_norm_coreset(spark, sf):
+    """C8 (sparse): 50 documents by squared norm of their term vectors."""
+    s = NormSampler().sample(document_points(spark, sf), [], 50, SEED)
+    return s.select("pid", _r("weight").alias("weight"))
+
+
+def q_sparse_cluster_coreset(spark, sf):
+    """C7 (sparse, "coreset2"): documents through a tree of 4 leaves with the
+    cluster-mean sampler, s = 20 (rows only; total weight is preserved)."""
+    from weftcore.operators.samplers import ClusterMeanSampler
+    cs = coreset(document_points(spark, sf), TreeConfig(20, 2, leaves=4), ClusterMeanSampler(), SEED)
+    return cs.select("pid", _r("weight").alias("weight"),
+                     F.size("features.indices").cast("bigint").alias("nnz"))
+
+
+def q_sparse_kmeans_coreset(spark, sf):
+    """C6 + M2: sparse sensitivity coreset of documents, weighted k-means
+    (k = 5) on it (rows only)."""
+    pts = document_points(spark, sf)
+    s = take_sample_sparse(pts)
+    return _centre_rows(models.weighted_kmeans(s, 5, SEED), spark)
+
+
+def take_sample_sparse(pts: DataFrame) -> DataFrame:
+    return SensitivitySampler(k=5, seed=SEED).prepare(pts).sample(pts, [], 100, SEED).persist()
+
+
+def q_sparse_svd_coreset(spark, sf):
+    """C8 + M3: weighted SVD axes (k = 2) of a sparse norm coreset of
+    documents (rows only; signs fixed)."""
+    s = NormSampler().sample(document_points(spark, sf), [], 100, SEED).persist()
+    return _axes_rows(models.svd_axes(s, 2, weighted=True), spark)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -514,4 +563,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bag_union": q_bag_union,
     "scalable_row_index": q_scalable_row_index,
     "document_term_vectors": q_document_term_vectors,
+    "sparse_light_coreset": q_sparse_light_coreset,
+    "sparse_norm_coreset": q_sparse_norm_coreset,
+    "sparse_cluster_coreset": q_sparse_cluster_coreset,
+    "sparse_kmeans_coreset": q_sparse_kmeans_coreset,
+    "sparse_svd_coreset": q_sparse_svd_coreset,
 }

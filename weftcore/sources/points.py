@@ -126,3 +126,32 @@ def number_rows(df: DataFrame, order_cols: list[str], idx_col: str = "idx",
     out = tagged.join(F.broadcast(offsets), "_part")
     pos = F.col("_mid") - F.shiftleft(F.col("_part").cast("long"), 33)
     return out.withColumn(idx_col, (F.col("_off") + pos).cast("long")).drop("_part", "_mid", "_off")
+
+
+def rank_within(df: DataFrame, keys: list[str], order_cols: list[str], out: str = "_rn",
+                count_col: str | None = None, num_ranges: int | None = None) -> DataFrame:
+    """1-based rank of each row inside its group (``keys``) in ``order_cols``
+    order, and optionally the group size, without putting a group in one task.
+
+    Keyed form of :func:`number_rows`: range-partition by keys and order,
+    fix the split with a checkpoint, then a row's rank is the count of its
+    group's rows in earlier partitions plus its position in this one.  A
+    group spread over many partitions (a hot key) stays spread; the per
+    (partition, group) counts table has at most one row per partition for
+    each group.
+    """
+    spark = df.sparkSession
+    n = int(num_ranges or spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, *order_cols]
+    ranged = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    tagged = ranged.select("*", F.spark_partition_id().alias("_part"),
+                           F.monotonically_increasing_id().alias("_mid"))
+    pk = tagged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
+    w = Window.partitionBy(*keys).orderBy("_part")
+    offs = pk.withColumn("_off", F.coalesce(F.sum("_c").over(
+        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if count_col:
+        offs = offs.withColumn(count_col, F.sum("_c").over(Window.partitionBy(*keys)))
+    res = tagged.join(offs.drop("_c"), ["_part", *keys])
+    rank = F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(1)
+    return res.withColumn(out, rank.cast("long")).drop("_part", "_mid", "_m0", "_off")
