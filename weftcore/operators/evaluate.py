@@ -151,3 +151,9 @@ def cost_kind(alg_name: str) -> str:
 def evaluate(points: DataFrame, results: DataFrame, alg_name: str) -> DataFrame:
     """E4 + E3: progressive cost with the cost chosen by name."""
     return progressive_cost(points, results, cost_kind(alg_name))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """K5: the cost report as tab-separated text with a header."""
+    flat = report.select(*[F.col(c).cast("string").alias(c) for c in report.columns])
+    flat.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

@@ -162,6 +162,70 @@ def tree_reduce(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
                        f"sampler {sampler.name} must return fewer rows than it gets")
 
 
+@dataclass(frozen=True)
+class ChunkedTreeConfig:
+    """The prototype's two-threshold rule (C14): containers of at least
+    ``min_size`` rows are cut into chunks of at most ``max_size`` rows (in
+    pid order); chunks of at least ``min_size`` rows are sampled to
+    ``sample_size``; every chunk of such a container climbs."""
+
+    sample_size: int
+    min_size: int
+    max_size: int
+    fan_in: int = 4
+    max_rounds: int = 128
+
+    def __post_init__(self):
+        if not (0 < self.sample_size < self.min_size <= self.max_size):
+            raise ValueError("need 0 < sample_size < min_size <= max_size")
+        if self.fan_in < 2:
+            raise ValueError("fan_in must be >= 2")
+
+
+def chunked_tree_reduce(tree: DataFrame, cfg: ChunkedTreeConfig, sampler: Sampler, seed: int,
+                        stats: list | None = None) -> DataFrame:
+    """C14 + C18: rounds of the two-threshold rule until nothing climbs.
+
+    Containers are bounded (at most fan_in times a climbing container), so
+    chunk numbers come from a window per container.  The result is
+    repartitioned by node address, as the prototype did.
+    """
+    from pyspark.sql import Window
+    tree = tree.select(*TREE_COLS)
+    for rnd in range(1, cfg.max_rounds + 1):
+        counts = group_counts(tree, ["level", "node"]).persist()
+        try:
+            summary = counts.agg(F.sum("_n").alias("rows"), F.sum(
+                F.when(F.col("_n") >= cfg.min_size, 1).otherwise(0)).alias("moved")).first()
+            moved = int(summary["moved"] or 0)
+            if stats is not None:
+                stats.append((rnd, int(summary["rows"] or 0), moved))
+            if moved == 0:
+                nodes = counts.count()
+                return tree.repartition(max(1, nodes), "level", "node")
+            marked = tree.join(counts, ["level", "node"])
+            stay = marked.where(F.col("_n") < cfg.min_size).select(*TREE_COLS)
+            big = marked.where(F.col("_n") >= cfg.min_size).drop("_n", "_W")
+            rn = F.row_number().over(Window.partitionBy("level", "node").orderBy("pid"))
+            chunked = big.withColumn("chunk", F.floor((rn - 1) / F.lit(cfg.max_size)).cast("long"))
+            keys = ["level", "node", "chunk"]
+            ccounts = group_counts(chunked, keys)
+            cm = chunked.join(ccounts, keys)
+            whole = cm.where(F.col("_n") < cfg.min_size).select(*TREE_COLS)
+            part = cm.where(F.col("_n") >= cfg.min_size)
+            sampled = sampler.sample(part, keys, cfg.sample_size, seed, salt=rnd, bounded=True)
+            climbed = climb(whole.unionByName(sampled.select(*TREE_COLS)), cfg.fan_in)
+            tree = materialize(stay.unionByName(climbed), "chunked-round")
+        finally:
+            counts.unpersist()
+    raise RuntimeError(f"chunked tree did not settle in {cfg.max_rounds} rounds")
+
+
+def node_sizes(tree: DataFrame) -> DataFrame:
+    """K3: rows per container, for logs and the console sink."""
+    return tree.groupBy("level", "node").agg(F.count(F.lit(1)).alias("size")).orderBy("level", "node")
+
+
 def final_sample(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int) -> DataFrame:
     """Flatten every node of the forest and take ``sample_size``."""
     pts = tree.select(*POINT_COLS)

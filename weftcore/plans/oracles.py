@@ -8,7 +8,8 @@ invariants in the tests.
 from __future__ import annotations
 
 from weftcore.functions.hashing import uniform_sql
-from weftcore.plans.registered import (LINEITEM_FEATURES_SQL, LINEITEM_PID_SQL, PROG_BATCHES,
+from weftcore.plans.registered import (CHUNK_FAN, CHUNK_LEAVES, CHUNK_MAX, CHUNK_MIN, CHUNK_S,
+                                       LINEITEM_FEATURES_SQL, LINEITEM_PID_SQL, PROG_BATCHES,
                                        PROJ_AXES, SEED, STREAM_FILES, TERM_BUCKETS,
                                        TREE_SYS_FAN, TREE_SYS_LEAVES, TREE_SYS_S)
 
@@ -67,6 +68,26 @@ def _tree_forest_sql() -> str:
             f"\nSELECT CAST(level AS BIGINT) AS level, CAST(node AS BIGINT) AS node, pid FROM t{rounds}")
 
 
+def _chunked_tree_sql() -> str:
+    s, lo, hi, fan = CHUNK_S, CHUNK_MIN, CHUNK_MAX, CHUNK_FAN
+    parts = [f"t0 AS (SELECT 0 AS level, o_orderkey % {CHUNK_LEAVES} AS node, o_orderkey AS pid, "
+             f"{_u('o_orderkey')} AS u FROM orders)"]
+    rounds = 10
+    for i in range(1, rounds + 1):
+        parts.append(
+            f"a{i} AS (SELECT *, count(*) OVER (PARTITION BY level, node) AS n, "
+            f"(row_number() OVER (PARTITION BY level, node ORDER BY pid) - 1) // {hi} AS chunk FROM t{i - 1})")
+        parts.append(
+            f"b{i} AS (SELECT *, count(*) OVER (PARTITION BY level, node, chunk) AS cn, "
+            f"row_number() OVER (PARTITION BY level, node, chunk ORDER BY u, pid) AS r FROM a{i})")
+        parts.append(
+            f"t{i} AS (SELECT CASE WHEN n >= {lo} THEN level + 1 ELSE level END AS level, "
+            f"CASE WHEN n >= {lo} THEN node // {fan} ELSE node END AS node, pid, u FROM b{i} "
+            f"WHERE n < {lo} OR cn < {lo} OR r <= {s})")
+    return ("WITH " + ",\n".join(parts) +
+            f"\nSELECT CAST(level AS BIGINT) AS level, CAST(node AS BIGINT) AS node, pid FROM t{rounds}")
+
+
 def _projection_sql() -> str:
     cols = ["a", "b", "c", "d"]
 
@@ -135,6 +156,8 @@ ORDER BY u, pid LIMIT 50""",
 
     "tree_forest_systematic": _tree_forest_sql(),
 
+    "tree_forest_chunked": _chunked_tree_sql(),
+
     "leaf_samples": f"""
 WITH p AS (SELECT {LINEITEM_PID_SQL} AS pid FROM lineitem),
 l AS (SELECT pid, pid % 64 AS leaf, {_u('pid')} AS u FROM p),

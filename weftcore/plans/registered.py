@@ -140,6 +140,23 @@ def q_tree_forest_systematic(spark, sf):
     return tree.select(F.col("level").cast("bigint").alias("level"), "node", "pid")
 
 
+CHUNK_S, CHUNK_MIN, CHUNK_MAX, CHUNK_FAN, CHUNK_LEAVES = 50, 100, 200, 4, 16
+
+
+def q_tree_forest_chunked(spark, sf):
+    """The prototype's two-threshold tree over ``orders`` with the
+    uniform sampler: leaves o_orderkey mod 16 as level-0 containers, chunks of
+    at most 200, chunks of at least 100 sampled to 50, fan-in 4."""
+    from weftcore.operators.tree import ChunkedTreeConfig, chunked_tree_reduce
+    o = _t(spark, sf, "orders")
+    p = points_from_columns(o, "o_orderkey", ["o_totalprice"])
+    t0 = p.select(F.lit(0).alias("level"), F.pmod("pid", F.lit(CHUNK_LEAVES)).cast("long").alias("node"),
+                  "pid", "features", "weight")
+    cfg = ChunkedTreeConfig(CHUNK_S, CHUNK_MIN, CHUNK_MAX, CHUNK_FAN)
+    t = chunked_tree_reduce(t0, cfg, UniformSampler(), SEED)
+    return t.select(F.col("level").cast("bigint").alias("level"), "node", "pid")
+
+
 def q_leaf_samples(spark, sf):
     """Lineitem leaves pid mod 64, uniform s = 20 per leaf, fan-in 2."""
     cfg = TreeConfig(20, 2, leaves=64, leaf_mode="mod")
@@ -535,6 +552,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_uniform_coreset": q_tree_uniform_coreset,
     "tree_forest_systematic": q_tree_forest_systematic,
     "leaf_samples": q_leaf_samples,
+    "tree_forest_chunked": q_tree_forest_chunked,
     "light_coreset": q_light_coreset,
     "tree_light_coreset": q_tree_light_coreset,
     "sensitivity_coreset": q_sensitivity_coreset,

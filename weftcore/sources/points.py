@@ -155,3 +155,15 @@ def rank_within(df: DataFrame, keys: list[str], order_cols: list[str], out: str
     res = tagged.join(offs.drop("_c"), ["_part", *keys])
     rank = F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(1)
     return res.withColumn(out, rank.cast("long")).drop("_part", "_mid", "_m0", "_off")
+
+
+def read_results(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """S10 + A10: saved model results (``batch_id=N`` folders; hidden folders
+    such as ``_state`` are skipped).  With ``check``, every batch must hold
+    exactly one record."""
+    res = spark.read.parquet(path)
+    if check:
+        bad = res.groupBy("batch_id").count().where(F.col("count") != 1).limit(1).collect()
+        if bad:
+            raise ValueError(f"batch {bad[0]['batch_id']} holds {bad[0]['count']} results, expected 1")
+    return res

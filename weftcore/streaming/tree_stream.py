@@ -96,6 +96,7 @@ class StreamingTreeSampler:
     after: Callable | None = None
     leaves_per_batch: int | None = None
     id_col: str | None = None
+    keep_versions: int | None = None
     round_stats: list = field(default_factory=list)
 
     @property
@@ -162,11 +163,28 @@ class StreamingTreeSampler:
                                    "batch_id long, num_points long, tree_path string")
              .coalesce(1).write.mode("overwrite")
              .parquet(os.path.join(self.commits_dir, f"batch_id={batch_id}")))
+            if self.keep_versions:
+                self._retire_old_versions(spark, batch_id)
             if self.after:
                 self.after(result, batch_id)
         finally:
             batch.unpersist()
 
+    def _retire_old_versions(self, spark: SparkSession, batch_id: int) -> None:
+        """Keep the trees of the last ``keep_versions`` committed batches."""
+        commits = spark.read.parquet(self.commits_dir).select("batch_id").orderBy(
+            F.col("batch_id").desc()).collect()
+        old = [int(r["batch_id"]) for r in commits[self.keep_versions:]]
+        if not old:
+            return
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for v in old:
+            p = jvm.org.apache.hadoop.fs.Path(os.path.join(self.tree_dir, f"batch_id={v}"))
+            fs = p.getFileSystem(conf)
+            if fs.exists(p):
+                fs.delete(p, True)
+
     def start(self, points_stream: DataFrame, checkpoint_location: str,
               batch_secs: int | None = None, available_now: bool = False):
         """Run the stream; the source offsets are checkpointed by
