@@ -49,9 +49,10 @@ def test_small_group_unchanged(spark, orders):
     assert {r.weight for r in out.collect()} == {1.0}
 
 
-def test_cluster_mean_preserves_weight_and_mean(spark, orders):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_cluster_mean_preserves_weight_and_mean(spark, orders, bounded):
     df = orders.withColumn("g", F.col("pid") % 2)
-    out = ClusterMeanSampler().sample(df, ["g"], 20, 4)
+    out = ClusterMeanSampler().sample(df, ["g"], 20, 4, bounded=bounded)
     tot = out.groupBy("g").agg(F.sum("weight").alias("w"),
                                F.sum(F.col("weight") * F.col("features")[0]).alias("m")).collect()
     exp = df.groupBy("g").agg(F.count(F.lit(1)).alias("w"),

@@ -344,6 +344,8 @@ class ClusterMeanSampler(Sampler):
 
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
         df = _strip(df, keys)
+        if bounded:
+            return self._sample_bounded(df, keys, s, self._seed(seed, salt))
         if is_sparse(df):
             return self._sample_sparse(df, keys, s, seed, salt)
         seeds = LightSampler().sample(df, keys, s, seed, salt)
@@ -360,6 +362,36 @@ class ClusterMeanSampler(Sampler):
             F.sum("weight").alias("weight"))
         return small.unionByName(red.select(*keys, *POINT_COLS))
 
+    def _sample_bounded(self, df, keys, s, seed):
+        """Bounded groups (tree containers): one ``applyInPandas`` stage per
+        call, NumPy per group.  Same rule as the DataFrame form: light
+        priority seeds from the same u(pid, seed), nearest seed (lowest pid
+        on ties), weighted means and weight sums per cluster."""
+        sparse = is_sparse(df)
+        key_fields = [df.schema[k] for k in keys]
+        key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
+        if sparse:
+            flat = df.select(*keys, "pid", "weight", F.col("features.size").alias("_size"),
+                             F.col("features.indices").alias("_idx"), F.col("features.values").alias("_val"))
+            out_ddl = "pid bigint, weight double, _size int, _idx array<int>, _val array<double>"
+        else:
+            flat = df.select(*keys, "pid", "weight", F.col("features").alias("_val"))
+            out_ddl = "pid bigint, weight double, _val array<double>"
+        schema = f"{key_ddl}, {out_ddl}" if key_ddl else out_ddl
+        fn = _cluster_means_numpy(keys, s, seed, sparse)
+        grouped = flat.groupBy(*keys) if keys else flat.groupBy(F.lit(0).alias("_g"))
+        if not keys:
+            flat = flat.withColumn("_g", F.lit(0))
+            grouped = flat.groupBy("_g")
+            fn = _cluster_means_numpy(["_g"], s, seed, sparse, drop_keys=True)
+        out = grouped.applyInPandas(fn, schema)
+        if sparse:
+            feats = F.struct(F.col("_size").alias("size"), F.col("_idx").alias("indices"),
+                             F.col("_val").alias("values"))
+        else:
+            feats = F.col("_val")
+        return out.select(*keys, "pid", feats.alias("features"), "weight")
+
     def _sample_sparse(self, df, keys, s, seed, salt):
         """Sparse form: distances to the seeds from a join on (group,
         coordinate) over non-zeros; a seed sharing no coordinate with a row
@@ -425,6 +457,62 @@ class FixedCentreReducer:
             F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
+def _uniform_py(pid: int, seed: int) -> float:
+    """Python twin of :func:`weftcore.functions.hashing.uniform01`."""
+    import hashlib
+    h = hashlib.md5(f"{int(pid)}:{int(seed)}".encode()).hexdigest()[:13]
+    return (int(h, 16) + 1.0) / float(2 ** 52)
+
+
+def _cluster_means_numpy(keys, s, seed, sparse, drop_keys=False):
+    """Per-group body of the bounded cluster-mean sampler."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+        n = len(pdf)
+        out_keys = {} if drop_keys else {k: pdf[k].iloc[0] for k in keys}
+        if n <= s:
+            res = pdf.drop(columns=keys) if drop_keys else pdf
+            return res
+        w = pdf["weight"].to_numpy(dtype=float)
+        pids = pdf["pid"].to_numpy(dtype=np.int64)
+        if sparse:
+            d = int(pdf["_size"].max())
+            x = np.zeros((n, d))
+            for r, (ix, vx) in enumerate(zip(pdf["_idx"], pdf["_val"])):
+                x[r, np.asarray(ix, dtype=int)] = vx
+        else:
+            x = np.vstack([np.asarray(v, dtype=float) for v in pdf["_val"]])
+        W = w.sum()
+        mu = (w[:, None] * x).sum(axis=0) / W
+        d2 = ((x - mu) ** 2).sum(axis=1)
+        C = float((w * d2).sum())
+        v = w * (0.5 / W + 0.5 * d2 / C) if C > 0 else w / W
+        u = np.array([_uniform_py(p, seed) for p in pids])
+        order = np.lexsort((pids, -(v / u)))
+        seeds = np.sort(pids[order[:s]])
+        pos = {p: i for i, p in enumerate(pids)}
+        cx = x[[pos[p] for p in seeds]]
+        dist = ((x[:, None, :] - cx[None, :, :]) ** 2).sum(axis=2)
+        k = dist.argmin(axis=1)
+        rows = []
+        for c in np.unique(k):
+            m = k == c
+            wc = w[m].sum()
+            mean = (w[m, None] * x[m]).sum(axis=0) / wc
+            row = dict(out_keys, pid=int(pids[m].min()), weight=float(wc))
+            if sparse:
+                nz = np.nonzero(mean)[0]
+                row.update(_size=d, _idx=nz.astype(int).tolist(), _val=mean[nz].tolist())
+            else:
+                row.update(_val=mean.tolist())
+            rows.append(row)
+        return pd.DataFrame(rows)
+
+    return run
+
+
 # ------------------------------------------------------------ take wrappers ---
 
 def take(df: DataFrame, s: int, sampler: Sampler, seed: int, keys: list[str] | None = None,

@@ -489,8 +489,11 @@ def document_points(spark, sf) -> DataFrame:
         F.lit(TERM_BUCKETS), F.collect_list(F.struct(F.col("i").cast("int").alias("index"),
                                                      F.col("c").cast("double").alias("value"))))
         .alias("features"))
-    # derived input read by several jobs below: computed once per query
-    return vec.select(F.col("doc_id").alias("pid"), "features", F.lit(1.0).alias("weight")).persist()
+    # derived input read by several jobs below: written once as a table in
+    # the shared checkpoint folder (disk, not executor memory)
+    from weftcore.sources.points import materialize
+    return materialize(vec.select(F.col("doc_id").alias("pid"), "features",
+                                  F.lit(1.0).alias("weight")), "document-vectors")
 
 
 def q_document_term_vectors(spark, sf):

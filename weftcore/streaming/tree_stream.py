@@ -136,10 +136,12 @@ class StreamingTreeSampler:
             if self.before:
                 self.before(batch, batch_id)
             sampler = self.sampler.prepare(batch)
-            # One leaf per task slot: leaves are sampled with a map-side
-            # partial top-k, so big leaves are cheap and the tree stays shallow.
-            L = self.leaves_per_batch or self.cfg.leaves or int(
-                spark.conf.get("spark.sql.shuffle.partitions"))
+            # At most one leaf per task slot, and no leaf below the threshold:
+            # leaves are sampled with a map-side partial top-k, so big leaves
+            # are cheap and the tree stays shallow.
+            slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            L = self.leaves_per_batch or self.cfg.leaves or max(
+                1, min(slots, n // self.cfg.threshold))
             leaves = leaf_sample(assign_leaves(batch, self.cfg, L), self.cfg, sampler, self.seed)
             prev = self.previous_tree(spark, batch_id)
             merged = leaves if prev is None else prev.unionByName(leaves)
