@@ -29,6 +29,10 @@ from weftcore.sources.points import materialize
 
 TREE_COLS = ["level", "node", *POINT_COLS]
 
+# A leaf may go to a one-task-per-group sampler path only when the largest
+# leaf holds at most this many rows (checked on the leaf counts).
+MAX_BOUNDED_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class TreeConfig:
@@ -93,7 +97,7 @@ def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def chunk_sample(df: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampler,
                  seed: int, salt: int = 0, counts: DataFrame | None = None,
-                 bounded: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 bounded: bool | None = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C13 on keyed containers: returns (sampled rows, untouched rows, counts).
 
     Only the groups at or above the threshold reach the sampler; they carry
@@ -101,6 +105,10 @@ def chunk_sample(df: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampl
     """
     T = cfg.threshold
     counts = counts if counts is not None else group_counts(df, keys)
+    if bounded is None:
+        # decide from the measured group sizes (one small job)
+        biggest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0
+        bounded = biggest <= MAX_BOUNDED_ROWS
     marked = df.join(counts, keys)
     big = marked.where(F.col("_n") >= T)
     small = marked.where(F.col("_n") < T).drop("_n", "_W")
@@ -114,7 +122,7 @@ def leaf_sample(points: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
     if "leaf" not in points.columns:
         points = assign_leaves(points, cfg, leaves)
     pts = points.select("leaf", *POINT_COLS)
-    sampled, small, _ = chunk_sample(pts, ["leaf"], cfg, sampler, seed, salt=0)
+    sampled, small, _ = chunk_sample(pts, ["leaf"], cfg, sampler, seed, salt=0, bounded=None)
     both = sampled.select("leaf", *POINT_COLS).unionByName(small.select("leaf", *POINT_COLS))
     node = F.floor(F.col("leaf") / F.lit(cfg.fan_in)).cast("long")
     return both.select(F.lit(0).alias("level"), node.alias("node"), *POINT_COLS)
