@@ -141,6 +141,8 @@ class Sampler:
     name: str = "base"
     subset: bool = True
     consistent: bool = False
+    # True when ``bounded=True`` selects a cheaper plan (worth a size check)
+    bounded_path: bool = False
 
     def prepare(self, points: DataFrame) -> "Sampler":
         """Global state computed once before a tree (e.g. rough centres)."""
@@ -296,6 +298,7 @@ class SystematicSampler(Sampler):
 
     name: str = "systematic"
     order_col: str = "pid"
+    bounded_path: bool = True
 
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
         from weftcore.sources.points import number_rows, rank_within
@@ -341,6 +344,7 @@ class ClusterMeanSampler(Sampler):
 
     name: str = "cluster_mean"
     subset: bool = False
+    bounded_path: bool = True
 
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
         df = _strip(df, keys)

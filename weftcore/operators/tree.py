@@ -105,8 +105,11 @@ def chunk_sample(df: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampl
     """
     T = cfg.threshold
     counts = counts if counts is not None else group_counts(df, keys)
+    if bounded is None and not sampler.bounded_path:
+        bounded = False
     if bounded is None:
-        # decide from the measured group sizes (one small job)
+        # decide from the measured group sizes (one small job), only for
+        # samplers with a cheaper bounded plan
         biggest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0
         bounded = biggest <= MAX_BOUNDED_ROWS
     marked = df.join(counts, keys)
