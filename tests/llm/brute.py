@@ -190,3 +190,7 @@ def mix(rows, seed=11, share=1.5, most=2, weights=(5, 2, 1)):
             c = math.floor((r + 1) * rate + u) - math.floor(r * rate + u)
             out.append((i if some else None, z, total[s], target[s], c * z))
     return out
+
+
+def mix_size(t):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
