@@ -65,7 +65,7 @@ def _count(good, buckets: int):
     return run
 
 
-def _weigh(ratio, name: str, out: str):
+def _weigh(ratio, name: str, out: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = ratio.value
         for batch in batches:
@@ -73,6 +73,8 @@ def _weigh(ratio, name: str, out: str):
             for a, b, _, tok in batch_tokens(col, mark_tables()):
                 bucket, text = features(tok, len(gain))
                 w.append(np.bincount(text, gain[bucket], minlength=b - a))
+            if not keep:  # texts do not travel back
+                batch = batch.select([f for f in batch.schema.names if f != name])
             yield batch.append_column(out, pa.array(np.concatenate(w).round(9) + 0.0, pa.float64()))
 
     return run
@@ -139,33 +141,56 @@ def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 1024, small: int
             return values[k - above - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality",
-             buckets: int = 10_000, smooth: float = 1.0, max_labels: int = 100_000, seed: int = 17, k: int | None = None,
-             names: tuple[str, str, str] = ("log_weight", "sample_key", "sampled")) -> DataFrame:
-    """``docs`` with the log weight, the Gumbel key and whether the row is sampled."""
+def _noise(doc_id: str, text: str, seed: int):
+    """Gumbel noise from a hash of id and text: the same in every run and for repeated rows."""
+    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(unit))
+
+
+def draw(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality",
+         buckets: int = 10_000, smooth: float = 1.0, max_labels: int = 100_000, seed: int = 17, k: int | None = None) -> tuple[DataFrame, float, np.ndarray]:
+    """(id, w, key) of every row, the k-th largest key, and the log ratio of each bucket."""
     spark = docs.sparkSession
     prepare(spark)
     judged = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(quality).alias("q"))
     judged = judged.orderBy(F.xxhash64("id"), "id").limit(max_labels).collect()
-    good = [i for i, q in judged if q > 0]
-    gain = log_ratio(docs, good, doc_id, text, buckets, smooth)
-    weight, key, chosen = names
-    current = docs.drop(*names)
-    schema = T.StructType([*current.schema.fields, T.StructField(weight, T.DoubleType())])
-    weighed = current.mapInArrow(_weigh(spark.sparkContext.broadcast(gain), text, weight), schema)
-    # noise from a hash of id and text: the same in every run and for repeated rows
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = weighed.withColumn(key, F.col(weight) - F.log(-F.log(unit)))
-    small = materialize(keyed.select(F.col(doc_id).alias("id"), F.col(weight).alias("w"), F.col(key).alias("key")), "weights")
+    gain = log_ratio(docs, [i for i, q in judged if q > 0], doc_id, text, buckets, smooth)
+    part = docs.select(F.col(doc_id).alias("id"), _noise(doc_id, text, seed).alias("noise"), F.col(text).alias("text"))
+    kind = part.schema["id"].dataType.simpleString()
+    weighed = part.mapInArrow(_weigh(spark.sparkContext.broadcast(gain), "text", "w", False), f"id {kind}, noise double, w double")
+    small = materialize(weighed.select("id", "w", (F.col("w") + F.col("noise")).alias("key")), "weights")
     if k is None:
         known = spark.createDataFrame([(int(i), int(q)) for i, q in judged], "id long, q int")  # at most max_labels rows
         seen = small.join(F.broadcast(known), "id").groupBy("id", "q", "w").count().limit(2 * max_labels).collect()
         cut = best_cut(np.array([w for _, q, w, _ in seen if q > 0]), np.array([w for _, q, w, _ in seen if q <= 0]))
         k = small.where(F.col("w") >= cut).count() if math.isfinite(cut) else small.count() if cut < 0 else 0
-    return keyed.withColumn(chosen, F.col(key) >= F.lit(kth_largest(small, "key", k)))
+    return small, kth_largest(small, "key", k), gain
+
+
+def sample_table(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", **more) -> DataFrame:
+    """Per row: the id, log_weight, sample_key, sampled."""
+    small, least, _ = draw(docs, labels, doc_id=doc_id, **more)
+    return small.select(F.col("id").alias(doc_id), F.col("w").alias("log_weight"), F.col("key").alias("sample_key"), (F.col("key") >= F.lit(least)).alias("sampled"))
+
+
+def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 17,
+             names: tuple[str, str, str] = ("log_weight", "sample_key", "sampled"), **more) -> DataFrame:
+    """``docs`` with the log weight, the Gumbel key and whether the row is sampled."""
+    _, least, gain = draw(docs, labels, doc_id=doc_id, text=text, seed=seed, **more)
+    weight, key, chosen = names
+    noise = "_noise"
+    while noise in docs.columns:
+        noise += "_"
+    current = docs.drop(*names).withColumn(noise, _noise(doc_id, text, seed))
+    schema = T.StructType([*current.schema.fields, T.StructField(weight, T.DoubleType())])
+    weighed = current.mapInArrow(_weigh(docs.sparkSession.sparkContext.broadcast(gain), text, weight, True), schema)
+    weighed = weighed.withColumn(key, F.col(weight) + F.col(noise)).drop(noise)
+    return weighed.withColumn(chosen, F.col(key) >= F.lit(least))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
     """The sampled documents, with the columns of ``docs``."""
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(more.get("doc_id", "doc_id")).alias("doc_id"), F.col(more.get("text", "text")).alias("text"))
-    return resample(found, labels, **{**more, "doc_id": "doc_id", "text": "text"}).where("sampled").select("row.*")
+    names = ["_weight", "_key", "_sampled"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    return resample(docs, labels, names=tuple(names), **more).where(F.col(names[2])).drop(*names)

@@ -78,8 +78,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight and Gumbel key of every document, and whether it is sampled."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return importance.resample(docs, table(spark, sf_dir, "labels")).drop("text")
+    return importance.sample_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
