@@ -11,7 +11,7 @@ import weftcore
 from weftcore.session import ensure_checkpoint_dir, scratch_path
 from weftcore.sources.points import materialize
 
-__all__ = ["F", "ensure_checkpoint_dir", "expand", "materialize", "prepare", "scratch_path", "table", "text_digest"]
+__all__ = ["BROADCAST_ROWS", "F", "bounded", "ensure_checkpoint_dir", "expand", "materialize", "prepare", "scratch_path", "table", "text_digest"]
 
 #: Arrow batches stay small even when single texts are long.
 ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
@@ -37,6 +37,15 @@ def text_digest(text: Column | str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
 
 
+#: A table of at most this many rows (a few numbers each) may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a count shows that it is small; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def expand(df: DataFrame, first: str, n: str, out: str, step: int = 1 << 16) -> DataFrame:
     """Each row n times, numbered first, first + 1, ... in ``out``; made in
     pieces of ``step``, so a large n needs no large array."""

@@ -35,17 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftcore.llm.common import materialize, prepare
+from weftcore.llm.common import bounded, materialize, prepare
 from weftcore.llm.textgrams import CHUNK, U64, _chunk_powers, _powers, mix64
 
-#: A table of at most this many rows (ids and hashes) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 400_000
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def _row_key(doc_id: str, text: str) -> Column:
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
@@ -115,16 +107,16 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
     keyed = long.select("code", F.posexplode(F.array(*_halves())).alias("half", "key"))
     shared = keyed.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a < b").select("key")
     shared = materialize(shared, "halves")
-    near = keyed.join(_bounded(shared), "key").groupBy("code").agg(F.sort_array(F.collect_set("half")).alias("halves"))
+    near = keyed.join(bounded(shared), "key").groupBy("code").agg(F.sort_array(F.collect_set("half")).alias("halves"))
     near = materialize(near, "near")
-    some = long.join(_bounded(near.select("code")), "code", "left_semi").groupBy("line_key").agg(F.first("line").alias("line"), F.first("code").alias("code"))
+    some = long.join(bounded(near.select("code")), "code", "left_semi").groupBy("line_key").agg(F.first("line").alias("line"), F.first("code").alias("code"))
     some = some.join(first.select("line_key", "at"), "line_key").join(near, "code")
     some = materialize(some, "candidates")
 
     variants = some.select("line", "code", "halves").mapInArrow(_variants, "key long, code long, role int")
     met = variants.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a < b").select("key")
     met = materialize(met, "met")
-    member = variants.join(_bounded(met), "key").distinct().join(some.select("code", "line_key", "at", "line"), "code")
+    member = variants.join(bounded(met), "key").distinct().join(some.select("code", "line_key", "at", "line"), "code")
     member = materialize(member, "member")
     earliest = member.groupBy("key", "role").agg(F.min(F.struct("at", "line")).alias("e"))
     # role 0 meets itself, whole lines meet those with one character removed
@@ -132,7 +124,7 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
     other = earliest.select("key", met_role.alias("role"), "e")
     gone = member.join(other, ["key", "role"]).where((F.col("e.at") < F.col("at")) & (F.levenshtein("line", F.col("e.line"), 1).between(0, 1))).select("line_key").distinct()
     gone = materialize(gone, "gone")
-    kept = first.join(_bounded(gone), "line_key", "left_anti").select("at.*")
+    kept = first.join(bounded(gone), "line_key", "left_anti").select("at.*")
     return kept.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 

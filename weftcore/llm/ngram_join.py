@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftcore.llm.common import materialize, prepare, text_digest
+from weftcore.llm.common import bounded, materialize, prepare, text_digest
 from weftcore.llm.components import components
 from weftcore.llm.textgrams import Tokens, batch_tokens, mix64, seeds
 
@@ -46,7 +46,7 @@ def choose_bands(threshold: float, recall: float, max_hashes: int) -> tuple[int,
     best = None
     for rows in range(1, 65):
         hit = threshold ** rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
         if bands * rows <= max_hashes:
             best = (max(1, bands), rows)
     if best is None:
@@ -212,12 +212,14 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     hub = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
     near = keyed.join(hub, "key").where("node <> hub").select("node", "hub").distinct()
     member = components(near, "node", "hub").withColumnRenamed("root", "comp")
-    member = materialize(member.join(texts.select("node", "digest", "n", "copies"), "node").drop("node"), "members")
+    member = materialize(member.join(texts.select("node", "digest", "n", "copies"), "node"), "members")
     total = member.count()
 
     size = member.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sets = base.select("digest", "text").join(member.select("digest"), "digest", "left_semi").mapInArrow(_sets(n), "digest binary, set binary")
-    sets = sets.groupBy("digest").agg(F.first("set").alias("set")).join(member, "digest").join(size, "comp")
+    # texts of candidates only, by their 64-bit numbers; another text of an equal number goes at the join below
+    few = bounded(member.select("node").distinct())
+    sets = base.withColumn("node", F.xxhash64("digest")).join(few, "node", "left_semi").select("digest", "text").mapInArrow(_sets(n), "digest binary, set binary")
+    sets = sets.groupBy("digest").agg(F.first("set").alias("set")).join(member.drop("node"), "digest").join(size, "comp")
     packets = max(1, total // BLOCK_TEXTS)
     dealt = sets.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
