@@ -77,3 +77,77 @@ def test_bulk_and_weighted_kmeans(spark):
     c_full = ev.kmeans_cost(p, full).first().cost
     c_core = ev.kmeans_cost(p, core).first().cost
     assert c_core < 1.5 * c_full
+
+
+def _sparse(df):
+    from weftcore.functions.vectors import dense_to_sparse
+    return df.withColumn("features", dense_to_sparse("features"))
+
+
+def test_costs_dense_and_sparse_agree(spark):
+    rng = np.random.default_rng(2)
+    rows = (rng.normal(size=(60, 5)) * (rng.random((60, 5)) > 0.5)).tolist()
+    p = _pts(spark, rows)
+    axes = [[2.0, 0.0, 1.0, 0.0, 0.0], [0.0, 1.0, 1.0, 0.0, 3.0]]  # neither unit nor orthogonal
+    a, v = np.array(rows), np.array(axes).T
+    for df in (p, _sparse(p)):
+        r = ev.svd_cost(df, axes).first()
+        assert abs(r.projection_norm - np.linalg.norm(a @ v @ v.T)) < 1e-9
+        assert abs(r.residual_norm - np.linalg.norm(a - a @ v @ v.T)) < 1e-9
+    res = spark.createDataFrame([(b, axes, 30, 1, "x-svd") for b in (0, 1)], "batch_id long, points array<array<double>>, num_points long, sample_size int, alg_name string")
+    for df in (p, _sparse(p)):
+        df = df.withColumnRenamed("pid", "idx")
+        for kind, want in (("x-svd", [np.linalg.norm(a[:n] @ v @ v.T) for n in (30, 60)]),
+                           ("x-kmeans", [((a[:n, None] - v.T[None]) ** 2).sum(2).min(1).sum() for n in (30, 60)])):
+            got = [r.cost for r in ev.evaluate(df, res, kind).orderBy("batch_id").collect()]
+            assert np.allclose(got, want)
+    # a cost of one's own: the number of points
+    mine = (lambda x, xx, model: np.ones(len(x)), lambda c: c)
+    assert [r.cost for r in ev.progressive_cost(p.withColumnRenamed("pid", "idx"), res, mine).orderBy("batch_id").collect()] == [30.0, 60.0]
+
+
+def test_many_results_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ev, "BLOCK_CELLS", 3)
+    p = _pts(spark, [[float(i)] for i in range(20)]).withColumnRenamed("pid", "idx")
+    res = spark.createDataFrame([(b, [[0.0], [1.0]], 2, 1, "x-kmeans") for b in range(10)], "batch_id long, points array<array<double>>, num_points long, sample_size int, alg_name string")
+    got = [r.cost for r in ev.evaluate(p, res, "x-kmeans").orderBy("batch_id").collect()]
+    assert got == [sum(min(i * i, (i - 1) ** 2) for i in range(2 * b + 2)) for b in range(10)]
+
+
+def test_dimension_checks(spark):
+    import pytest
+    two, mixed, none = _pts(spark, [[0.0, 1.0]]), _pts(spark, [[0.0, 1.0], [0.0]]), _pts(spark, [[0.0]]).limit(0)
+    for points, centres in ((two, [[0.0, 0.0, 0.0]]), (two, [[0.0, 0.0], [0.0]]), (mixed, [[0.0, 0.0]]), (none, [[0.0]]), (two, [])):
+        with pytest.raises(ValueError):
+            ev.kmeans_cost(points, centres)
+        with pytest.raises(ValueError):
+            ev.svd_cost(points, centres)
+    bad = spark.createDataFrame([(0, [[0.0], [1.0, 2.0]])], "batch_id long, points array<array<double>>")
+    with pytest.raises(Exception, match="several dimensions"):
+        ev.centre_stats(bad).collect()
+
+
+def test_svd_and_gram_sparse(spark):
+    from weftcore.functions.linalg import gram_matrix, matrix_cells, transpose
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(300, 40)) * (rng.random((300, 40)) > 0.7) * np.linspace(5, 0.1, 40)
+    w = rng.random(300) + 0.5
+    p = spark.createDataFrame([(i, r, float(x)) for i, (r, x) in enumerate(zip(a.tolist(), w))], "pid long, features array<double>, weight double").repartition(40)
+    _, _, vt = np.linalg.svd(a * np.sqrt(w)[:, None], full_matrices=False)
+    for df in (p, _sparse(p)):
+        for got, exp in zip(models.svd_axes(df, 3, weighted=True), vt[:3]):
+            assert abs(abs(np.dot(got, exp)) - 1.0) < 1e-7
+        g = np.zeros((40, 40))
+        for r in gram_matrix(df, weight="weight").collect():
+            g[r.i, r.j] = r.value
+        assert np.allclose(g, (a * w[:, None]).T @ a)
+    t = transpose(matrix_cells(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "i int, row array<double>")))
+    assert sorted(map(tuple, t.collect())) == [(0, 0, 1.0), (0, 1, 3.0), (1, 0, 2.0), (1, 1, 4.0)]
+
+
+def test_sparse_kmeans_and_stream_step(spark):
+    p = _pts(spark, [[0.0, 1.0], [0.0, 2.0], [10.0, 0.0], [11.0, 0.0], [0.0, 1.5]])
+    c = sorted(models.bulk_kmeans(_sparse(p), 2, seed=1))
+    assert np.allclose(c, [[0.0, 1.5], [10.5, 0.0]])
+    dense, sparse = (streaming_kmeans_update(df, [[0.0, 0.0], [9.0, 0.0]], [1.0, 2.0], 0.5) for df in (p, _sparse(p)))
+    assert np.allclose(dense[0], sparse[0]) and dense[1] == sparse[1]

@@ -35,10 +35,6 @@ def uniform_sql(pid_expr: str, seed: int) -> str:
             f"::BIGINT AS DOUBLE) + CAST(1 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))")
 
 
-def md5_key_sql(pid_expr: str, seed: int) -> str:
-    return f"md5(CAST({pid_expr} AS VARCHAR) || ':{int(seed)}')"
-
-
 def bucket(pid: Column | str, n: int) -> Column:
     """Balanced bucket in [0, n) from a 64-bit hash of the id."""
     pid = F.col(pid) if isinstance(pid, str) else pid

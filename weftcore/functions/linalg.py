@@ -1,39 +1,26 @@
-"""Matrices as DataFrames of rows ``(i INT, row ARRAY<DOUBLE>)``.
+"""Matrices as DataFrames, by rows ``(i INT, row ARRAY<DOUBLE>)`` or by
+cells ``(i, j, value)``.
 
-Small local matrices (centres, axes; at most k x d) travel as one broadcast
-row; tall matrices (the points) stay distributed.
+Small local matrices (centres, axes; at most k x d) are broadcast; tall
+matrices (the points) stay distributed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftcore.functions.vectors import dot, sq_norm
+from weftcore.functions.vectors import dot
 
 
-def matrix_frame(spark: SparkSession, matrix: list[list[float]]) -> DataFrame:
-    """A local matrix as rows ``(i, row)``."""
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(matrix)]
-    return spark.createDataFrame(rows, "i int, row array<double>")
+def matrix_cells(mdf: DataFrame) -> DataFrame:
+    """Every row of a row matrix as cells."""
+    return mdf.select("i", F.posexplode("row").alias("j", "value"))
 
 
-def matrix_row(mdf: DataFrame, i: int) -> DataFrame:
-    """one row of a row-matrix frame."""
-    return mdf.where(F.col("i") == i)
-
-
-def transpose(mdf: DataFrame) -> DataFrame:
-    """``(i, row)`` -> rows of the transpose (posexplode, regroup by column)."""
-    cells = mdf.select("i", F.posexplode("row").alias("j", "x"))
-    return (cells.groupBy("j").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_c"))
-            .select(F.col("j").cast("int").alias("i"),
-                    F.transform("_c", lambda e: e["x"]).alias("row")))
-
-
-def local_matrix_column(matrix: list[list[float]]) -> F.Column:
-    """A small matrix as one literal column (k x d doubles)."""
-    return F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in matrix])
+def transpose(cells: DataFrame) -> DataFrame:
+    """swapped indices; no row of a tall matrix's transpose is gathered."""
+    return cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
 
 
 def multiply_rows(features: F.Column | str, right_t: F.Column | str) -> F.Column:
@@ -44,69 +31,65 @@ def multiply_rows(features: F.Column | str, right_t: F.Column | str) -> F.Column
     return F.transform(bt, lambda col: dot(f, col))
 
 
-def combine_rows(coeffs: F.Column | str, rows: F.Column | str, dim: int) -> F.Column:
-    """``sum_j coeffs[j] * rows[j]`` as a length-``dim`` array."""
-    p = F.col(coeffs) if isinstance(coeffs, str) else coeffs
-    r = F.col(rows) if isinstance(rows, str) else rows
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(
-        F.zip_with(p, r, lambda pj, a: pj * F.element_at(a, i + 1)), F.lit(0.0),
-        lambda acc, x: acc + x))
+def sum_partials(parts: DataFrame, most: int) -> DataFrame:
+    """Arrays of doubles as bytes (column ``m``), added up to at most ``most``
+    rows along a tree in which one task adds about 32 of them."""
+    import numpy as np
 
+    def add(pdf):
+        import pandas as pd
+        total = np.frombuffer(pdf["m"].iloc[0]).copy()
+        for m in pdf["m"].iloc[1:]:
+            total += np.frombuffer(m)
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "m": [total.tobytes()]})
 
-def frobenius_sq(df: DataFrame, features: str = "features") -> DataFrame:
-    """Sum of squares over all entries (take sqrt for the norm)."""
-    return df.agg(F.sum(sq_norm(features)).alias("sum_sq"))
+    n = parts.rdd.getNumPartitions()
+    out = parts.select(F.spark_partition_id().cast("long").alias("g"), "m")
+    while n > most:
+        n = max(most if n <= 32 * most else 1, -(-n // 32))
+        out = out.withColumn("g", F.pmod("g", F.lit(n))).groupBy("g").applyInPandas(add, "g long, m binary")
+    return out
 
 
 def gram_matrix(df: DataFrame, features: str = "features", weight: str | None = None) -> DataFrame:
     """``A^T A`` as ``(i, j, value)``; weighted rows count ``w x x^T``.
 
-    Each task folds its rows into one d x d partial Gram with NumPy (Arrow
-    batches; dense arrays or sparse structs), emits the upper triangle, and
-    Spark sums the partials per cell -- a map-side combine, so the shuffle
-    carries d(d+1)/2 cells per task whatever the row count.  Meant for
-    moderate d (the models switch to RowMatrix above ``MAX_GRAM_DIM``).
+    Each task folds its rows (dense arrays or sparse structs, as Arrow
+    batches) into one d x d partial with NumPy; the partials are added up
+    along a tree, so the shuffle carries d x d numbers per task once.  For
+    moderate d; the models never form this matrix.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     from weftcore.functions.vectors import is_sparse_type
+    from weftcore.operators.evaluate import _dense_rows
 
     sparse = is_sparse_type(df.schema[features].dataType)
+    f = F.col(features)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    if sparse:
-        src = df.select(F.col(f"{features}.size").alias("n"), F.col(f"{features}.indices").alias("ix"),
-                        F.col(f"{features}.values").alias("vx"), w.alias("w"))
-    else:
-        src = df.select(F.col(features).alias("vx"), w.alias("w"))
+    dim = df.agg(F.max(f["size"] if sparse else F.size(f))).first()[0] or 0
+    feats = [f["indices"].alias("_idx"), f["values"].alias("_val")] if sparse else [f.alias("features")]
 
     def partial(batches):
-        g = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if sparse:
-                d = int(pdf["n"].max())
-                x = np.zeros((len(pdf), d))
-                for r, (ix, vx) in enumerate(zip(pdf["ix"], pdf["vx"])):
-                    x[r, np.asarray(ix, dtype=int)] = vx
-            else:
-                x = np.vstack([np.asarray(v, dtype=float) for v in pdf["vx"]])
-            part = (x * pdf["w"].to_numpy()[:, None]).T @ x
-            if g is None:
-                g = part
-            else:
-                if part.shape[0] > g.shape[0]:
-                    part[:g.shape[0], :g.shape[0]] += g
-                    g = part
+        g = np.zeros((dim, dim))
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                x, used = _dense_rows(batch, sparse)
+                part = (x * batch.column("w").to_numpy()[:, None]).T @ x
+                if used is None:
+                    g += part
                 else:
-                    g[:part.shape[0], :part.shape[0]] += part
-        if g is not None:
-            i, j = np.triu_indices(g.shape[0])
-            yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "value": g[i, j]})
-
-    cells = src.mapInPandas(partial, "i int, j int, value double")
-    upper = cells.groupBy("i", "j").agg(F.sum("value").alias("value"))
-    lower = upper.where(F.col("i") != F.col("j")).select(
-        F.col("j").alias("i"), F.col("i").alias("j"), "value")
-    return upper.unionByName(lower)
+                    g[np.ix_(used, used)] += part
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()])], names=["m"])
+
+    def cells(batches):
+        for batch in batches:
+            for m in batch.column("m").to_pylist():
+                g = np.frombuffer(m)
+                i, j = np.divmod(np.arange(len(g)), dim)
+                yield pa.RecordBatch.from_arrays([pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(g)], names=["i", "j", "value"])
+
+    total = sum_partials(df.select(w.alias("w"), *feats).mapInArrow(partial, "m binary"), 1)
+    return total.mapInArrow(cells, "i int, j int, value double")

@@ -59,10 +59,11 @@ def nearest(features: Column | str, centres: Column | str) -> Column:
 
     ``centres`` is ``ARRAY<ARRAY<DOUBLE>>`` (a broadcast single-row column),
     so every point meets all k centres without emitting point x centre rows.
-    Ties go to the lowest index.
+    Ties go to the lowest index.  A centre of another length is an error.
     """
     f = _c(features)
-    dists = F.transform(_c(centres), lambda c: sq_dist(f, c))
+    bad = F.raise_error(F.lit("a centre and a point differ in dimension")).cast("double")
+    dists = F.transform(_c(centres), lambda c: F.when(F.size(c) == F.size(f), sq_dist(f, c)).otherwise(bad))
     best = F.array_min(dists)
     return F.struct((F.array_position(dists, best) - 1).cast("int").alias("idx"),
                     best.alias("d2"))
@@ -104,12 +105,6 @@ def sparse_dot_dense(sv: Column | str, c: Column | str) -> Column:
                            lambda i, v: v * F.element_at(c, i + 1)))
 
 
-def sparse_sq_dist_dense(sv: Column | str, c: Column | str) -> Column:
-    """Squared distance of a sparse point to a dense centre, O(nnz + d) once per centre."""
-    return F.greatest(sparse_sq_norm(sv) - 2.0 * sparse_dot_dense(sv, c) + sq_norm(c),
-                      F.lit(0.0))
-
-
 def sparse_text(sv: Column | str) -> Column:
     """Display form ``(size,[i,..],[v,..])`` of a sparse vector."""
     sv = _c(sv)

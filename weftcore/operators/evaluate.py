@@ -9,13 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftcore.functions.linalg import combine_rows
-from weftcore.functions.vectors import (coord_mean, dot, is_sparse_type, nearest, nearest_sparse,
-                                        sparse_dot_dense, sparse_sq_norm, sq_dist, sq_norm)
-
-# Results broadcast for the prefix join must stay below this many bytes;
-# above it the join runs without the hint.
-MAX_RESULTS_BROADCAST_BYTES = 256 * 1024 * 1024
+from weftcore.functions.vectors import (any_sq_norm, coord_mean, dot, is_sparse_type, nearest,
+                                        nearest_sparse, sparse_dot_dense, sparse_sq_norm, sq_norm)
 
 
 def centres_frame(spark: SparkSession, centres: list) -> DataFrame:
@@ -33,61 +28,75 @@ def _nearest_d2(points: DataFrame, centres: str = "c", norms: str | None = "cn")
     return nearest("features", centres)["d2"]
 
 
+def check_dims(points: DataFrame, dims: set[int]) -> int:
+    """One dimension everywhere: of the points (all of them) and of the model
+    vectors, which must exist; raises otherwise.  Returns it."""
+    if not dims:
+        raise ValueError("a cost needs at least one centre or axis")
+    if len(dims) > 1:
+        raise ValueError(f"model vectors of several dimensions: {sorted(dims)}")
+    size = F.col("features.size") if is_sparse_type(points.schema["features"].dataType) else F.size("features")
+    lo, hi = points.agg(F.min(size), F.max(size)).first()
+    if lo is None:
+        raise ValueError("a cost needs at least one point")
+    dim = dims.pop()
+    if (lo, hi) != (dim, dim):
+        raise ValueError(f"points of dimension {lo} to {hi} against a model of dimension {dim}")
+    return dim
+
+
 def kmeans_cost(points: DataFrame, centres: list | DataFrame, weighted: bool = False) -> DataFrame:
     """Sum over points of the squared distance to the nearest centre.
 
-    Requires at least one centre.  ``centres`` is a list or a one-row frame
-    with column ``c``.
+    ``centres`` is a list or a one-row frame with column ``c``.  Needs at
+    least one centre and one point, all of one dimension.
     """
     spark = points.sparkSession
-    cdf = centres_frame(spark, centres) if isinstance(centres, list) else centres
-    if isinstance(centres, list) and not centres:
-        raise ValueError("k-means cost needs at least one centre")
-    d2 = _nearest_d2(points, "c", "cn" if "cn" in cdf.columns else None)
+    if not isinstance(centres, list):
+        centres = [list(c) for c in centres.first()["c"]]
+    check_dims(points, {len(c) for c in centres})
+    d2 = _nearest_d2(points, "c", "cn")
     w = F.col("weight") if weighted else F.lit(1.0)
-    return points.crossJoin(F.broadcast(cdf)).agg(F.sum(w * d2).alias("cost"))
+    return points.crossJoin(F.broadcast(centres_frame(spark, centres))).agg(F.sum(w * d2).alias("cost"))
 
 
-def projection_terms(features: Column | str, axes: Column | str, dim: int) -> tuple[Column, Column]:
-    """Per row: ``|x V V^T|^2`` and ``|x - x V V^T|^2`` for axes given as rows of V^T."""
+def projection_terms(features: Column | str, axes: Column | str, gram: Column | str, sparse: bool = False) -> tuple[Column, Column]:
+    """Per row: ``|x V V^T|^2`` and ``|x - x V V^T|^2`` for axes given as rows
+    of V^T, from ``p = x V`` and ``G = V^T V`` (k x k): ``p^T G p`` and
+    ``|x|^2 - 2 p.p + p^T G p``.  The axes need not be orthonormal."""
     f = F.col(features) if isinstance(features, str) else features
     a = F.col(axes) if isinstance(axes, str) else axes
-    p = F.transform(a, lambda ax: dot(f, ax))
-    recon = combine_rows(p, a, dim)
-    return sq_norm(recon), sq_dist(f, recon)
+    g = F.col(gram) if isinstance(gram, str) else gram
+    p = F.transform(a, lambda ax: sparse_dot_dense(f, ax) if sparse else dot(f, ax))
+    proj = dot(p, F.transform(g, lambda row: dot(p, row)))
+    xx = sparse_sq_norm(f) if sparse else sq_norm(f)
+    return proj, F.greatest(xx - 2.0 * sq_norm(p) + proj, F.lit(0.0))
 
 
 def svd_cost(points: DataFrame, axes: list) -> DataFrame:
     """``|A V V^T|_F`` (the reference's projection norm) and the residual
     ``|A - A V V^T|_F``, plus ``|A|_F``; axes are k rows of length d."""
-    spark = points.sparkSession
-    if not axes:
-        raise ValueError("SVD cost needs at least one axis")
-    dim = len(axes[0])
-    adf = spark.createDataFrame([([[float(x) for x in r] for r in axes],)], "a array<array<double>>")
-    if is_sparse_type(points.schema["features"].dataType):
-        # sparse points, orthonormal axes (SVD output): |xVV^T|^2 = |xV|^2
-        p = F.transform("a", lambda ax: sparse_dot_dense("features", ax))
-        proj = sq_norm(p)
-        xn = sparse_sq_norm("features")
-        return points.crossJoin(F.broadcast(adf)).agg(
-            F.sqrt(F.sum(proj)).alias("projection_norm"),
-            F.sqrt(F.greatest(F.sum(xn) - F.sum(proj), F.lit(0.0))).alias("residual_norm"),
-            F.sqrt(F.sum(xn)).alias("frobenius_norm"))
-    proj, resid = projection_terms("features", "a", dim)
+    check_dims(points, {len(a) for a in axes})
+    rows = [[float(x) for x in r] for r in axes]
+    gram = [[sum(x * y for x, y in zip(a, b)) for b in rows] for a in rows]
+    adf = points.sparkSession.createDataFrame([(rows, gram)], "a array<array<double>>, g array<array<double>>")
+    sparse = is_sparse_type(points.schema["features"].dataType)
+    proj, resid = projection_terms("features", "a", "g", sparse)
     return points.crossJoin(F.broadcast(adf)).agg(
         F.sqrt(F.sum(proj)).alias("projection_norm"),
         F.sqrt(F.sum(resid)).alias("residual_norm"),
-        F.sqrt(F.sum(sq_norm("features"))).alias("frobenius_norm"))
+        F.sqrt(F.sum(any_sq_norm("features", sparse))).alias("frobenius_norm"))
 
 
 def centre_stats(results: DataFrame) -> DataFrame:
     """A7-A9 per result: count/mean/stddev_pop/max/min of the centres'
-    coordinate means, and the single common dimension (null if mixed)."""
+    coordinate means, and their common dimension (an error if they differ)."""
     c = results.select("batch_id", F.explode("points").alias("_p"))
+    one = F.min(F.size("_p")) == F.max(F.size("_p"))
+    dim = F.when(one, F.min(F.size("_p"))).otherwise(F.raise_error(F.lit("centres of several dimensions in one result")).cast("int"))
     return c.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("k"),
-        F.when(F.min(F.size("_p")) == F.max(F.size("_p")), F.min(F.size("_p"))).alias("dim"),
+        dim.alias("dim"),
         F.avg(coord_mean("_p")).alias("mean_of_means"),
         F.stddev_pop(coord_mean("_p")).alias("stddev_of_means"),
         F.max(coord_mean("_p")).alias("max_of_means"),
@@ -104,35 +113,106 @@ def running_points(results: DataFrame) -> DataFrame:
             .withColumn("batch_no", F.row_number().over(Window.orderBy("batch_id"))))
 
 
-def progressive_cost(points: DataFrame, results: DataFrame, cost: str = "kmeans",
+def kmeans_terms(x, xx, model):
+    """Squared distance of each row to its nearest centre."""
+    import numpy as np
+    return np.maximum(xx + ((model * model).sum(axis=1)[None, :] - 2 * x @ model.T).min(axis=1), 0)
+
+
+def svd_terms(x, xx, model):
+    """Squared norm of each row's projection, p^T G p."""
+    p = x @ model.T
+    return ((p @ (model @ model.T)) * p).sum(axis=1)
+
+
+#: Cost of a result: terms that are summed over the points, and what the sum becomes.
+COSTS = {"kmeans": (kmeans_terms, lambda c: c), "svd": (svd_terms, F.sqrt)}
+
+# Model cells (results x k x d doubles) that one pass over the points holds.
+BLOCK_CELLS = 4_000_000
+
+
+def _dense_rows(batch, sparse: bool):
+    """An Arrow batch's points as a matrix; sparse ones over the coordinates in use."""
+    import numpy as np
+    if not sparse:
+        col = batch.column("features")
+        return np.array(col.flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1), None
+    idx, val = batch.column("_idx"), batch.column("_val")
+    lens = np.diff(np.asarray(idx.offsets))
+    used, at = np.unique(np.asarray(idx.flatten()), return_inverse=True)
+    x = np.zeros((batch.num_rows, len(used)))
+    x[np.repeat(np.arange(batch.num_rows), lens), at] = np.asarray(val.flatten())
+    return x, used
+
+
+def _prefix_sums(shared, terms, idx_col: str, sparse: bool, rows: int = 1024):
+    """Per task: each result's sum of terms over the task's points in its prefix."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        models = [(b, cum, np.array(m, float)) for b, cum, m in shared.value]
+        sums = np.zeros(len(models))
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows):
+                batch = whole.slice(a, rows)
+                x, used = _dense_rows(batch, sparse)
+                xx, idx = (x * x).sum(axis=1), batch.column(idx_col).to_numpy()
+                for r, (_, cum, m) in enumerate(models):
+                    inside = idx < cum
+                    if not inside.any():
+                        continue
+                    if used is None:
+                        sums[r] += terms(x[inside], xx[inside], m).sum()
+                    else:  # coordinates that no point here uses: the rest of |c|^2, or of the axes' products
+                        sums[r] += _with_rest(terms, x[inside], xx[inside], m, used)
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in models], pa.int64()), pa.array(sums)], names=["batch_id", "part"])
+    return run
+
+
+def _with_rest(terms, x, xx, model, used):
+    """Terms of sparse rows laid out over ``used``: the model's other columns
+    meet zeros, so they are folded into columns that keep its inner products."""
+    import numpy as np
+    rest = np.delete(model, used, axis=1)
+    gram = rest @ rest.T
+    vals, vecs = np.linalg.eigh(gram)
+    fold = vecs * np.sqrt(np.maximum(vals, 0))
+    wide = np.hstack([model[:, used], fold])
+    return terms(np.hstack([x, np.zeros((len(x), fold.shape[1]))]), xx, wide).sum()
+
+
+def progressive_cost(points: DataFrame, results: DataFrame, cost="kmeans",
                      idx_col: str = "idx") -> DataFrame:
     """Result i is scored on the first ``sum_{j<=i} num_points`` points.
 
-    One scan for all results: a range join ``idx < cum_points`` against the
-    broadcast results table (J4) and one partial aggregate per result,
-    instead of one job per result.  ``points`` carries a 0-based ``idx``
-    (W1).
+    One scan scores many results: blocks of at most ``BLOCK_CELLS`` model
+    numbers are broadcast, each task computes distances as matrix products
+    and gives one partial sum per result; no point is paired with a result
+    as rows.  ``points`` carries a 0-based ``idx`` (W1); dense or sparse.
+    ``cost`` is a name in ``COSTS`` or a pair like its values.
     """
     spark = points.sparkSession
+    if isinstance(cost, str):
+        if cost not in COSTS:
+            raise ValueError(f"unknown cost {cost!r}")
+        cost = COSTS[cost]
+    terms, finish = cost
     res = running_points(results)
-    nres = res.count()
-    width = res.select(F.max(F.size("points")).alias("k"),
-                       F.max(F.size(F.col("points")[0])).alias("d")).first()
-    est = nres * max(1, width["k"] or 1) * max(1, width["d"] or 1) * 8
-    side = F.broadcast(res) if est <= MAX_RESULTS_BROADCAST_BYTES else res
-    pairs = points.select(idx_col, "features").join(side, F.col(idx_col) < F.col("cum_points"))
-    if cost == "svd" and is_sparse_type(points.schema["features"].dataType):
-        raise ValueError("progressive SVD cost is for dense points")
-    if cost == "kmeans":
-        term = _nearest_d2(pairs, "points", None)
-        agg = [F.sum(term).alias("cost")]
-    elif cost == "svd":
-        dim = width["d"] or 0
-        proj, _ = projection_terms("features", "points", dim)
-        agg = [F.sqrt(F.sum(proj)).alias("cost")]
-    else:
-        raise ValueError(f"unknown cost {cost!r}")
-    costs = pairs.groupBy("batch_id").agg(*agg)
+    models = [(int(r["batch_id"]), int(r["cum_points"]), r["points"]) for r in res.select("batch_id", "cum_points", "points").orderBy("batch_id").collect()]
+    sparse = is_sparse_type(points.schema["features"].dataType)
+    if models:
+        check_dims(points, {len(c) for _, _, m in models for c in m})
+    feats = [F.col("features.indices").alias("_idx"), F.col("features.values").alias("_val")] if sparse else [F.col("features")]
+    src, sums, block, cells = points.select(idx_col, *feats), None, [], 0
+    for k, model in enumerate(models):
+        block.append(model)
+        cells += sum(len(c) for c in model[2])
+        if cells >= BLOCK_CELLS or k == len(models) - 1:
+            part = src.mapInArrow(_prefix_sums(spark.sparkContext.broadcast(block), terms, idx_col, sparse), "batch_id long, part double")
+            sums, block, cells = part if sums is None else sums.union(part), [], 0
+    sums = sums if sums is not None else spark.createDataFrame([], "batch_id long, part double")
+    costs = sums.groupBy("batch_id").agg(finish(F.sum("part")).alias("cost"))
     total = points.agg(F.count(F.lit(1)).alias("total_points"))
     return (res.select("batch_id", "sample_size", "num_points", "cum_points", "batch_no", "alg_name")
             .join(costs, "batch_id", "left").crossJoin(F.broadcast(total))
@@ -153,6 +233,11 @@ def evaluate(points: DataFrame, results: DataFrame, alg_name: str) -> DataFrame:
     return progressive_cost(points, results, cost_kind(alg_name))
 
 
+def report(costs: DataFrame, path: str) -> DataFrame:
+    """K5: the cost table with the path of the results it scores."""
+    return costs.withColumn("result_path", F.lit(path))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """K5: the cost report as tab-separated text with a header."""
     flat = report.select(*[F.col(c).cast("string").alias(c) for c in report.columns])

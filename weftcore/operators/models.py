@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftcore.functions.hashing import uniform01
+from weftcore.functions.linalg import sum_partials
+from weftcore.functions.vectors import is_sparse_type, nearest_sparse
+
 RESULT_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
     T.StructField("points", T.ArrayType(T.ArrayType(T.DoubleType()))),
@@ -23,40 +27,56 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("time", T.TimestampType()),
 ])
 
-# Above this dimension the Gram matrix is not formed; RowMatrix (ARPACK,
-# distributed mat-vec products) computes the SVD instead.
-MAX_GRAM_DIM = 2048
-
-
-def _to_sparse_vector(size, indices, values):
-    from pyspark.ml.linalg import SparseVector
-    return SparseVector(size, indices, values)
-
-
-def _vectors(points: DataFrame) -> DataFrame:
-    """Points as ML vectors.  Dense arrays convert JVM-side; sparse structs
-    go through a per-row conversion, used on samples (bounded by s) and on
-    the bounded rough-centre sample only."""
-    from weftcore.functions.vectors import is_sparse_type
-    if is_sparse_type(points.schema["features"].dataType):
-        from pyspark.ml.linalg import VectorUDT
-        conv = F.udf(_to_sparse_vector, VectorUDT())
-        vec = conv(F.col("features.size"), F.col("features.indices"), F.col("features.values"))
-        return points.select(vec.alias("_vec"), "weight")
-    return points.select(array_to_vector(F.col("features")).alias("_vec"), "weight")
-
 
 def kmeans_centres(points: DataFrame, k: int, seed: int = 0, max_iter: int = 20,
                    init_steps: int = 2, tol: float = 1e-4, weighted: bool = True) -> list:
-    """Spark ML k-means (k-means|| init) on dense points; returns k centres."""
+    """k centres of dense points (Spark ML k-means, k-means|| init) or of
+    sparse ones (:func:`sparse_kmeans`); an empty input has none."""
     if points.isEmpty():
         return []
+    if is_sparse_type(points.schema["features"].dataType):
+        return sparse_kmeans(points, k, seed, max_iter, tol, weighted)
     km = KMeans(k=k, seed=seed, maxIter=max_iter, initSteps=init_steps, tol=tol,
                 featuresCol="_vec")
     if weighted:
         km = km.setWeightCol("weight")
-    model = km.fit(_vectors(points))
-    return [[float(x) for x in c] for c in model.clusterCenters()]
+    vec = points.select(array_to_vector(F.col("features")).alias("_vec"), "weight")
+    return [[float(x) for x in c] for c in km.fit(vec).clusterCenters()]
+
+
+def sparse_kmeans(points: DataFrame, k: int, seed: int = 0, max_iter: int = 20, tol: float = 1e-4,
+                  weighted: bool = True) -> list:
+    """Lloyd steps over the non-zeros of sparse points, as expressions and
+    aggregates per (centre, coordinate).  Starts from the k points of smallest
+    u(pid, seed); a centre without points stays.  Ends when no centre moves
+    by more than ``tol``.  Equal in every run and for every partitioning up
+    to the order of sums."""
+    spark = points.sparkSession
+    f = F.col("features")
+    w = F.col("weight") if weighted else F.lit(1.0)
+    first = points.orderBy(uniform01("pid", seed), "pid").limit(k).select("features").collect()
+    dim = points.agg(F.max(f["size"])).first()[0]
+    centres = np.zeros((len(first), dim))
+    for c, r in zip(centres, first):
+        c[r["features"]["indices"]] = r["features"]["values"]
+    for _ in range(max_iter):
+        cdf = spark.createDataFrame([(centres.tolist(), (centres * centres).sum(axis=1).tolist())], "c array<array<double>>, cn array<double>")
+        near = points.crossJoin(F.broadcast(cdf)).select(nearest_sparse("features", "c", "cn")["idx"].alias("b"), w.alias("w"), "features")
+        # one pass: every point also counts for coordinate -1, with value 1
+        cell = F.struct(F.lit(-1).alias("j"), F.lit(1.0).alias("v"))
+        entries = F.concat(F.array(cell), F.arrays_zip(F.col("features.indices").alias("j"), F.col("features.values").alias("v")))
+        sums = near.select("b", "w", F.explode(entries).alias("e")).groupBy("b", "e.j").agg(F.sum(F.col("w") * F.col("e.v")).alias("s"))
+        # the new model: k rows of their non-zero coordinates
+        after = centres.copy()
+        for r in sums.groupBy("b").agg(F.collect_list("j").alias("j"), F.collect_list("s").alias("s")).collect():
+            j, v = np.array(r["j"]), np.array(r["s"])
+            after[r["b"]] = 0
+            after[r["b"], j[j >= 0]] = v[j >= 0] / v[j < 0][0]
+        moved = ((after - centres) ** 2).sum(axis=1).max()
+        centres = after
+        if moved <= tol * tol:
+            break
+    return centres.tolist()
 
 
 def weighted_kmeans(sample: DataFrame, k: int, seed: int = 0, max_iter: int = 20) -> list:
@@ -71,58 +91,76 @@ def bulk_kmeans(points: DataFrame, k: int, seed: int = 0, max_iter: int = 1000,
     return kmeans_centres(points, k, seed=seed, max_iter=max_iter, tol=tol, weighted=False)
 
 
-def _gram_local(points: DataFrame, weighted: bool) -> np.ndarray:
-    from weftcore.functions.linalg import gram_matrix
-    g = gram_matrix(points, weight="weight" if weighted else None).collect()
-    d = 1 + max(max(r["i"], r["j"]) for r in g)
-    m = np.zeros((d, d))
-    for r in g:
-        m[r["i"], r["j"]] = r["value"]
-    return m
-
-
-def svd_axes(points: DataFrame, k: int, weighted: bool = False, dim: int | None = None) -> list:
+def _gram_times(q: np.ndarray, points: DataFrame, weighted: bool) -> np.ndarray:
+    """``A^T W A q`` in one pass: a d x m partial per task, added up along a tree."""
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast(q)
+    sparse = is_sparse_type(points.schema["features"].dataType)
+    w = F.col("weight") if weighted else F.lit(1.0)
+    feats = [F.col("features.indices").alias("_idx"), F.col("features.values").alias("_val")] if sparse else [F.col("features")]
+
+    def partial(batches):
+        import pyarrow as pa
+
+        from weftcore.operators.evaluate import _dense_rows
+        out = np.zeros_like(shared.value)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                x, used = _dense_rows(batch, sparse)
+                wx = x * batch.column("w").to_numpy()[:, None]
+                if used is None:
+                    out += wx.T @ (x @ shared.value)
+                else:
+                    out[used] += wx.T @ (x @ shared.value[used])
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["m"])
+
+    parts = sum_partials(points.select(w.alias("w"), *feats).mapInArrow(partial, "m binary"), 32)
+    got = [np.frombuffer(bytes(r["m"])) for r in parts.select("m").collect()]  # at most 32 rows
+    return np.sum(got, axis=0).reshape(q.shape) if got else np.zeros_like(q)
+
+
+def svd_axes(points: DataFrame, k: int, weighted: bool = False, dim: int | None = None,
+             tol: float = 1e-10, max_passes: int = 60) -> list:
     """M6 (``weighted=False``) and M3 (``weighted=True``): top-k right
     singular vectors, returned as k axes of length d (V transposed).
 
-    Weighted rows enter as ``sqrt(w) x``.  For d up to ``MAX_GRAM_DIM`` the
-    d x d Gram matrix is aggregated on Spark and decomposed on the driver
-    (d x d is small); above it ``RowMatrix.computeSVD`` does distributed
-    products.  Signs are normalised so the largest entry is positive.
-    """
+    Block Krylov: a block of k + 8 directions is multiplied by ``A^T A``, one
+    pass over the points each time, made orthogonal to the blocks before it,
+    and joined to them; the Gram matrix within this subspace gives the axes.
+    It ends when their residuals are below ``tol`` of the largest eigenvalue,
+    or when the subspace is the whole space.  One method for every d; the
+    driver holds d x (directions) numbers, the d x d matrix is never formed.
+    Weighted rows enter as ``sqrt(w) x``.  Signs are normalised so the
+    largest entry is positive."""
     if points.isEmpty():
         return []
-    from weftcore.functions.vectors import is_sparse_type, sparse_to_dense
-    sparse = is_sparse_type(points.schema["features"].dataType)
     if dim is None:
-        dcol = F.col("features.size") if sparse else F.size("features")
-        dim = points.select(dcol.alias("d")).first()["d"]
-    if sparse and dim <= MAX_GRAM_DIM:
-        points = points.withColumn("features", sparse_to_dense("features"))
-        sparse = False
-    if dim <= MAX_GRAM_DIM:
-        g = _gram_local(points, weighted)
-        vals, vecs = np.linalg.eigh(g)
-        order = np.argsort(vals)[::-1][:k]
-        axes = vecs[:, order].T
-    else:
-        from pyspark.mllib.linalg import Vectors as MLlibVectors
-        from pyspark.mllib.linalg.distributed import RowMatrix
-        w = F.sqrt("weight") if weighted else F.lit(1.0)
-        if sparse:
-            rows = points.select(F.col("features.size").alias("n"), F.col("features.indices").alias("i"),
-                                 F.transform("features.values", lambda x: x * w).alias("v")).rdd.map(
-                lambda r: MLlibVectors.sparse(r["n"], r["i"], r["v"]))
-        else:
-            rows = points.select(F.transform("features", lambda x: x * w).alias("f")).rdd.map(
-                lambda r: MLlibVectors.dense(r["f"]))
-        svd = RowMatrix(rows).computeSVD(k, computeU=False)
-        axes = svd.V.toArray().T
+        sparse = is_sparse_type(points.schema["features"].dataType)
+        dim = points.agg(F.max(F.col("features.size") if sparse else F.size("features"))).first()[0]
+    rng = np.random.default_rng(0)
+    block = np.linalg.qr(rng.standard_normal((dim, min(dim, k + 8))))[0]
+    basis, image = np.zeros((dim, 0)), np.zeros((dim, 0))
+    for _ in range(max_passes):
+        new = _gram_times(block, points, weighted)
+        basis, image = np.hstack([basis, block]), np.hstack([image, new])
+        small = basis.T @ image
+        vals, vecs = np.linalg.eigh((small + small.T) / 2)
+        top = np.argsort(vals)[::-1][:k]
+        axes, values = basis @ vecs[:, top], vals[top]
+        residual = np.linalg.norm(image @ vecs[:, top] - axes * values, axis=0)
+        if basis.shape[1] >= dim or residual.max(initial=0) <= tol * max(values.max(initial=0), 1e-300):
+            break
+        for _ in range(2):
+            new = new - basis @ (basis.T @ new)
+        q, r = np.linalg.qr(new)
+        keep = np.abs(np.diag(r)) > 1e-12 * max(np.abs(np.diag(r)).max(), 1e-300)
+        block = q[:, keep][:, :dim - basis.shape[1]]
+        if not block.shape[1]:
+            break
     out = []
-    for a in axes:
-        a = np.asarray(a, dtype=float)
-        if a[np.argmax(np.abs(a))] < 0:
-            a = -a
+    for a in axes.T:
+        a = -a if a[np.argmax(np.abs(a))] < 0 else a
         out.append([float(x) for x in a])
     return out
 
@@ -135,13 +173,6 @@ def result_frame(spark: SparkSession, batch_id: int, model: list, num_points: in
         [(int(batch_id), model, int(num_points), int(sample_size), alg_name, time)], RESULT_SCHEMA)
 
 
-def fit_result(spark: SparkSession, batch_id: int, num_points: int, sample: DataFrame,
-               model_fn, sample_size: int, alg_name: str) -> DataFrame:
-    """M9: sample -> model -> result row; an empty sample gives an empty model."""
-    model = model_fn(sample) if not sample.isEmpty() else []
-    return result_frame(spark, batch_id, model, num_points, sample_size, alg_name)
-
-
 def model_on_sample(alg: str, dense: bool, k: int, seed: int = 0):
     """M7: the model fitted on a coreset, by algorithm name and density."""
     if alg.endswith("kmeans"):
@@ -158,8 +189,7 @@ def spark_baseline(alg: str, dense: bool, streaming: bool, k: int, seed: int = 0
     """M8: the Spark baseline without a coreset."""
     if alg == "spark-kmeans":
         if streaming:
-            from weftcore.streaming.kmeans import streaming_kmeans_update
-            return streaming_kmeans_update
+            raise ValueError("streaming k-means keeps a state: use weftcore.streaming.kmeans")
         return lambda points: bulk_kmeans(points, k, seed)
     if alg == "spark-svd":
         if streaming or not dense:

@@ -1,4 +1,4 @@
-"""Relational helpers.
+"""Relational helpers.
 
 These are thin on purpose: Catalyst plans them.  They exist to fix the
 semantics the reference relies on (bag joins, order restoration, stable
@@ -10,10 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-# Small sides above this size are not broadcast; the join falls back to a
-# shuffle join instead.
-MAX_BROADCAST_ROWS = 1_000_000
-
 
 def inner_join(left: DataFrame, right: DataFrame, key: str | list[str],
                strategy: str | None = None) -> DataFrame:
@@ -24,13 +20,11 @@ def inner_join(left: DataFrame, right: DataFrame, key: str | list[str],
     return left.join(right, key, "inner")
 
 
-def broadcast_join(big: DataFrame, small: DataFrame, key: str | list[str],
-                   max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a small side to a distributed one, broadcasting the small side
-    only after checking its row count; beyond the bound it is a shuffle join."""
-    n = small.limit(max_rows + 1).count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, key, "inner")
+def broadcast_join(big: DataFrame, small: DataFrame, key: str | list[str]) -> DataFrame:
+    """Join a small side to a distributed one.  No hint: adaptive execution
+    measures the side's bytes and broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold``."""
+    return big.join(small, key, "inner")
 
 
 def join_back(points: DataFrame, sample_ids: DataFrame, pos_col: str | None = "pos") -> DataFrame:
@@ -46,11 +40,6 @@ def reduce_by_key(df: DataFrame, key: str | list[str], *aggs: Column) -> DataFra
     return df.groupBy(key).agg(*aggs)
 
 
-def count_rows(df: DataFrame) -> int:
-    """A4."""
-    return df.count()
-
-
 def distinct_rows(df: DataFrame) -> DataFrame:
     """A5."""
     return df.distinct()
@@ -86,11 +75,6 @@ def bag_union(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def repartition_nodes(tree: DataFrame, n: int | None = None) -> DataFrame:
-    """Co-locate tree containers."""
-    return tree.repartition(n, "level", "node") if n else tree.repartition("level", "node")
-
-
 def chunk_ids(df: DataFrame, key: str | list[str], order: str | list[str], size: int,
               out: str = "chunk", bounded: bool = False) -> DataFrame:
     """``grouped(n)`` -- consecutive chunks of at most ``size`` rows per key.
@@ -108,21 +92,6 @@ def chunk_ids(df: DataFrame, key: str | list[str], order: str | list[str], size:
     return r.withColumn(out, F.floor((F.col("_rk") - 1) / F.lit(size)).cast("int")).drop("_rk")
 
 
-def keys_of(df: DataFrame, key: str) -> DataFrame:
-    """P4."""
-    return df.select(key)
-
-
-def flatten_values(df: DataFrame, key: list[str], arr: str, out: str = "value") -> DataFrame:
-    """Values under their key; an empty list drops the row."""
-    return df.select(*key, F.explode(arr).alias(out))
-
-
-def is_empty(df: DataFrame) -> bool:
-    """P9."""
-    return df.isEmpty()
-
-
 def tap(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count rows as they pass, without a separate job."""
     obs = Observation(name)

@@ -17,9 +17,10 @@ plans as a partial window group limit *before* the shuffle, so only
 goes through hash buckets first so no task ever sees more than
 ``buckets * (s + 1)`` rows.
 
-Samplers not expressible as one priority (systematic, first-s, cluster
-means) use full-group windows or group aggregates; they are meant for the
-tree, whose groups are bounded by ``fan_in * threshold`` rows.
+The systematic sampler ranks unbounded groups with
+:func:`weftcore.sources.points.rank_within`; the cluster-mean sampler cuts
+them into pieces of bounded size.  Tree containers (``bounded=True``) hold at
+most ``fan_in * threshold`` rows and use plain windows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from weftcore.functions.hashing import bucket, uniform01
 from weftcore.functions.vectors import (any_sq_norm, is_sparse_type, nearest, nearest_sparse,
-                                        nonzero_cells, sparse_sq_norm, sq_dist, sq_norm)
+                                        nonzero_cells, sparse_dot_dense, sparse_sq_norm, sq_dist)
 
 POINT_COLS = ["pid", "features", "weight"]
 
@@ -121,6 +122,16 @@ def sparse_dist_to_group_mean(df: DataFrame, keys: list[str]) -> DataFrame:
     ``_W``, for sparse points: ``|x|^2 - 2 x.mu + |mu|^2`` with ``x.mu`` from a
     join on (group, coordinate) over the non-zeros."""
     mu, g = sparse_group_mean_cells(df, keys)
+    if not keys:
+        # one group: its mean is one row of at most d values, so every point
+        # meets it without a shuffle
+        row = mu.agg(F.map_from_entries(F.collect_list(F.struct("j", "_m"))).alias("_mu"))
+        dim = df.agg(F.max("features.size").alias("_d"))
+        row = row.crossJoin(dim).select(F.transform(F.sequence(F.lit(0), F.greatest("_d", F.lit(1)) - 1), lambda i: F.coalesce(
+            F.element_at("_mu", i), F.lit(0.0))).alias("_mu"))
+        x = _join_stats(df.crossJoin(F.broadcast(row)), g, keys)
+        d2 = F.greatest(sparse_sq_norm("features") - 2.0 * sparse_dot_dense("features", "_mu") + F.col("_mn"), F.lit(0.0))
+        return x.withColumn("_d2", d2).drop("_mu")
     cells = nonzero_cells(df, keys)
     dots = cells.join(mu, [*keys, "j"]).groupBy(*keys, "pid").agg(
         F.sum(F.col("v") * F.col("_m")).alias("_xm"))
@@ -141,13 +152,29 @@ class Sampler:
     name: str = "base"
     subset: bool = True
     consistent: bool = False
-    # True when ``bounded=True`` selects a cheaper plan (worth a size check)
-    bounded_path: bool = False
 
     def prepare(self, points: DataFrame) -> "Sampler":
         """Global state computed once before a tree (e.g. rough centres)."""
         return self
 
+    def state(self) -> list | None:
+        """What ``prepare`` found, to be kept with a stream's commits."""
+        return None
+
+    def restore(self, state: list | None) -> None:
+        """Continue from a kept state (None: forget what was prepared)."""
+
+    def row_importance(self, df: DataFrame) -> Column | None:
+        """The priority sampler's importance of a row where it needs nothing
+        but the row; None for all other samplers."""
+        return None
+
+    def kept_weight(self, s: int) -> Column:
+        """Weight of a kept row of a group above s, from ``_v``, ``_tau``,
+        ``_W`` and its own weight (samplers with a ``row_importance``)."""
+        return F.when(F.col("_tau").isNull() | (F.col("_v") >= F.col("_tau")), F.col("weight")).otherwise(
+            F.col("weight") * F.col("_tau") / F.col("_v"))
+
     def sample(self, df: DataFrame, keys: list[str], s: int, seed: int,
                salt: int = 0, bounded: bool = False) -> DataFrame:
         """``bounded=True`` promises every group fits in one task (tree
@@ -162,27 +189,50 @@ class Sampler:
 class UniformSampler(Sampler):
     """C4: bottom-s by the repeatable number u(pid, seed), ties by pid.
 
-    Kept rows share the group's total weight equally, so total weight is
-    preserved exactly.  Bottom-k of a union equals bottom-k of the parts'
-    bottom-k, so any tree of this sampler returns the global bottom-s.
+    On points of unit weight (``weighted=False``) kept rows share the group's
+    total weight equally, so total weight is preserved exactly.  Bottom-k of
+    a union equals bottom-k of the parts' bottom-k, so any tree of this
+    sampler returns the global bottom-s.
+
+    With ``weighted=True`` a row's priority is ``weight / u`` and a kept row
+    weighs ``max(weight, tau)``: total weight is preserved in the mean, and a
+    heavy point keeps its own weight.  ``prepare`` looks whether any weight
+    differs from 1 unless ``weighted`` is given.
     """
 
     name: str = "uniform"
     consistent: bool = True
+    weighted: bool | None = None
+
+    def prepare(self, points):
+        if self.look:
+            self.weighted = not points.where(F.col("weight") != 1.0).limit(1).isEmpty()
+            self.consistent = not self.weighted
+        return self
+
+    def __post_init__(self):
+        self.look = self.weighted is None
+        if self.weighted:
+            self.consistent = False
+
+    def row_importance(self, df):
+        return F.col("weight") if self.weighted else F.lit(1.0)
+
+    def kept_weight(self, s):
+        if self.weighted:
+            return super().kept_weight(s)
+        return F.col("_W") / F.lit(float(s))
 
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
         seed = self._seed(seed, salt)
-        if "_n" in df.columns and "_W" in df.columns:
-            # group size and weight already attached by the tree (C13 counts)
-            x = df.select(*keys, *POINT_COLS, "_n", "_W")
-        else:
-            x = _strip(df, keys)
-            totals = _group_agg(x, keys, F.sum("weight").alias("_W"), F.count(F.lit(1)).alias("_n"))
-            x = _join_stats(x, totals, keys)
+        if self.weighted:
+            return priority_select(_strip(df, keys), keys, s, seed, F.col("weight")).select(*keys, *POINT_COLS)
+        x = _strip(df, keys)
+        totals = _group_agg(x, keys, F.sum("weight").alias("_W"), F.count(F.lit(1)).alias("_n"))
         # importance 1 => priority 1/u => order by u ascending.  A group above
         # s keeps exactly s rows, which share its total weight.
-        top = priority_select(x, keys, s, seed, F.lit(1.0))
-        w = F.when(F.col("_n") <= s, F.col("weight")).otherwise(F.col("_W") / F.lit(float(s)))
+        top = _join_stats(priority_select(x.withColumn("_w0", F.col("weight")), keys, s, seed, F.lit(1.0)), totals, keys)
+        w = F.when(F.col("_n") <= s, F.col("_w0")).otherwise(self.kept_weight(s))
         return top.withColumn("weight", w).select(*keys, *POINT_COLS)
 
 
@@ -230,22 +280,21 @@ class SensitivitySampler(Sampler):
     max_iter: int = 5
     centres: list | None = None
 
-    rough_sample: int = 20_000
-
     def prepare(self, points):
-        """Rough centres: k-means|| on the points (dense, JVM-side), or on a
-        uniform sample of ``rough_sample`` points for sparse input (the
-        sparse struct needs a per-row conversion to an ML vector)."""
+        """Rough centres from all points: k-means|| on dense ones, Lloyd steps
+        over the non-zeros of sparse ones."""
         if self.centres is None:
             from weftcore.operators.models import kmeans_centres
-            pts = points
-            if is_sparse(points):
-                pts = UniformSampler().sample(points.select(*POINT_COLS), [], self.rough_sample,
-                                              self.seed).withColumn("weight", F.lit(1.0))
-            self.centres = kmeans_centres(pts, self.k, seed=self.seed, max_iter=self.max_iter,
+            self.centres = kmeans_centres(points, self.k, seed=self.seed, max_iter=self.max_iter,
                                           init_steps=2)
         return self
 
+    def state(self):
+        return self.centres
+
+    def restore(self, state):
+        self.centres = state
+
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
         if self.centres is None:
             self.prepare(df)
@@ -264,7 +313,8 @@ class SensitivitySampler(Sampler):
                        F.sum(F.col("weight") * F.col("_d2")).alias("_S"))
         gb = x.groupBy(*keys, "_b").agg(F.sum("weight").alias("_Wb"),
                                         F.sum(F.col("weight") * F.col("_d2")).alias("_Cb"))
-        x = _join_stats(x, g, keys).join(gb, [*keys, "_b"])
+        # the whole input's centre sums are k rows
+        x = _join_stats(x, g, keys).join(gb if keys else F.broadcast(gb), [*keys, "_b"])
         c = F.col("_S") / F.col("_W")
         sigma = (F.lit(alpha) * F.col("_d2") / c + F.lit(2 * alpha) * F.col("_Cb") / (F.col("_Wb") * c)
                  + F.lit(4.0) * F.col("_W") / F.col("_Wb"))
@@ -282,10 +332,12 @@ class NormSampler(Sampler):
 
     name: str = "norm"
 
+    def row_importance(self, df):
+        return F.col("weight") * any_sq_norm("features", is_sparse(df))
+
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
         df = _strip(df, keys)
-        v = F.col("weight") * any_sq_norm("features", is_sparse(df))
-        out = priority_select(df, keys, s, self._seed(seed, salt), v)
+        out = priority_select(df, keys, s, self._seed(seed, salt), self.row_importance(df))
         return out.select(*keys, *POINT_COLS)
 
 
@@ -298,7 +350,6 @@ class SystematicSampler(Sampler):
 
     name: str = "systematic"
     order_col: str = "pid"
-    bounded_path: bool = True
 
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
         from weftcore.sources.points import number_rows, rank_within
@@ -340,106 +391,49 @@ class ClusterMeanSampler(Sampler):
     more than s rows: s seeds by light-priority sampling, every row assigned
     to its nearest seed, each cluster replaced by (weighted mean, sum of
     weights).  Total weight and the weighted mean are preserved exactly.
-    The output pid is the smallest pid of the cluster."""
+    The output pid is the smallest pid of the cluster.
+
+    One NumPy step reduces a piece of at most about ``piece`` rows (or 4 s);
+    larger groups are cut into such pieces by a hash of the pid, reduced,
+    and cut again until a group is one piece, so no task holds a whole
+    unbounded group."""
 
     name: str = "cluster_mean"
     subset: bool = False
-    bounded_path: bool = True
+    piece: int = 4096
 
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
-        df = _strip(df, keys)
+        from weftcore.sources.points import materialize
+        df, seed = _strip(df, keys), self._seed(seed, salt)
         if bounded:
-            return self._sample_bounded(df, keys, s, self._seed(seed, salt))
-        if is_sparse(df):
-            return self._sample_sparse(df, keys, s, seed, salt)
-        seeds = LightSampler().sample(df, keys, s, seed, salt)
-        cent = _group_agg(seeds, keys, F.array_sort(F.collect_list(
-            F.struct("pid", "features"))).alias("_seeds"))
-        cent = cent.withColumn("_c", F.transform("_seeds", lambda e: e["features"])).drop("_seeds")
-        n = _group_agg(df, keys, F.count(F.lit(1)).alias("_n"))
-        x = _join_stats(_join_stats(df, n, keys), cent, keys)
-        small = x.where(F.col("_n") <= s).select(*keys, *POINT_COLS)
-        big = x.where(F.col("_n") > s).withColumn("_k", nearest("features", "_c")["idx"])
-        mean = Summarizer.mean(array_to_vector(F.col("features")), F.col("weight"))
-        red = big.groupBy(*keys, "_k").agg(
-            F.min("pid").alias("pid"), vector_to_array(mean).alias("features"),
-            F.sum("weight").alias("weight"))
-        return small.unionByName(red.select(*keys, *POINT_COLS))
-
-    def _sample_bounded(self, df, keys, s, seed):
-        """Bounded groups (tree containers): one ``applyInPandas`` stage per
-        call, NumPy per group.  Same rule as the DataFrame form: light
-        priority seeds from the same u(pid, seed), nearest seed (lowest pid
-        on ties), weighted means and weight sums per cluster."""
+            return self._reduce(df, keys, s, seed)
+        piece = max(self.piece, 4 * s)
+        for step in range(64):
+            counts = _group_agg(df, keys, F.count(F.lit(1)).alias("_n"))
+            most = counts.agg(F.max("_n")).first()[0] or 0
+            if most <= piece:
+                return self._reduce(df, keys, s, seed)
+            pieces = F.ceil(F.col("_n") / F.lit(piece))
+            cut = _join_stats(df, counts, keys).withColumn("_piece", F.pmod(F.xxhash64("pid", F.lit(step)), pieces))
+            part = self._reduce(cut.select(*keys, "_piece", *POINT_COLS), [*keys, "_piece"], s, seed + 7919 * (step + 1))
+            df = materialize(_strip(part, keys), "cluster-means")
+        raise RuntimeError("cluster means do not settle")
+
+    def _reduce(self, df, keys, s, seed):
+        """Groups of bounded size: one ``applyInPandas`` stage."""
         sparse = is_sparse(df)
-        key_fields = [df.schema[k] for k in keys]
-        key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
-        if sparse:
-            flat = df.select(*keys, "pid", "weight", F.col("features.size").alias("_size"),
-                             F.col("features.indices").alias("_idx"), F.col("features.values").alias("_val"))
-            out_ddl = "pid bigint, weight double, _size int, _idx array<int>, _val array<double>"
-        else:
-            flat = df.select(*keys, "pid", "weight", F.col("features").alias("_val"))
-            out_ddl = "pid bigint, weight double, _val array<double>"
-        schema = f"{key_ddl}, {out_ddl}" if key_ddl else out_ddl
-        fn = _cluster_means_numpy(keys, s, seed, sparse)
-        grouped = flat.groupBy(*keys) if keys else flat.groupBy(F.lit(0).alias("_g"))
-        if not keys:
-            flat = flat.withColumn("_g", F.lit(0))
-            grouped = flat.groupBy("_g")
-            fn = _cluster_means_numpy(["_g"], s, seed, sparse, drop_keys=True)
-        out = grouped.applyInPandas(fn, schema)
+        names = keys or ["_g"]
+        flat = df if keys else df.withColumn("_g", F.lit(0))
+        ddl = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in names)
+        f = F.col("features")
         if sparse:
-            feats = F.struct(F.col("_size").alias("size"), F.col("_idx").alias("indices"),
-                             F.col("_val").alias("values"))
+            cols, out = [f["size"].alias("_size"), f["indices"].alias("_idx"), f["values"].alias("_val")], "_size int, _idx array<int>, _val array<double>"
         else:
-            feats = F.col("_val")
-        return out.select(*keys, "pid", feats.alias("features"), "weight")
-
-    def _sample_sparse(self, df, keys, s, seed, salt):
-        """Sparse form: distances to the seeds from a join on (group,
-        coordinate) over non-zeros; a seed sharing no coordinate with a row
-        is at ``|x|^2 + |seed|^2``, found in the group's norm-sorted seed
-        list.  Cluster means are built as sparse cells."""
-        seeds = LightSampler().sample(df, keys, s, seed, salt)
-        snorm = seeds.select(*keys, F.col("pid").alias("_sid"), sparse_sq_norm("features").alias("_sn"))
-        by_norm = _group_agg(snorm, keys, F.array_sort(F.collect_list(
-            F.struct("_sn", "_sid"))).alias("_byn"))
-        sc = nonzero_cells(seeds, keys).select(*keys, F.col("pid").alias("_sid"), "j",
-                                               F.col("v").alias("_vs"))
-        n = _group_agg(df, keys, F.count(F.lit(1)).alias("_n"))
-        x = _join_stats(df, n, keys)
-        small = x.where(F.col("_n") <= s).select(*keys, *POINT_COLS)
-        big = x.where(F.col("_n") > s).drop("_n")
-        ov = (nonzero_cells(big, keys).join(sc, [*keys, "j"])
-              .groupBy(*keys, "pid", "_sid").agg(F.sum(F.col("v") * F.col("_vs")).alias("_dot"))
-              .join(snorm, [*keys, "_sid"])
-              .withColumn("_val", F.col("_sn") - 2.0 * F.col("_dot")))
-        best = ov.groupBy(*keys, "pid").agg(F.min(F.struct("_val", "_sid")).alias("_b"),
-                                            F.collect_list("_sid").alias("_ovs"))
-        y = _join_stats(big.join(best, [*keys, "pid"], "left"), by_norm, keys)
-        ovs = F.coalesce(F.col("_ovs"), F.array().cast("array<bigint>"))
-        other = F.get(F.filter("_byn", lambda e: ~F.array_contains(ovs, e["_sid"])), 0)
-        y = y.withColumn("_o", other)
-        k = (F.when(F.col("_b").isNull(), F.col("_o._sid"))
-             .when(F.col("_o").isNull(), F.col("_b._sid"))
-             .when(F.col("_b._val") <= F.col("_o._sn"), F.col("_b._sid"))
-             .otherwise(F.col("_o._sid")))
-        y = y.select(*keys, *POINT_COLS, k.alias("_k"))
-        tot = y.groupBy(*keys, "_k").agg(F.min("pid").alias("pid"), F.sum("weight").alias("weight"),
-                                        F.max("features.size").alias("_size"))
-        cells = nonzero_cells(y.withColumnRenamed("_k", "_kk"), [*keys, "_kk"]).groupBy(
-            *keys, F.col("_kk").alias("_k"), "j").agg(F.sum(F.col("weight") * F.col("v")).alias("_sv"))
-        vec = cells.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(F.struct("j", "_sv"))).alias("_c"))
-        red = tot.join(vec, [*keys, "_k"], "left").select(
-            *keys, "pid",
-            F.struct(F.col("_size").cast("int").alias("size"),
-                     F.coalesce(F.transform("_c", lambda e: e["j"]), F.array().cast("array<int>"))
-                     .cast("array<int>").alias("indices"),
-                     F.coalesce(F.transform("_c", lambda e: e["_sv"] / F.col("weight")),
-                                F.array().cast("array<double>")).alias("values")).alias("features"),
-            "weight")
-        return small.unionByName(red)
+            cols, out = [f.alias("_val")], "_val array<double>"
+        flat = flat.select(*names, "pid", "weight", uniform01("pid", seed).alias("_u"), *cols)
+        done = flat.groupBy(*names).applyInPandas(_cluster_means(names, s, sparse), f"{ddl}, pid bigint, weight double, {out}")
+        feats = F.struct(F.col("_size").alias("size"), F.col("_idx").alias("indices"), F.col("_val").alias("values")) if sparse else F.col("_val")
+        return done.select(*keys, "pid", feats.alias("features"), "weight")
 
 
 @dataclass
@@ -461,58 +455,46 @@ class FixedCentreReducer:
             F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-def _uniform_py(pid: int, seed: int) -> float:
-    """Python twin of :func:`weftcore.functions.hashing.uniform01`."""
-    import hashlib
-    h = hashlib.md5(f"{int(pid)}:{int(seed)}".encode()).hexdigest()[:13]
-    return (int(h, 16) + 1.0) / float(2 ** 52)
-
-
-def _cluster_means_numpy(keys, s, seed, sparse, drop_keys=False):
-    """Per-group body of the bounded cluster-mean sampler."""
+def _cluster_means(keys, s, sparse):
+    """Body of the cluster-mean sampler (C7) on one group of bounded size.
+    Sparse rows are laid out over the coordinates that the group uses, and
+    distances come from products, so memory is rows x (coordinates + s)."""
 
     def run(pdf):
         import numpy as np
         import pandas as pd
+        if len(pdf) <= s:
+            return pdf.drop(columns="_u")
         n = len(pdf)
-        out_keys = {} if drop_keys else {k: pdf[k].iloc[0] for k in keys}
-        if n <= s:
-            res = pdf.drop(columns=keys) if drop_keys else pdf
-            return res
-        w = pdf["weight"].to_numpy(dtype=float)
-        pids = pdf["pid"].to_numpy(dtype=np.int64)
+        w, pids = pdf["weight"].to_numpy(dtype=float), pdf["pid"].to_numpy(dtype=np.int64)
         if sparse:
-            d = int(pdf["_size"].max())
-            x = np.zeros((n, d))
-            for r, (ix, vx) in enumerate(zip(pdf["_idx"], pdf["_val"])):
-                x[r, np.asarray(ix, dtype=int)] = vx
+            lens = pdf["_idx"].map(len).to_numpy()
+            used, col = np.unique(np.concatenate(pdf["_idx"].to_list()).astype(np.int64), return_inverse=True)
+            x = np.zeros((n, len(used)))
+            x[np.repeat(np.arange(n), lens), col] = np.concatenate(pdf["_val"].to_list())
         else:
-            x = np.vstack([np.asarray(v, dtype=float) for v in pdf["_val"]])
+            x = np.vstack(pdf["_val"].to_list()).astype(float)
         W = w.sum()
-        mu = (w[:, None] * x).sum(axis=0) / W
-        d2 = ((x - mu) ** 2).sum(axis=1)
-        C = float((w * d2).sum())
+        mu = w @ x / W
+        d2 = np.maximum((x * x).sum(axis=1) - 2 * x @ mu + mu @ mu, 0)
+        C = float(w @ d2)
         v = w * (0.5 / W + 0.5 * d2 / C) if C > 0 else w / W
-        u = np.array([_uniform_py(p, seed) for p in pids])
-        order = np.lexsort((pids, -(v / u)))
-        seeds = np.sort(pids[order[:s]])
-        pos = {p: i for i, p in enumerate(pids)}
-        cx = x[[pos[p] for p in seeds]]
-        dist = ((x[:, None, :] - cx[None, :, :]) ** 2).sum(axis=2)
-        k = dist.argmin(axis=1)
-        rows = []
-        for c in np.unique(k):
-            m = k == c
-            wc = w[m].sum()
-            mean = (w[m, None] * x[m]).sum(axis=0) / wc
-            row = dict(out_keys, pid=int(pids[m].min()), weight=float(wc))
-            if sparse:
-                nz = np.nonzero(mean)[0]
-                row.update(_size=d, _idx=nz.astype(int).tolist(), _val=mean[nz].tolist())
-            else:
-                row.update(_val=mean.tolist())
-            rows.append(row)
-        return pd.DataFrame(rows)
+        seeds = np.lexsort((pids, -(v / pdf["_u"].to_numpy())))[:s]
+        seeds = seeds[np.argsort(pids[seeds])]  # ties go to the smallest pid
+        cx = x[seeds]
+        k = ((cx * cx).sum(axis=1)[None, :] - 2 * x @ cx.T).argmin(axis=1)
+        member = np.zeros((len(seeds), n))
+        member[k, np.arange(n)] = w
+        weight = member.sum(axis=1)
+        some = np.flatnonzero(weight > 0)
+        mean = (member[some] @ x) / weight[some, None]
+        out = {c: pdf[c].iloc[0] for c in keys} | {"pid": [int(pids[k == c].min()) for c in some], "weight": weight[some]}
+        if sparse:
+            at = [np.flatnonzero(m) for m in mean]
+            out |= {"_size": int(pdf["_size"].max()), "_idx": [used[a].astype(int).tolist() for a in at], "_val": [m[a].tolist() for m, a in zip(mean, at)]}
+        else:
+            out["_val"] = mean.tolist()
+        return pd.DataFrame(out)
 
     return run
 
@@ -520,11 +502,11 @@ def _cluster_means_numpy(keys, s, seed, sparse, drop_keys=False):
 # ------------------------------------------------------------ take wrappers ---
 
 def take(df: DataFrame, s: int, sampler: Sampler, seed: int, keys: list[str] | None = None,
-         check: bool = False) -> DataFrame:
-    """Groups above ``s`` rows are sampled, others pass.  With ``check``
-    the result size is verified (one small action), as the reference requires."""
+         check: bool = True) -> DataFrame:
+    """Groups above ``s`` rows are sampled, others pass.  The result size
+    is verified (one small action) unless ``check`` is off."""
     keys = keys or []
-    out = sampler.sample(df, keys, s, seed)
+    out = sampler.prepare(df).sample(df, keys, s, seed)
     if check:
         sizes = _group_agg(out, keys, F.count(F.lit(1)).alias("n")).where(F.col("n") > s)
         if not sizes.isEmpty():
@@ -542,14 +524,9 @@ def take_ids(df: DataFrame, s: int, sampler: Sampler, seed: int) -> DataFrame:
     return sample.join(last, "features").select(F.col("_last").alias("pid"))
 
 
-def reservoir_sample(dfs: list[DataFrame], s: int, seed: int) -> DataFrame:
-    """One uniform sample of size s over several collections (mergeable
-    bottom-k: same distribution as a reservoir, parallel and repeatable)."""
-    return take_multi_sample(dfs, s, UniformSampler(), seed)
-
-
 def take_multi_sample(dfs: list[DataFrame], s: int, sampler: Sampler, seed: int) -> DataFrame:
-    """C11: several containers sampled together; a single one is taken alone."""
+    """Several containers sampled together (the uniform sampler gives
+    one mergeable reservoir); a single one is taken alone."""
     if len(dfs) == 1:
         return take(dfs[0], s, sampler, seed)
     u = dfs[0]
@@ -557,13 +534,3 @@ def take_multi_sample(dfs: list[DataFrame], s: int, sampler: Sampler, seed: int)
         u = u.unionByName(d)
     return take(u, s, sampler, seed)
 
-
-SAMPLERS = {
-    "uniform": UniformSampler,
-    "light": LightSampler,
-    "sensitivity": SensitivitySampler,
-    "norm": NormSampler,
-    "systematic": SystematicSampler,
-    "first": FirstSampler,
-    "cluster_mean": ClusterMeanSampler,
-}

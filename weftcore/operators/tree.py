@@ -9,8 +9,10 @@ sampled to at most s rows when ``n >= T`` and otherwise left whole.
 
 Round (C16): containers with ``n >= T`` are sampled and climb to
 ``(level + 1, node div fan_in)`` (C17); the others stay.  Rounds repeat
-until nothing climbs.  Every few rounds the tree is written to the shared
-checkpoint folder, which cuts the plan and survives executor loss.
+until nothing climbs.  ``tree_reduce`` writes every round to the shared
+checkpoint folder, which cuts the plan and survives executor loss;
+``tree_reduce_planned`` plans all rounds as one query for samplers whose
+importance needs only the row.
 
 Leaves (C15) replace the reference's physical partition number with an
 explicit ``leaf`` column, so AQE or a retry cannot change the tree.
@@ -20,19 +22,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftcore.functions.hashing import bucket
+from weftcore.functions.hashing import bucket, uniform01
 from weftcore.operators.samplers import POINT_COLS, Sampler
-from weftcore.sources.points import materialize
+from weftcore.sources.points import materialize, rank_within
 
 TREE_COLS = ["level", "node", *POINT_COLS]
 
-# A leaf may go to a one-task-per-group sampler path only when the largest
-# leaf holds at most this many rows (checked on the leaf counts).
-MAX_BOUNDED_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class TreeConfig:
@@ -84,7 +82,7 @@ def assign_leaves(points: DataFrame, cfg: TreeConfig, leaves: int | None = None,
         bounds = points.agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).first()
         lo, hi = (bounds["lo"] or 0), (bounds["hi"] or 0)
         span = max(1, -(-(hi - lo + 1) // L))
-        leaf = F.floor((F.col("pid") - F.lit(lo)) / F.lit(span))
+        leaf = F.expr(f"(pid - {lo}) div {span}")
     else:
         raise ValueError(f"unknown leaf_mode {cfg.leaf_mode!r}")
     return points.withColumn("leaf", leaf.cast("long"))
@@ -95,28 +93,46 @@ def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("weight").alias("_W"))
 
 
+def ranked_chunk_sample(df: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampler,
+                        seed: int) -> DataFrame:
+    """C13 for samplers with a ``row_importance``, on unbounded containers.
+
+    The rows of largest priority are cut per container straight on the input
+    (a partial limit before the shuffle, at most ``max(T, s + 1)`` rows per
+    container and task); the container sizes come from their own partial
+    aggregate and are joined to these survivors.  A container below the
+    threshold has all its rows among them."""
+    s, T = cfg.sample_size, cfg.threshold
+    rows = df.select(*keys, *POINT_COLS).withColumn("_v", sampler.row_importance(df))
+    rows = rows.withColumn("_r", F.col("_v") / uniform01("pid", sampler._seed(seed, 0)))
+    w = Window.partitionBy(*keys).orderBy(F.col("_r").desc(), F.col("pid").asc())
+    top = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(T, s + 1))
+    return _keep(top.join(group_counts(df, keys), keys), keys, cfg, sampler)
+
+
+def _keep(ranked: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampler) -> DataFrame:
+    """The rule on rows with ``_v, _r, _rn`` and their container's ``_n, _W``;
+    ``_moved`` tells the containers at the threshold."""
+    s = cfg.sample_size
+    tau = F.max(F.when(F.col("_rn") == s + 1, F.col("_r"))).over(Window.partitionBy(*keys))
+    big = F.col("_n") >= cfg.threshold
+    out = ranked.withColumn("_tau", tau).where(~big | (F.col("_rn") <= s))
+    return out.withColumn("weight", F.when(big, sampler.kept_weight(s)).otherwise(F.col("weight"))).withColumn("_moved", big)
+
+
 def chunk_sample(df: DataFrame, keys: list[str], cfg: TreeConfig, sampler: Sampler,
                  seed: int, salt: int = 0, counts: DataFrame | None = None,
-                 bounded: bool | None = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 bounded: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C13 on keyed containers: returns (sampled rows, untouched rows, counts).
 
-    Only the groups at or above the threshold reach the sampler; they carry
-    their ``_n`` / ``_W`` so samplers need not aggregate again.
+    Only the groups at or above the threshold reach the sampler.
     """
     T = cfg.threshold
     counts = counts if counts is not None else group_counts(df, keys)
-    if bounded is None and not sampler.bounded_path:
-        bounded = False
-    if bounded is None:
-        # decide from the measured group sizes (one small job), only for
-        # samplers with a cheaper bounded plan
-        biggest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0
-        bounded = biggest <= MAX_BOUNDED_ROWS
     marked = df.join(counts, keys)
-    big = marked.where(F.col("_n") >= T)
+    big = marked.where(F.col("_n") >= T).drop("_n", "_W")
     small = marked.where(F.col("_n") < T).drop("_n", "_W")
-    sampled = sampler.sample(big, keys, cfg.sample_size, seed, salt, bounded=bounded)
-    return sampled, small, counts
+    return sampler.sample(big, keys, cfg.sample_size, seed, salt, bounded=bounded), small, counts
 
 
 def leaf_sample(points: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
@@ -125,17 +141,50 @@ def leaf_sample(points: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
     if "leaf" not in points.columns:
         points = assign_leaves(points, cfg, leaves)
     pts = points.select("leaf", *POINT_COLS)
-    sampled, small, _ = chunk_sample(pts, ["leaf"], cfg, sampler, seed, salt=0, bounded=None)
-    both = sampled.select("leaf", *POINT_COLS).unionByName(small.select("leaf", *POINT_COLS))
-    node = F.floor(F.col("leaf") / F.lit(cfg.fan_in)).cast("long")
-    return both.select(F.lit(0).alias("level"), node.alias("node"), *POINT_COLS)
+    if sampler.row_importance(pts) is not None:
+        both = ranked_chunk_sample(pts, ["leaf"], cfg, sampler, seed)
+    else:
+        sampled, small, _ = chunk_sample(pts, ["leaf"], cfg, sampler, seed, salt=0)
+        both = sampled.select("leaf", *POINT_COLS).unionByName(small.select("leaf", *POINT_COLS))
+    return both.select(F.lit(0).alias("level"), _div("leaf", cfg.fan_in).alias("node"), *POINT_COLS)
+
+
+def _div(col: str, n: int) -> Column:
+    return F.expr(f"{col} div {int(n)}").cast("long")
 
 
 def climb(df: DataFrame, fan_in: int) -> DataFrame:
     """C17: one level up."""
     return df.select((F.col("level") + 1).alias("level"),
-                     F.floor(F.col("node") / F.lit(fan_in)).cast("long").alias("node"),
-                     *POINT_COLS)
+                     _div("node", fan_in).alias("node"), *POINT_COLS)
+
+
+def rounds_needed(max_level: int, leaves: int, fan_in: int) -> int:
+    """A bound on the rounds until nothing climbs: one level a round, up to
+    the level where one node holds everything."""
+    top = 0
+    while leaves > 1:
+        leaves, top = -(-leaves // fan_in), top + 1
+    return max(max_level, top) + 2
+
+
+def tree_reduce_planned(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
+                        rounds: int) -> DataFrame:
+    """C16 as one query: ``rounds`` rounds (more than needed change nothing)
+    of windows over the containers, which hold at most ``fan_in * T`` rows.
+    For samplers with a ``row_importance``."""
+    out = tree.select(*TREE_COLS)
+    keys = ["level", "node"]
+    for rnd in range(1, rounds + 1):
+        box = Window.partitionBy(*keys)
+        x = out.withColumn("_v", sampler.row_importance(out))
+        x = x.withColumn("_r", F.col("_v") / uniform01("pid", sampler._seed(seed, rnd)))
+        x = x.withColumns({"_n": F.count(F.lit(1)).over(box), "_W": F.sum("weight").over(box),
+                           "_rn": F.row_number().over(box.orderBy(F.col("_r").desc(), F.col("pid").asc()))})
+        x = _keep(x, keys, cfg, sampler)
+        out = x.select((F.col("level") + F.col("_moved").cast("int")).alias("level"),
+                       F.when(F.col("_moved"), _div("node", cfg.fan_in)).otherwise(F.col("node")).alias("node"), *POINT_COLS)
+    return out
 
 
 def tree_reduce(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
@@ -197,11 +246,10 @@ def chunked_tree_reduce(tree: DataFrame, cfg: ChunkedTreeConfig, sampler: Sample
                         stats: list | None = None) -> DataFrame:
     """C14 + C18: rounds of the two-threshold rule until nothing climbs.
 
-    Containers are bounded (at most fan_in times a climbing container), so
-    chunk numbers come from a window per container.  The result is
-    repartitioned by node address, as the prototype did.
+    Chunk numbers come from :func:`rank_within`, so a container of any size is
+    spread over the tasks; a chunk has at most ``max_size`` rows.  The result
+    is repartitioned by node address, as the prototype did.
     """
-    from pyspark.sql import Window
     tree = tree.select(*TREE_COLS)
     for rnd in range(1, cfg.max_rounds + 1):
         counts = group_counts(tree, ["level", "node"]).persist()
@@ -217,8 +265,8 @@ def chunked_tree_reduce(tree: DataFrame, cfg: ChunkedTreeConfig, sampler: Sample
             marked = tree.join(counts, ["level", "node"])
             stay = marked.where(F.col("_n") < cfg.min_size).select(*TREE_COLS)
             big = marked.where(F.col("_n") >= cfg.min_size).drop("_n", "_W")
-            rn = F.row_number().over(Window.partitionBy("level", "node").orderBy("pid"))
-            chunked = big.withColumn("chunk", F.floor((rn - 1) / F.lit(cfg.max_size)).cast("long"))
+            ranked = rank_within(big, ["level", "node"], ["pid"], "_rank")
+            chunked = ranked.withColumn("chunk", F.expr(f"(_rank - 1) div {int(cfg.max_size)}")).drop("_rank")
             keys = ["level", "node", "chunk"]
             ccounts = group_counts(chunked, keys)
             cm = chunked.join(ccounts, keys)
@@ -240,13 +288,20 @@ def node_sizes(tree: DataFrame) -> DataFrame:
 def final_sample(tree: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int) -> DataFrame:
     """Flatten every node of the forest and take ``sample_size``."""
     pts = tree.select(*POINT_COLS)
-    return sampler.sample(pts, [], cfg.sample_size, seed, salt=10_000, bounded=True)
+    return sampler.sample(pts, [], cfg.sample_size, seed, salt=10_000)
 
 
 def build_tree(points: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
                leaves: int | None = None, stats: list | None = None) -> DataFrame:
-    """C15 + C16: the forest over a bulk input."""
+    """C15 + C16: the forest over a bulk input, as one query where the sampler
+    needs only the row (and no round statistics are asked for)."""
     sampler = sampler.prepare(points)
+    if "leaf" not in points.columns:
+        n = leaves or cfg.leaves or suggest_leaves(points.count(), cfg, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        points = assign_leaves(points, cfg, n)
+        if stats is None and sampler.row_importance(points) is not None:
+            first = leaf_sample(points, cfg, sampler, seed)
+            return materialize(tree_reduce_planned(first, cfg, sampler, seed, rounds_needed(0, n, cfg.fan_in)), "tree")
     leaves_df = materialize(leaf_sample(points, cfg, sampler, seed, leaves), "tree-leaves")
     return tree_reduce(leaves_df, cfg, sampler, seed, stats)
 
@@ -254,6 +309,5 @@ def build_tree(points: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
 def coreset(points: DataFrame, cfg: TreeConfig, sampler: Sampler, seed: int,
             leaves: int | None = None, stats: list | None = None) -> DataFrame:
     """C20: whole bulk sample = leaves -> tree -> final take."""
-    sampler = sampler.prepare(points)
     tree = build_tree(points, cfg, sampler, seed, leaves, stats)
     return final_sample(tree, cfg, sampler, seed)

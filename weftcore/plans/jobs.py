@@ -1,9 +1,8 @@
 """Job configuration and the three jobs.
 
 ``JobConfig`` replaces the reference's command-line parameters.  Jobs take a
-session from the caller; ``spark_params`` are applied to it where unset
-(values already set on the session win, as new values won in the reference's
-merge).
+session from the caller; ``spark_params`` are set on it and win over what it
+had.
 """
 
 from __future__ import annotations
@@ -16,11 +15,11 @@ from pyspark.sql import functions as F
 
 from weftcore.operators import models
 from weftcore.operators.evaluate import evaluate as evaluate_results
-from weftcore.operators.samplers import (ClusterMeanSampler, LightSampler, NormSampler,
-                                         Sampler, SensitivitySampler, UniformSampler)
+from weftcore.operators.evaluate import report
+from weftcore.operators.samplers import ClusterMeanSampler, NormSampler, Sampler, SensitivitySampler, UniformSampler
 from weftcore.operators.tree import TreeConfig, coreset, suggest_leaves
-from weftcore.sources.points import number_rows
-from weftcore.sources.text import parse_dense, parse_sparse, read_lines, read_lines_stream
+from weftcore.sources.points import number_rows, read_results
+from weftcore.sources.text import LINE_ORDER, parse_dense, parse_sparse, read_lines, read_lines_stream
 
 MODES = ("bulk", "streaming", "evaluate")
 CORESET_ALGS = ("coreset-kmeans", "coreset2-kmeans", "coreset-uniform-kmeans",
@@ -85,36 +84,26 @@ def create_sampler(cfg: JobConfig) -> Sampler:
     raise ValueError(f"{a} is not a coreset algorithm")
 
 
-def light_sampler() -> Sampler:
-    return LightSampler()
-
-
 def _apply_spark_params(spark: SparkSession, cfg: JobConfig) -> None:
     for k, v in cfg.spark_params.items():
-        if spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
-
-
-def _dense_points(df: DataFrame, dense: bool) -> DataFrame:
-    """Unit-weight points; sparse input stays sparse (samplers, costs and
-    models all take the sparse struct)."""
-    return df.select("pid", "features", F.lit(1.0).alias("weight"))
+        spark.conf.set(k, v)
 
 
 def load_points(spark: SparkSession, cfg: JobConfig) -> DataFrame:
-    """S1 + S5/S6 + W1: numbered points from the text input."""
-    lines = read_lines(spark, cfg.input, cfg.parallelism)
-    lines = lines.withColumn("_order", F.monotonically_increasing_id())
-    parsed = (parse_dense(lines, mode="FAILFAST", keep=["_order"]) if cfg.dense
-              else parse_sparse(lines, mode="FAILFAST", keep=["_order"]))
-    numbered = number_rows(parsed, ["_order"], "pid")
-    return _dense_points(numbered, cfg.dense)
+    """S1 + S4 + S5/S6 + W1: unit-weight points of the text input, numbered in
+    its order (``parallelism``: ranges of the numbering).  Sparse input stays
+    sparse: samplers, costs and models take the sparse struct."""
+    lines = read_lines(spark, cfg.input)
+    parse = parse_dense if cfg.dense else parse_sparse
+    parsed = parse(lines, mode="FAILFAST", keep=LINE_ORDER)
+    numbered = number_rows(parsed, LINE_ORDER, "pid", cfg.parallelism)
+    return numbered.select("pid", "features", F.lit(1.0).alias("weight"))
 
 
 def run_bulk(spark: SparkSession, cfg: JobConfig, batch_id: int = 0) -> DataFrame:
     """Points -> coreset -> model (or the Spark baseline) -> results file."""
     _apply_spark_params(spark, cfg)
-    points = load_points(spark, cfg).persist()
+    points = load_points(spark, cfg)  # already written: numbering cuts the lineage
     n = points.count()
     if cfg.alg in SPARK_ALGS:
         fit = models.spark_baseline(cfg.alg, cfg.dense, False, cfg.k, cfg.seed)
@@ -125,8 +114,7 @@ def run_bulk(spark: SparkSession, cfg: JobConfig, batch_id: int = 0) -> DataFram
         sample = coreset(points, tcfg, create_sampler(cfg), cfg.seed, leaves=leaves).persist()
         fit = models.model_on_sample(cfg.alg, cfg.dense, cfg.k, cfg.seed)
         res = models.result_frame(spark, batch_id, fit(sample) if n else [], n, sample.count(), cfg.alg)
-    res.coalesce(1).write.mode("overwrite").parquet(os.path.join(cfg.output, f"batch_id={batch_id}"))
-    points.unpersist()
+    res.coalesce(1).write.mode("overwrite").parquet(os.path.join(cfg.output, f"batch_id={batch_id}"))  # one row
     return spark.read.parquet(cfg.output)
 
 
@@ -177,8 +165,7 @@ def run_evaluate(spark: SparkSession, cfg: JobConfig) -> DataFrame:
     """Score every saved result on its prefix of the input."""
     _apply_spark_params(spark, cfg)
     points = load_points(spark, cfg).withColumnRenamed("pid", "idx")
-    results = spark.read.parquet(cfg.output)
-    return evaluate_results(points, results, cfg.alg)
+    return report(evaluate_results(points, read_results(spark, cfg.output), cfg.alg), cfg.output)
 
 
 def run(spark: SparkSession, cfg: JobConfig):

@@ -1,8 +1,7 @@
 """DuckDB SQL equal to each registered query (views: the driver tables).
 
-Queries whose result depends on an iterative fit (k-means, SVD) or on a
-random tree shape have no entry here and are checked by row counts and by
-invariants in the tests.
+Queries on an iterative fit (k-means, SVD) or on a random tree shape return
+facts that hold for every right result; their SQL states these facts.
 """
 
 from __future__ import annotations
@@ -10,7 +9,8 @@ from __future__ import annotations
 from weftcore.functions.hashing import uniform_sql
 from weftcore.plans.registered import (CHUNK_FAN, CHUNK_LEAVES, CHUNK_MAX, CHUNK_MIN, CHUNK_S,
                                        LINEITEM_FEATURES_SQL, LINEITEM_PID_SQL, PROG_BATCHES,
-                                       PROJ_AXES, SEED, STREAM_FILES, TERM_BUCKETS,
+                                       PROJ_AXES, SEED, STREAM_FILES, STREAM_KMEANS_DECAY,
+                                       STREAM_KMEANS_WEIGHT, TERM_BUCKETS,
                                        TREE_SYS_FAN, TREE_SYS_LEAVES, TREE_SYS_S)
 
 
@@ -65,13 +65,13 @@ def _tree_forest_sql() -> str:
             f"CASE WHEN n >= {T} THEN node // {fan} ELSE node END AS node, pid "
             f"FROM r{i} WHERE {keep})")
     return ("WITH " + ",\n".join(parts) +
-            f"\nSELECT CAST(level AS BIGINT) AS level, CAST(node AS BIGINT) AS node, pid FROM t{rounds}")
+            f"\nSELECT CAST(level AS BIGINT) AS level, CAST(node AS BIGINT) AS node, pid, 1.0::DOUBLE AS weight FROM t{rounds}")
 
 
 def _chunked_tree_sql() -> str:
     s, lo, hi, fan = CHUNK_S, CHUNK_MIN, CHUNK_MAX, CHUNK_FAN
     parts = [f"t0 AS (SELECT 0 AS level, o_orderkey % {CHUNK_LEAVES} AS node, o_orderkey AS pid, "
-             f"{_u('o_orderkey')} AS u FROM orders)"]
+             f"{_u('o_orderkey')} AS u, CAST(1 AS DOUBLE) AS w FROM orders)"]
     rounds = 10
     for i in range(1, rounds + 1):
         parts.append(
@@ -79,13 +79,15 @@ def _chunked_tree_sql() -> str:
             f"(row_number() OVER (PARTITION BY level, node ORDER BY pid) - 1) // {hi} AS chunk FROM t{i - 1})")
         parts.append(
             f"b{i} AS (SELECT *, count(*) OVER (PARTITION BY level, node, chunk) AS cn, "
+            f"sum(w) OVER (PARTITION BY level, node, chunk) AS cw, "
             f"row_number() OVER (PARTITION BY level, node, chunk ORDER BY u, pid) AS r FROM a{i})")
         parts.append(
             f"t{i} AS (SELECT CASE WHEN n >= {lo} THEN level + 1 ELSE level END AS level, "
-            f"CASE WHEN n >= {lo} THEN node // {fan} ELSE node END AS node, pid, u FROM b{i} "
+            f"CASE WHEN n >= {lo} THEN node // {fan} ELSE node END AS node, pid, u, "
+            f"CASE WHEN n >= {lo} AND cn >= {lo} THEN cw / {s}.0 ELSE w END AS w FROM b{i} "
             f"WHERE n < {lo} OR cn < {lo} OR r <= {s})")
     return ("WITH " + ",\n".join(parts) +
-            f"\nSELECT CAST(level AS BIGINT) AS level, CAST(node AS BIGINT) AS node, pid FROM t{rounds}")
+            f"\nSELECT CAST(level AS BIGINT) AS level, CAST(node AS BIGINT) AS node, pid, round(w, 6) AS weight FROM t{rounds}")
 
 
 def _projection_sql() -> str:
@@ -123,20 +125,13 @@ cells AS (SELECT doc_id AS pid, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {TERM
 
 ORACLES: dict[str, str] = {
     "dense_text_roundtrip": """
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f, label FROM embeddings),
-l AS (SELECT vec_id, CAST(f[1] AS VARCHAR) || ' ' || CAST(f[2] AS VARCHAR) || ' ' ||
-             CAST(f[3] AS VARCHAR) || ' ' || CAST(f[4] AS VARCHAR) || ' ' ||
-             CAST(label AS VARCHAR) AS value FROM e),
-t AS (SELECT vec_id, string_split(value, ' ') AS tok FROM l)
-SELECT vec_id, CAST(len(tok) - 1 AS BIGINT) AS n_coords,
-       round(CAST(tok[1] AS DOUBLE), 6) AS x0, round(CAST(tok[2] AS DOUBLE), 6) AS x1,
-       round(CAST(tok[3] AS DOUBLE), 6) AS x2, round(CAST(tok[4] AS DOUBLE), 6) AS x3 FROM t""",
-
-    "sparse_text_roundtrip": """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings),
-u AS (SELECT vec_id, len(f) AS size, UNNEST(range(len(f))) AS idx, UNNEST(f) AS x FROM e)
-SELECT vec_id, CAST(size AS BIGINT) AS size, CAST(idx AS BIGINT) AS idx, round(x, 6) AS value
-FROM u WHERE abs(x) > 0.1""",
+u AS (SELECT vec_id, UNNEST(range(len(f))) AS j, UNNEST(f) AS x FROM e)
+SELECT vec_id, CAST(j AS BIGINT) AS j, round(x, 6) AS value FROM u""",
+
+    "sparse_text_roundtrip": f"""
+WITH {DOC_CELLS}
+SELECT pid AS doc_id, CAST({TERM_BUCKETS} AS BIGINT) AS size, CAST(j AS BIGINT) AS idx, round(v, 6) AS value FROM cells""",
 
     "vector_mean_stats": """
 WITH m AS (SELECT label, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings)
@@ -151,8 +146,23 @@ SELECT pid, round(CASE WHEN n <= 50 THEN 1.0 ELSE CAST(n AS DOUBLE) / 50.0 END,
 FROM p, n ORDER BY u, pid LIMIT 50""",
 
     "tree_uniform_coreset": f"""
-SELECT pid FROM (SELECT o_orderkey AS pid, {_u('o_orderkey')} AS u FROM orders)
-ORDER BY u, pid LIMIT 50""",
+SELECT pid, round((SELECT count(*) FROM orders) / 50.0, 6)::DOUBLE AS weight
+FROM (SELECT o_orderkey AS pid, {_u('o_orderkey')} AS u FROM orders) ORDER BY u, pid LIMIT 50""",
+
+    "weighted_uniform_coreset": f"""
+WITH r AS (SELECT o_orderkey AS pid, o_totalprice / 1000.0 AS w, (o_totalprice / 1000.0) / {_u('o_orderkey')} AS r FROM orders),
+top AS (SELECT pid, w, r, row_number() OVER (ORDER BY r DESC, pid) AS rn FROM r),
+tau AS (SELECT max(CASE WHEN rn = 51 THEN r END) AS tau FROM top)
+SELECT pid, round(CASE WHEN tau IS NULL OR w >= tau THEN w ELSE tau END, 6) AS weight FROM top, tau WHERE rn <= 50""",
+
+    "take_ids": f"""
+WITH s AS (SELECT o_custkey FROM (SELECT o_orderkey, o_custkey, {_u('o_orderkey')} AS u FROM orders) ORDER BY u, o_orderkey LIMIT 20)
+SELECT m.pid FROM s JOIN (SELECT o_custkey, max(o_orderkey) AS pid FROM orders GROUP BY o_custkey) m USING (o_custkey)""",
+
+    "take_multi_sample": f"""
+WITH p AS (SELECT o_orderkey AS pid FROM orders UNION ALL SELECT c_custkey + 1000000000 AS pid FROM customer),
+n AS (SELECT count(*) AS n FROM p)
+SELECT pid, round(n / 30.0, 6)::DOUBLE AS weight FROM (SELECT pid, {_u('pid')} AS u FROM p), n ORDER BY u, pid LIMIT 30""",
 
     "tree_forest_systematic": _tree_forest_sql(),
 
@@ -176,6 +186,22 @@ tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(d2) AS c FROM d),
 v AS (SELECT pid, CASE WHEN c > 0 THEN 0.5 / n + 0.5 * d2 / c ELSE 1.0 / n END AS v FROM d, tot)""",
         "v", 50),
 
+    "tree_light_coreset": """
+SELECT CAST(50 AS BIGINT) AS sample_size, CAST(50 AS BIGINT) AS distinct_ids, CAST(50 AS BIGINT) AS input_rows,
+       count(*) AS num_points, true AS weight_near FROM embeddings""",
+
+    "tree_sensitivity_coreset": """
+SELECT CAST(100 AS BIGINT) AS sample_size, CAST(100 AS BIGINT) AS distinct_ids, CAST(100 AS BIGINT) AS input_rows,
+       count(*) AS num_points, true AS weight_near FROM embeddings""",
+
+    "sensitivity_coreset": _priority(
+        f"""{LABEL_DIST},
+near AS (SELECT pid, arg_min(c, d2) AS b, min(d2) AS d2 FROM dist GROUP BY pid),
+g AS (SELECT CAST(count(*) AS DOUBLE) AS w, sum(d2) AS s, 16.0 * (ln((SELECT count(*) FROM lab)) + 2.0) AS a FROM near),
+gb AS (SELECT b, CAST(count(*) AS DOUBLE) AS wb, sum(d2) AS cb FROM near GROUP BY b),
+v AS (SELECT pid, a * d2 / (s / w) + 2 * a * cb / (wb * (s / w)) + 4.0 * w / wb AS v FROM near JOIN gb USING (b), g)""",
+        "v", 100),
+
     "norm_coreset": _priority(
         f"""p AS ({_li_points()}),
 v AS (SELECT pid, a * a + b * b + c * c + d * d AS v FROM p)""", "v", 100),
@@ -229,17 +255,12 @@ FROM cum JOIN cost USING (batch_id) JOIN st USING (batch_id)""",
     "gram_matrix": _gram_sql(),
 
     "streaming_tree_uniform": f"""
-SELECT pid FROM (SELECT event_id AS pid, {_u('event_id')} AS u FROM events)
-ORDER BY u, pid LIMIT 50""",
+SELECT pid, round((SELECT count(*) FROM events) / 50.0, 6)::DOUBLE AS weight
+FROM (SELECT event_id AS pid, {_u('event_id')} AS u FROM events) ORDER BY u, pid LIMIT 50""",
 
     "streaming_results_running": f"""
-WITH num AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events),
-n AS (SELECT count(*) AS n FROM events),
-b AS (SELECT CAST(floor(idx * {STREAM_FILES} / n) AS BIGINT) AS batch_id FROM num, n),
-s AS (SELECT batch_id, count(*) AS num_points FROM b GROUP BY batch_id)
-SELECT batch_id, num_points,
-       CAST(sum(num_points) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-            AS BIGINT) AS cum_points FROM s""",
+SELECT CAST({STREAM_FILES} AS BIGINT) AS batches, count(*) AS num_points, count(*) AS cum_points,
+       CAST({STREAM_FILES - 1} AS BIGINT) AS last_batch, false AS over_time FROM events""",
 
     "sliding_points": """
 WITH w AS (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS ws, value
@@ -314,4 +335,60 @@ v AS (SELECT pid, CASE WHEN c > 0 THEN 0.5 / n + 0.5 * d2 / c ELSE 1.0 / n END A
     "sparse_norm_coreset": _priority(
         f"""{DOC_CELLS},
 v AS (SELECT pid, sum(v * v) AS v FROM cells GROUP BY pid)""", "v", 50),
+
+    "sparse_cluster_coreset": f"""
+WITH {DOC_CELLS}
+SELECT CAST(j AS BIGINT) AS j, round(sum(v), 4) AS total, (SELECT CAST(count(DISTINCT pid) AS DOUBLE) FROM cells) AS weight, true AS small
+FROM cells GROUP BY j""",
+
+    "weighted_kmeans": """
+SELECT CAST(10 AS BIGINT) AS k, CAST(max(len(embedding)) AS BIGINT) AS dim, CAST(100 AS BIGINT) AS num_points, true AS means FROM embeddings""",
+
+    "bulk_kmeans": """
+SELECT CAST(10 AS BIGINT) AS k, CAST(max(len(embedding)) AS BIGINT) AS dim, count(*) AS num_points, true AS means FROM embeddings""",
+
+    "sparse_kmeans_coreset": f"""
+SELECT CAST(5 AS BIGINT) AS k, CAST({TERM_BUCKETS} AS BIGINT) AS dim, CAST(100 AS BIGINT) AS num_points, true AS means""",
+
+    "svd_axes": f"""
+WITH p AS ({_li_points()})
+SELECT CAST(2 AS BIGINT) AS k, CAST(4 AS BIGINT) AS dim, true AS orthonormal, true AS eigenvectors, true AS ordered,
+       round(sum(a * a + b * b + c * c + d * d), 3) AS total FROM p""",
+
+    "weighted_svd": """
+SELECT CAST(2 AS BIGINT) AS k, CAST(4 AS BIGINT) AS dim, true AS orthonormal, true AS eigenvectors, true AS ordered""",
+
+    "sparse_svd_coreset": f"""
+SELECT CAST(2 AS BIGINT) AS k, CAST({TERM_BUCKETS} AS BIGINT) AS dim, true AS orthonormal, true AS eigenvectors, true AS ordered""",
+
+    "sparse_svd_cost": f"""
+WITH {DOC_CELLS},
+ax AS (SELECT j, CAST(1 AS DOUBLE) AS a, CAST(j % 3 AS DOUBLE) AS b FROM (SELECT UNNEST(range({TERM_BUCKETS})) AS j)),
+g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM ax),
+p AS (SELECT pid, sum(v * a) AS pa, sum(v * b) AS pb, sum(v * v) AS xx FROM cells JOIN ax USING (j) GROUP BY pid),
+q AS (SELECT xx, pa * pa + pb * pb AS pp, pa * pa * aa + 2 * pa * pb * ab + pb * pb * bb AS pg FROM p, g)
+SELECT round(sqrt(sum(pg)), 3) AS projection_norm, round(sqrt(sum(greatest(xx - 2 * pp + pg, 0.0))), 3) AS residual_norm,
+       round(sqrt(sum(xx)), 3) AS frobenius_norm FROM q""",
+
+    "label_mean_transpose": f"""
+WITH {EMB}, {POS}
+SELECT CAST(j AS BIGINT) AS i, CAST(label AS BIGINT) AS j, round(avg(x), 6) AS value FROM pos GROUP BY j, label""",
+
+    "label_mean_product": f"""
+WITH {LABEL_DIST}
+SELECT pos.pid, cent.c AS c, round(sum(pos.x * cent.m), 6) AS value FROM pos JOIN cent USING (j) GROUP BY pos.pid, cent.c""",
+
+    "streaming_kmeans_step": f"""
+WITH {LABEL_DIST},
+near AS (SELECT pid, arg_min(c, d2) AS c FROM dist GROUP BY pid),
+m AS (SELECT near.c, pos.j, count(*) AS m, avg(pos.x) AS xbar FROM near JOIN pos USING (pid) GROUP BY near.c, pos.j),
+n AS (SELECT CAST({STREAM_KMEANS_WEIGHT * STREAM_KMEANS_DECAY} AS DOUBLE) AS na)
+SELECT cent.c, round(na + coalesce(m.m, 0), 6) AS weight, CAST(cent.j AS BIGINT) AS j,
+       round((cent.m * na + coalesce(m.xbar * m.m, 0.0)) / (na + coalesce(m.m, 0)), 6) AS value
+FROM cent LEFT JOIN m ON m.c = cent.c AND m.j = cent.j, n""",
+
+    "observed_rows": "SELECT count(*) AS rows, max(l_quantity) AS max_quantity FROM lineitem",
 }
+ORACLES["evaluate_job"] = f"""
+SELECT ranges, batch_id, num_points, cum_points, total_points, round(cost, 4) AS cost, k, dim
+FROM ({ORACLES["progressive_cost"]}), (SELECT CAST(UNNEST([0, 5]) AS BIGINT) AS ranges)"""

@@ -14,20 +14,24 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftcore.functions.hashing import uniform01, uniform_sql
-from weftcore.functions.vectors import dense_to_sparse, sq_norm
+from weftcore.functions.hashing import uniform01
+from weftcore.functions.linalg import gram_matrix, matrix_cells, multiply_rows, transpose
+from weftcore.functions.vectors import coord_mean, is_sparse_type, nearest, nearest_sparse, sq_norm
 from weftcore.operators import evaluate as ev
 from weftcore.operators import models
 from weftcore.operators import relational as rel
-from weftcore.operators.samplers import (FixedCentreReducer, LightSampler, NormSampler,
+from weftcore.operators.samplers import (ClusterMeanSampler, FixedCentreReducer, LightSampler, NormSampler,
                                          SensitivitySampler, SystematicSampler, UniformSampler,
-                                         weighted_mean)
-from weftcore.operators.tree import TreeConfig, assign_leaves, coreset, leaf_sample, tree_reduce
+                                         take_ids, take_multi_sample, weighted_mean)
+from weftcore.operators.tree import (ChunkedTreeConfig, TreeConfig, assign_leaves, chunked_tree_reduce,
+                                     coreset, leaf_sample, tree_reduce)
+from weftcore.plans.jobs import JobConfig, run
 from weftcore.session import scratch_path
-from weftcore.sources.points import number_rows, points_from_array, points_from_columns
+from weftcore.sources.points import materialize, number_rows, points_from_array, points_from_columns
 from weftcore.sources.text import dense_line, parse_dense, parse_sparse, sparse_line
-from weftcore.streaming.tree_stream import StreamingTreeSampler, latest_result
-from weftcore.streaming.windows import sliding_sum
+from weftcore.streaming.kmeans import streaming_kmeans_update
+from weftcore.streaming.tree_stream import StreamingTreeSampler, committed_results, latest_result
+from weftcore.streaming.windows import batch_progress, sliding_sum
 
 SEED = 42
 R = 6
@@ -63,8 +67,9 @@ def lineitem_numbered(spark, sf) -> DataFrame:
     return number_rows(_t(spark, sf, "lineitem"), LINEITEM_ORDER, "pid")
 
 
-def lineitem_points(spark, sf) -> DataFrame:
-    li = lineitem_numbered(spark, sf)
+def lineitem_points(spark, sf, numbered: bool = True) -> DataFrame:
+    """4-d points; ``numbered=False`` where no ``pid`` is read (all -1): one scan."""
+    li = lineitem_numbered(spark, sf) if numbered else _t(spark, sf, "lineitem").withColumn("pid", F.lit(-1))
     feats = [F.col("l_quantity") / 10.0, F.col("l_extendedprice") / 10000.0,
              F.col("l_discount") * 10.0, F.col("l_tax") * 10.0]
     return points_from_columns(li, "pid", feats)
@@ -79,31 +84,26 @@ def label_centres(points: DataFrame) -> list:
 # --------------------------------------------------------------- queries ---
 
 def q_dense_text_roundtrip(spark, sf):
-    """Four coordinates and the label written as a dense line and parsed."""
+    """Every embedding and its label written as a dense line and parsed."""
     e = _t(spark, sf, "embeddings")
-    f = F.col("embedding").cast("array<double>")
-    lines = e.select("vec_id", dense_line(F.slice(f, 1, 4), "label").alias("value"))
+    lines = e.select("vec_id", dense_line(F.col("embedding").cast("array<double>"), "label").alias("value"))
     p = parse_dense(lines, keep=["vec_id"], mode="FAILFAST")
-    return p.select("vec_id", F.size("features").cast("bigint").alias("n_coords"),
-                    *[_r(F.col("features")[i]).alias(f"x{i}") for i in range(4)])
+    return p.select("vec_id", F.posexplode("features").alias("j", "value")).select(
+        "vec_id", F.col("j").cast("bigint").alias("j"), _r("value").alias("value"))
 
 
 def q_sparse_text_roundtrip(spark, sf):
-    """Entries with |x| > 0.1 written as a sparse line (1-based) and parsed."""
-    e = _t(spark, sf, "embeddings")
-    f = F.transform(F.col("embedding").cast("array<double>"),
-                    lambda x: F.when(F.abs(x) > 0.1, x).otherwise(F.lit(0.0)))
-    lines = e.select("vec_id", sparse_line("vec_id", dense_to_sparse(f)).alias("value"))
-    p = parse_sparse(lines, keep=["vec_id"], mode="FAILFAST")
-    z = p.select("vec_id", F.col("features.size").alias("size"),
+    """Every document's term vector written as a sparse line (1-based) and parsed."""
+    lines = document_points(spark, sf).select("pid", sparse_line("pid", "features").alias("value"))
+    p = parse_sparse(lines, keep=["pid"], mode="FAILFAST")
+    z = p.select("pid", F.col("features.size").alias("size"),
                  F.explode(F.arrays_zip("features.indices", "features.values")).alias("e"))
-    return z.select("vec_id", F.col("size").cast("bigint").alias("size"),
+    return z.select(F.col("pid").alias("doc_id"), F.col("size").cast("bigint").alias("size"),
                     F.col("e.indices").cast("bigint").alias("idx"), _r("e.values").alias("value"))
 
 
 def q_vector_mean_stats(spark, sf):
     """Per label, stats of each vector's coordinate mean."""
-    from weftcore.functions.vectors import coord_mean
     p = embedding_points(spark, sf).withColumn("m", coord_mean("features"))
     return p.groupBy("label").agg(
         F.count(F.lit(1)).alias("cnt"), _r(F.avg("m")).alias("mean"),
@@ -123,7 +123,29 @@ def q_tree_uniform_coreset(spark, sf):
     o = _t(spark, sf, "orders")
     p = points_from_columns(o, "o_orderkey", ["o_totalprice"])
     cs = coreset(p, TreeConfig(50, 2, leaves=16, leaf_mode="mod"), UniformSampler(), SEED)
-    return cs.select("pid")
+    return cs.select("pid", _r("weight").alias("weight"))
+
+
+def q_weighted_uniform_coreset(spark, sf):
+    """C4 on weighted points: 50 orders of weight totalprice / 1000, by weight / u."""
+    p = points_from_columns(_t(spark, sf, "orders"), "o_orderkey", ["o_totalprice"],
+                            weight=F.col("o_totalprice") / 1000.0)
+    s = UniformSampler().prepare(p).sample(p, [], 50, SEED)
+    return s.select("pid", _r("weight").alias("weight"))
+
+
+def q_take_ids(spark, sf):
+    """20 sampled orders as points of their customer key; equal points go by their last id."""
+    p = points_from_columns(_t(spark, sf, "orders"), "o_orderkey", ["o_custkey"])
+    return take_ids(p, 20, UniformSampler(weighted=False), SEED)
+
+
+def q_take_multi_sample(spark, sf):
+    """One uniform sample of 30 over two containers, orders and customers."""
+    o = points_from_columns(_t(spark, sf, "orders"), "o_orderkey", ["o_totalprice"])
+    c = points_from_columns(_t(spark, sf, "customer"), F.col("c_custkey") + F.lit(10**9), ["c_acctbal"])
+    s = take_multi_sample([o, c], 30, UniformSampler(weighted=False), SEED)
+    return s.select("pid", _r("weight").alias("weight"))
 
 
 TREE_SYS_LEAVES, TREE_SYS_S, TREE_SYS_FAN = 16, 5, 2
@@ -137,7 +159,7 @@ def q_tree_forest_systematic(spark, sf):
     cfg = TreeConfig(TREE_SYS_S, TREE_SYS_FAN, leaves=TREE_SYS_LEAVES, leaf_mode="mod")
     leaves = leaf_sample(assign_leaves(p, cfg), cfg, SystematicSampler(), SEED)
     tree = tree_reduce(leaves, cfg, SystematicSampler(), SEED)
-    return tree.select(F.col("level").cast("bigint").alias("level"), "node", "pid")
+    return tree.select(F.col("level").cast("bigint").alias("level"), "node", "pid", "weight")
 
 
 CHUNK_S, CHUNK_MIN, CHUNK_MAX, CHUNK_FAN, CHUNK_LEAVES = 50, 100, 200, 4, 16
@@ -147,14 +169,13 @@ def q_tree_forest_chunked(spark, sf):
     """The prototype's two-threshold tree over ``orders`` with the
     uniform sampler: leaves o_orderkey mod 16 as level-0 containers, chunks of
     at most 200, chunks of at least 100 sampled to 50, fan-in 4."""
-    from weftcore.operators.tree import ChunkedTreeConfig, chunked_tree_reduce
     o = _t(spark, sf, "orders")
     p = points_from_columns(o, "o_orderkey", ["o_totalprice"])
     t0 = p.select(F.lit(0).alias("level"), F.pmod("pid", F.lit(CHUNK_LEAVES)).cast("long").alias("node"),
                   "pid", "features", "weight")
     cfg = ChunkedTreeConfig(CHUNK_S, CHUNK_MIN, CHUNK_MAX, CHUNK_FAN)
-    t = chunked_tree_reduce(t0, cfg, UniformSampler(), SEED)
-    return t.select(F.col("level").cast("bigint").alias("level"), "node", "pid")
+    t = chunked_tree_reduce(t0, cfg, UniformSampler(weighted=False), SEED)
+    return t.select(F.col("level").cast("bigint").alias("level"), "node", "pid", _r("weight").alias("weight"))
 
 
 def q_leaf_samples(spark, sf):
@@ -171,18 +192,37 @@ def q_light_coreset(spark, sf):
     return s.select("pid", _r("weight").alias("weight"))
 
 
+def sample_facts(sample: DataFrame, points: DataFrame) -> DataFrame:
+    """What holds for any weighted sample of ``points``, whatever was drawn:
+    its size, that it is made of distinct input rows with their features,
+    and that its weight is near the number of points."""
+    same = sample.select("pid", "features", F.lit(1).alias("in_sample")).join(points.select("pid", "features"), ["pid", "features"])
+    n = points.agg(F.count(F.lit(1)).alias("num_points"))
+    w = sample.agg(F.count(F.lit(1)).alias("sample_size"), F.countDistinct("pid").alias("distinct_ids"), F.sum("weight").alias("w"))
+    return w.crossJoin(n).crossJoin(same.agg(F.count(F.lit(1)).alias("input_rows"))).select(
+        "sample_size", "distinct_ids", "input_rows", "num_points",
+        F.col("w").between(F.col("num_points") * 0.5, F.col("num_points") * 1.5).alias("weight_near"))
+
+
 def q_tree_light_coreset(spark, sf):
-    """C5 + C16: light sampler through a tree of 8 hash leaves (rows only)."""
-    cs = coreset(embedding_points(spark, sf).drop("label"), TreeConfig(50, 2, leaves=8),
-                 LightSampler(), SEED)
-    return cs.select("pid", _r("weight").alias("weight"))
+    """C5 + C16: light sampler through a tree of 8 hash leaves: facts of the sample."""
+    pts = embedding_points(spark, sf).drop("label")
+    cs = coreset(pts, TreeConfig(50, 2, leaves=8), LightSampler(), SEED)
+    return sample_facts(materialize(cs, "sample"), pts)
 
 
 def q_sensitivity_coreset(spark, sf):
-    """Sensitivity sampler against k-means|| rough centres (rows only)."""
+    """100 embeddings by full sensitivity against fixed centres, the label means."""
+    pts = embedding_points(spark, sf)
+    s = SensitivitySampler(centres=label_centres(pts)).sample(pts.drop("label"), [], 100, SEED)
+    return s.select("pid", _r("weight").alias("weight"))
+
+
+def q_tree_sensitivity_coreset(spark, sf):
+    """C5, C6 + C16: sensitivity sampler with rough centres fitted to all points: facts of the sample."""
     pts = embedding_points(spark, sf).drop("label")
     cs = coreset(pts, TreeConfig(100, 2, leaves=4), SensitivitySampler(k=10, seed=SEED), SEED)
-    return cs.select("pid", _r("weight").alias("weight"))
+    return sample_facts(materialize(cs, "sample"), pts)
 
 
 def q_norm_coreset(spark, sf):
@@ -257,60 +297,149 @@ def q_progressive_cost(spark, sf):
         _r("min_of_means").alias("min_of_means"))
 
 
+def _write_lines(lines: DataFrame, path: str) -> None:
+    """Text files in the order of ``part``, then ``pid``: one folder per part,
+    its files by ranges of pid."""
+    lines.repartitionByRange(4, "part", "pid").sortWithinPartitions("part", "pid").select("part", "value").write.partitionBy("part").text(path)
+
+
+def q_evaluate_job(spark, sf):
+    """The evaluate job on embeddings
+    written as text files of unequal size; its report written and read again."""
+    pts, res = progressive_results(spark, sf)
+    base = scratch_path(spark, "evaluate-job")
+    n = pts.count()
+    part = F.when(F.col("idx") * 50 < n, 0).when(F.col("idx") * 3 < n, 1).otherwise(2)
+    _write_lines(pts.select("pid", part.alias("part"), dense_line("features", "label").alias("value")), f"{base}/in")
+    res.withColumn("b", F.col("batch_id")).select(*[c for c in res.columns if c != "batch_id"], F.col("b").alias("batch_id")) \
+        .write.partitionBy("batch_id").parquet(f"{base}/results")
+    out = None
+    for ranges in (None, 5):
+        cfg = JobConfig(alg="coreset-kmeans", algorithm_params=10, input=f"{base}/in", output=f"{base}/results", mode="evaluate", dense=True, parallelism=ranges)
+        ev.write_report(run(spark, cfg), f"{base}/report-{ranges}")
+        got = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(f"{base}/report-{ranges}")
+        got = got.where(F.col("result_path") == f"{base}/results").select(
+            F.lit(ranges or 0).cast("bigint").alias("ranges"), F.col("batch_id").cast("bigint").alias("batch_id"), F.col("num_points").cast("bigint").alias("num_points"),
+            F.col("cum_points").cast("bigint").alias("cum_points"), F.col("total_points").cast("bigint").alias("total_points"),
+            _r("cost", 4).alias("cost"), F.col("k").cast("bigint").alias("k"), F.col("dim").cast("bigint").alias("dim"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 # Two orthonormal axes in R^4 (fixed values).
 PROJ_AXES = [[0.5, 0.5, 0.5, 0.5], [0.5, -0.5, 0.5, -0.5]]
 
 
 def q_projection_norm(spark, sf):
     """Projection norm, residual and Frobenius norm of lineitem on fixed axes."""
-    c = ev.svd_cost(lineitem_points(spark, sf), PROJ_AXES)
+    c = ev.svd_cost(lineitem_points(spark, sf, numbered=False), PROJ_AXES)
     return c.select(*[_r(x).alias(x) for x in ("projection_norm", "residual_norm", "frobenius_norm")])
 
 
 def q_gram_matrix(spark, sf):
     """A^T A of the 4-d lineitem points."""
-    from weftcore.functions.linalg import gram_matrix
-    g = gram_matrix(lineitem_points(spark, sf))
+    g = gram_matrix(lineitem_points(spark, sf, numbered=False))
     return g.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"),
                     _r("value", 4).alias("value"))
 
 
-def _axes_rows(axes: list, spark) -> DataFrame:
-    rows = [(i, j, round(float(v), R)) for i, a in enumerate(axes) for j, v in enumerate(a)]
-    return spark.createDataFrame(rows, "axis bigint, j bigint, value double")
+def q_label_mean_transpose(spark, sf):
+    """The matrix of label means by rows, its cells, and their transpose."""
+    m = weighted_mean(embedding_points(spark, sf), ["label"]).select(F.col("label").alias("i"), F.col("_mu").alias("row"))
+    t = transpose(matrix_cells(m))
+    return t.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), _r("value").alias("value"))
 
 
-def q_svd_axes(spark, sf):
-    """M6: top-2 right singular vectors of the lineitem points (rows only; signs fixed)."""
-    return _axes_rows(models.svd_axes(lineitem_points(spark, sf), 2), spark)
+def q_label_mean_product(spark, sf):
+    """F8: all embeddings times the transposed label means (one broadcast row)."""
+    pts = embedding_points(spark, sf)
+    means = spark.createDataFrame([(label_centres(pts),)], "m array<array<double>>")
+    p = pts.crossJoin(F.broadcast(means)).select("pid", F.posexplode(multiply_rows("features", "m")).alias("c", "value"))
+    return p.select("pid", F.col("c").cast("bigint").alias("c"), _r("value").alias("value"))
+
+
+def axes_facts(axes: list, points: DataFrame, weighted: bool = False) -> DataFrame:
+    """What holds for the top right singular vectors: orthonormal, fixed by
+    ``A^T A`` up to their eigenvalue, in falling order, and together with the
+    rest they make up the squared norm of the points."""
+    import numpy as np
+    v = np.array(axes).T
+    image = models._gram_times(v, points, weighted)
+    values = (v * image).sum(axis=0)
+    w = F.col("weight") if weighted else F.lit(1.0)
+    sparse = is_sparse_type(points.schema["features"].dataType)
+    total = points.agg(F.sum(w * sq_norm("features.values" if sparse else "features"))).first()[0]
+    c = points.sparkSession.createDataFrame([(
+        len(axes), len(axes[0]), bool(np.allclose(v.T @ v, np.eye(len(axes)), atol=1e-8)),
+        bool((np.linalg.norm(image - v * values, axis=0) <= 1e-6 * values.max()).all()),
+        bool((np.diff(values) <= 1e-9 * values.max()).all() and values.sum() <= total * (1 + 1e-9)), float(total))],
+        "k bigint, dim bigint, orthonormal boolean, eigenvectors boolean, ordered boolean, total double")
+    return c.select("k", "dim", "orthonormal", "eigenvectors", "ordered", _r("total", 3).alias("total"))
 
 
-def q_weighted_svd(spark, sf):
-    """M3: weighted SVD axes fitted on a norm coreset of lineitem (rows only)."""
-    s = NormSampler().sample(lineitem_points(spark, sf), [], 200, SEED).persist()
-    return _axes_rows(models.svd_axes(s, 2, weighted=True), spark)
+def q_svd_axes(spark, sf):
+    """M6: top-2 right singular vectors of the lineitem points: their facts."""
+    pts = lineitem_points(spark, sf, numbered=False)
+    return axes_facts(models.svd_axes(pts, 2), pts)
 
 
-def _centre_rows(centres: list, spark) -> DataFrame:
-    rows = [(i, j, round(float(v), R)) for i, c in enumerate(centres) for j, v in enumerate(c)]
-    return spark.createDataFrame(rows, "centre bigint, j bigint, value double")
+def q_weighted_svd(spark, sf):
+    """M3: weighted SVD axes of a norm coreset of lineitem: their facts."""
+    s = materialize(NormSampler().sample(lineitem_points(spark, sf), [], 200, SEED), "sample")
+    return axes_facts(models.svd_axes(s, 2, weighted=True), s, weighted=True).drop("total")
+
+
+def centre_facts(centres: list, points: DataFrame, weighted: bool, tol: float) -> DataFrame:
+    """What holds for settled k-means centres: each is the (weighted) mean of
+    the points nearest to it, and the points are shared out among them."""
+    import numpy as np
+    spark, k, dim = points.sparkSession, len(centres), len(centres[0])
+    sparse = is_sparse_type(points.schema["features"].dataType)
+    near = (nearest_sparse("features", "c", "cn") if sparse else nearest("features", "c"))["idx"]
+    w = F.col("weight") if weighted else F.lit(1.0)
+    x = points.crossJoin(F.broadcast(ev.centres_frame(spark, centres))).select(near.alias("b"), w.alias("w"), "features")
+    cell = F.explode(F.arrays_zip(F.col("features.indices").alias("j"), F.col("features.values").alias("v"))).alias("e") if sparse else F.posexplode("features").alias("j", "v")
+    cells = x.select("b", "w", cell)
+    cells = cells.select("b", "w", "e.j", "e.v") if sparse else cells
+    rows = cells.groupBy("b", "j").agg(F.sum(F.col("w") * F.col("v")).alias("s")).groupBy("b").agg(F.collect_list("j").alias("j"), F.collect_list("s").alias("s")).collect()
+    size = {r["b"]: (r["n"], r["w"]) for r in x.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()}
+    worst = 0.0
+    for r in rows:
+        mean = np.zeros(dim)
+        mean[r["j"]] = np.array(r["s"]) / size[r["b"]][1]
+        worst = max(worst, float(np.abs(mean - np.array(centres[r["b"]])).max()))
+    return spark.createDataFrame([(k, dim, sum(n for n, _ in size.values()), worst <= tol)], "k bigint, dim bigint, num_points bigint, means boolean")
 
 
 def q_weighted_kmeans(spark, sf):
-    """M1: weighted k-means (k = 10) on a light coreset of 100 embeddings (rows only)."""
-    s = LightSampler().sample(embedding_points(spark, sf).drop("label"), [], 100, SEED).persist()
-    return _centre_rows(models.weighted_kmeans(s, 10, SEED), spark)
+    """M1: weighted k-means (k = 10) on a light coreset of 100 embeddings: facts of the centres."""
+    s = materialize(LightSampler().sample(embedding_points(spark, sf).drop("label"), [], 100, SEED), "sample")
+    return centre_facts(models.weighted_kmeans(s, 10, SEED, max_iter=100), s, True, 1e-3)
 
 
 def q_bulk_kmeans(spark, sf):
-    """M4: k-means (k = 10) on all embeddings (rows only)."""
-    return _centre_rows(models.bulk_kmeans(embedding_points(spark, sf), 10, SEED), spark)
+    """M4: k-means (k = 10) on all embeddings: facts of the centres."""
+    pts = embedding_points(spark, sf).drop("label")
+    return centre_facts(models.bulk_kmeans(pts, 10, SEED), pts, False, 1e-3)
+
+
+STREAM_KMEANS_WEIGHT, STREAM_KMEANS_DECAY = 10.0, 0.5
+
+
+def q_streaming_kmeans_step(spark, sf):
+    """M5: one step of streaming k-means on all embeddings from the label
+    means with weight 10 and decay 0.5: the new centres."""
+    pts = embedding_points(spark, sf)
+    c = label_centres(pts)
+    new, weight = streaming_kmeans_update(pts, c, [STREAM_KMEANS_WEIGHT] * len(c), STREAM_KMEANS_DECAY)
+    rows = [(i, float(w), [float(x) for x in v]) for i, (v, w) in enumerate(zip(new, weight))]
+    out = spark.createDataFrame(rows, "c bigint, weight double, v array<double>").select("c", "weight", F.posexplode("v").alias("j", "value"))
+    return out.select("c", _r("weight").alias("weight"), F.col("j").cast("bigint").alias("j"), _r("value").alias("value"))
 
 
 # --------------------------------------------------------------- streams ---
 
 STREAM_FILES = 4
-_stream_cache: dict = {}
 
 
 def _event_points(df: DataFrame) -> DataFrame:
@@ -318,66 +447,36 @@ def _event_points(df: DataFrame) -> DataFrame:
                      F.lit(1.0).alias("weight"))
 
 
-def order_new_files(spark, folder: str, rank: int) -> None:
-    """Give files without a rank the modification time ``rank`` (seconds
-    after the epoch day 2000-01-01), so the file source takes the parts in
-    write order on any Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
-    base = 946684800000
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith(("_", ".")):
-            continue
-        if st.getModificationTime() > base + 10_000_000:
-            fs.setTimes(st.getPath(), base + rank * 1000, -1)
-
-
 def run_event_stream(spark, sf) -> tuple[str, str]:
-    """Cut ``events`` into 4 files by row number (written one after another,
-    so the file source takes them in order), stream them one file per
-    micro-batch through the tree sampler, and return the results and state
-    folders.  Cached per session and table folder."""
-    key = (id(spark), sf)
-    if key in _stream_cache:
-        return _stream_cache[key]
+    """Stream all ``events``, dealt into 4 files by ranges of id, one file per
+    micro-batch through the tree sampler; the results and state folders.
+    What the queries return does not depend on the order of the files."""
     ev_df = _t(spark, sf, "events")
-    numbered = number_rows(ev_df, ["event_id"], "idx")
-    n = numbered.count()
-    numbered = numbered.withColumn("part", F.floor(F.col("idx") * STREAM_FILES / F.lit(n)))
-    src = scratch_path(spark, "events-stream")
-    for part in range(STREAM_FILES):
-        (numbered.where(F.col("part") == part).drop("idx", "part").coalesce(1)
-         .write.mode("append").parquet(src))
-        order_new_files(spark, src, part)
-    stream = (spark.readStream.schema(ev_df.schema).option("maxFilesPerTrigger", 1)
-              .parquet(src))
-    state, results = scratch_path(spark, "events-state"), scratch_path(spark, "events-results")
-    sts = StreamingTreeSampler(TreeConfig(50, 2, leaves=4), UniformSampler(), SEED, state,
-                               results_dir=results)
-    q = sts.start(_event_points(stream), scratch_path(spark, "events-ckpt"), available_now=True)
+    base = scratch_path(spark, "events")
+    ev_df.repartitionByRange(STREAM_FILES, "event_id").write.parquet(f"{base}/src")
+    stream = spark.readStream.schema(ev_df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
+    sts = StreamingTreeSampler(TreeConfig(50, 2, leaves=4), UniformSampler(), SEED, f"{base}/state", results_dir=f"{base}/results")
+    q = sts.start(_event_points(stream), f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
-    _stream_cache[key] = (results, state)
-    return results, state
+    return f"{base}/results", f"{base}/state"
 
 
 def q_streaming_tree_uniform(spark, sf):
-    """After 4 micro-batches the streamed tree's sample is
-    the bottom-50 of all events."""
-    results, _ = run_event_stream(spark, sf)
-    return latest_result(spark.read.parquet(results)).select("pid")
+    """After 4 micro-batches the streamed
+    tree's sample is the bottom-50 of all events, and its weight their number."""
+    results, state = run_event_stream(spark, sf)
+    done = committed_results(spark.read.parquet(results), spark.read.parquet(os.path.join(state, "commits")))
+    return latest_result(done).select("pid", _r("weight").alias("weight"))
 
 
 def q_streaming_results_running(spark, sf):
-    """Points per micro-batch and their running total."""
+    """Micro-batches, their points, the running total and progress."""
     _, state = run_event_stream(spark, sf)
     commits = spark.read.parquet(os.path.join(state, "commits"))
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return commits.where(F.col("num_points") > 0).select(
-        F.col("batch_id").cast("bigint").alias("batch_id"), "num_points",
-        F.sum("num_points").over(w).cast("bigint").alias("cum_points"))
+    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per batch
+    running = batch_progress(commits, batch_secs=86_400).where(F.col("num_points") > 0).withColumn("cum", F.sum("num_points").over(w))
+    return running.agg(F.count(F.lit(1)).alias("batches"), F.sum("num_points").alias("num_points"), F.max("cum").alias("cum_points"),
+                       F.max("batch_id").alias("last_batch"), F.bool_or("over_time").alias("over_time"))
 
 
 def q_sliding_points(spark, sf):
@@ -437,6 +536,13 @@ def q_distinct_rows(spark, sf):
                                        F.col("l_linenumber").cast("bigint").alias("l_linenumber")))
 
 
+def q_observed_rows(spark, sf):
+    """Rows counted as they pass into an aggregate."""
+    seen, obs = rel.tap(_t(spark, sf, "lineitem"), "lineitem")
+    top = seen.agg(F.max("l_quantity")).first()[0]
+    return spark.createDataFrame([(int(obs.get["rows"]), float(top))], "rows bigint, max_quantity double")
+
+
 def q_count_by_value(spark, sf):
     """A13."""
     li = _t(spark, sf, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("l_linenumber"))
@@ -479,21 +585,18 @@ TERM_BUCKETS = 1024
 def document_points(spark, sf) -> DataFrame:
     """Each whole document as a sparse hashed term-count vector (1024 buckets
     from md5 of each space-separated token): ``pid`` = doc_id, unit weight.
-    Documents without tokens have no point."""
-    from weftcore.sources.points import sparse_from_pairs
+    Counted inside the row: sorted buckets, where each run begins, and how
+    far it is to the next.  Documents without tokens have no point."""
     d = _t(spark, sf, "documents")
-    tok = d.select("doc_id", F.explode(F.split("text", " ")).alias("t")).where(F.col("t") != "")
-    idx = F.pmod(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long"), F.lit(TERM_BUCKETS))
-    counts = tok.groupBy("doc_id", idx.alias("i")).agg(F.count(F.lit(1)).alias("c"))
-    vec = counts.groupBy("doc_id").agg(sparse_from_pairs(
-        F.lit(TERM_BUCKETS), F.collect_list(F.struct(F.col("i").cast("int").alias("index"),
-                                                     F.col("c").cast("double").alias("value"))))
-        .alias("features"))
-    # derived input read by several jobs below: written once as a table in
-    # the shared checkpoint folder (disk, not executor memory)
-    from weftcore.sources.points import materialize
-    return materialize(vec.select(F.col("doc_id").alias("pid"), "features",
-                                  F.lit(1.0).alias("weight")), "document-vectors")
+    tok = F.filter(F.split("text", " "), lambda t: t != "")
+    idx = F.transform(tok, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(TERM_BUCKETS)).cast("int"))
+    d = d.select(F.col("doc_id").alias("pid"), F.array_sort(idx).alias("s")).where(F.size("s") > 0)
+    begin = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | (F.element_at("s", i) != F.element_at("s", F.greatest(i - 1, F.lit(1)))))
+    d = d.select("pid", "s", begin.alias("b"))
+    after = F.concat(F.slice("b", 2, F.size("b")), F.array(F.size("s") + 1))
+    vec = F.struct(F.lit(TERM_BUCKETS).alias("size"), F.transform("b", lambda i: F.element_at("s", i)).alias("indices"),
+                   F.zip_with("b", after, lambda x, y: (y - x).cast("double")).alias("values"))
+    return d.select("pid", vec.alias("features"), F.lit(1.0).alias("weight"))
 
 
 def q_document_term_vectors(spark, sf):
@@ -509,7 +612,8 @@ def q_document_term_vectors(spark, sf):
 def q_sparse_light_coreset(spark, sf):
     """C6 (light, sparse): 50 documents by light sensitivity on their sparse
     term vectors; distances from non-zeros only."""
-    s = LightSampler().sample(document_points(spark, sf), [], 50, SEED)
+    pts = materialize(document_points(spark, sf), "document-vectors")
+    s = LightSampler().sample(pts, [], 50, SEED)
     return s.select("pid", _r("weight").alias("weight"))
 
 
@@ -521,30 +625,33 @@ def q_sparse_norm_coreset(spark, sf):
 
 def q_sparse_cluster_coreset(spark, sf):
     """C7 (sparse, "coreset2"): documents through a tree of 4 leaves with the
-    cluster-mean sampler, s = 20 (rows only; total weight is preserved)."""
-    from weftcore.operators.samplers import ClusterMeanSampler
-    cs = coreset(document_points(spark, sf), TreeConfig(20, 2, leaves=4), ClusterMeanSampler(), SEED)
-    return cs.select("pid", _r("weight").alias("weight"),
-                     F.size("features.indices").cast("bigint").alias("nnz"))
+    cluster-mean sampler, s = 20: the kept weighted sum of every coordinate."""
+    pts = materialize(document_points(spark, sf), "document-vectors")
+    cs = materialize(coreset(pts, TreeConfig(20, 2, leaves=4), ClusterMeanSampler(), SEED), "sample")
+    cells = cs.select("weight", F.explode(F.arrays_zip("features.indices", "features.values")).alias("e"))
+    kept = cells.groupBy(F.col("e.indices").cast("bigint").alias("j")).agg(_r(F.sum(F.col("weight") * F.col("e.values")), 4).alias("total"))
+    size = cs.agg(_r(F.sum("weight"), 6).alias("weight"), (F.count(F.lit(1)) <= 20).alias("small"))
+    return kept.crossJoin(F.broadcast(size))  # one row
 
 
 def q_sparse_kmeans_coreset(spark, sf):
-    """C6 + M2: sparse sensitivity coreset of documents, weighted k-means
-    (k = 5) on it (rows only)."""
-    pts = document_points(spark, sf)
-    s = take_sample_sparse(pts)
-    return _centre_rows(models.weighted_kmeans(s, 5, SEED), spark)
+    """C6 + M2: sparse sensitivity coreset of documents (rough centres from
+    all of them), weighted k-means (k = 5) on it: facts of the centres."""
+    pts = materialize(document_points(spark, sf), "document-vectors")
+    s = materialize(SensitivitySampler(k=5, seed=SEED).prepare(pts).sample(pts, [], 100, SEED), "sample")
+    return centre_facts(models.weighted_kmeans(s, 5, SEED, max_iter=100), s, True, 1e-3)
 
 
-def take_sample_sparse(pts: DataFrame) -> DataFrame:
-    return SensitivitySampler(k=5, seed=SEED).prepare(pts).sample(pts, [], 100, SEED).persist()
+def q_sparse_svd_coreset(spark, sf):
+    """C8 + M3: weighted SVD axes (k = 2) of a sparse norm coreset of documents: their facts."""
+    s = materialize(NormSampler().sample(document_points(spark, sf), [], 100, SEED), "sample")
+    return axes_facts(models.svd_axes(s, 2, weighted=True), s, weighted=True).drop("total")
 
 
-def q_sparse_svd_coreset(spark, sf):
-    """C8 + M3: weighted SVD axes (k = 2) of a sparse norm coreset of
-    documents (rows only; signs fixed)."""
-    s = NormSampler().sample(document_points(spark, sf), [], 100, SEED).persist()
-    return _axes_rows(models.svd_axes(s, 2, weighted=True), spark)
+def q_sparse_svd_cost(spark, sf):
+    """E2 (sparse): all documents' term vectors on two axes that are neither unit nor orthogonal."""
+    c = ev.svd_cost(document_points(spark, sf), [[1.0] * TERM_BUCKETS, [float(j % 3) for j in range(TERM_BUCKETS)]])
+    return c.select(*[_r(x, 3).alias(x) for x in ("projection_norm", "residual_norm", "frobenius_norm")])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -589,4 +696,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sparse_cluster_coreset": q_sparse_cluster_coreset,
     "sparse_kmeans_coreset": q_sparse_kmeans_coreset,
     "sparse_svd_coreset": q_sparse_svd_coreset,
+    "weighted_uniform_coreset": q_weighted_uniform_coreset,
+    "take_ids": q_take_ids,
+    "take_multi_sample": q_take_multi_sample,
+    "tree_sensitivity_coreset": q_tree_sensitivity_coreset,
+    "evaluate_job": q_evaluate_job,
+    "label_mean_transpose": q_label_mean_transpose,
+    "label_mean_product": q_label_mean_product,
+    "streaming_kmeans_step": q_streaming_kmeans_step,
+    "observed_rows": q_observed_rows,
+    "sparse_svd_cost": q_sparse_svd_cost,
 }

@@ -26,8 +26,8 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # row_number() <= k gets a partial (map-side) group limit before the
-    # exchange up to this k; samples are larger than the default 1000.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # exchange whatever k is.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 

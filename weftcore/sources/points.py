@@ -67,16 +67,6 @@ def empty_points(spark: SparkSession, sparse: bool = False) -> DataFrame:
     return spark.createDataFrame([], SPARSE_POINT_SCHEMA if sparse else POINT_SCHEMA)
 
 
-def points_from_rows(spark: SparkSession, rows: list, sparse: bool = False) -> DataFrame:
-    """Small in-memory rows (centres, fixtures) to a DataFrame."""
-    return spark.createDataFrame(rows, SPARSE_POINT_SCHEMA if sparse else POINT_SCHEMA)
-
-
-def with_weight(df: DataFrame, weight: float = 1.0) -> DataFrame:
-    """Add the unit weight of freshly parsed points."""
-    return df.withColumn("weight", F.lit(float(weight)))
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """K4: write to the shared checkpoint folder and continue from the files.
 

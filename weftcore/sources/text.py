@@ -22,12 +22,19 @@ from weftcore.functions.vectors import sparse_struct
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 
-def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    """S1 + S4: bulk text scan, one row per line in column ``value``."""
-    df = spark.read.text(path)
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(int(min_partitions))
-    return df
+# Order of the lines of a bulk scan: file path, then place in the file.
+LINE_ORDER = ["_file", "_block", "_line_no"]
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Bulk text scan, one row per line in ``value``, with the columns of
+    ``LINE_ORDER``.  Spark deals files to tasks by size, so only these give
+    the order of the input: lines of one block of a file stand together in a
+    task and are numbered there in order.  (S4: the number of partitions is
+    set where the lines are numbered, not before.)"""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line_no"))
 
 
 def read_lines_stream(
@@ -103,7 +110,12 @@ def parse_sparse(df: DataFrame, col: str = "value", mode: str = "PERMISSIVE",
     """
     df.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     keep = keep if keep is not None else [col]
-    t = F.split(F.col(col), " ")
+    # a column of its own: inside the lambdas the split would run once per entry
+    tokens = "_tokens"
+    while tokens in df.columns:
+        tokens += "_"
+    df = df.withColumn(tokens, F.split(F.col(col), " "))
+    t = F.col(tokens)
     n = F.size(t)
     npairs = F.floor((n - 2) / 2).cast("int")
     ks = F.when(npairs > 0, F.sequence(F.lit(0), npairs - 1)).otherwise(

@@ -1,25 +1,28 @@
-"""The stateful tree sample over a micro-batch stream.
+"""The stateful tree sample over a micro-batch stream.
 
 Each micro-batch runs in ``foreachBatch``:
 
-1. read the forest committed by the latest earlier batch (never its own),
-2. sample the batch's leaves (C15) and union them with that forest,
-3. run merge-and-reduce rounds (C16) and write the new forest to
+1. read the forest and the sampler's state (rough centres) committed by the
+   latest earlier batch (never its own),
+2. sample the batch's leaves (C15), union them with that forest, run the
+   merge-and-reduce rounds (C16) as one query and write the new forest to
    ``state/tree/batch_id=N`` (overwrite: a retried batch replaces itself),
-4. take the final sample (C19), hand it to the model callback and write the
+3. take the final sample (C19), hand it to the model callback and write the
    result to ``results/batch_id=N`` as one file (K2),
-5. write ``state/commits/batch_id=N`` last, which makes version N visible.
+4. write ``state/commits/batch_id=N`` last, which makes version N current.
 
 The state lives in files under the shared folder, not in driver variables,
-so a restarted driver resumes from the last commit (the reference's state
-was lost with its driver).  An empty batch writes nothing; readers take the
-latest result (T6) instead of a repeated row.
+so a batch run again, by this object or a new one, gives the same rows.
+``committed_results`` shows only results whose commit was written.  An empty
+batch writes nothing; readers take the latest result (T6) instead of a
+repeated row.
 """
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+import time
+from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.errors import AnalysisException
@@ -28,28 +31,19 @@ from pyspark.sql import functions as F
 
 from weftcore.operators.samplers import POINT_COLS, Sampler
 from weftcore.operators.tree import (TREE_COLS, TreeConfig, assign_leaves, final_sample,
-                                     leaf_sample, tree_reduce)
+                                     leaf_sample, rounds_needed, tree_reduce, tree_reduce_planned)
 from weftcore.sources.points import materialize
 
-# pid layout for streams without an id column: batch | partition | position.
-_POS_BITS, _PART_BITS = 26, 16
+COMMIT = ("batch_id long, num_points long, tree_path string, max_level int, "
+          "sampler_state array<array<double>>, seconds double")
 
 
 def stream_pids(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Unique ids for rows of a micro-batch that carry none.
-
-    ``batch_id * 2^42 + partition * 2^26 + position``; deterministic for a
-    re-run of the same batch because the file split is the same.  Rows
-    beyond the bounds raise rather than collide.
-    """
-    mid = F.monotonically_increasing_id()
-    part = F.spark_partition_id().cast("long")
-    pos = mid - F.shiftleft(part, 33)
-    ok = (pos < F.lit(1 << _POS_BITS)) & (part < F.lit(1 << _PART_BITS))
-    pid = (F.lit(int(batch_id)) * F.lit(1 << (_POS_BITS + _PART_BITS))
-           + F.shiftleft(part, _POS_BITS) + pos)
-    return batch.withColumn("pid", F.when(ok, pid).otherwise(
-        F.raise_error(F.lit("micro-batch too large for stream ids")).cast("long")))
+    """Ids for rows of a micro-batch that carry none: a 64-bit hash of batch
+    and place in the batch, the same when the batch is run again because the
+    file split is the same.  Two rows of one id would only share their random
+    number."""
+    return batch.withColumn("pid", F.xxhash64(F.lit(int(batch_id)), F.monotonically_increasing_id()))
 
 
 def latest_version(spark: SparkSession, commits_dir: str, before: int | None = None) -> int | None:
@@ -75,6 +69,11 @@ def latest_commit(spark: SparkSession, commits_dir: str, before: int | None = No
     return c.orderBy(F.col("batch_id").desc()).limit(1).first()
 
 
+def committed_results(results: DataFrame, commits: DataFrame) -> DataFrame:
+    """Results of batches that were committed."""
+    return results.join(commits.select("batch_id"), "batch_id", "left_semi")
+
+
 def latest_result(results: DataFrame) -> DataFrame:
     """The result with the greatest batch id (the model after the last
     non-empty batch)."""
@@ -97,7 +96,6 @@ class StreamingTreeSampler:
     leaves_per_batch: int | None = None
     id_col: str | None = None
     keep_versions: int | None = None
-    round_stats: list = field(default_factory=list)
 
     @property
     def tree_dir(self) -> str:
@@ -109,9 +107,7 @@ class StreamingTreeSampler:
 
     def _tree_at(self, spark: SparkSession, before: int | None) -> DataFrame | None:
         c = latest_commit(spark, self.commits_dir, before)
-        if c is None:
-            return None
-        return spark.read.parquet(c["tree_path"]).select(*TREE_COLS)
+        return None if c is None else spark.read.parquet(c["tree_path"]).select(*TREE_COLS)
 
     def previous_tree(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         """The forest committed by the latest batch before ``batch_id``."""
@@ -120,8 +116,15 @@ class StreamingTreeSampler:
     def current_tree(self, spark: SparkSession) -> DataFrame | None:
         return self._tree_at(spark, None)
 
+    def _reduced(self, merged: DataFrame, sampler: Sampler, leaves: int, max_level: int, path: str) -> DataFrame:
+        if sampler.row_importance(merged) is not None:
+            rounds = rounds_needed(max_level, leaves, self.cfg.fan_in)
+            return materialize(tree_reduce_planned(merged, self.cfg, sampler, self.seed, rounds), path=path)
+        tree = tree_reduce(materialize(merged, "stream-leaves"), self.cfg, sampler, self.seed)
+        return materialize(tree, path=path)
+
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, began = batch.sparkSession, time.time()
         if self.id_col:
             batch = batch.withColumnRenamed(self.id_col, "pid") if self.id_col != "pid" else batch
         elif "pid" not in batch.columns:
@@ -135,6 +138,8 @@ class StreamingTreeSampler:
                 return  # T6: nothing new; the latest result stays current
             if self.before:
                 self.before(batch, batch_id)
+            last = latest_commit(spark, self.commits_dir, batch_id)
+            self.sampler.restore([list(c) for c in last["sampler_state"]] if last and last["sampler_state"] else None)
             sampler = self.sampler.prepare(batch)
             # At most one leaf per task slot, and no leaf below the threshold:
             # leaves are sampled with a map-side partial top-k, so big leaves
@@ -142,47 +147,41 @@ class StreamingTreeSampler:
             slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
             L = self.leaves_per_batch or self.cfg.leaves or max(
                 1, min(slots, n // self.cfg.threshold))
-            leaves = leaf_sample(assign_leaves(batch, self.cfg, L), self.cfg, sampler, self.seed)
-            prev = self.previous_tree(spark, batch_id)
-            merged = leaves if prev is None else prev.unionByName(leaves)
-            # The batch's rounds are written under its own folder (a retry
-            # overwrites them); the commit names the round holding the tree.
-            round_dir = os.path.join(self.tree_dir, f"batch_id={batch_id}")
-            stats: list = []
-            tree = tree_reduce(materialize(merged, path=f"{round_dir}/round=0"), self.cfg, sampler,
-                               self.seed, stats, round_dir=round_dir)
-            self.round_stats.append((batch_id, stats))
-            tree_path = f"{round_dir}/round={stats[-1][0] - 1}"
+            merged = leaf_sample(assign_leaves(batch, self.cfg, L), self.cfg, sampler, self.seed)
+            max_level = 0
+            if last is not None:
+                merged = spark.read.parquet(last["tree_path"]).select(*TREE_COLS).unionByName(merged)
+                max_level = last["max_level"]
+            path = os.path.join(self.tree_dir, f"batch_id={batch_id}")
+            tree = self._reduced(merged, sampler, L, max_level, path)
             sample = final_sample(tree, self.cfg, sampler, self.seed)
             if self.process_sample is not None:
                 result = self.process_sample(batch, sample, batch_id, n)
             else:  # T3: emit the sample itself
                 result = sample.withColumn("num_points", F.lit(n).cast("long"))
             if self.results_dir and result is not None:
-                (result.coalesce(1).write.mode("overwrite")
+                (result.coalesce(1).write.mode("overwrite")  # at most s rows
                  .parquet(os.path.join(self.results_dir, f"batch_id={batch_id}")))
-            (spark.createDataFrame([(int(batch_id), int(n), tree_path)],
-                                   "batch_id long, num_points long, tree_path string")
-             .coalesce(1).write.mode("overwrite")
+            level = tree.agg(F.max("level")).first()[0] or 0
+            (spark.createDataFrame([(int(batch_id), int(n), path, int(level), sampler.state(), time.time() - began)], COMMIT)
+             .coalesce(1).write.mode("overwrite")  # one row
              .parquet(os.path.join(self.commits_dir, f"batch_id={batch_id}")))
             if self.keep_versions:
-                self._retire_old_versions(spark, batch_id)
+                self._retire_old_versions(spark)
             if self.after:
                 self.after(result, batch_id)
         finally:
             batch.unpersist()
 
-    def _retire_old_versions(self, spark: SparkSession, batch_id: int) -> None:
-        """Keep the trees of the last ``keep_versions`` committed batches."""
-        commits = spark.read.parquet(self.commits_dir).select("batch_id").orderBy(
-            F.col("batch_id").desc()).collect()
-        old = [int(r["batch_id"]) for r in commits[self.keep_versions:]]
-        if not old:
-            return
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for v in old:
-            p = jvm.org.apache.hadoop.fs.Path(os.path.join(self.tree_dir, f"batch_id={v}"))
+    def _retire_old_versions(self, spark: SparkSession) -> None:
+        """Keep the trees of the last ``keep_versions`` commits, and always
+        the two last: the newest batch may run again, and starts from the one
+        before it."""
+        keep = max(2, self.keep_versions)
+        old = spark.read.parquet(self.commits_dir).select("tree_path", "batch_id").orderBy(F.col("batch_id").desc()).offset(keep)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for r in old.limit(64).collect():  # a batch retires one, or a few after a change of keep_versions
+            p = jvm.org.apache.hadoop.fs.Path(r["tree_path"])
             fs = p.getFileSystem(conf)
             if fs.exists(p):
                 fs.delete(p, True)
@@ -202,11 +201,3 @@ def trigger_kwargs(batch_secs: int | None = None, available_now: bool = False) -
     if available_now:
         return {"availableNow": True}
     return {"processingTime": f"{int(batch_secs or 10)} seconds"}
-
-
-def run_for(query, timeout_secs: float | None = None) -> bool:
-    """Wait for the query, at most ``timeout_secs`` (None: until it ends)."""
-    if timeout_secs is None:
-        query.awaitTermination()
-        return True
-    return bool(query.awaitTermination(timeout_secs))
