@@ -61,6 +61,13 @@ def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+def _import_path(spark: SparkSession) -> None:
+    """Let Python workers import the package where it is installed alike."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting one only if unset.
 
@@ -69,6 +76,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     setting is an error rather than a silent local write.
     """
     sc = spark.sparkContext
+    _import_path(spark)
     current = sc.getCheckpointDir()
     if current:
         return current
