@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import weftcore
 from weftcore.session import ensure_checkpoint_dir, scratch_path
 from weftcore.sources.points import materialize
 
 __all__ = ["BROADCAST_ROWS", "F", "bounded", "ensure_checkpoint_dir", "expand", "materialize", "prepare", "scratch_path", "table", "text_digest"]
 
 #: Arrow batches stay small even when single texts are long.
-ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings of the subpackage; the checkpoint folder is read, not replaced."""
     ensure_checkpoint_dir(spark)
-    root, env = os.path.dirname(os.path.dirname(os.path.abspath(weftcore.__file__))), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):  # workers import this package where it is installed alike
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
+    env = spark.sparkContext.environment
+    # workers give freed batches back instead of keeping them
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_TRIM_THRESHOLD_", "4000000"), ("MALLOC_MMAP_THRESHOLD_", "1000000")):
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

@@ -48,7 +48,7 @@ class Encoder:
     generations.  Irregular texts go to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 400_000):
+    def __init__(self, path: str, end_id: int, keep: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
