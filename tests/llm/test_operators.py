@@ -342,7 +342,7 @@ def test_contamination(spark, hard):
     extra = [(None, "one two three"), (9, words(1, 40)), (9, "line one is here line two is here"), (70, None), (71, ""), (72, "!?")]
     bench = bench.union(spark.createDataFrame(extra, "item_id long, text string"))
     items = pairs(bench, "item_id")
-    for df, most in ((hard.select("doc_id", "text"), 64 << 20), (hard.select("doc_id", "text"), 300), (docs.select("doc_id", "text"), 64 << 20), (docs.select("doc_id", "text").limit(0), 99)):
+    for df, most in ((hard.select("doc_id", "text"), 64 << 20), (hard.select("doc_id", "text"), 4000), (docs.select("doc_id", "text"), 64 << 20), (docs.select("doc_id", "text").limit(0), 99)):
         got = decontaminate.contamination(df, bench, out="c", max_bytes=most).select(
             "doc_id", "c.n_words", "c.n_hit", F.size("c.items"), F.sha2(F.array_join("c.items", ","), 256), F.col("c.n_hit") > 0).collect()
         assert none_first(map(tuple, got)) == none_first(B.contamination(pairs(df), items))
@@ -424,3 +424,11 @@ def test_importance(spark, hard):
     assert importance.resample(docs.limit(0), labels).count() == 0
     assert importance.keep_sampled(hard, labels).columns == hard.columns
     assert importance.resample(docs, labels, k=100).where("sampled").count() == 100
+
+
+def test_queries_and_their_sql(spark):
+    from oracle_compare import compare
+
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
+    out = compare(spark, SF001, list(queries.ORACLES), verbose=False)
+    assert {k: v[0] for k, v in out.items()} == dict.fromkeys(queries.ORACLES, "MATCH")

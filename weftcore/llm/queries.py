@@ -92,4 +92,57 @@ QUERIES = {f.__name__: f for f in (
     op1_token_sequences, op2_personal_data, op3_bounded_ring, op4_va_file_search, op5_line_dedup, op6_language_filters,
     op7_ngram_join, op8_decontaminate, op9_source_mix, op10_importance, pipeline)}
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLES: dict[str, str] = {
+    "op4_va_file_search": """
+WITH v AS (SELECT vec_id, UNNEST(range(len(embedding))) AS j, floor(256 * CAST(UNNEST(embedding) AS DOUBLE)) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.j = c.j AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+
+    "op8_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),
+b AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark),
+n AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+ni AS (SELECT item_id, w, k, UNNEST(range(1, len(w) - k + 2)) AS i FROM n),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM ni),
+ks AS (SELECT DISTINCT k FROM n),
+di AS (SELECT doc_id, w, k, UNNEST(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM di),
+hit AS (SELECT dw.doc_id, dw.i, dw.k, win.item_id FROM dw JOIN win ON dw.k = win.k AND dw.g = win.g),
+place AS (SELECT DISTINCT doc_id, i, k FROM hit),
+p AS (SELECT doc_id, UNNEST(range(i, i + k)) AS p FROM place),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM p GROUP BY doc_id),
+ids AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM ids GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""",
+
+    "op9_source_mix": """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS tag FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM s),
+c AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE n % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+             CAST(2 * source_size AS DOUBLE) AS cap, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS goal FROM w),
+l AS (SELECT cap / weight AS ratio,
+             (goal - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+f AS (SELECT min(ratio) AS ratio FROM l WHERE level <= ratio),
+g AS (SELECT min(l.level) AS level FROM l, f WHERE l.ratio = f.ratio),
+t AS (SELECT c.source, c.source_size, least(c.cap, c.weight * g.level) AS target FROM c, g),
+r AS (SELECT doc_id, source, size, CAST(row_number() OVER (PARTITION BY source ORDER BY size, tag, doc_id) - 1 AS DOUBLE) AS k,
+             CAST(('0x' || substr(md5('11:' || coalesce('s' || source, 'null')), 1, 3))::BIGINT AS DOUBLE) / 4096 AS u FROM d),
+x AS (SELECT r.doc_id, r.size, t.source_size, t.target, r.k, r.u, t.target / nullif(t.source_size, 0) AS rate
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT doc_id, size, source_size, target, CAST(least(coalesce(floor((k + 1) * rate + u) - floor(k * rate + u), 0), 2) AS BIGINT) AS copies FROM x)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM n""",
+}
