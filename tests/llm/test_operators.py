@@ -149,6 +149,16 @@ def test_personal_data(spark, hard):
     assert pii.find_personal_data(spark.createDataFrame([(1, "no such thing"), (2, None)], "doc_id long, text string")).where("spans <> ''").count() == 0
 
 
+def test_base_patterns_of_random_and_long_texts():
+    r = random.Random(12)
+    for alphabet in ("a1@.-_ ", "01.2 ", "12 -.+()3456789"):
+        for _ in range(3000):
+            t = "".join(r.choice(alphabet) for _ in range(r.randrange(40)))
+            assert sorted((a, k, b) for a, k, b, base in pii.candidates(t) if base) == sorted(B.base_spans(t)), repr(t)
+    for t in ("a" * 1_000_000 + "@", "1" * 1_000_000, "1." * 500_000, "a@" * 500_000, "+1" + "(" * 1_000_000, "1 " * 500_000):
+        assert not [x for x in pii.candidates(t) if x[3] and x[1] != 1]
+
+
 def test_label_model_recovers_reliability():
     r = np.random.default_rng(1)
     truth = r.random(4000) < 0.4

@@ -6,9 +6,11 @@ item of fewer words is one window.  The set of window hashes is broadcast;
 every training text is scanned window by window, a hash hit is verified on
 the words themselves, and a word inside any occurrence of a window is hit.
 
-The broadcast is bounded: items are dealt into slices of at most
-``max_bytes`` of text, and with more than one slice the documents pass
-through one scan per slice, each adding to the hits of the one before.
+The broadcast is bounded: items are dealt into slices of about ``max_bytes``
+of text, which take some five times that in a worker.  With more than one
+slice the documents pass through one scan per slice, each adding to the hits
+of the one before; every scan but the last is written to the shared folder,
+so a worker holds one slice at a time.
 
 Nulls, empty texts: no words, so never hit.  Repeated documents are judged
 one by one.  Benchmark rows that share an item id are one item; a null id
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftcore.llm.common import materialize
 from weftcore.llm.textgrams import batch_tokens
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_BITS = 20
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -45,42 +47,58 @@ def normalise(raw: bytes) -> bytes:
 
 
 class WindowSet:
-    """The windows of some test items: hashes by length, words and items by hash."""
+    """The windows of some test items, by length: sorted hashes, and for each
+    its bytes in the normalised text of all items and its item."""
 
     def __init__(self, rows: list[tuple], window: int):
-        by_length: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        ids = ["null" if i is None else str(i) for i, _ in rows]
-        for k, _, part, tok in batch_tokens_each([t for _, t in rows]):
-            n = len(tok.hash)
-            if n == 0:
-                continue
-            w = min(window, n)
-            at, hashes = tok.windows(w)
-            known = by_length.setdefault(w, {})
-            for i, h in zip(at.tolist(), hashes.tolist()):
-                words = normalise(part[tok.start[i]:tok.end[i + w - 1]].tobytes())
-                known.setdefault(h, {}).setdefault(words, set()).add(ids[k])
+        self.ids = ["null" if i is None else str(i) for i, _ in rows]
+        texts = [normalise((t or "").encode()) for _, t in rows]
+        self.body = b"".join(texts)
+        held: dict[int, list] = {}
+        base = 0
+        for a, _, part, tok in batch_tokens(pa.array(texts, pa.binary())):
+            n_words = np.diff(tok.first)
+            for w in range(1, window + 1):
+                mine = n_words >= w if w == window else n_words == w
+                if mine.any():
+                    at, hashes = tok.windows(w)
+                    use = mine[tok.text[at]]
+                    at, hashes = at[use], hashes[use]
+                    held.setdefault(w, []).append((hashes, (tok.start[at] + base).astype(np.int32), (tok.end[at + w - 1] + base).astype(np.int32), (tok.text[at] + a).astype(np.int32)))
+            base += len(part)
         self.by_length = {}
-        for w, known in by_length.items():
-            order = np.array(sorted(known), np.uint64)
-            maybe = np.zeros(1 << _BITS, bool)
-            maybe[order & np.uint64((1 << _BITS) - 1)] = True
-            self.by_length[w] = (order, maybe, {h: {x: sorted(s) for x, s in v.items()} for h, v in known.items()})
+        for w, parts in held.items():
+            hashes, *place = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            maybe = np.zeros(1 << min(26, max(20, (8 * len(order)).bit_length())), bool)
+            maybe[hashes & np.uint64(len(maybe) - 1)] = True
+            self.by_length[w] = (hashes[order], maybe, *(x[order] for x in place))
+
+    def _of_hash(self, w: int, lo: int) -> dict[bytes, set[str]]:
+        """Words and items of the windows with the hash at place ``lo``."""
+        order, _, start, end, item = self.by_length[w]
+        out: dict[bytes, set[str]] = {}
+        for k in range(lo, int(np.searchsorted(order, order[lo], "right"))):
+            out.setdefault(self.body[start[k]:end[k]], set()).add(self.ids[item[k]])
+        return out
 
     def hits(self, part: np.ndarray, tok) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which tokens lie in an occurrence, and the items found in each text."""
         edge = np.zeros(len(tok.hash) + 1, np.int64)
         found: dict[int, set[str]] = {}
-        for w, (order, maybe, known) in self.by_length.items():
+        for w, (order, maybe, *_) in self.by_length.items():
             at, hashes = tok.windows(w)
-            few = np.flatnonzero(maybe[hashes & np.uint64((1 << _BITS) - 1)])
+            few = np.flatnonzero(maybe[hashes & np.uint64(len(maybe) - 1)])
             if not len(few):
                 continue
             at, hashes = at[few], hashes[few]
             place = np.minimum(np.searchsorted(order, hashes), len(order) - 1)
             same = order[place] == hashes
-            for i, h in zip(at[same].tolist(), hashes[same].tolist()):
-                items = known[h].get(normalise(part[tok.start[i]:tok.end[i + w - 1]].tobytes()))
+            known: dict[int, dict[bytes, set[str]]] = {}
+            for i, k in zip(at[same].tolist(), place[same].tolist()):
+                if k not in known:
+                    known[k] = self._of_hash(w, k)
+                items = known[k].get(normalise(part[tok.start[i]:tok.end[i + w - 1]].tobytes()))
                 if items:
                     edge[i] += 1
                     edge[i + w] -= 1
@@ -88,13 +106,6 @@ class WindowSet:
         return np.cumsum(edge[:-1]) > 0, found
 
 
-def batch_tokens_each(texts: list) -> Iterator[tuple]:
-    """Tokens of each text alone."""
-    for k, t in enumerate(texts):
-        for a, b, part, tok in batch_tokens(pa.array([t], pa.string())):
-            yield k, b, part, tok
-
-
 def _runs(hit: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Begin and end of the runs of hit words of each text, counted from its first word."""
     out = []
@@ -129,7 +140,7 @@ def _scan(shared, name: str, out: str, prior: bool):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-                  window: int = 10, out: str = "contamination", max_bytes: int = 64 << 20) -> DataFrame:
+                  window: int = 10, out: str = "contamination", max_bytes: int = 16 << 20) -> DataFrame:
     """Every row of ``docs`` with a struct column ``out``: words, hit words,
     items with occurring windows (sorted), runs of hit words."""
     spark = docs.sparkSession
@@ -142,6 +153,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items
         shared = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], window))
         current = current.mapInArrow(_scan(shared, text, out, k > 0), schema)
+        if k + 1 < slices:
+            current = materialize(current, "scan")
     return current
 
 

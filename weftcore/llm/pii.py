@@ -36,9 +36,10 @@ from weftcore.llm.common import materialize, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# a match always begins with a run of digits: without the look behind, a long run is tried from each of its digits
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL_LOOSE = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?: ?(?:[\[({] ?dot ?[\])}]|\.) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
@@ -82,13 +83,26 @@ def valid(kind: str, s: str) -> bool:
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def _emails(run: str) -> list[tuple[int, int]]:
+    """Matches of the email pattern in a run of its characters, in linear time:
+    a local part takes all since the @ or the match before it."""
+    out, begin, end, at = [], 0, 0, run.find("@")
+    while at >= 0:
+        begin = max(begin, end)
+        if at > begin and (m := DOMAIN.match(run, at + 1)):
+            end = m.end()
+            out.append((begin, end))
+        begin, at = at + 1, run.find("@", at + 1)
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, base) of all candidates, by start, then kind."""
     out = []
     if "@" in text:
         for run in EMAIL_RUN.finditer(text):  # a match never leaves its run
             if "@" in run[0]:
-                out += [(run.start() + m.start(), 0, run.start() + m.end(), True) for m in EMAIL.finditer(run[0])]
+                out += [(run.start() + a, 0, run.start() + b, True) for a, b in _emails(run[0])]
     if "at" in text and ("[" in text or "(" in text or "{" in text):
         out += [(m.start(), 0, m.end(), False) for m in EMAIL_LOOSE.finditer(text)]
     if DIGIT.search(text):
