@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from weftcore.llm.common import prepare
 from weftcore.llm.textgrams import mix64
 
-CHUNK = 1 << 18  # characters at once
+CHUNK = 1 << 15  # characters at once: arrays small enough to be reused, not mapped anew
 
 
 @cache
