@@ -265,6 +265,37 @@ def test_line_dedup(spark, hard, docs):
     assert [x.text for x in clean.where("doc_id = 12").collect()] == ["line one is here\n\nline two is here"]
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left = row[:1]
+        row[0] = i
+        for j, y in enumerate(b, 1):
+            left.append(row[j])
+            row[j] = min(row[j] + 1, row[j - 1] + 1, left[j - 1] + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits, pairs_to", [(2, 32), (2, 2)])
+def test_line_dedup_of_more_edits(spark, monkeypatch, edits, pairs_to):
+    monkeypatch.setattr(line_dedup, "PAIRS", pairs_to)  # 2: groups are cut down to single characters
+    r = random.Random(edits)
+    base = ["".join(r.choice("abcd e") for _ in range(n)) for n in (9, 10, 14, 30, 30, 90)]
+
+    def near(s):
+        for _ in range(r.randrange(5)):
+            p = r.randrange(len(s))
+            s = r.choice([s[:p] + s[p + 1:], s[:p] + "z" + s[p:], s[:p] + "é" + s[p + 1:]])
+        return s
+
+    made = [near(r.choice(base)) for _ in range(90)] + ["the sea of that orinre", "the sea of at orinre"]
+    first = list(dict.fromkeys(made))
+    want = {made.index(b) for k, b in enumerate(first) if not any(min(len(a), len(b)) >= 8 and _edits(a, b) <= edits for a in first[:k])}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    assert {x.doc_id for x in line_dedup.line_report(df, edits=edits).collect() if x.n_kept} == want
+    assert len(made) - 1 not in want
+
+
 # ------------------------------------------------------------ op6: languages
 
 def test_language_filters(spark, hard):

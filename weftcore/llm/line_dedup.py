@@ -1,26 +1,27 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line (a piece of a text between line feeds, blank ones aside) goes if an
-equal line stands earlier in the corpus, or if an earlier line is one edit
-away: one character changed, added or removed.  Earlier means a smaller
-doc_id (null first; ties: md5 of the row), then a smaller line number.
+equal line stands earlier in the corpus, or if an earlier line is at most
+``edits`` edits away: characters changed, added or removed.  Earlier means a
+smaller doc_id (null first; ties: md5 of the row), then a smaller line number.
 Lines under ``shortest`` characters are compared for equality only.
 
-Equal lines are reduced to their first occurrence.  Of two lines one edit
-apart, one half of the shorter one is unchanged at its end of both, so a
-line without an equal half in another line of fitting length has no
-neighbour; this settles nearly all lines without variants.  The others emit
-the hash of every variant with one character removed, each variant from
-prefix sums in constant time, of two sorts:
+Equal lines are reduced to their first occurrence.  Two lines e edits apart
+match one pattern of at most e marks, each of which stands for one character
+or none.  A line of n characters enters patterns of length L = n .. n + e
+(L - n of its marks stand for none), which are cut into m parts:
 
-- with length and place of the removed character: lines that share it differ
-  at this place only;
-- without the place, together with whole lines: a line equal to another's
-  variant lacks one of its characters.
+- with m = e + 1 some part has no mark.  A line that shares no part, at a
+  fitting place, with another line has no neighbour; this settles nearly all
+  lines;
+- the others emit a key for every choice of e of m parts, the hash of all else
+  in the pattern: lines within e edits share one.  Groups of at most ``PAIRS``
+  lines are compared pair by pair;
+- a larger group is cut again, m times ``PARTS``, within its chosen parts.
+  Once a part is one character, all lines of a key are neighbours of its
+  earliest one, so no group needs more pairs than ``PAIRS`` allows.
 
-So all the lines of a variant key are neighbours of its earliest one (of the
-other role, in the second sort), and no pairs are made.  The edit distance
-to that line is verified.
+Every removal is verified with the edit distance to an earlier line.
 
 Null and empty texts have no lines.  Rows that agree in id and text are one
 document with one decision.  The report has one row per row of the input.
@@ -29,6 +30,8 @@ document with one decision.  The report has one row per row of the input.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, partial
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -53,77 +56,149 @@ def _lines(rows: DataFrame) -> DataFrame:
     return out.withColumn("line_key", F.unhex(F.md5("line"))).withColumn("code", F.xxhash64("line"))
 
 
-def _halves() -> list:
-    """Hashes of the halves of a line: as the shorter of two or one of equal length, then as the longer."""
-    n = F.length("line")
-    out = []
-    for m in (n, n - 1):
-        h = F.floor(m / 2).cast("int")
-        out.append(F.xxhash64(m, F.lit("P"), F.substring("line", F.lit(1), h)))
-        out.append(F.xxhash64(m, F.lit("S"), F.substring("line", n - (m - h) + 1, m - h)))
-    return out
+#: A group of at most this many lines is compared pair by pair; a larger one is cut into so many times more parts.
+PAIRS, PARTS = 32, 8
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, code, role): role 0 for places, 1 for a whole line, 2 for a line with one removed."""
+def _whole_parts(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+    """(code, key): hashes of the parts, of edits + 1, that a line may share unchanged with one ``edits`` edits away."""
+    m = edits + 1
     for batch in batches:
-        keys, codes, roles = [], [], []
-        for line, code, half in zip(batch.column("line").to_pylist(), batch.column("code").to_pylist(), batch.column("halves").to_pylist()):
+        lines, code = batch.column("line").to_pylist(), batch.column("code").to_numpy()
+        n = np.array(list(map(len, lines)), np.int64)
+        start = np.cumsum(n) - n
+        v = mix64(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) + U64(1))
+        up, down = _chunk_powers() if len(v) <= CHUNK else _powers(len(v) + 1)
+        total = np.zeros(len(v) + 1, U64)
+        np.cumsum(v * up[:len(v)], dtype=U64, out=total[1:])
+        keys, codes = [], []
+        for t in range(edits + 1):
+            size = n + t
+            for u in range(m):
+                lo, hi = size * u // m, size * (u + 1) // m
+                for j in range(max(0, t - (edits - u)), min(t, u) + 1):  # marks for no character before the part
+                    fits = (lo >= j) & (size - hi >= t - j)
+                    a, b = (start + lo - j)[fits], (start + hi - j)[fits]
+                    keys.append(mix64((total[b] - total[a]) * down[a] ^ mix64((size[fits] * m + u).astype(U64))).view(np.int64))
+                    codes.append(code[fits])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(keys))], names=["code", "key"])
+
+
+@lru_cache(1 << 12)
+def _choices(m: int, edits: int, within: tuple[int, ...] | None) -> list:
+    """Ways to choose ``edits`` of m parts, ``within`` parts of the round before
+    (none: of all), as arrays by the number t of marks that stand for no
+    character: (t, parts, bounds and shifts of the pieces kept, bounds of the
+    runs of chosen parts).  A choice of few runs is filled up with empty pieces."""
+    parts = range(m) if within is None else [p * PARTS + k for p in within for k in range(PARTS)]
+    held: dict[int, list] = {}
+    for chosen in combinations(parts, edits):
+        runs: list[list[int]] = []
+        for p in chosen:
+            if runs and runs[-1][1] == p:
+                runs[-1][1] = p + 1
+            else:
+                runs.append([p, p + 1])
+        pad = edits - len(runs)
+        lo, hi = [0, *[b for _, b in runs], *[m] * pad], [*[a for a, _ in runs], m, *[m] * pad]
+        for none in product(*[range(b - a + 1) for a, b in runs]):
+            shift = [0, *[sum(none[:k + 1]) for k in range(len(none))]]
+            shift += [shift[-1]] * pad
+            held.setdefault(shift[-1], []).append((chosen, lo, hi, shift, [k < len(runs) for k in range(edits)]))
+    return [(t, *(np.array(x) for x in zip(*rows))) for t, rows in sorted(held.items())]
+
+
+def _patterns(batches: Iterator[pa.RecordBatch], m: int, edits: int) -> Iterator[pa.RecordBatch]:
+    """(key, code, parts, fine, r0, r1, ...): the chosen parts of a key, whether each is one
+    character, and the hash of the line in each run of them (its code where a run is missing)."""
+    for batch in batches:
+        rows, held = [], 0
+        given = batch.column("within").to_pylist() if "within" in batch.schema.names else [None] * batch.num_rows
+        for line, code, within in zip(batch.column("line").to_pylist(), batch.column("code").to_pylist(), given):
             v = mix64(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) + U64(1))
             n = len(v)
-            up, down = _chunk_powers() if n <= CHUNK else _powers(n + 1)
-            run = np.zeros(n + 1, U64)
-            np.cumsum(v * up[:n], dtype=U64, out=run[1:])
-            cut = run[:n] + (run[n] - run[1:]) * down[1]  # the line without each of its characters
-            at = np.arange(n)
-            place = at[((at >= n // 2) & (0 in half)) | ((at < n // 2) & (1 in half))]
-            gone = at[((at >= (n - 1) // 2) & (2 in half)) | ((at < (n - 1) // 2) & (3 in half))]
-            parts = [(mix64(cut[place] ^ mix64(place.astype(U64) + U64(n << 32))), 0), (np.unique(mix64(cut[gone] + U64(2 * n - 1))), 2)]
-            if 0 in half or 1 in half:
-                parts.append((mix64(run[n:] + U64(2 * n + 1)), 1))
-            for k, role in parts:
-                keys.append(k)
-                roles.append(np.full(len(k), role, np.int32))
-                codes.append(np.full(len(k), code, np.int64))
-            if sum(map(len, keys)) > 1 << 18:
-                yield _variant_batch(keys, codes, roles)
-                keys, codes, roles = [], [], []
-        if keys:
-            yield _variant_batch(keys, codes, roles)
-
-
-def _variant_batch(keys: list, codes: list, roles: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(codes)), pa.array(np.concatenate(roles))], names=["key", "code", "role"])
-
-
-def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 8) -> DataFrame:
+            up = (_chunk_powers() if n + edits <= CHUNK else _powers(n + edits + 1))[0]
+            total = np.zeros(n + 1, U64)
+            np.cumsum(v * up[:n], dtype=U64, out=total[1:])
+            for parent in within or [None]:
+                for t, chosen, lo, hi, shift, real in _choices(m, edits, None if parent is None else tuple(parent)):
+                    bound = (n + t) * np.arange(m + 1) // m
+                    a, b = bound[lo] - shift, bound[hi] - shift
+                    ok = (a[:, 1:] >= b[:, :-1]).all(axis=1) & (a >= 0).all(axis=1) & (b <= n).all(axis=1)
+                    if not ok.any():
+                        continue
+                    a, b, chosen = a[ok], b[ok], chosen[ok]
+                    # the characters between the chosen parts, at their places in the pattern
+                    text = ((total[b] - total[a]) * up[shift[ok]]).sum(axis=1, dtype=U64)
+                    place = np.full(len(a), (n + t) * (1 << 24) + m, U64)
+                    for k in range(edits):
+                        place = mix64(place) + chosen[:, k].astype(U64)
+                    inside = mix64((total[a[:, 1:]] - total[b[:, :-1]]) * up[shift[ok][:, :-1]] ^ mix64((a[:, 1:] - b[:, :-1]).astype(U64)))
+                    inside = np.where(real[ok], inside.view(np.int64), code)
+                    rows.append((mix64(text ^ mix64(place)).view(np.int64), np.full(len(a), code, np.int64), chosen.astype(np.int32), np.full(len(a), n + t <= m), inside))
+                    held += len(a)
+                if held > 1 << 16:
+                    yield _pattern_batch(rows)
+                    rows, held = [], 0
+        if held:
+            yield _pattern_batch(rows)
+
+
+def _pattern_batch(rows: list) -> pa.RecordBatch:
+    key, code, parts, fine, inside = (np.concatenate(x) for x in zip(*rows))
+    listed = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, parts.shape[1], dtype=np.int32)), pa.array(parts.ravel()))
+    runs = [pa.array(np.ascontiguousarray(c)) for c in inside.T]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code), listed, pa.array(fine), *runs], names=["key", "code", "parts", "fine", *[f"r{k}" for k in range(len(runs))]])
+
+
+def _later(pairs: DataFrame, some: DataFrame, edits: int) -> DataFrame:
+    """line_key of the later line of every pair (a, b) of codes that is within the bound."""
+    side = lambda x: some.select(F.col("code").alias(x), F.struct("at", "line", "line_key").alias(f"_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    later = F.when(F.col("_a.at") < F.col("_b.at"), F.col("_b.line_key")).otherwise(F.col("_a.line_key"))
+    return both.where(F.levenshtein("_a.line", "_b.line", edits).between(0, edits)).select(later.alias("line_key"))
+
+
+def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 8, edits: int = 1) -> DataFrame:
     """(row, kept): the numbers of the lines that each document keeps, blank ones aside."""
+    if edits < 1:
+        raise ValueError(f"edits is at least 1, not {edits}")
     prepare(docs.sparkSession)
     lines = _lines(_rows(docs, doc_id, text))
     here = F.struct("doc_id", "row", "pos")
     first = materialize(lines.groupBy("line_key").agg(F.min(here).alias("at"), F.first("code").alias("code")), "lines")
 
     long = lines.where(F.length("line") >= shortest)
-    keyed = long.select("code", F.posexplode(F.array(*_halves())).alias("half", "key"))
+    keyed = long.select("line", "code").mapInArrow(partial(_whole_parts, edits=edits), "code long, key long")
     shared = keyed.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a < b").select("key")
-    shared = materialize(shared, "halves")
-    near = keyed.join(bounded(shared), "key").groupBy("code").agg(F.sort_array(F.collect_set("half")).alias("halves"))
-    near = materialize(near, "near")
-    some = long.join(bounded(near.select("code")), "code", "left_semi").groupBy("line_key").agg(F.first("line").alias("line"), F.first("code").alias("code"))
-    some = some.join(first.select("line_key", "at"), "line_key").join(near, "code")
-    some = materialize(some, "candidates")
-
-    variants = some.select("line", "code", "halves").mapInArrow(_variants, "key long, code long, role int")
-    met = variants.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a < b").select("key")
-    met = materialize(met, "met")
-    member = variants.join(bounded(met), "key").distinct().join(some.select("code", "line_key", "at", "line"), "code")
-    member = materialize(member, "member")
-    earliest = member.groupBy("key", "role").agg(F.min(F.struct("at", "line")).alias("e"))
-    # role 0 meets itself, whole lines meet those with one character removed
-    met_role = F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role"))
-    other = earliest.select("key", met_role.alias("role"), "e")
-    gone = member.join(other, ["key", "role"]).where((F.col("e.at") < F.col("at")) & (F.levenshtein("line", F.col("e.line"), 1).between(0, 1))).select("line_key").distinct()
-    gone = materialize(gone, "gone")
+    shared = materialize(shared, "parts")
+    near = materialize(keyed.join(bounded(shared), "key", "left_semi").select("code").distinct(), "near")
+    some = long.join(bounded(near), "code", "left_semi").groupBy("line_key").agg(F.first("line").alias("line"), F.first("code").alias("code"))
+    some = materialize(some.join(first.select("line_key", "at"), "line_key"), "candidates")
+
+    runs = [f"r{k}" for k in range(edits)]
+    schema = ", ".join(["key long, code long, parts array<int>, fine boolean", *[f"{r} long" for r in runs]])
+    gone, m, current = None, max(PARTS, 2 * (edits + 1)), some.select("line", "code")
+    while True:
+        keys = current.mapInArrow(partial(_patterns, m=m, edits=edits), schema).distinct()
+        groups = keys.groupBy("key").agg(F.count_distinct("code").alias("n"), *[F.expr(f"min({r}) < max({r})").alias(r) for r in runs])
+        # where all lines agree in a run, a choice with fewer runs has their pairs
+        groups = materialize(groups.where(" AND ".join(["n > 1", *runs])).select("key", "n"), "groups")
+        member = materialize(keys.drop(*runs).distinct().join(bounded(groups), "key"), "member")
+        few = member.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_set("code")).alias("c"))
+        few = few.select(F.explode(F.transform("c", lambda x, i: F.struct(x.alias("a"), F.slice("c", i + 2, PAIRS).alias("bs")))).alias("p"))
+        pairs = few.select("p.a", F.explode("p.bs").alias("b")).distinct()
+        many = member.where(F.col("n") > PAIRS)
+        least = many.where("fine").join(some.select("code", "at"), "code").groupBy("key").agg(F.min(F.struct("at", "code")).alias("e"))
+        ends = many.where("fine").join(least, "key").select(F.col("e.code").alias("a"), F.col("code").alias("b")).where("a != b").distinct()
+        found = materialize(_later(pairs.union(ends), some, edits).distinct(), "gone")
+        gone = found if gone is None else gone.union(found)
+        coarse = many.where("NOT fine").groupBy("code").agg(F.collect_set("parts").alias("within"))
+        coarse = materialize(coarse, "coarse")
+        if coarse.isEmpty():
+            break
+        current, m = some.select("line", "code").join(coarse, "code"), m * PARTS
+    gone = materialize(gone.distinct(), "gone")
     kept = first.join(bounded(gone), "line_key", "left_anti").select("at.*")
     return kept.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
