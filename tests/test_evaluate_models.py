@@ -151,3 +151,19 @@ def test_sparse_kmeans_and_stream_step(spark):
     assert np.allclose(c, [[0.0, 1.5], [10.5, 0.0]])
     dense, sparse = (streaming_kmeans_update(df, [[0.0, 0.0], [9.0, 0.0]], [1.0, 2.0], 0.5) for df in (p, _sparse(p)))
     assert np.allclose(dense[0], sparse[0]) and dense[1] == sparse[1]
+
+
+def test_sparse_seeds_among_equal_points(spark):
+    # a third of the points are one vector; four groups of two points each lie far from a crowd
+    far = [[100.0 * (g == j) + 0.1 * i for j in range(4)] for g in range(4) for i in range(2)]
+    crowd = [[0.01 * i, 0.0, 0.0, 1.0] for i in range(30)]
+    rows = [[0.0, 0.0, 0.0, 1.5]] * 20 + crowd + far
+    for seed in range(3):
+        p = _sparse(_pts(spark, rows))
+        seeds = models.sparse_seeds(p, 5, seed)
+        assert len({tuple(s) for s in seeds.tolist()}) == 5
+        centres = np.array(models.weighted_kmeans(p, 5, seed))
+        a = np.array(rows)
+        near = ((a[:, None] - centres[None]) ** 2).sum(2)
+        assert len(set(near.argmin(1).tolist())) == 5 and near.min(1).sum() < 50
+    assert len(models.weighted_kmeans(_sparse(_pts(spark, [[0.0, 1.0]] * 5)), 3, 1)) == 1

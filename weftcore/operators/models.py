@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from weftcore.functions.hashing import uniform01
 from weftcore.functions.linalg import sum_partials
-from weftcore.functions.vectors import is_sparse_type, nearest_sparse
+from weftcore.functions.vectors import is_sparse_type, nearest_sparse, sparse_sq_norm
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
@@ -44,24 +44,74 @@ def kmeans_centres(points: DataFrame, k: int, seed: int = 0, max_iter: int = 20,
     return [[float(x) for x in c] for c in km.fit(vec).clusterCenters()]
 
 
+def _centre_row(spark: SparkSession, centres: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(centres.tolist(), (centres * centres).sum(axis=1).tolist())], "c array<array<double>>, cn array<double>")
+
+
+def sparse_seeds(points: DataFrame, k: int, seed: int = 0, weighted: bool = True, rounds: int = 5) -> np.ndarray:
+    """k-means|| seeds of sparse points: each round keeps a point with
+    probability 2k w d^2 / cost, and always the one of the first priority
+    -log(u) / (w d^2); weighted k-means++ chooses k of those kept.  Only the
+    points kept, about 2k a round, reach the driver.  Rounds go on until there
+    are k different vectors, or all points lie on those kept."""
+    spark = points.sparkSession
+    w = (F.col("weight") if weighted else F.lit(1.0)).cast("double")
+    dim = points.agg(F.max("features.size")).first()[0]
+
+    def vectors(rows):
+        out = np.zeros((len(rows), dim))
+        for c, r in zip(out, rows):
+            c[r["features"]["indices"]] = r["features"]["values"]
+        return out
+
+    def first(df, share):
+        return df.where(share > 0).orderBy(-F.log("u") / share, "pid").limit(1).select("pid", "features")
+
+    drawn = points.select("pid", "features", w.alias("w"), uniform01("pid", seed).alias("u"))
+    found = vectors(first(drawn, F.col("w")).collect())
+    step = 0
+    while len(found) and (step < rounds or len(found) < k):
+        step += 1
+        near = points.crossJoin(F.broadcast(_centre_row(spark, found))).select(
+            "pid", "features", w.alias("w"), uniform01("pid", seed + 7919 * step).alias("u"), nearest_sparse("features", "c", "cn")["d2"].alias("d2"))
+        # a point on a centre has a distance of rounding errors only
+        share = F.col("w") * F.when(F.col("d2") > 1e-12 * sparse_sq_norm("features"), F.col("d2")).otherwise(0.0)
+        near = near.select("pid", "features", "u", share.alias("share"))
+        cost = near.agg(F.sum("share")).first()[0] or 0.0
+        if cost <= 0:
+            break
+        kept = near.where(F.col("u") * cost < 2 * k * F.col("share")).select("pid", "features").unionByName(first(near, F.col("share")))
+        more = vectors(kept.select("features").distinct().collect())
+        before, found = len(found), np.unique(np.vstack([found, more]), axis=0)
+        if len(found) == before:
+            break
+    if len(found) <= k:
+        return found
+    mass = np.zeros(len(found))
+    near = points.crossJoin(F.broadcast(_centre_row(spark, found))).select(nearest_sparse("features", "c", "cn")["idx"].alias("b"), w.alias("w"))
+    for b, x in near.groupBy("b").agg(F.sum("w")).collect():  # one row per vector kept
+        mass[b] = x
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(found), p=mass / mass.sum()))]
+    d2 = ((found - found[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k and (mass * d2).sum() > 0:
+        chosen.append(int(rng.choice(len(found), p=mass * d2 / (mass * d2).sum())))
+        d2 = np.minimum(d2, ((found - found[chosen[-1]]) ** 2).sum(axis=1))
+    return found[chosen]
+
+
 def sparse_kmeans(points: DataFrame, k: int, seed: int = 0, max_iter: int = 20, tol: float = 1e-4,
                   weighted: bool = True) -> list:
     """Lloyd steps over the non-zeros of sparse points, as expressions and
-    aggregates per (centre, coordinate).  Starts from the k points of smallest
-    u(pid, seed); a centre without points stays.  Ends when no centre moves
-    by more than ``tol``.  Equal in every run and for every partitioning up
+    aggregates per (centre, coordinate).  Starts from :func:`sparse_seeds`; a
+    centre without points stays.  Ends when no centre moves by more than
+    ``tol``.  Points of fewer than k different vectors give fewer centres.  Equal in every run and for every partitioning up
     to the order of sums."""
     spark = points.sparkSession
-    f = F.col("features")
     w = F.col("weight") if weighted else F.lit(1.0)
-    first = points.orderBy(uniform01("pid", seed), "pid").limit(k).select("features").collect()
-    dim = points.agg(F.max(f["size"])).first()[0]
-    centres = np.zeros((len(first), dim))
-    for c, r in zip(centres, first):
-        c[r["features"]["indices"]] = r["features"]["values"]
+    centres = sparse_seeds(points, k, seed, weighted)
     for _ in range(max_iter):
-        cdf = spark.createDataFrame([(centres.tolist(), (centres * centres).sum(axis=1).tolist())], "c array<array<double>>, cn array<double>")
-        near = points.crossJoin(F.broadcast(cdf)).select(nearest_sparse("features", "c", "cn")["idx"].alias("b"), w.alias("w"), "features")
+        near = points.crossJoin(F.broadcast(_centre_row(spark, centres))).select(nearest_sparse("features", "c", "cn")["idx"].alias("b"), w.alias("w"), "features")
         # one pass: every point also counts for coordinate -1, with value 1
         cell = F.struct(F.lit(-1).alias("j"), F.lit(1.0).alias("v"))
         entries = F.concat(F.array(cell), F.arrays_zip(F.col("features.indices").alias("j"), F.col("features.values").alias("v")))
