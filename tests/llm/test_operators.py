@@ -159,6 +159,11 @@ def test_base_patterns_of_random_and_long_texts():
         assert not [x for x in pii.candidates(t) if x[3] and x[1] != 1]
 
 
+def test_loose_email_in_capitals():
+    for t in ("john [at] firm [dot] com", "JOHN [AT] FIRM [DOT] COM"):
+        assert (0, 0, len(t), False) in pii.candidates(t)
+
+
 def test_label_model_recovers_reliability():
     r = np.random.default_rng(1)
     truth = r.random(4000) < 0.4

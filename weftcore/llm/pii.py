@@ -103,7 +103,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
         for run in EMAIL_RUN.finditer(text):  # a match never leaves its run
             if "@" in run[0]:
                 out += [(run.start() + a, 0, run.start() + b, True) for a, b in _emails(run[0])]
-    if "at" in text and ("[" in text or "(" in text or "{" in text):
+    if ("[" in text or "(" in text or "{" in text) and "at" in text.lower():
         out += [(m.start(), 0, m.end(), False) for m in EMAIL_LOOSE.finditer(text)]
     if DIGIT.search(text):
         out += [(m.start(), 1, m.end(), valid("ip", m[0])) for m in IP.finditer(text)]
