@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftcore.session import ensure_checkpoint_dir, scratch_path
 from weftcore.sources.points import materialize
 
-__all__ = ["BROADCAST_ROWS", "F", "bounded", "ensure_checkpoint_dir", "expand", "materialize", "prepare", "scratch_path", "table", "text_digest"]
+__all__ = ["BROADCAST_ROWS", "F", "bounded", "ensure_checkpoint_dir", "expand", "join_counted", "materialize", "prepare", "scratch_path", "table", "text_digest"]
 
 #: Arrow batches stay small even when single texts are long.
 ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
@@ -44,6 +44,20 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
+    """Inner join of rows with ``facts``, one fact a key, of which ``n`` says how
+    many rows it meets (``total`` in all, or their sum).  Keys of more than
+    1 / 10,000 of all rows (and of 64) are at most 10,000: their facts are
+    broadcast, and their rows stay where they are.  All others are shuffled."""
+    if total is None:
+        total = facts.agg(F.sum(n)).first()[0] or 0
+    limit = max(64, total // 10_000)
+    hot = facts.where(F.col(n) > limit)
+    most = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col(n) <= limit), keys)
+    return most.unionByName(rest)
+
+
 def expand(df: DataFrame, first: str, n: str, out: str, step: int = 1 << 16) -> DataFrame:
     """Each row n times, numbered first, first + 1, ... in ``out``; made in
     pieces of ``step``, so a large n needs no large array."""
