@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcore.llm import decontaminate, importance, language_id, line_dedup, mixing, ngram_join, pii, sharding, token_output, vafile
+from weftcore.llm import (decontaminate, importance, language_id, line_dedup, mixing, ngram_join, periodic_runs, pii, sharding, simhash_dedup,
+                          token_output, vafile, whitening)
 from weftcore.llm.common import prepare, scratch_path, table
 
 END_ID = 2
@@ -81,6 +84,34 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.sample_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 whitened components of all embeddings' covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def planted_period(doc_id: int | None, words: list) -> list:
+    """A document whose id's crc32 is divisible by 10 repeats some of its words to its end; a null id changes nothing."""
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n = len(words)
+    if h is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    part = words[a:a + p]
+    return words[:a] + (part * ((n - a) // len(part) + 1))[:n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four or more periods in the words of every document, and the text without their repeats."""
+    return periodic_runs.run_digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), planted_period, shortest=6, power=4))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: three-word shingles, two bits or fewer apart."""
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py on documents."""
     import corpus_pipeline
@@ -90,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_sequences, op2_personal_data, op3_bounded_ring, op4_va_file_search, op5_line_dedup, op6_language_filters,
-    op7_ngram_join, op8_decontaminate, op9_source_mix, op10_importance, pipeline)}
+    op7_ngram_join, op8_decontaminate, op9_source_mix, op10_importance, op11_whitening, op12_periodic_runs, op13_simhash, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
