@@ -88,6 +88,40 @@ def test_encoder_equals_library():
         assert np.frombuffer(x, "<u2").tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_encoder_of_other_tokenizers(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    texts = [t for _, t in HARD if t] + ["".join(r.choice(["Ab", "é", " ", "\n", "'s", "9", "<|endoftext|>", "中", ".."]) for _ in range(r.randrange(40))) for _ in range(200)]
+    byte = queries.tokenizer_path()
+    assert token_output.by_words(byte) and not token_output.by_words(queries.tokenizer_path("word_bpe_49k.json"))
+    spec = json.load(open(byte, encoding="utf-8"))
+    for change in ({"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = f"{tmp_path}/t.json"
+        json.dump({**spec, **change}, open(path, "w", encoding="utf-8"))
+        assert not token_output.by_words(path)
+    for path in (queries.tokenizer_path("word_bpe_49k.json"), path):  # whole texts go to the library
+        plain = Tokenizer.from_file(path)
+        enc = token_output.Encoder(path, 2)
+        for t, x in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(x, enc.kind).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_encoder_on_given_documents_and_small_pieces(docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    texts = [t for _, t in pairs(docs)]
+    want = [[*e.ids, 2] for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for joined, keep in ((1 << 16, 700_000), (7, 100)):
+        monkeypatch.setattr(token_output, "JOINED", joined)
+        enc = token_output.Encoder(queries.tokenizer_path(), 2, keep=keep)
+        got = [x for a in range(0, len(texts), 50) for x in enc.encode(texts[a:a + 50])]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+
+
 def test_token_files(spark, hard, docs):
     from tokenizers import Tokenizer
 
@@ -237,16 +271,41 @@ def test_va_file(spark):
     assert vafile.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
-def test_va_file_reads_few():
+def test_va_file_bounds_hold_and_leave_few(spark):
     r = np.random.default_rng(3)
-    x = np.floor(256 * r.normal(size=(5000, 32)) / 6)
-    lo, width = int(x.min()), max(1, -(-int(x.max() - x.min() + 1) >> 6))
-    best = vafile.Best(x[:20], np.arange(20), 5)
-    best.scan(lo, width, np.arange(5000), ((x - lo) // width).astype(np.uint8), x)
-    score = x[:20] @ x.T
+    x = np.floor(256 * r.normal(size=(5000, 32)) / 6).astype(np.int64)
+    score = (x[:20] @ x.T).astype(float)
     score[np.arange(20), np.arange(20)] = -np.inf
-    assert all(sorted(best.found[q][0].tolist()) == sorted(np.sort(score[q])[-5:].tolist()) for q in range(20))
-    assert best.read < 20 * 5000 * 0.2  # most exact vectors are never read
+    left = {}
+    for bits in (4, 6, 8):
+        lo, width = int(x.min()), max(1, -(-int(x.max() - x.min() + 1) >> bits))
+        found = vafile.Bounds(x[:20], np.arange(20), 5)
+        for a in range(0, 5000, 1000):
+            found.scan(lo, width, np.arange(a, a + 1000), ((x[a:a + 1000] - lo) // width).astype(np.uint8))
+        got = found.result(32).to_pandas()
+        assert ((got.lower <= score[got.query_id, got.vec_id]) & (score[got.query_id, got.vec_id] <= got.upper)).all()
+        for q in range(20):
+            assert set(np.argsort(-score[q])[:5]) <= set(got.vec_id[got.query_id == q])
+            assert found.top[q, 0] <= np.sort(score[q])[-5]
+        left[bits] = len(got)
+    assert left[8] < 20 * 5000 * 0.01 and left[8] <= left[6] <= left[4]  # most exact vectors are never read
+    # rows of one id in one block or in several count once
+    found = vafile.Bounds(np.array([[1, 0]]), np.array([-1]), 2)
+    for _ in range(2):
+        found.scan(0, 1, np.array([7, 7, 8]), np.array([[9, 0], [8, 0], [1, 0]], np.uint8))
+    assert sorted(set(found.top_ids[0])) == [7, 8] and found.top[0, 0] <= 1
+
+
+def test_va_file_reads_exact_vectors_of_candidates_only(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in r.normal(size=32) / 6]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("x", F.lit("clash")).withColumn("id", F.lit(7)).withColumn("dim", F.lit(1)).withColumn("e", F.lit(0))
+    asked = []
+    plain = vafile._scores
+    monkeypatch.setattr(vafile, "_scores", lambda pairs, exact, queries: asked.append(pairs.select("vec_id").distinct().count()) or plain(pairs, exact, queries))
+    got = sorted(map(tuple, vafile.top_k(df, F.col("id") % 50 == 0, k=5, lanes=3).collect()))
+    assert got == sorted(B.top_k([(i, [float(np.float32(v)) for v in x]) for i, x in rows], lambda q: q % 50 == 0, 5))
+    assert len(asked) == 2 and sum(asked) < 600 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "256"
 
 
 # ------------------------------------------------------------ op5: line dedup
@@ -260,11 +319,14 @@ def test_line_dedup(spark, hard, docs):
         return r.choice([s, s[:p] + s[p + 1:], s[:p] + "z" + s[p:], s[:p] + "é" + s[p + 1:], s + "!"])
 
     made = spark.createDataFrame([(i // 2, "\n".join(near(near(r.choice(base))) for _ in range(4))) for i in range(60)], "doc_id long, text string")
-    for df in (hard, made, docs.where("doc_id < 60"), docs.limit(0)):
-        want = B.kept_lines(pairs(df))
-        got = line_dedup.line_report(df).collect()
-        assert Counter((x.doc_id, tuple(x.kept)) for x in got) == Counter((i, tuple(want[i, t])) for i, t in pairs(df))
-        assert all(x.n_kept == len(x.kept) <= x.n_lines for x in got)
+    null_and_text = spark.createDataFrame([(None, "one line of a text"), ("null", "one line of a text"), ("i1", "another line")], "doc_id string, text string")
+    assert [len(x.kept) for x in line_dedup.line_report(null_and_text, edits=2).orderBy("doc_id").collect()] == [1, 1, 0]  # null comes first; it is not the id "null"
+    for edits, tables in ((1, (hard, made, docs.where("doc_id < 60"), docs.limit(0))), (2, (hard, made, docs.where("doc_id < 60"), docs.limit(0)))):
+        for df in tables:
+            want = B.kept_lines(pairs(df), edits=edits)
+            got = line_dedup.line_report(df, edits=edits).collect()
+            assert Counter((x.doc_id, tuple(x.kept)) for x in got) == Counter((i, tuple(want[i, t])) for i, t in pairs(df))
+            assert all(x.n_kept == len(x.kept) <= x.n_lines for x in got)
     clean = line_dedup.dedup_lines(hard)
     assert clean.columns == hard.columns and clean.count() == hard.count()
     assert [x.text for x in clean.where("doc_id = 12").collect()] == ["line one is here\n\nline two is here"]
@@ -342,6 +404,28 @@ def test_grams_by_hand():
 
 # -------------------------------------------------------- op7: n-gram join
 
+def test_chain_of_texts_costs_its_length(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 16)
+    r = random.Random(3)
+    seen = {}
+    plain = ngram_join.block_pairs
+
+    def watched(member, keyed, **more):
+        blocks, pairs = plain(member, keyed, **more)
+        seen[blocks.select("block").distinct().count()] = pairs.where("across").count() // 2
+        return blocks, pairs
+
+    monkeypatch.setattr(ngram_join, "block_pairs", watched)
+    for n in (300, 1200):
+        word = [f"w{r.randrange(10**6)}" for _ in range(6 * n + 100)]
+        rows = [(i, " ".join(word[6 * i:6 * i + 100])) for i in range(n)]  # neighbours share 90 of 102 shingles, the next ones 84 of 108
+        got = {x.doc_id: x for x in ngram_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {x.class_id for x in got.values()} == {0}
+        assert sum(x.n_links == 2 for x in got.values()) >= 0.99 * n
+    (b1, p1), (b2, p2) = sorted(seen.items())
+    assert b2 > 3 * b1 and p2 / b2 < 1.5 * p1 / b1  # pairs of blocks grow with the chain, not with its square
+
+
 def test_ngram_join(spark, hard, docs, monkeypatch):
     r = random.Random(9)
     copies = []
@@ -432,8 +516,67 @@ def test_kth_largest_and_cut(spark):
         assert importance.kth_largest(df, "key", k, bins=16, small=20) == want
     assert importance.kth_largest(df, "key", 0) == math.inf
     assert importance.best_cut(np.array([1.0, 2, 3, -5]), np.array([-9.0, -8, 0, 0.5])) == 0.75
-    assert importance.best_cut(np.array([1.0, 2, 3, -5]), np.array([-9.0, -8, 0])) == -6.5  # of equal cuts, the one that keeps more
+    assert importance.best_cut(np.array([1.0, 2, 3, -5]), np.array([-9.0, -8, 0, 0])) == -6.5  # of equal cuts, the one that keeps more
+    assert importance.best_cut(np.array([1.0, 2, 3, -5]), np.array([-9.0, -8, 0])) == 0.5  # a third of the bad ones weighs more than a quarter of the good
     assert importance.best_cut(np.array([1.0]), np.zeros(0)) == -math.inf
+    # bad labels outnumber good ones and weights do not separate them, or the wrong way round: nothing is cut
+    assert importance.best_cut(np.array([0.0]), np.zeros(50)) == -math.inf
+    assert importance.best_cut(np.array([-1.0, -2]), np.arange(50.0)) == -math.inf
+
+
+def test_importance_of_string_ids_and_repeated_labels(spark):
+    text = {True: "a plain sentence of words that read well", False: "zx!! qq## zx!! $$ qq## !!"}
+    rows = [(f"id{i}", text[i % 3 > 0] + f" {i}", "x", "y") for i in range(60)] + [("id1", "another text of that id", None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, w string, key string")
+    labels = spark.createDataFrame([(f"id{i}", i % 3 > 0) for i in range(40)] * 3 + [(None, True), ("id2", None), ("gone", True)], "doc_id string, quality boolean")
+    got = {r.doc_id: r for r in importance.resample(docs, labels).collect()}
+    assert len(got) == 61 and got["id2"].log_weight > got["id3"].log_weight
+    kept = importance.keep_sampled(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {f"id{i}" for i in range(60) if i % 3} - {"id1"}
+    # labels that say bad of all that reads like the good ones: nothing goes
+    worse = spark.createDataFrame([(f"id{i}", 0) for i in range(60)] + [("id60", 1)], "doc_id string, quality int")
+    assert importance.resample(docs, worse).where("sampled").count() == 62
+
+
+def test_importance_by_another_way(spark):
+    """Weights, noise, cut and k without the module's own functions."""
+    import xxhash  # noqa: F401
+    from itertools import groupby
+
+    docs, labels = table(spark, SF001, "documents"), table(spark, SF001, "labels")
+    got = {r.doc_id: r for r in importance.sample_table(docs, labels).collect()}
+    text = dict(pairs(docs))
+
+    def kind(b):
+        return 0 if b <= 0x20 or b == 0x7F else 1 if chr(b).isalnum() and b < 0x80 or b >= 0x80 else 2
+
+    def tokens(t):
+        return [bytes(g) for k, g in groupby((t or "").encode(), kind) if k]
+
+    # features as themselves, unhashed: with few collisions the weights are close and rank alike
+    feats = {i: Counter(w := tokens(t)) + Counter(("=",) if a == b else (a, b) for a, b in zip(w, w[1:])) for i, t in text.items()}
+    good = {r.doc_id: r.quality for r in labels.collect()}
+    raw, target = Counter(), Counter()
+    for i, c in feats.items():
+        raw.update(c)
+        if good.get(i):
+            target.update(c)
+    n, m = sum(raw.values()), sum(target.values())
+    weight = {i: sum(c * (math.log((target[f] + 10_000 * (raw[f] / n)) / (m + 10_000)) - math.log(raw[f] / n)) for f, c in fs.items()) for i, fs in feats.items()}
+    ids = sorted(weight)
+    rank = lambda v: np.argsort(np.argsort(v))
+    assert np.corrcoef(rank([weight[i] for i in ids]), rank([got[i].log_weight for i in ids]))[0, 1] > 0.95
+    # noise: Gumbel numbers of a 52-bit hash of seed, id and text
+    noise = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    for i in ids:
+        assert got[i].sample_key - got[i].log_weight == pytest.approx(-math.log(-math.log((noise[i] % 2**52 + 0.5) / 2**52)), abs=1e-6)
+    # k: how many documents weigh at least the best cut over the labels, tried at every place
+    judged = [(got[i].log_weight, q) for i, q in good.items() if i in got]
+    values = sorted({w for w, _ in judged})
+    cuts = [-math.inf] + [(a + b) / 2 for a, b in zip(values, values[1:])]
+    err = lambda c: (sum(w < c for w, q in judged if q) / sum(q > 0 for _, q in judged) + sum(w >= c for w, q in judged if not q) / max(1, sum(q == 0 for _, q in judged)))
+    best = min(cuts, key=lambda c: (round(err(c), 9), c))
+    assert sum(r.sampled for r in got.values()) == sum(r.log_weight >= best for r in got.values())
 
 
 def test_importance(spark, hard):

@@ -21,6 +21,7 @@ by a hash of the text.  No rows: no files, an empty index.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -33,65 +34,118 @@ from pyspark.sql import functions as F
 
 INDEX = "doc_id long, shard int, at long, n_tokens long"
 
-#: Texts with any of these are encoded whole: white space that is not one
-#: space or one line feed between words, and what may begin a special token.
-IRREGULAR = re.compile(r"[^\S \n]|  | \n|\n\n|\n \Z|<\|")
+#: Words that the library encodes at once, and bytes of their text.
+JOINED = 1 << 16
+#: White space that is not a space or a line feed.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
-class Encoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library.
+def irregular(text: str) -> bool:
+    """Whether words of a text may not be encoded one by one: white space that
+    is not one space or one line feed between words, or what may begin a
+    special token."""
+    if "  " in text or " \n" in text or "\n\n" in text or "<|" in text or text.endswith("\n "):
+        return True
+    if text.isascii():  # the rest of ASCII white space
+        return not text.isprintable() and OTHER_SPACE.search(text) is not None
+    return OTHER_SPACE.search(text) is not None
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file splits at single spaces and line feeds, keeps
+    bytes as they are, and gives a word the same ids in every text: a
+    byte-level BPE with the usual pattern, no prefix space, no normaliser and
+    no dropout, and added tokens that begin with ``<|``."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("add_prefix_space") is False and pre.get("use_regex", True)
+            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and all(t["content"].startswith("<|") for t in spec.get("added_tokens") or []))
 
-    Its pre-tokenizer never joins a non-space character with a space after
-    it, so the ids of a regular text are those of its words, each with the
-    space or line feed before it.  The library encodes each new word once;
-    ids of known words are kept, at most ``keep`` of them in each of two
-    generations.  Irregular texts go to the library whole.
+
+class Encoder:
+    """Encodes texts with the tokenizers library.
+
+    A byte-level BPE (:func:`by_words`) never joins a non-space character with
+    a space after it, so the ids of a regular text are those of its words,
+    each with the space or line feed before it.  The library encodes new
+    words, many in one text; where a word ends among the ids is known from
+    the tokens' bytes.  Ids of known words are kept, at most ``keep`` of them
+    in each of two generations.  Irregular texts, and all texts of other
+    tokenizers, go to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 300_000):
+    def __init__(self, path: str, end_id: int, keep: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
+        size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         self.keep, self.young, self.old = keep, {}, {}
+        self.by_words = by_words(path)
+        self.bytes = np.zeros(size, np.int64)
+        if self.by_words:  # a token has one character for each of its bytes
+            for token, i in self.tokenizer.get_vocab().items():
+                self.bytes[i] = len(token)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of many words, each with its line feed or a space before it."""
+        out: list[bytes] = []
+        for a in range(0, len(words), JOINED):
+            some = words[a:a + JOINED]
+            text = (" " + " ".join(some)).replace(" \n", "\n")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            done = np.cumsum(self.bytes[ids])
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero((raw == 32) | (raw == 10))[1:], len(raw))  # a word ends where the next begins
+            cut = np.searchsorted(done, ends)
+            if len(ends) != len(some) or len(ids) != cut[-1] + 1 or not np.array_equal(done[cut], ends):
+                out += self._encode([w if w[0] == "\n" else " " + w for w in some])  # a token over the end of a word
+                continue
+            flat, step = ids.tobytes(), self.kind.itemsize
+            place = [0, *((cut + 1) * step).tolist()]
+            out += [flat[x:y] for x, y in zip(place, place[1:])]
+        return out
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """All of words; a word begins with its line feed or else follows a space."""
-        young, old = self.young, self.old
-        new = []
-        for w in words - young.keys():
-            ids = old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                young[w] = ids
-        young.update(zip(new, self._encode([w if w[:1] == "\n" else " " + w for w in new])))
-        return young
+        """All of words, none of them young; a word begins with its line feed or else follows a space."""
+        again = words & self.old.keys()
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        bare = [w for w in ("", "\n") if w in words and w not in again]  # nothing but the white space itself
+        new = list(words - again - {"", "\n"})
+        self.young.update(zip(bare, self._encode([w or " " for w in bare])))
+        self.young.update(zip(new, self._encode_words(new)))
+        return self.young
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian bytes."""
         out: list = [None] * len(texts)
-        split, whole, words = {}, [], set()
+        split, whole, new = [], [], set()
         for k, t in enumerate(texts):
             if not t:
                 out[k] = self.end
-            elif IRREGULAR.search(t):
+            elif not self.by_words or irregular(t):
                 whole.append((k, t))
             else:
                 first, *rest = t.replace("\n", " \n").split(" ")
-                split[k] = (first, rest)
-                words.update(rest)
-        known = self._learn(words)
-        heads = [x for x, _ in split.values()]
-        for (k, (_, rest)), head in zip(split.items(), self._encode(heads)):
-            out[k] = b"".join([head, *map(known.__getitem__, rest), self.end])
+                parts = list(map(self.young.get, rest))  # one look at each word
+                missing = [i for i, p in enumerate(parts) if p is None] if None in parts else []
+                words = [rest[i] for i in missing]
+                new.update(words)
+                split.append((k, first, parts, missing, words))
+        young = self._learn(new)
+        for (k, _, parts, missing, words), head in zip(split, self._encode([s[1] for s in split])):
+            for i, w in zip(missing, words):
+                parts[i] = young[w]
+            out[k] = b"".join([head, *parts, self.end])
         for (k, _), ids in zip(whole, self._encode([t for _, t in whole])):
             out[k] = ids + self.end
         if len(self.young) > self.keep:
