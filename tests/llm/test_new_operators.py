@@ -179,9 +179,9 @@ def signed(x):
     return x - 2**64 if x >> 63 else x
 
 
-@pytest.mark.parametrize("pairs", [32, 3])
-def test_links_connect_all_within_two_bits(spark, monkeypatch, pairs):
-    monkeypatch.setattr(simhash_dedup, "PAIRS", pairs)
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_links_connect_all_within_two_bits(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash_dedup, "BROADCAST_ROWS", most)  # the table of crowded variants by a broadcast, and by a shuffle
     prepare(spark)
     r = random.Random(5)
     centre = [r.getrandbits(64) for _ in range(6)]

@@ -11,12 +11,12 @@ one.  So each distinct fingerprint enters 64 variants, a segment with one of
 its bits made a wildcard; fingerprints within the bound share a variant, met
 by equality and verified by their differing bits.  Work within a variant:
 
-- two fingerprints: they are its smallest and largest one;
-- up to ``PAIRS``: compared pair by pair;
+- two fingerprints: they are its smallest and largest one, verified by their
+  differing bits;
 - more: every member enters its 65 points at no or one flipped bit.  Two
   fingerprints link exactly if they share a point, and a point has at most 65
   members, which all link; each is linked to the first of them.  So a crowded
-  variant takes work in proportion to its members.
+  variant takes work in proportion to its members, and no pairs are listed.
 
 Components come from star contraction; equal fingerprints are one node.
 
@@ -38,9 +38,7 @@ from pyspark.sql import functions as F
 from weftcore.llm.common import BROADCAST_ROWS, join_counted, materialize, prepare
 from weftcore.llm.components import components
 
-BITS, SEGMENT = 64, 32
-#: A variant of at most this many fingerprints is compared pair by pair.
-PAIRS = 32
+BITS = 64
 #: A text is cut into words piece by piece, so many bytes at a time.
 PIECE = 1 << 20
 
@@ -122,7 +120,7 @@ def _near(a: str, b: str) -> F.Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect all distinct fingerprints within two bits, each pair of a small variant."""
+    """(a, b): verified links that connect all distinct fingerprints within two bits."""
     keyed = _variants(fps)
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     groups = materialize(groups, "variants")
@@ -131,15 +129,10 @@ def links(fps: DataFrame) -> DataFrame:
     size, held = large.agg(F.count(F.lit(1)), F.sum("n")).first()
     if size:
         member = keyed.join(F.broadcast(large), "key") if size <= BROADCAST_ROWS else join_counted(keyed, large, ["key"], "n", held)
-        member = materialize(member, "members")
-        few = member.where(F.col("n") <= PAIRS).groupBy("key").agg(F.collect_list("fp").alias("c"))
-        few = few.select(F.explode(F.transform("c", lambda x, i: F.struct(x.alias("a"), F.slice("c", i + 2, PAIRS).alias("bs")))).alias("p"))
-        few = few.select("p.a", F.explode("p.bs").alias("b")).where(_near("a", "b"))
-        crowd = member.where(F.col("n") > PAIRS).select("fp").distinct()
+        crowd = materialize(member.select("fp").distinct(), "crowd")
         point = F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.expr("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
         balls = crowd.select("fp", point.alias("point")).groupBy("point").agg(F.sort_array(F.collect_list("fp")).alias("c")).where(F.size("c") > 1)
-        balls = balls.select(F.col("c")[0].alias("a"), F.explode(F.slice("c", 2, BITS + 1)).alias("b")).where(_near("a", "b"))
-        found = found.union(few).union(balls)
+        found = found.union(balls.select(F.col("c")[0].alias("a"), F.explode(F.slice("c", 2, BITS + 1)).alias("b")).where(_near("a", "b")))
     return found.distinct()
 
 
