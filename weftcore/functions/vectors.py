@@ -63,10 +63,9 @@ def nearest(features: Column | str, centres: Column | str) -> Column:
     """
     f = _c(features)
     bad = F.raise_error(F.lit("a centre and a point differ in dimension")).cast("double")
-    dists = F.transform(_c(centres), lambda c: F.when(F.size(c) == F.size(f), sq_dist(f, c)).otherwise(bad))
-    best = F.array_min(dists)
-    return F.struct((F.array_position(dists, best) - 1).cast("int").alias("idx"),
-                    best.alias("d2"))
+    best = F.array_min(F.transform(_c(centres), lambda c, i: F.struct(
+        F.when(F.size(c) == F.size(f), sq_dist(f, c)).otherwise(bad).alias("d2"), i.alias("idx"))))
+    return F.struct(best["idx"].alias("idx"), best["d2"].alias("d2"))
 
 
 # ---------------------------------------------------------------- sparse ---
@@ -124,18 +123,6 @@ def any_sq_norm(f: Column | str, sparse: bool) -> Column:
     return sparse_sq_norm(f) if sparse else sq_norm(f)
 
 
-def nearest_sparse(features: Column | str, centres: Column | str, centre_norms: Column | str) -> Column:
-    """J6 for a sparse point: nearest of dense centres using
-    ``|x|^2 - 2 x.c + |c|^2`` over the point's non-zeros (norms precomputed)."""
-    f = _c(features)
-    xn = sparse_sq_norm(f)
-    dists = F.zip_with(_c(centres), _c(centre_norms),
-                       lambda c, cn: F.greatest(xn - 2.0 * sparse_dot_dense(f, c) + cn, F.lit(0.0)))
-    best = F.array_min(dists)
-    return F.struct((F.array_position(dists, best) - 1).cast("int").alias("idx"),
-                    best.alias("d2"))
-
-
 def nonzero_cells(df, keys: list[str], features: str = "features", weight: str = "weight"):
     """One row per non-zero entry: ``keys..., pid, weight, j, v`` (sparse points)."""
     e = F.explode(F.arrays_zip(F.col(f"{features}.indices").alias("j"),

@@ -1,6 +1,6 @@
 """Scoring models against the data.
 
-Centres or axes (k x d, bounded by the model) travel as one broadcast row;
+Centres or axes (k x d, bounded by the model) are broadcast;
 points never leave their partitions except as partial sums.
 """
 
@@ -9,23 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftcore.functions.vectors import (any_sq_norm, coord_mean, dot, is_sparse_type, nearest,
-                                        nearest_sparse, sparse_dot_dense, sparse_sq_norm, sq_norm)
-
-
-def centres_frame(spark: SparkSession, centres: list) -> DataFrame:
-    """One row: centres ``c`` and their squared norms ``cn`` (k x d: the model)."""
-    cs = [[float(x) for x in c] for c in centres]
-    return spark.createDataFrame([(cs, [sum(x * x for x in c) for c in cs])],
-                                 "c array<array<double>>, cn array<double>")
-
-
-def _nearest_d2(points: DataFrame, centres: str = "c", norms: str | None = "cn"):
-    """Squared distance to the nearest centre, dense or sparse points."""
-    if is_sparse_type(points.schema["features"].dataType):
-        cn = F.col(norms) if norms else F.transform(centres, lambda c: sq_norm(c))
-        return nearest_sparse("features", centres, cn)["d2"]
-    return nearest("features", centres)["d2"]
+from weftcore.functions.vectors import any_sq_norm, coord_mean, dot, is_sparse_type, sparse_dot_dense, sparse_sq_norm, sq_norm
+from weftcore.operators.kmeans import Centres, nearest_column
+from weftcore.session import scratch_path
 
 
 def check_dims(points: DataFrame, dims: set[int]) -> int:
@@ -51,13 +37,12 @@ def kmeans_cost(points: DataFrame, centres: list | DataFrame, weighted: bool = F
     ``centres`` is a list or a one-row frame with column ``c``.  Needs at
     least one centre and one point, all of one dimension.
     """
-    spark = points.sparkSession
     if not isinstance(centres, list):
         centres = [list(c) for c in centres.first()["c"]]
     check_dims(points, {len(c) for c in centres})
-    d2 = _nearest_d2(points, "c", "cn")
     w = F.col("weight") if weighted else F.lit(1.0)
-    return points.crossJoin(F.broadcast(centres_frame(spark, centres))).agg(F.sum(w * d2).alias("cost"))
+    near = points.select(w.alias("w"), nearest_column(points, Centres.of_dense(centres))["d2"].alias("d2"))
+    return near.agg(F.sum(F.col("w") * F.col("d2")).alias("cost"))
 
 
 def projection_terms(features: Column | str, axes: Column | str, gram: Column | str, sparse: bool = False) -> tuple[Column, Column]:
@@ -104,13 +89,14 @@ def centre_stats(results: DataFrame) -> DataFrame:
 
 
 def running_points(results: DataFrame) -> DataFrame:
-    """Non-empty results in batch order with the running total
-    of points; results hold one row per batch, so the one-partition window
-    sees only that many rows."""
+    """Non-empty results with the running total of points in
+    batch order and their number.  The one-partition window sees three
+    numbers per batch; models are joined back to them."""
+    some = results.where((F.col("num_points") > 0) & (F.size("points") > 0))
     w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = results.where((F.col("num_points") > 0) & (F.size("points") > 0))
-    return (r.withColumn("cum_points", F.sum("num_points").over(w))
-            .withColumn("batch_no", F.row_number().over(Window.orderBy("batch_id"))))
+    narrow = some.select("batch_id", F.col("num_points").alias("_n")).select(
+        "batch_id", F.sum("_n").over(w).alias("cum_points"), F.row_number().over(Window.orderBy("batch_id")).alias("batch_no"))
+    return some.join(narrow, "batch_id")
 
 
 def kmeans_terms(x, xx, model):
@@ -151,7 +137,7 @@ def _prefix_sums(shared, terms, idx_col: str, sparse: bool, rows: int = 1024):
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        models = [(b, cum, np.array(m, float)) for b, cum, m in shared.value]
+        models = shared.value
         sums = np.zeros(len(models))
         for whole in batches:
             for a in range(0, whole.num_rows, rows):
@@ -170,6 +156,26 @@ def _prefix_sums(shared, terms, idx_col: str, sparse: bool, rows: int = 1024):
     return run
 
 
+def model_ranges(res: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of ``batch_no`` whose models hold about ``BLOCK_CELLS`` numbers
+    (one larger model is a range of its own): a row per range."""
+    cells = F.aggregate("points", F.lit(0).cast("long"), lambda a, p: a + F.size(p))
+    before = F.sum("cells").over(Window.orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1))
+    sized = res.select("batch_no", cells.alias("cells")).withColumn("range", F.floor(F.coalesce(before, F.lit(0)) / F.lit(BLOCK_CELLS)))
+    rows = sized.groupBy("range").agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).orderBy("range").collect()
+    return [(int(r["lo"]), int(r["hi"])) for r in rows]
+
+
+def _models(res: DataFrame, lo: int, hi: int) -> list:
+    """(batch_id, cum_points, matrix) of one range of results, by batch_no."""
+    import numpy as np
+    got = res.where(F.col("batch_no").between(lo, hi)).select("batch_id", "cum_points", "points").orderBy("batch_no").toArrow()
+    out = []
+    for batch, cum, rows in zip(got.column("batch_id").to_pylist(), got.column("cum_points").to_pylist(), got.column("points")):
+        out.append((batch, cum, np.asarray(rows.values.flatten()).reshape(len(rows), -1)))
+    return out
+
+
 def _with_rest(terms, x, xx, model, used):
     """Terms of sparse rows laid out over ``used``: the model's other columns
     meet zeros, so they are folded into columns that keep its inner products."""
@@ -186,11 +192,14 @@ def progressive_cost(points: DataFrame, results: DataFrame, cost="kmeans",
                      idx_col: str = "idx") -> DataFrame:
     """Result i is scored on the first ``sum_{j<=i} num_points`` points.
 
-    One scan scores many results: blocks of at most ``BLOCK_CELLS`` model
-    numbers are broadcast, each task computes distances as matrix products
-    and gives one partial sum per result; no point is paired with a result
-    as rows.  ``points`` carries a 0-based ``idx`` (W1); dense or sparse.
-    ``cost`` is a name in ``COSTS`` or a pair like its values.
+    One scan scores many results: models are read range by range of
+    ``batch_no`` (:func:`model_ranges`), so the driver and a broadcast hold
+    about ``BLOCK_CELLS`` numbers however many results there are.  Each task
+    computes distances as matrix products and gives one partial sum per
+    result; a range's sums are written before the next one is read.  No point
+    is paired with a result as rows.  ``points`` carries a 0-based ``idx``
+    (W1); dense or sparse.  ``cost`` is a name in ``COSTS`` or a pair like its
+    values.
     """
     spark = points.sparkSession
     if isinstance(cost, str):
@@ -199,19 +208,18 @@ def progressive_cost(points: DataFrame, results: DataFrame, cost="kmeans",
         cost = COSTS[cost]
     terms, finish = cost
     res = running_points(results)
-    models = [(int(r["batch_id"]), int(r["cum_points"]), r["points"]) for r in res.select("batch_id", "cum_points", "points").orderBy("batch_id").collect()]
     sparse = is_sparse_type(points.schema["features"].dataType)
-    if models:
-        check_dims(points, {len(c) for _, _, m in models for c in m})
+    ranges = model_ranges(res)
+    if ranges:
+        size = res.select(F.explode("points").alias("p")).agg(F.min(F.size("p")), F.max(F.size("p"))).first()
+        check_dims(points, set(size))
     feats = [F.col("features.indices").alias("_idx"), F.col("features.values").alias("_val")] if sparse else [F.col("features")]
-    src, sums, block, cells = points.select(idx_col, *feats), None, [], 0
-    for k, model in enumerate(models):
-        block.append(model)
-        cells += sum(len(c) for c in model[2])
-        if cells >= BLOCK_CELLS or k == len(models) - 1:
-            part = src.mapInArrow(_prefix_sums(spark.sparkContext.broadcast(block), terms, idx_col, sparse), "batch_id long, part double")
-            sums, block, cells = part if sums is None else sums.union(part), [], 0
-    sums = sums if sums is not None else spark.createDataFrame([], "batch_id long, part double")
+    src, path = points.select(idx_col, *feats), scratch_path(spark, "prefix-sums")
+    for k, (lo, hi) in enumerate(ranges):
+        shared = spark.sparkContext.broadcast(_models(res, lo, hi))
+        src.mapInArrow(_prefix_sums(shared, terms, idx_col, sparse), "batch_id long, part double").write.parquet(f"{path}/range={k}")
+        shared.destroy()
+    sums = spark.read.parquet(path) if ranges else spark.createDataFrame([], "batch_id long, part double")
     costs = sums.groupBy("batch_id").agg(finish(F.sum("part")).alias("cost"))
     total = points.agg(F.count(F.lit(1)).alias("total_points"))
     return (res.select("batch_id", "sample_size", "num_points", "cum_points", "batch_no", "alg_name")

@@ -6,6 +6,7 @@ Only model parameters (k centres or k axes) ever reach the driver.
 from __future__ import annotations
 
 import datetime as _dt
+import warnings
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftcore.functions.hashing import uniform01
 from weftcore.functions.linalg import sum_partials
-from weftcore.functions.vectors import is_sparse_type, nearest_sparse, sparse_sq_norm
+from weftcore.functions.vectors import is_sparse_type
+from weftcore.operators import kmeans as km
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
@@ -29,116 +30,48 @@ RESULT_SCHEMA = T.StructType([
 
 
 def kmeans_centres(points: DataFrame, k: int, seed: int = 0, max_iter: int = 20,
-                   init_steps: int = 2, tol: float = 1e-4, weighted: bool = True) -> list:
+                   init_steps: int = 2, tol: float = 1e-4, weighted: bool = True, init: list | None = None) -> list:
     """k centres of dense points (Spark ML k-means, k-means|| init) or of
-    sparse ones (:func:`sparse_kmeans`); an empty input has none."""
+    sparse ones (:func:`sparse_kmeans`); an empty input has none.  With
+    ``init`` (k centres as dense rows) Lloyd steps start from there."""
     if points.isEmpty():
         return []
+    if init is not None:
+        return km.lloyd(points, km.Centres.of_dense(init), max_iter, tol, weighted).centres.dense().tolist()
     if is_sparse_type(points.schema["features"].dataType):
         return sparse_kmeans(points, k, seed, max_iter, tol, weighted)
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, initSteps=init_steps, tol=tol,
-                featuresCol="_vec")
+    est = KMeans(k=k, seed=seed, maxIter=max_iter, initSteps=init_steps, tol=tol,
+                 featuresCol="_vec")
     if weighted:
-        km = km.setWeightCol("weight")
+        est = est.setWeightCol("weight")
     vec = points.select(array_to_vector(F.col("features")).alias("_vec"), "weight")
-    return [[float(x) for x in c] for c in km.fit(vec).clusterCenters()]
+    return [[float(x) for x in c] for c in est.fit(vec).clusterCenters()]
 
 
-def _centre_row(spark: SparkSession, centres: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(centres.tolist(), (centres * centres).sum(axis=1).tolist())], "c array<array<double>>, cn array<double>")
-
-
-def sparse_seeds(points: DataFrame, k: int, seed: int = 0, weighted: bool = True, rounds: int = 5) -> np.ndarray:
-    """k-means|| seeds of sparse points: each round keeps a point with
-    probability 2k w d^2 / cost, and always the one of the first priority
-    -log(u) / (w d^2); weighted k-means++ chooses k of those kept.  Only the
-    points kept, about 2k a round, reach the driver.  Rounds go on until there
-    are k different vectors, or all points lie on those kept."""
-    spark = points.sparkSession
-    w = (F.col("weight") if weighted else F.lit(1.0)).cast("double")
-    dim = points.agg(F.max("features.size")).first()[0]
-
-    def vectors(rows):
-        out = np.zeros((len(rows), dim))
-        for c, r in zip(out, rows):
-            c[r["features"]["indices"]] = r["features"]["values"]
-        return out
-
-    def first(df, share):
-        return df.where(share > 0).orderBy(-F.log("u") / share, "pid").limit(1).select("pid", "features")
-
-    drawn = points.select("pid", "features", w.alias("w"), uniform01("pid", seed).alias("u"))
-    found = vectors(first(drawn, F.col("w")).collect())
-    step = 0
-    while len(found) and (step < rounds or len(found) < k):
-        step += 1
-        near = points.crossJoin(F.broadcast(_centre_row(spark, found))).select(
-            "pid", "features", w.alias("w"), uniform01("pid", seed + 7919 * step).alias("u"), nearest_sparse("features", "c", "cn")["d2"].alias("d2"))
-        # a point on a centre has a distance of rounding errors only
-        share = F.col("w") * F.when(F.col("d2") > 1e-12 * sparse_sq_norm("features"), F.col("d2")).otherwise(0.0)
-        near = near.select("pid", "features", "u", share.alias("share"))
-        cost = near.agg(F.sum("share")).first()[0] or 0.0
-        if cost <= 0:
-            break
-        kept = near.where(F.col("u") * cost < 2 * k * F.col("share")).select("pid", "features").unionByName(first(near, F.col("share")))
-        more = vectors(kept.select("features").distinct().collect())
-        before, found = len(found), np.unique(np.vstack([found, more]), axis=0)
-        if len(found) == before:
-            break
-    if len(found) <= k:
-        return found
-    mass = np.zeros(len(found))
-    near = points.crossJoin(F.broadcast(_centre_row(spark, found))).select(nearest_sparse("features", "c", "cn")["idx"].alias("b"), w.alias("w"))
-    for b, x in near.groupBy("b").agg(F.sum("w")).collect():  # one row per vector kept
-        mass[b] = x
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.choice(len(found), p=mass / mass.sum()))]
-    d2 = ((found - found[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < k and (mass * d2).sum() > 0:
-        chosen.append(int(rng.choice(len(found), p=mass * d2 / (mass * d2).sum())))
-        d2 = np.minimum(d2, ((found - found[chosen[-1]]) ** 2).sum(axis=1))
-    return found[chosen]
+def sparse_seeds(points: DataFrame, k: int, seed: int = 0, weighted: bool = True, rounds: int = 2) -> np.ndarray:
+    """The seeds of :func:`weftcore.operators.kmeans.seeds` as a k x d matrix."""
+    return km.seeds(points, k, seed, weighted, rounds).dense()
 
 
 def sparse_kmeans(points: DataFrame, k: int, seed: int = 0, max_iter: int = 20, tol: float = 1e-4,
                   weighted: bool = True) -> list:
-    """Lloyd steps over the non-zeros of sparse points, as expressions and
-    aggregates per (centre, coordinate).  Starts from :func:`sparse_seeds`; a
-    centre without points stays.  Ends when no centre moves by more than
-    ``tol``.  Points of fewer than k different vectors give fewer centres.  Equal in every run and for every partitioning up
-    to the order of sums."""
-    spark = points.sparkSession
-    w = F.col("weight") if weighted else F.lit(1.0)
-    centres = sparse_seeds(points, k, seed, weighted)
-    for _ in range(max_iter):
-        near = points.crossJoin(F.broadcast(_centre_row(spark, centres))).select(nearest_sparse("features", "c", "cn")["idx"].alias("b"), w.alias("w"), "features")
-        # one pass: every point also counts for coordinate -1, with value 1
-        cell = F.struct(F.lit(-1).alias("j"), F.lit(1.0).alias("v"))
-        entries = F.concat(F.array(cell), F.arrays_zip(F.col("features.indices").alias("j"), F.col("features.values").alias("v")))
-        sums = near.select("b", "w", F.explode(entries).alias("e")).groupBy("b", "e.j").agg(F.sum(F.col("w") * F.col("e.v")).alias("s"))
-        # the new model: k rows of their non-zero coordinates
-        after = centres.copy()
-        for r in sums.groupBy("b").agg(F.collect_list("j").alias("j"), F.collect_list("s").alias("s")).collect():
-            j, v = np.array(r["j"]), np.array(r["s"])
-            after[r["b"]] = 0
-            after[r["b"], j[j >= 0]] = v[j >= 0] / v[j < 0][0]
-        moved = ((after - centres) ** 2).sum(axis=1).max()
-        centres = after
-        if moved <= tol * tol:
-            break
-    return centres.tolist()
+    """k-means|| seeds and Lloyd steps as block products over the non-zeros
+    (:mod:`weftcore.operators.kmeans`).  Points of fewer than k different
+    vectors give fewer centres."""
+    start = km.seeds(points, k, seed, weighted)
+    return km.lloyd(points, start, max_iter, tol, weighted).centres.dense().tolist()
 
 
-def weighted_kmeans(sample: DataFrame, k: int, seed: int = 0, max_iter: int = 20) -> list:
+def weighted_kmeans(sample: DataFrame, k: int, seed: int = 0, max_iter: int = 20, init: list | None = None) -> list:
     """M1 / M2: weighted k-means on the coreset."""
-    return kmeans_centres(sample, k, seed=seed, max_iter=max_iter, weighted=True)
+    return kmeans_centres(sample, k, seed=seed, max_iter=max_iter, weighted=True, init=init)
 
 
 def bulk_kmeans(points: DataFrame, k: int, seed: int = 0, max_iter: int = 1000,
-                tol: float = 1e-4) -> list:
+                tol: float = 1e-4, init: list | None = None) -> list:
     """M4: k-means on all points, run to convergence (the reference sets no
     iteration cap; ``max_iter`` is a large safety bound)."""
-    return kmeans_centres(points, k, seed=seed, max_iter=max_iter, tol=tol, weighted=False)
+    return kmeans_centres(points, k, seed=seed, max_iter=max_iter, tol=tol, weighted=False, init=init)
 
 
 def _gram_times(q: np.ndarray, points: DataFrame, weighted: bool) -> np.ndarray:
@@ -182,7 +115,8 @@ def svd_axes(points: DataFrame, k: int, weighted: bool = False, dim: int | None
     or when the subspace is the whole space.  One method for every d; the
     driver holds d x (directions) numbers, the d x d matrix is never formed.
     Weighted rows enter as ``sqrt(w) x``.  Signs are normalised so the
-    largest entry is positive."""
+    largest entry is positive.  A warning says if ``max_passes`` were not
+    enough."""
     if points.isEmpty():
         return []
     if dim is None:
@@ -208,6 +142,8 @@ def svd_axes(points: DataFrame, k: int, weighted: bool = False, dim: int | None
         block = q[:, keep][:, :dim - basis.shape[1]]
         if not block.shape[1]:
             break
+    else:
+        warnings.warn(f"svd_axes: {max_passes} passes left a residual of {residual.max():.3g} beside eigenvalues up to {values.max():.3g}", stacklevel=2)
     out = []
     for a in axes.T:
         a = -a if a[np.argmax(np.abs(a))] < 0 else a
@@ -215,6 +151,13 @@ def svd_axes(points: DataFrame, k: int, weighted: bool = False, dim: int | None
     return out
 
 
+def svd_values(points: DataFrame, axes: list, weighted: bool = False) -> list:
+    """``sum w (x . v)^2`` of every axis v: for singular vectors, the squared
+    singular values.  One pass."""
+    v = np.array(axes, float).T
+    return (v * _gram_times(v, points, weighted)).sum(axis=0).tolist()
+
+
 def result_frame(spark: SparkSession, batch_id: int, model: list, num_points: int,
                  sample_size: int, alg_name: str, time: _dt.datetime | None = None) -> DataFrame:
     """M9: one ``ComputedResult`` row."""

@@ -76,11 +76,12 @@ def bag_union(*dfs: DataFrame) -> DataFrame:
 
 
 def chunk_ids(df: DataFrame, key: str | list[str], order: str | list[str], size: int,
-              out: str = "chunk", bounded: bool = False) -> DataFrame:
+              out: str = "chunk", bounded: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``grouped(n)`` -- consecutive chunks of at most ``size`` rows per key.
 
     Ranks come from :func:`rank_within` (a hot key stays spread over many
-    tasks); ``bounded=True`` uses a plain window for small groups.
+    tasks); ``bounded=True`` uses a plain window for small groups.  ``keep``
+    names the columns wanted beside the key (default: all).
     """
     keys = [key] if isinstance(key, str) else key
     order = [order] if isinstance(order, str) else order
@@ -88,7 +89,7 @@ def chunk_ids(df: DataFrame, key: str | list[str], order: str | list[str], size:
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn(out, F.floor((rn - 1) / F.lit(size)).cast("int"))
     from weftcore.sources.points import rank_within
-    r = rank_within(df, keys, order, "_rk")
+    r = rank_within(df, keys, order, "_rk", keep=keep)
     return r.withColumn(out, F.floor((F.col("_rk") - 1) / F.lit(size)).cast("int")).drop("_rk")
 
 

@@ -7,7 +7,7 @@ rows is replaced by a weighted sample of at most ``s`` rows, smaller groups
 pass unchanged.  Samples are repeatable: the only randomness is
 :func:`weftcore.functions.hashing.uniform01` of ``pid`` and the seed.
 
-Priority samplers (uniform, light, sensitivity, norm) share one selection:
+Priority samplers (uniform, light, sensitivity, norm, leverage) share one selection:
 priority ``r = v / u`` for an importance ``v > 0``; keep the top ``s`` by
 ``r`` (ties by pid); ``tau`` = the (s+1)-th priority; a kept row's weight
 becomes ``w * max(v, tau) / v`` (Duffield, Lund & Thorup 2007).  The top
@@ -34,8 +34,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftcore.functions.hashing import bucket, uniform01
-from weftcore.functions.vectors import (any_sq_norm, is_sparse_type, nearest, nearest_sparse,
-                                        nonzero_cells, sparse_dot_dense, sparse_sq_norm, sq_dist)
+from weftcore.functions.vectors import (any_sq_norm, is_sparse_type, nearest, nonzero_cells,
+                                        sparse_dot_dense, sparse_sq_norm, sq_dist)
+from weftcore.operators.kmeans import Block, Centres, nearest_column, product_column, reduce_block
 
 POINT_COLS = ["pid", "features", "weight"]
 
@@ -299,14 +300,10 @@ class SensitivitySampler(Sampler):
         if self.centres is None:
             self.prepare(df)
         df = _strip(df, keys)
-        spark = df.sparkSession
         k = len(self.centres)
         alpha = 16.0 * (math.log(max(k, 1)) + 2.0)
-        norms = [float(sum(x * x for x in c)) for c in self.centres]
-        cdf = spark.createDataFrame([(self.centres, norms)], "c array<array<double>>, cn array<double>")
-        nb = nearest_sparse("features", "c", "cn") if is_sparse(df) else nearest("features", "c")
-        # one broadcast row of k centres (k x d doubles, the model's size)
-        near = df.crossJoin(F.broadcast(cdf)).withColumn("_nb", nb)
+        # k centres (k x d doubles, the model's size) go to every task once
+        near = df.withColumn("_nb", nearest_column(df, Centres.of_dense(self.centres)))
         x = near.select(*keys, *POINT_COLS, F.col("_nb.idx").alias("_b"),
                         F.col("_nb.d2").alias("_d2"))
         g = _group_agg(x, keys, F.sum("weight").alias("_W"),
@@ -341,6 +338,52 @@ class NormSampler(Sampler):
         return out.select(*keys, *POINT_COLS)
 
 
+@dataclass
+class LeverageSampler(Sampler):
+    """C8, rank-k form: rows by their weighted leverage on the top k right
+    singular directions, ``v = w |x V_k S_k^-1|^2 = w sum_j (x . v_j)^2 / l_j``
+    with ``l_j = sum w (x . v_j)^2`` (Drineas, Mahoney & Muthukrishnan 2008).
+
+    Two passes: ``prepare`` fits the axes (:func:`models.svd_axes`) and their
+    values l, unless ``axes`` are given; priorities are then products of a
+    block of rows with the axes, dense or sparse.  A row without a share in
+    the axes (v = 0) is drawn after all others."""
+
+    name: str = "leverage"
+    k: int = 2
+    axes: list | None = None
+    values: list | None = None
+
+    def prepare(self, points):
+        from weftcore.operators.models import svd_axes, svd_values
+        if self.axes is None:
+            self.axes = svd_axes(points, self.k, weighted=True)
+            self.values = None
+        if self.values is None and self.axes:
+            self.values = svd_values(points, self.axes, weighted=True)
+        return self
+
+    def state(self):
+        return None if not self.axes else [*self.axes, list(self.values)]
+
+    def restore(self, state):
+        self.axes, self.values = (None, None) if not state else (state[:-1], state[-1])
+
+    def row_importance(self, df):
+        if not self.axes:
+            self.prepare(df)
+        if not self.axes:
+            return F.lit(0.0)
+        p = product_column(df, Centres.of_dense(self.axes))
+        share = F.array(*[F.lit(1.0 / v if v > 0 else 0.0) for v in self.values])
+        return F.col("weight") * F.aggregate(F.zip_with(p, share, lambda x, y: x * x * y), F.lit(0.0), lambda a, x: a + x)
+
+    def sample(self, df, keys, s, seed, salt=0, bounded=False):
+        df = _strip(df, keys)
+        out = priority_select(df.withColumn("_imp", self.row_importance(df)), keys, s, self._seed(seed, salt), "_imp")
+        return out.select(*keys, *POINT_COLS)
+
+
 @dataclass
 class SystematicSampler(Sampler):
     """W4, the reference's test sampler: sort the group, step = n div s, keep
@@ -386,21 +429,20 @@ class FirstSampler(Sampler):
 
 
 @dataclass
-class ClusterMeanSampler(Sampler):
-    """Clustering coreset (after Barger & Feldman 2016).  Per group with
-    more than s rows: s seeds by light-priority sampling, every row assigned
-    to its nearest seed, each cluster replaced by (weighted mean, sum of
-    weights).  Total weight and the weighted mean are preserved exactly.
-    The output pid is the smallest pid of the cluster.
+class PieceSampler(Sampler):
+    """Samplers whose work on a group is one NumPy step (``_body``).
 
-    One NumPy step reduces a piece of at most about ``piece`` rows (or 4 s);
-    larger groups are cut into such pieces by a hash of the pid, reduced,
-    and cut again until a group is one piece, so no task holds a whole
-    unbounded group."""
+    A group is cut into pieces of about ``piece`` rows (or 4 s) by a hash of
+    the pid, at every size (a group that small is one piece); one step reduces
+    a piece to at most s rows, and what is left is cut again until it is one
+    piece, so no task holds a whole unbounded group."""
 
-    name: str = "cluster_mean"
-    subset: bool = False
     piece: int = 4096
+    steps: int = 3
+
+    def _body(self, keys: list[str], s: int, sparse: bool, seed: int):
+        """table -> table on one group of bounded size."""
+        raise NotImplementedError
 
     def sample(self, df, keys, s, seed, salt=0, bounded=False):
         from weftcore.sources.points import materialize
@@ -416,11 +458,11 @@ class ClusterMeanSampler(Sampler):
             pieces = F.ceil(F.col("_n") / F.lit(piece))
             cut = _join_stats(df, counts, keys).withColumn("_piece", F.pmod(F.xxhash64("pid", F.lit(step)), pieces))
             part = self._reduce(cut.select(*keys, "_piece", *POINT_COLS), [*keys, "_piece"], s, seed + 7919 * (step + 1))
-            df = materialize(_strip(part, keys), "cluster-means")
-        raise RuntimeError("cluster means do not settle")
+            df = materialize(_strip(part, keys), "pieces")
+        raise RuntimeError(f"pieces of {self.name} do not settle")
 
     def _reduce(self, df, keys, s, seed):
-        """Groups of bounded size: one ``applyInPandas`` stage."""
+        """Groups of bounded size: one ``applyInArrow`` stage."""
         sparse = is_sparse(df)
         names = keys or ["_g"]
         flat = df if keys else df.withColumn("_g", F.lit(0))
@@ -430,12 +472,111 @@ class ClusterMeanSampler(Sampler):
             cols, out = [f["size"].alias("_size"), f["indices"].alias("_idx"), f["values"].alias("_val")], "_size int, _idx array<int>, _val array<double>"
         else:
             cols, out = [f.alias("_val")], "_val array<double>"
-        flat = flat.select(*names, "pid", "weight", uniform01("pid", seed).alias("_u"), *cols)
-        done = flat.groupBy(*names).applyInPandas(_cluster_means(names, s, sparse), f"{ddl}, pid bigint, weight double, {out}")
+        flat = flat.select(*names, "pid", "weight", *cols)
+        done = flat.groupBy(*names).applyInArrow(self._body(names, s, sparse, seed), f"{ddl}, pid bigint, weight double, {out}")
         feats = F.struct(F.col("_size").alias("size"), F.col("_idx").alias("indices"), F.col("_val").alias("values")) if sparse else F.col("_val")
         return done.select(*keys, "pid", feats.alias("features"), "weight")
 
 
+def _ordered(table, sparse: bool, seed: int):
+    """A group in pid order, so draws do not depend on how rows arrive: the
+    table, its pids and weights, a block of its points, a generator."""
+    import numpy as np
+    import pyarrow as pa
+    table = table.sort_by("pid").combine_chunks()
+    pids, w = table.column("pid").to_numpy().astype(np.int64), table.column("weight").to_numpy().astype(float)
+    parts = [table.column(c).combine_chunks() for c in (("_idx", "_val") if sparse else ("_val",))]
+    rng = np.random.default_rng([seed & 0xFFFFFFFF, len(pids), int(pids[0]) & 0xFFFFFFFF, int(pids[-1]) & 0xFFFFFFFF])
+    return table, pids, w, Block.of([p if isinstance(p, pa.Array) else p.chunk(0) for p in parts]), rng
+
+
+@dataclass
+class ClusterMeanSampler(PieceSampler):
+    """Clustering coreset (after Barger & Feldman 2016).  Per group with
+    more than s rows: s centres by k-means++ (draws by weight x squared
+    distance) and a few Lloyd steps, every row assigned to its nearest one,
+    each cluster replaced by (weighted mean, sum of weights).  Total weight
+    and the weighted mean are preserved exactly.  The output pid is the
+    smallest pid of the cluster.
+
+    Groups are reduced in pieces (:class:`PieceSampler`).  Replacing clusters
+    by their means changes a k-means cost by at most 2 sqrt(e cost) + e, with e
+    the cost of the pieces' own clusterings, and that holds again for every
+    round."""
+
+    name: str = "cluster_mean"
+    subset: bool = False
+
+    def _body(self, keys, s, sparse, seed):
+        steps = self.steps
+
+        def run(table):
+            import numpy as np
+            import pyarrow as pa
+            if table.num_rows <= s:
+                return table
+            table, pids, w, block, rng = _ordered(table, sparse, seed)
+            label, means = reduce_block(block, w, s, rng, steps)
+            n = len(means)
+            least = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(least, label, pids)
+            out = {c: pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type) for c in keys}
+            out |= {"pid": pa.array(least), "weight": pa.array(np.bincount(label, weights=w, minlength=n))}
+            if sparse:
+                out["_size"] = pa.array([max(table.column("_size").to_pylist())] * n, pa.int32())
+                out["_idx"] = pa.array([i.astype(np.int32) for i, _ in means], pa.list_(pa.int32()))
+            out["_val"] = pa.array([v for _, v in means], pa.list_(pa.float64()))
+            return pa.table({c: out[c] for c in table.column_names})
+
+        return run
+
+
+@dataclass
+class LocalSensitivitySampler(PieceSampler):
+    """C5 / C6 with rough centres of the container itself: k-means++ on its
+    rows (k centres, ``steps`` Lloyd steps), then the sensitivities of
+    :class:`SensitivitySampler` against them and a priority sample of s rows.
+    Nothing is fitted beforehand and no state is kept, so a stream's later
+    batches are not measured by the centres of its first one."""
+
+    name: str = "sensitivity-local"
+    k: int = 10
+
+    def _body(self, keys, s, sparse, seed):
+        k, steps = self.k, self.steps
+        alpha = 16.0 * (math.log(max(k, 1)) + 2.0)
+
+        def run(table):
+            import numpy as np
+            if table.num_rows <= s:
+                return table
+            table, pids, w, block, rng = _ordered(table, sparse, seed)
+            label, means = reduce_block(block, w, k, rng, steps)
+            dim = block.x.shape[1] if not sparse else 0
+            d2 = np.empty(block.n)
+            for c in range(len(means)):
+                one = Centres.of_sparse([means[c]], dim) if sparse else Centres.of_dense([_dense(means[c], dim)])
+                d2[label == c] = block.nearest(one)[1][label == c]
+            wb, cb = np.bincount(label, weights=w), np.bincount(label, weights=w * d2)
+            total, cost = w.sum(), float(w @ d2)
+            v = w * (alpha * d2 * total / cost + 2 * alpha * cb[label] * total / (wb[label] * cost) + 4 * total / wb[label]) if cost > 0 else w
+            r = v / (1.0 - rng.random(block.n))
+            order = np.lexsort((pids, -r))
+            tau, kept = r[order[s]], np.sort(order[:s])
+            weight = np.where(v[kept] >= tau, w[kept], w[kept] * tau / v[kept])
+            out = table.take(kept)
+            return out.set_column(out.schema.get_field_index("weight"), "weight", [weight])
+
+        return run
+
+
+def _dense(mean: tuple, dim: int):
+    import numpy as np
+    v = np.zeros(dim)
+    v[mean[0]] = mean[1]
+    return v
+
+
 @dataclass
 class FixedCentreReducer:
     """C7 with given centres (SQL-checkable form): each point goes to its
@@ -455,50 +596,6 @@ class FixedCentreReducer:
             F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-def _cluster_means(keys, s, sparse):
-    """Body of the cluster-mean sampler (C7) on one group of bounded size.
-    Sparse rows are laid out over the coordinates that the group uses, and
-    distances come from products, so memory is rows x (coordinates + s)."""
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-        if len(pdf) <= s:
-            return pdf.drop(columns="_u")
-        n = len(pdf)
-        w, pids = pdf["weight"].to_numpy(dtype=float), pdf["pid"].to_numpy(dtype=np.int64)
-        if sparse:
-            lens = pdf["_idx"].map(len).to_numpy()
-            used, col = np.unique(np.concatenate(pdf["_idx"].to_list()).astype(np.int64), return_inverse=True)
-            x = np.zeros((n, len(used)))
-            x[np.repeat(np.arange(n), lens), col] = np.concatenate(pdf["_val"].to_list())
-        else:
-            x = np.vstack(pdf["_val"].to_list()).astype(float)
-        W = w.sum()
-        mu = w @ x / W
-        d2 = np.maximum((x * x).sum(axis=1) - 2 * x @ mu + mu @ mu, 0)
-        C = float(w @ d2)
-        v = w * (0.5 / W + 0.5 * d2 / C) if C > 0 else w / W
-        seeds = np.lexsort((pids, -(v / pdf["_u"].to_numpy())))[:s]
-        seeds = seeds[np.argsort(pids[seeds])]  # ties go to the smallest pid
-        cx = x[seeds]
-        k = ((cx * cx).sum(axis=1)[None, :] - 2 * x @ cx.T).argmin(axis=1)
-        member = np.zeros((len(seeds), n))
-        member[k, np.arange(n)] = w
-        weight = member.sum(axis=1)
-        some = np.flatnonzero(weight > 0)
-        mean = (member[some] @ x) / weight[some, None]
-        out = {c: pdf[c].iloc[0] for c in keys} | {"pid": [int(pids[k == c].min()) for c in some], "weight": weight[some]}
-        if sparse:
-            at = [np.flatnonzero(m) for m in mean]
-            out |= {"_size": int(pdf["_size"].max()), "_idx": [used[a].astype(int).tolist() for a in at], "_val": [m[a].tolist() for m, a in zip(mean, at)]}
-        else:
-            out["_val"] = mean.tolist()
-        return pd.DataFrame(out)
-
-    return run
-
-
 # ------------------------------------------------------------ take wrappers ---
 
 def take(df: DataFrame, s: int, sampler: Sampler, seed: int, keys: list[str] | None = None,

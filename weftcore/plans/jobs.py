@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from weftcore.operators import models
 from weftcore.operators.evaluate import evaluate as evaluate_results
 from weftcore.operators.evaluate import report
-from weftcore.operators.samplers import ClusterMeanSampler, NormSampler, Sampler, SensitivitySampler, UniformSampler
+from weftcore.operators.samplers import ClusterMeanSampler, LocalSensitivitySampler, NormSampler, Sampler, UniformSampler
 from weftcore.operators.tree import TreeConfig, coreset, suggest_leaves
-from weftcore.sources.points import number_rows, read_results
+from weftcore.session import ScratchScope, keep, scratch_path
+from weftcore.sources.points import materialize, number_rows, read_results
 from weftcore.sources.text import LINE_ORDER, parse_dense, parse_sparse, read_lines, read_lines_stream
 
 MODES = ("bulk", "streaming", "evaluate")
@@ -44,6 +45,8 @@ class JobConfig:
     fan_in: int = 2
     seed: int = 0
     max_files_per_trigger: int | None = None
+    max_bytes_per_trigger: int | str | None = None
+    max_run_secs: float | None = None
     available_now: bool = False
     checkpoint_location: str | None = None
     spark_params: dict = field(default_factory=dict)
@@ -57,6 +60,8 @@ class JobConfig:
             raise ValueError(f"unknown algorithm {self.alg!r}")
         if self.alg in CORESET_ALGS and self.mode != "evaluate" and self.sample_size <= 0:
             raise ValueError("coreset algorithms need sample_size > 0")
+        if self.max_run_secs is not None and self.max_run_secs <= 0:
+            raise ValueError("max_run_secs must be > 0")
         if self.algorithm_params <= 0:
             raise ValueError("algorithm_params (k) must be > 0")
 
@@ -74,9 +79,9 @@ def create_sampler(cfg: JobConfig) -> Sampler:
     if a == "coreset-uniform-kmeans":
         return UniformSampler()
     if a == "coreset-kmeans":
-        return SensitivitySampler(k=cfg.k, seed=cfg.seed)
+        return LocalSensitivitySampler(k=cfg.k)
     if a == "coreset2-kmeans":
-        return ClusterMeanSampler() if not cfg.dense else SensitivitySampler(k=cfg.k, seed=cfg.seed)
+        return ClusterMeanSampler() if not cfg.dense else LocalSensitivitySampler(k=cfg.k)
     if a in ("coreset-svd", "coreset-uniform-svd"):
         if cfg.dense:
             raise ValueError(f"{a} on dense data is not supported (as in the reference)")
@@ -101,32 +106,40 @@ def load_points(spark: SparkSession, cfg: JobConfig) -> DataFrame:
 
 
 def run_bulk(spark: SparkSession, cfg: JobConfig, batch_id: int = 0) -> DataFrame:
-    """Points -> coreset -> model (or the Spark baseline) -> results file."""
+    """Points -> coreset -> model (or the Spark baseline) -> results file.
+    Scratch tables and cached frames end with the job (K6)."""
     _apply_spark_params(spark, cfg)
-    points = load_points(spark, cfg)  # already written: numbering cuts the lineage
-    n = points.count()
-    if cfg.alg in SPARK_ALGS:
-        fit = models.spark_baseline(cfg.alg, cfg.dense, False, cfg.k, cfg.seed)
-        res = models.result_frame(spark, batch_id, fit(points), n, int(n), cfg.alg)
-    else:
-        tcfg = cfg.tree()
-        leaves = suggest_leaves(n, tcfg, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        sample = coreset(points, tcfg, create_sampler(cfg), cfg.seed, leaves=leaves).persist()
-        fit = models.model_on_sample(cfg.alg, cfg.dense, cfg.k, cfg.seed)
-        res = models.result_frame(spark, batch_id, fit(sample) if n else [], n, sample.count(), cfg.alg)
-    res.coalesce(1).write.mode("overwrite").parquet(os.path.join(cfg.output, f"batch_id={batch_id}"))  # one row
+    with ScratchScope(spark):
+        points = load_points(spark, cfg)  # already written: numbering cuts the lineage
+        n = points.count()
+        if cfg.alg in SPARK_ALGS:
+            fit = models.spark_baseline(cfg.alg, cfg.dense, False, cfg.k, cfg.seed)
+            res = models.result_frame(spark, batch_id, fit(points), n, int(n), cfg.alg)
+        else:
+            tcfg = cfg.tree()
+            leaves = suggest_leaves(n, tcfg, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            sample = keep(coreset(points, tcfg, create_sampler(cfg), cfg.seed, leaves=leaves))
+            fit = models.model_on_sample(cfg.alg, cfg.dense, cfg.k, cfg.seed)
+            res = models.result_frame(spark, batch_id, fit(sample) if n else [], n, sample.count(), cfg.alg)
+        res.coalesce(1).write.mode("overwrite").parquet(os.path.join(cfg.output, f"batch_id={batch_id}"))  # one row
     return spark.read.parquet(cfg.output)
 
 
 def run_streaming(spark: SparkSession, cfg: JobConfig):
-    """Text stream -> per-batch tree sample -> model -> results per batch."""
-    from weftcore.session import scratch_path
+    """Text stream -> per-batch tree sample -> model -> results per batch.
+    Returns the query; with ``max_run_secs`` after it has ended or its time is
+    over (T13)."""
     from weftcore.streaming.kmeans import StreamingKMeansState
-    from weftcore.streaming.tree_stream import StreamingTreeSampler, trigger_kwargs
+    from weftcore.streaming.tree_stream import Gate, StreamingTreeSampler, run_for, start_batches
+
+    def started(query, gate):
+        if cfg.max_run_secs is not None:
+            run_for(query, cfg.max_run_secs, gate)
+        return query
 
     _apply_spark_params(spark, cfg)
     lines = read_lines_stream(spark, cfg.input, cfg.max_files_per_trigger,
-                              f"{100 * cfg.batch_secs}s", cfg.parallelism)
+                              f"{100 * cfg.batch_secs}s", cfg.parallelism, cfg.max_bytes_per_trigger)
     parsed = (parse_dense(lines, mode="FAILFAST", keep=[]) if cfg.dense
               else parse_sparse(lines, mode="FAILFAST", keep=[]))
     points = parsed.select("features", F.lit(1.0).alias("weight"))
@@ -138,34 +151,38 @@ def run_streaming(spark: SparkSession, cfg: JobConfig):
             raise ValueError("spark-kmeans streaming needs dim")
         km = StreamingKMeansState(cfg.k, cfg.dim, state, cfg.seed, carry=False)
 
+        gate = Gate()
+
         def per_batch(batch, batch_id):  # T7
-            n = batch.count()
-            centres = km.process_batch(batch, batch_id)
-            if centres is None:
-                return
-            models.result_frame(spark, batch_id, centres, n, n, cfg.alg).coalesce(1).write \
-                .mode("overwrite").parquet(os.path.join(cfg.output, f"batch_id={batch_id}"))
-        return (points.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
-                .trigger(**trigger_kwargs(cfg.batch_secs, cfg.available_now)).start())
+            with gate, ScratchScope(spark):
+                n = batch.count()
+                centres = km.process_batch(batch, batch_id)
+                if centres is not None:
+                    models.result_frame(spark, batch_id, centres, n, n, cfg.alg).coalesce(1).write \
+                        .mode("overwrite").parquet(os.path.join(cfg.output, f"batch_id={batch_id}"))
+        return started(start_batches(points, per_batch, ckpt, cfg.batch_secs, cfg.available_now), gate)
     if cfg.alg in SPARK_ALGS:
         raise ValueError(f"{cfg.alg} does not run on a stream")
 
     fit = models.model_on_sample(cfg.alg, cfg.dense, cfg.k, cfg.seed)
 
     def process(batch, sample, batch_id, n):
-        sample = sample.persist()
+        sample = keep(sample)
         return models.result_frame(spark, batch_id, fit(sample), n, sample.count(), cfg.alg)
 
     sts = StreamingTreeSampler(cfg.tree(), create_sampler(cfg), cfg.seed, state,
                                results_dir=cfg.output, process_sample=process)
-    return sts.start(points, ckpt, cfg.batch_secs, cfg.available_now)
+    return started(sts.start(points, ckpt, cfg.batch_secs, cfg.available_now), sts.gate)
 
 
 def run_evaluate(spark: SparkSession, cfg: JobConfig) -> DataFrame:
-    """Score every saved result on its prefix of the input."""
+    """Score every saved result on its prefix of the input (E3/E4).  The
+    report is a small written table; the job's other tables end with it."""
     _apply_spark_params(spark, cfg)
-    points = load_points(spark, cfg).withColumnRenamed("pid", "idx")
-    return report(evaluate_results(points, read_results(spark, cfg.output), cfg.alg), cfg.output)
+    with ScratchScope(spark) as scope:
+        points = load_points(spark, cfg).withColumnRenamed("pid", "idx")
+        costs = evaluate_results(points, read_results(spark, cfg.output), cfg.alg)
+        return materialize(report(costs, cfg.output), path=scope.outside("report"))
 
 
 def run(spark: SparkSession, cfg: JobConfig):

@@ -1,16 +1,20 @@
 """DuckDB SQL equal to each registered query (views: the driver tables).
 
-Queries on an iterative fit (k-means, SVD) or on a random tree shape return
-facts that hold for every right result; their SQL states these facts.
+Model fits are stated in full: Lloyd steps from given centres, eigenvectors by
+repeated squaring, importance trees level by level (:mod:`.model_sql`).
 """
 
 from __future__ import annotations
 
 from weftcore.functions.hashing import uniform_sql
+from weftcore.plans import model_sql as sql
 from weftcore.plans.registered import (CHUNK_FAN, CHUNK_LEAVES, CHUNK_MAX, CHUNK_MIN, CHUNK_S,
+                                       KMEANS_K, KMEANS_SAMPLE, KMEANS_STEPS,
                                        LINEITEM_FEATURES_SQL, LINEITEM_PID_SQL, PROG_BATCHES,
-                                       PROJ_AXES, SEED, STREAM_FILES, STREAM_KMEANS_DECAY,
+                                       PROJ_AXES, SEED, SPARSE_K, SPARSE_SAMPLE, SPARSE_STEPS, STREAM_FILES, STREAM_LEAVES, STREAM_S, STREAM_KMEANS_DECAY,
                                        STREAM_KMEANS_WEIGHT, TERM_BUCKETS,
+                                       TREE_LIGHT_FAN, TREE_LIGHT_LEAVES, TREE_LIGHT_S,
+                                       TREE_SENS_LEAVES, TREE_SENS_S,
                                        TREE_SYS_FAN, TREE_SYS_LEAVES, TREE_SYS_S)
 
 
@@ -119,6 +123,63 @@ def _gram_sql() -> str:
     return f"WITH p AS ({_li_points()})\n" + "\nUNION ALL ".join(sel)
 
 
+def _axis_products() -> str:
+    return ", ".join(" + ".join(f"{n} * ({float(x)})" for n, x in zip("abcd", ax)) + f" AS p{k}" for k, ax in enumerate(PROJ_AXES))
+
+
+def _light_v() -> str:
+    """CTEs that end in ``v``: the light importance of every embedding."""
+    return f"""{EMB}, {POS},
+mu AS (SELECT j, avg(x) AS m FROM pos GROUP BY j),
+dd AS (SELECT pid, sum((x - m) * (x - m)) AS d2 FROM pos JOIN mu USING (j) GROUP BY pid),
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(d2) AS c FROM dd),
+v AS MATERIALIZED (SELECT pid, CASE WHEN c > 0 THEN 0.5 / n + 0.5 * d2 / c ELSE 1.0 / n END AS v FROM dd, tot)"""
+
+
+def _sample(v: str, s: int) -> str:
+    """CTEs that end in ``sample`` (pid, weight): s rows by priority v / u, unit input weights."""
+    return f"""prio AS (SELECT pid, v, v / {_u('pid')} AS r FROM {v}),
+ranked AS MATERIALIZED (SELECT pid, v, r, row_number() OVER (ORDER BY r DESC, pid) AS rn FROM prio),
+tau AS (SELECT max(CASE WHEN rn = {s + 1} THEN r END) AS tau FROM ranked),
+sample AS MATERIALIZED (SELECT pid, CASE WHEN tau IS NULL OR v >= tau THEN 1.0 ELSE tau / v END AS weight FROM ranked, tau WHERE rn <= {s})"""
+
+
+def _first(points: str, cells: str, k: int) -> str:
+    """(c, j, m): the vectors of the k smallest pids."""
+    return f"SELECT o.c, q.j, q.x AS m FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS c FROM {points}) o JOIN {cells} q USING (pid) WHERE o.c < {k}"
+
+
+def _model_rows(steps: int) -> str:
+    return f"SELECT CAST(c AS BIGINT) AS c, CAST(j AS BIGINT) AS j, round(m, 6) AS value, round(cost, 4) AS cost, true AS fit_close FROM c{steps}, model_cost"
+
+
+def _weighted_gram(points: str, w: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, sum({w} * {x} * {y}) AS v FROM {points}" for i, x in enumerate("abcd") for j, y in enumerate("abcd"))
+
+
+def _axes_rows(k: int) -> str:
+    return "\nUNION ALL ".join(f"SELECT CAST({c} AS BIGINT) AS c, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(v, 6) AS value, round(e, 3) AS eigenvalue FROM proj{c}, val{c}" for c in range(k))
+
+
+def _stream_nodes_sql(rounds: int = 8) -> str:
+    """Sizes of the streamed forest's nodes: only numbers of rows, batch by batch."""
+    s, T = STREAM_S, 2 * STREAM_S
+    parts = [f"ev AS (SELECT event_id, event_id * {STREAM_FILES} // (SELECT count(*) FROM events) AS b FROM events)",
+             "f0 AS (SELECT 0 AS level, 0 AS node, 0 AS n WHERE false)"]
+    for b in range(STREAM_FILES):
+        parts.append(f"l{b} AS (SELECT event_id % {STREAM_LEAVES} AS leaf, count(*) AS n FROM ev WHERE b = {b} GROUP BY 1)")
+        parts.append(f"r{b}_0 AS (SELECT level, node, sum(n) AS n FROM (SELECT 0 AS level, leaf // 2 AS node, CASE WHEN n >= {T} THEN {s} ELSE n END AS n FROM l{b} "
+                     f"UNION ALL SELECT level, node, n FROM f{b}) GROUP BY 1, 2)")
+        for r in range(rounds):
+            parts.append(f"r{b}_{r + 1} AS MATERIALIZED (SELECT CASE WHEN n >= {T} THEN level + 1 ELSE level END AS level, CASE WHEN n >= {T} THEN node // 2 ELSE node END AS node, "
+                         f"sum(CASE WHEN n >= {T} THEN {s} ELSE n END) AS n FROM r{b}_{r} GROUP BY 1, 2)")
+        parts.append(f"f{b + 1} AS MATERIALIZED (SELECT level, node, n FROM r{b}_{rounds})")
+    each = "\nUNION ALL ".join(f"SELECT {b} AS b, level, count(*) AS nodes, sum(n) AS rows, min(n) AS smallest, max(n) AS largest FROM f{b + 1} GROUP BY level" for b in range(STREAM_FILES))
+    parts.append(f"sizes AS (SELECT b, count(*) AS num_points, sum(count(*)) OVER (ORDER BY b) AS cum_points FROM ev GROUP BY b), every AS ({each})")
+    big = lambda *names: ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
+    return "WITH " + ",\n".join(parts) + f"\nSELECT CAST(b AS BIGINT) AS batch_id, {big('num_points', 'cum_points', 'level', 'nodes', 'rows', 'smallest', 'largest')}, false AS over_time FROM every JOIN sizes USING (b)"
+
+
 DOC_CELLS = f"""t AS (SELECT doc_id, UNNEST(string_split(text, ' ')) AS t FROM documents),
 cells AS (SELECT doc_id AS pid, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {TERM_BUCKETS} AS j,
                  CAST(count(*) AS DOUBLE) AS v FROM t WHERE t <> '' GROUP BY doc_id, j)"""
@@ -186,13 +247,16 @@ tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(d2) AS c FROM d),
 v AS (SELECT pid, CASE WHEN c > 0 THEN 0.5 / n + 0.5 * d2 / c ELSE 1.0 / n END AS v FROM d, tot)""",
         "v", 50),
 
-    "tree_light_coreset": """
-SELECT CAST(50 AS BIGINT) AS sample_size, CAST(50 AS BIGINT) AS distinct_ids, CAST(50 AS BIGINT) AS input_rows,
-       count(*) AS num_points, true AS weight_near FROM embeddings""",
+    "tree_light_coreset": f"""
+WITH {EMB}, {POS},
+{sql.tree('e', sql.light('pos'), TREE_LIGHT_LEAVES, TREE_LIGHT_FAN, TREE_LIGHT_S, SEED)}
+SELECT pid, round(weight, 6) AS weight FROM tree_sample""",
 
-    "tree_sensitivity_coreset": """
-SELECT CAST(100 AS BIGINT) AS sample_size, CAST(100 AS BIGINT) AS distinct_ids, CAST(100 AS BIGINT) AS input_rows,
-       count(*) AS num_points, true AS weight_near FROM embeddings""",
+    "tree_sensitivity_coreset": f"""
+WITH {LABEL_DIST},
+near AS MATERIALIZED (SELECT pid, arg_min(c, d2) AS b, min(d2) AS d2 FROM dist GROUP BY pid),
+{sql.tree('e', sql.sensitivity('near', '(SELECT count(*) FROM lab)'), TREE_SENS_LEAVES, 2, TREE_SENS_S, SEED)}
+SELECT pid, round(weight, 6) AS weight FROM tree_sample""",
 
     "sensitivity_coreset": _priority(
         f"""{LABEL_DIST},
@@ -206,6 +270,18 @@ v AS (SELECT pid, a * d2 / (s / w) + 2 * a * cb / (wb * (s / w)) + 4.0 * w / wb
         f"""p AS ({_li_points()}),
 v AS (SELECT pid, a * a + b * b + c * c + d * d AS v FROM p)""", "v", 100),
 
+    "leverage_coreset": _priority(
+        f"""p AS ({_li_points()}),
+q AS (SELECT pid, {_axis_products()} FROM p),
+l AS (SELECT sum(p0 * p0) AS l0, sum(p1 * p1) AS l1 FROM q),
+v AS (SELECT pid, p0 * p0 / l0 + p1 * p1 / l1 AS v FROM q, l)""", "v", 100),
+
+    "sparse_leverage_coreset": _priority(
+        f"""{DOC_CELLS},
+q AS (SELECT pid, sum(v) AS p0, sum(v * (j % 3)) AS p1 FROM cells GROUP BY pid),
+l AS (SELECT sum(p0 * p0) AS l0, sum(p1 * p1) AS l1 FROM q),
+v AS (SELECT pid, p0 * p0 / l0 + p1 * p1 / l1 AS v FROM q, l)""", "v", 50),
+
     "cluster_mean_coreset": f"""
 WITH {LABEL_DIST},
 asg AS (SELECT pid, arg_min(c, d2) AS cluster FROM dist GROUP BY pid),
@@ -258,9 +334,7 @@ FROM cum JOIN cost USING (batch_id) JOIN st USING (batch_id)""",
 SELECT pid, round((SELECT count(*) FROM events) / 50.0, 6)::DOUBLE AS weight
 FROM (SELECT event_id AS pid, {_u('event_id')} AS u FROM events) ORDER BY u, pid LIMIT 50""",
 
-    "streaming_results_running": f"""
-SELECT CAST({STREAM_FILES} AS BIGINT) AS batches, count(*) AS num_points, count(*) AS cum_points,
-       CAST({STREAM_FILES - 1} AS BIGINT) AS last_batch, false AS over_time FROM events""",
+    "streaming_results_running": _stream_nodes_sql(),
 
     "sliding_points": """
 WITH w AS (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS ws, value
@@ -341,25 +415,59 @@ WITH {DOC_CELLS}
 SELECT CAST(j AS BIGINT) AS j, round(sum(v), 4) AS total, (SELECT CAST(count(DISTINCT pid) AS DOUBLE) FROM cells) AS weight, true AS small
 FROM cells GROUP BY j""",
 
-    "weighted_kmeans": """
-SELECT CAST(10 AS BIGINT) AS k, CAST(max(len(embedding)) AS BIGINT) AS dim, CAST(100 AS BIGINT) AS num_points, true AS means FROM embeddings""",
+    "weighted_kmeans": f"""
+WITH {_light_v()}, {_sample("v", KMEANS_SAMPLE)},
+pts AS MATERIALIZED (SELECT pid, weight AS w FROM sample), cells AS MATERIALIZED (SELECT pid, j, x FROM pos WHERE pid IN (SELECT pid FROM pts)),
+init AS MATERIALIZED ({_first("pts", "cells", KMEANS_K)}),
+{sql.lloyd('pts', 'cells', 'init', KMEANS_STEPS)}
+{_model_rows(KMEANS_STEPS)}""",
 
-    "bulk_kmeans": """
-SELECT CAST(10 AS BIGINT) AS k, CAST(max(len(embedding)) AS BIGINT) AS dim, count(*) AS num_points, true AS means FROM embeddings""",
+    "bulk_kmeans": f"""
+WITH {EMB}, {POS},
+pts AS MATERIALIZED (SELECT pid, CAST(1 AS DOUBLE) AS w FROM e), cells AS MATERIALIZED (SELECT pid, j, x FROM pos),
+init AS MATERIALIZED ({_first("pts", "cells", KMEANS_K)}),
+{sql.lloyd('pts', 'cells', 'init', KMEANS_STEPS)}
+{_model_rows(KMEANS_STEPS)}""",
 
     "sparse_kmeans_coreset": f"""
-SELECT CAST(5 AS BIGINT) AS k, CAST({TERM_BUCKETS} AS BIGINT) AS dim, CAST(100 AS BIGINT) AS num_points, true AS means""",
+WITH {DOC_CELLS}, d AS MATERIALIZED (SELECT pid, j, v AS x FROM cells), p AS MATERIALIZED (SELECT DISTINCT pid FROM cells),
+xx AS MATERIALIZED (SELECT pid, sum(x * x) AS xx FROM d GROUP BY pid),
+rough AS MATERIALIZED ({_first("p", "d", SPARSE_K)}),
+rc AS MATERIALIZED (SELECT c, sum(m * m) AS cc FROM rough GROUP BY c),
+xc AS MATERIALIZED (SELECT d.pid, r.c, sum(d.x * r.m) AS xc FROM d JOIN rough r USING (j) GROUP BY d.pid, r.c),
+dd AS MATERIALIZED (SELECT xx.pid, rc.c, xx.xx - 2 * coalesce(xc.xc, 0) + rc.cc AS d2 FROM xx CROSS JOIN rc LEFT JOIN xc ON xc.pid = xx.pid AND xc.c = rc.c),
+near AS MATERIALIZED (SELECT pid, arg_min(c, (d2, c)) AS b, greatest(min(d2), 0) AS d2 FROM dd GROUP BY pid),
+whole AS MATERIALIZED (SELECT 0 AS level, 0 AS node, pid, CAST(1 AS DOUBLE) AS w FROM p),
+{sql.sensitivity('near', SPARSE_K)('whole', 'sv')},
+{_sample("sv", SPARSE_SAMPLE)},
+pts AS MATERIALIZED (SELECT pid, weight AS w FROM sample), pc AS MATERIALIZED (SELECT pid, j, x FROM d WHERE pid IN (SELECT pid FROM pts)),
+init AS MATERIALIZED ({_first("pts", "pc", SPARSE_K)}),
+{sql.lloyd('pts', 'pc', 'init', SPARSE_STEPS)}
+{_model_rows(SPARSE_STEPS)}""",
 
     "svd_axes": f"""
-WITH p AS ({_li_points()})
-SELECT CAST(2 AS BIGINT) AS k, CAST(4 AS BIGINT) AS dim, true AS orthonormal, true AS eigenvectors, true AS ordered,
-       round(sum(a * a + b * b + c * c + d * d), 3) AS total FROM p""",
-
-    "weighted_svd": """
-SELECT CAST(2 AS BIGINT) AS k, CAST(4 AS BIGINT) AS dim, true AS orthonormal, true AS eigenvectors, true AS ordered""",
+WITH p AS MATERIALIZED ({_li_points()}),
+gram AS MATERIALIZED ({_weighted_gram("p", "1.0")}),
+{sql.projectors('gram', 2)}
+{_axes_rows(2)}""",
+
+    "weighted_svd": f"""
+WITH p AS MATERIALIZED ({_li_points()}), v AS MATERIALIZED (SELECT pid, a * a + b * b + c * c + d * d AS v FROM p), {_sample("v", 200)},
+ps AS MATERIALIZED (SELECT p.*, weight AS w FROM p JOIN sample USING (pid)),
+gram AS MATERIALIZED ({_weighted_gram("ps", "w")}),
+{sql.projectors('gram', 2)}
+{_axes_rows(2)}""",
 
     "sparse_svd_coreset": f"""
-SELECT CAST(2 AS BIGINT) AS k, CAST({TERM_BUCKETS} AS BIGINT) AS dim, true AS orthonormal, true AS eigenvectors, true AS ordered""",
+WITH {DOC_CELLS}, v AS MATERIALIZED (SELECT pid, sum(v * v) AS v FROM cells GROUP BY pid), {_sample("v", 100)},
+x AS MATERIALIZED (SELECT pid, j, v * sqrt(weight) AS x FROM cells JOIN sample USING (pid)),
+half AS MATERIALIZED (SELECT a.pid AS i, b.pid AS j, sum(a.x * b.x) AS v FROM x a JOIN x b ON a.j = b.j GROUP BY a.pid, b.pid),
+gram AS MATERIALIZED (SELECT s.pid AS i, t.pid AS j, coalesce(half.v, 0) AS v FROM sample s CROSS JOIN sample t LEFT JOIN half ON half.i = s.pid AND half.j = t.pid),
+{sql.projectors('gram', 2)},
+js AS (SELECT UNNEST(range({TERM_BUCKETS})) AS j),
+""" + ",\n".join(f"""u{c} AS MATERIALIZED (SELECT q.i AS pid, q.v / sqrt(top.v) AS u FROM proj{c} q JOIN (SELECT i, v FROM proj{c} WHERE i = j ORDER BY v DESC, i LIMIT 1) top ON q.j = top.i),
+ax{c} AS MATERIALIZED (SELECT x.j, sum(x.x * u.u) AS v FROM x JOIN u{c} u USING (pid) GROUP BY x.j)""" for c in range(2)) + "\n" + "\nUNION ALL ".join(
+        f"SELECT CAST({c} AS BIGINT) AS c, CAST(js.j AS BIGINT) AS j, round(coalesce(ax{c}.v * ax{c}.v / e, 0), 6) AS value, round(e, 3) AS eigenvalue FROM js LEFT JOIN ax{c} ON ax{c}.j = js.j, val{c}" for c in range(2)),
 
     "sparse_svd_cost": f"""
 WITH {DOC_CELLS},

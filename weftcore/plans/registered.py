@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from weftcore.functions.hashing import uniform01
 from weftcore.functions.linalg import gram_matrix, matrix_cells, multiply_rows, transpose
-from weftcore.functions.vectors import coord_mean, is_sparse_type, nearest, nearest_sparse, sq_norm
+from weftcore.functions.terms import hashed_terms
+from weftcore.functions.vectors import coord_mean, is_sparse_type, sparse_to_dense, sq_norm
 from weftcore.operators import evaluate as ev
 from weftcore.operators import models
 from weftcore.operators import relational as rel
-from weftcore.operators.samplers import (ClusterMeanSampler, FixedCentreReducer, LightSampler, NormSampler,
+from weftcore.operators.samplers import (ClusterMeanSampler, FixedCentreReducer, LeverageSampler, LightSampler, NormSampler,
                                          SensitivitySampler, SystematicSampler, UniformSampler,
                                          take_ids, take_multi_sample, weighted_mean)
 from weftcore.operators.tree import (ChunkedTreeConfig, TreeConfig, assign_leaves, chunked_tree_reduce,
@@ -62,14 +63,14 @@ LINEITEM_FEATURES_SQL = ["l_quantity / 10.0", "l_extendedprice / 10000.0",
                          "l_discount * 10.0", "l_tax * 10.0"]
 
 
-def lineitem_numbered(spark, sf) -> DataFrame:
-    """``lineitem`` with a unique 0-based ``pid`` (scalable numbering)."""
-    return number_rows(_t(spark, sf, "lineitem"), LINEITEM_ORDER, "pid")
+def lineitem_numbered(spark, sf, *keep: str) -> DataFrame:
+    """Columns ``keep`` of ``lineitem`` with a unique 0-based ``pid`` (scalable numbering)."""
+    return number_rows(_t(spark, sf, "lineitem"), LINEITEM_ORDER, "pid", keep=list(keep))
 
 
 def lineitem_points(spark, sf, numbered: bool = True) -> DataFrame:
     """4-d points; ``numbered=False`` where no ``pid`` is read (all -1): one scan."""
-    li = lineitem_numbered(spark, sf) if numbered else _t(spark, sf, "lineitem").withColumn("pid", F.lit(-1))
+    li = lineitem_numbered(spark, sf, "l_quantity", "l_extendedprice", "l_discount", "l_tax") if numbered else _t(spark, sf, "lineitem").withColumn("pid", F.lit(-1))
     feats = [F.col("l_quantity") / 10.0, F.col("l_extendedprice") / 10000.0,
              F.col("l_discount") * 10.0, F.col("l_tax") * 10.0]
     return points_from_columns(li, "pid", feats)
@@ -192,23 +193,14 @@ def q_light_coreset(spark, sf):
     return s.select("pid", _r("weight").alias("weight"))
 
 
-def sample_facts(sample: DataFrame, points: DataFrame) -> DataFrame:
-    """What holds for any weighted sample of ``points``, whatever was drawn:
-    its size, that it is made of distinct input rows with their features,
-    and that its weight is near the number of points."""
-    same = sample.select("pid", "features", F.lit(1).alias("in_sample")).join(points.select("pid", "features"), ["pid", "features"])
-    n = points.agg(F.count(F.lit(1)).alias("num_points"))
-    w = sample.agg(F.count(F.lit(1)).alias("sample_size"), F.countDistinct("pid").alias("distinct_ids"), F.sum("weight").alias("w"))
-    return w.crossJoin(n).crossJoin(same.agg(F.count(F.lit(1)).alias("input_rows"))).select(
-        "sample_size", "distinct_ids", "input_rows", "num_points",
-        F.col("w").between(F.col("num_points") * 0.5, F.col("num_points") * 1.5).alias("weight_near"))
+TREE_LIGHT_S, TREE_LIGHT_FAN, TREE_LIGHT_LEAVES = 50, 2, 8
 
 
 def q_tree_light_coreset(spark, sf):
-    """C5 + C16: light sampler through a tree of 8 hash leaves: facts of the sample."""
+    """C5 + C16: light sampler through a tree of 8 leaves (vec_id mod 8), s = 50: the sample."""
     pts = embedding_points(spark, sf).drop("label")
-    cs = coreset(pts, TreeConfig(50, 2, leaves=8), LightSampler(), SEED)
-    return sample_facts(materialize(cs, "sample"), pts)
+    cs = coreset(pts, TreeConfig(TREE_LIGHT_S, TREE_LIGHT_FAN, leaves=TREE_LIGHT_LEAVES, leaf_mode="mod"), LightSampler(), SEED)
+    return cs.select("pid", _r("weight").alias("weight"))
 
 
 def q_sensitivity_coreset(spark, sf):
@@ -218,11 +210,16 @@ def q_sensitivity_coreset(spark, sf):
     return s.select("pid", _r("weight").alias("weight"))
 
 
+TREE_SENS_S, TREE_SENS_LEAVES = 100, 4
+
+
 def q_tree_sensitivity_coreset(spark, sf):
-    """C5, C6 + C16: sensitivity sampler with rough centres fitted to all points: facts of the sample."""
-    pts = embedding_points(spark, sf).drop("label")
-    cs = coreset(pts, TreeConfig(100, 2, leaves=4), SensitivitySampler(k=10, seed=SEED), SEED)
-    return sample_facts(materialize(cs, "sample"), pts)
+    """C5 + C16: sensitivity sampler against the label means through a tree of
+    4 leaves (vec_id mod 4), s = 100: the sample."""
+    pts = embedding_points(spark, sf)
+    sampler = SensitivitySampler(centres=label_centres(pts))
+    cs = coreset(pts.drop("label"), TreeConfig(TREE_SENS_S, 2, leaves=TREE_SENS_LEAVES, leaf_mode="mod"), sampler, SEED)
+    return cs.select("pid", _r("weight").alias("weight"))
 
 
 def q_norm_coreset(spark, sf):
@@ -231,6 +228,13 @@ def q_norm_coreset(spark, sf):
     return s.select("pid", _r("weight").alias("weight"))
 
 
+def q_leverage_coreset(spark, sf):
+    """C8 (rank k): 100 lineitem rows by leverage on two fixed axes, priority-sampled."""
+    pts = lineitem_points(spark, sf)
+    s = LeverageSampler(axes=PROJ_AXES).prepare(pts).sample(pts, [], 100, SEED)
+    return s.select("pid", _r("weight").alias("weight"))
+
+
 def q_cluster_mean_coreset(spark, sf):
     """C7 (fixed centres): each embedding to its nearest label centre; per
     cluster the weight sum and the weighted mean, one row per coordinate."""
@@ -358,69 +362,62 @@ def q_label_mean_product(spark, sf):
     return p.select("pid", F.col("c").cast("bigint").alias("c"), _r("value").alias("value"))
 
 
-def axes_facts(axes: list, points: DataFrame, weighted: bool = False) -> DataFrame:
-    """What holds for the top right singular vectors: orthonormal, fixed by
-    ``A^T A`` up to their eigenvalue, in falling order, and together with the
-    rest they make up the squared norm of the points."""
-    import numpy as np
-    v = np.array(axes).T
-    image = models._gram_times(v, points, weighted)
-    values = (v * image).sum(axis=0)
-    w = F.col("weight") if weighted else F.lit(1.0)
-    sparse = is_sparse_type(points.schema["features"].dataType)
-    total = points.agg(F.sum(w * sq_norm("features.values" if sparse else "features"))).first()[0]
-    c = points.sparkSession.createDataFrame([(
-        len(axes), len(axes[0]), bool(np.allclose(v.T @ v, np.eye(len(axes)), atol=1e-8)),
-        bool((np.linalg.norm(image - v * values, axis=0) <= 1e-6 * values.max()).all()),
-        bool((np.diff(values) <= 1e-9 * values.max()).all() and values.sum() <= total * (1 + 1e-9)), float(total))],
-        "k bigint, dim bigint, orthonormal boolean, eigenvectors boolean, ordered boolean, total double")
-    return c.select("k", "dim", "orthonormal", "eigenvectors", "ordered", _r("total", 3).alias("total"))
+def axes_rows(axes: list, points: DataFrame, weighted: bool = False) -> DataFrame:
+    """Per axis v: its number, the products v_i v_j (free of the sign) and
+    ``sum w (x . v)^2``, for an axis of singular vectors its eigenvalue."""
+    values = models.svd_values(points, axes, weighted)
+    rows = [(c, i, j, float(x * y), float(e)) for c, (v, e) in enumerate(zip(axes, values)) for i, x in enumerate(v) for j, y in enumerate(v)]
+    out = points.sparkSession.createDataFrame(rows, "c bigint, i bigint, j bigint, value double, eigenvalue double")
+    return out.select("c", "i", "j", _r("value").alias("value"), _r("eigenvalue", 3).alias("eigenvalue"))
 
 
 def q_svd_axes(spark, sf):
-    """M6: top-2 right singular vectors of the lineitem points: their facts."""
+    """M6: top-2 right singular vectors of the lineitem points, and their eigenvalues."""
     pts = lineitem_points(spark, sf, numbered=False)
-    return axes_facts(models.svd_axes(pts, 2), pts)
+    return axes_rows(models.svd_axes(pts, 2), pts)
 
 
 def q_weighted_svd(spark, sf):
-    """M3: weighted SVD axes of a norm coreset of lineitem: their facts."""
+    """M3: weighted SVD axes of a norm coreset of 200 lineitem rows, and their eigenvalues."""
     s = materialize(NormSampler().sample(lineitem_points(spark, sf), [], 200, SEED), "sample")
-    return axes_facts(models.svd_axes(s, 2, weighted=True), s, weighted=True).drop("total")
-
-
-def centre_facts(centres: list, points: DataFrame, weighted: bool, tol: float) -> DataFrame:
-    """What holds for settled k-means centres: each is the (weighted) mean of
-    the points nearest to it, and the points are shared out among them."""
-    import numpy as np
-    spark, k, dim = points.sparkSession, len(centres), len(centres[0])
-    sparse = is_sparse_type(points.schema["features"].dataType)
-    near = (nearest_sparse("features", "c", "cn") if sparse else nearest("features", "c"))["idx"]
-    w = F.col("weight") if weighted else F.lit(1.0)
-    x = points.crossJoin(F.broadcast(ev.centres_frame(spark, centres))).select(near.alias("b"), w.alias("w"), "features")
-    cell = F.explode(F.arrays_zip(F.col("features.indices").alias("j"), F.col("features.values").alias("v"))).alias("e") if sparse else F.posexplode("features").alias("j", "v")
-    cells = x.select("b", "w", cell)
-    cells = cells.select("b", "w", "e.j", "e.v") if sparse else cells
-    rows = cells.groupBy("b", "j").agg(F.sum(F.col("w") * F.col("v")).alias("s")).groupBy("b").agg(F.collect_list("j").alias("j"), F.collect_list("s").alias("s")).collect()
-    size = {r["b"]: (r["n"], r["w"]) for r in x.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()}
-    worst = 0.0
-    for r in rows:
-        mean = np.zeros(dim)
-        mean[r["j"]] = np.array(r["s"]) / size[r["b"]][1]
-        worst = max(worst, float(np.abs(mean - np.array(centres[r["b"]])).max()))
-    return spark.createDataFrame([(k, dim, sum(n for n, _ in size.values()), worst <= tol)], "k bigint, dim bigint, num_points bigint, means boolean")
+    return axes_rows(models.svd_axes(s, 2, weighted=True), s, weighted=True)
+
+
+KMEANS_K, KMEANS_STEPS, KMEANS_SAMPLE = 10, 6, 100
+#: A fit from k-means|| seeds may cost so much more than the Lloyd steps from given centres beside it.
+FIT_MARGIN = 1.04
+
+
+def model_rows(centres: list, points: DataFrame, weighted: bool, fit: list, dense: bool = True) -> DataFrame:
+    """Cells of the centres that Lloyd steps give from fixed ones, their cost,
+    and whether ``fit``, a model from k-means|| seeds, costs about as much."""
+    spark = points.sparkSession
+    cost, other = (float(ev.kmeans_cost(points, c, weighted).first()["cost"]) for c in (centres, fit))
+    rows = [(c, j, float(x)) for c, v in enumerate(centres) for j, x in enumerate(v) if dense or x]
+    out = spark.createDataFrame(rows, "c bigint, j bigint, value double")
+    return out.select("c", "j", _r("value").alias("value"), _r(F.lit(cost), 4).alias("cost"), F.lit(len(fit) == len(centres) and other <= FIT_MARGIN * cost).alias("fit_close"))
+
+
+def first_rows(points: DataFrame, k: int) -> list:
+    """The vectors of the k smallest pids, dense."""
+    f = sparse_to_dense("features") if is_sparse_type(points.schema["features"].dataType) else F.col("features")
+    return [list(r["f"]) for r in points.orderBy("pid").limit(k).select(f.alias("f")).collect()]
 
 
 def q_weighted_kmeans(spark, sf):
-    """M1: weighted k-means (k = 10) on a light coreset of 100 embeddings: facts of the centres."""
-    s = materialize(LightSampler().sample(embedding_points(spark, sf).drop("label"), [], 100, SEED), "sample")
-    return centre_facts(models.weighted_kmeans(s, 10, SEED, max_iter=100), s, True, 1e-3)
+    """M1: weighted k-means (k = 10) on a light coreset of 100 embeddings: six
+    Lloyd steps from its 10 smallest ids, and a fit from k-means|| seeds beside it."""
+    s = materialize(LightSampler().sample(embedding_points(spark, sf).drop("label"), [], KMEANS_SAMPLE, SEED), "sample")
+    centres = models.weighted_kmeans(s, KMEANS_K, max_iter=KMEANS_STEPS, init=first_rows(s, KMEANS_K))
+    return model_rows(centres, s, True, models.weighted_kmeans(s, KMEANS_K, SEED))
 
 
 def q_bulk_kmeans(spark, sf):
-    """M4: k-means (k = 10) on all embeddings: facts of the centres."""
+    """M4: k-means (k = 10) on all embeddings: six Lloyd steps from the 10
+    smallest ids, and a fit from k-means|| seeds beside it."""
     pts = embedding_points(spark, sf).drop("label")
-    return centre_facts(models.bulk_kmeans(pts, 10, SEED), pts, False, 1e-3)
+    centres = models.bulk_kmeans(pts, KMEANS_K, max_iter=KMEANS_STEPS, tol=0.0, init=first_rows(pts, KMEANS_K))
+    return model_rows(centres, pts, False, models.bulk_kmeans(pts, KMEANS_K, SEED))
 
 
 STREAM_KMEANS_WEIGHT, STREAM_KMEANS_DECAY = 10.0, 0.5
@@ -439,7 +436,7 @@ def q_streaming_kmeans_step(spark, sf):
 
 # --------------------------------------------------------------- streams ---
 
-STREAM_FILES = 4
+STREAM_FILES, STREAM_S, STREAM_LEAVES = 4, 50, 4
 
 
 def _event_points(df: DataFrame) -> DataFrame:
@@ -448,14 +445,18 @@ def _event_points(df: DataFrame) -> DataFrame:
 
 
 def run_event_stream(spark, sf) -> tuple[str, str]:
-    """Stream all ``events``, dealt into 4 files by ranges of id, one file per
-    micro-batch through the tree sampler; the results and state folders.
-    What the queries return does not depend on the order of the files."""
+    """Stream all ``events``, dealt into 4 files by equal ranges of id, one file
+    per micro-batch in that order, through the tree sampler (leaves event_id
+    mod 4); the results and state folders."""
     ev_df = _t(spark, sf, "events")
     base = scratch_path(spark, "events")
-    ev_df.repartitionByRange(STREAM_FILES, "event_id").write.parquet(f"{base}/src")
+    n = ev_df.count()
+    for k in range(STREAM_FILES):  # one after the other: files are taken by their time
+        part = ev_df.where(F.expr(f"event_id * {STREAM_FILES} div {max(n, 1)}") == k)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/src")  # a file is a micro-batch
     stream = spark.readStream.schema(ev_df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
-    sts = StreamingTreeSampler(TreeConfig(50, 2, leaves=4), UniformSampler(), SEED, f"{base}/state", results_dir=f"{base}/results")
+    cfg = TreeConfig(STREAM_S, 2, leaves=STREAM_LEAVES, leaf_mode="mod")
+    sts = StreamingTreeSampler(cfg, UniformSampler(), SEED, f"{base}/state", results_dir=f"{base}/results")
     q = sts.start(_event_points(stream), f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
     return f"{base}/results", f"{base}/state"
@@ -470,13 +471,15 @@ def q_streaming_tree_uniform(spark, sf):
 
 
 def q_streaming_results_running(spark, sf):
-    """Micro-batches, their points, the running total and progress."""
+    """Per micro-batch and level of its forest the nodes
+    and their rows, with the batch's points, the running total and progress."""
     _, state = run_event_stream(spark, sf)
     commits = spark.read.parquet(os.path.join(state, "commits"))
     w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per batch
-    running = batch_progress(commits, batch_secs=86_400).where(F.col("num_points") > 0).withColumn("cum", F.sum("num_points").over(w))
-    return running.agg(F.count(F.lit(1)).alias("batches"), F.sum("num_points").alias("num_points"), F.max("cum").alias("cum_points"),
-                       F.max("batch_id").alias("last_batch"), F.bool_or("over_time").alias("over_time"))
+    running = batch_progress(commits, batch_secs=86_400).where(F.col("num_points") > 0).withColumn("cum_points", F.sum("num_points").over(w))
+    nodes = spark.read.parquet(os.path.join(state, "nodes")).withColumn("batch_id", F.col("batch_id").cast("long"))
+    return nodes.join(running, "batch_id").select(
+        "batch_id", "num_points", "cum_points", F.col("level").cast("bigint").alias("level"), "nodes", "rows", "smallest", "largest", "over_time")
 
 
 def q_sliding_points(spark, sf):
@@ -551,7 +554,7 @@ def q_count_by_value(spark, sf):
 
 def q_sort_first(spark, sf):
     """O1, O2: the first lineitem row by price descending, ties by pid."""
-    li = lineitem_numbered(spark, sf).select("pid", "l_extendedprice")
+    li = lineitem_numbered(spark, sf, "l_extendedprice")
     return rel.first_row(li, "l_extendedprice", ascending=False).select(
         "pid", _r("l_extendedprice", 2).alias("l_extendedprice"))
 
@@ -559,13 +562,13 @@ def q_sort_first(spark, sf):
 def q_chunk_groups(spark, sf):
     """Lines per order in chunks of 3; rows per chunk number."""
     li = _t(spark, sf, "lineitem")
-    c = rel.chunk_ids(li, "l_orderkey", "l_linenumber", 3)
+    c = rel.chunk_ids(li, "l_orderkey", "l_linenumber", 3, keep=[])
     return c.groupBy(F.col("chunk").cast("bigint").alias("chunk")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def q_bag_union(spark, sf):
     """Returned lines and large lines, duplicates kept."""
-    li = lineitem_numbered(spark, sf).select("pid", "l_returnflag", "l_quantity")
+    li = lineitem_numbered(spark, sf, "l_returnflag", "l_quantity")
     a = li.where(F.col("l_returnflag") == "R").select("pid")
     b = li.where(F.col("l_quantity") > 45).select("pid")
     return rel.bag_union(a, b)
@@ -574,7 +577,7 @@ def q_bag_union(spark, sf):
 def q_scalable_row_index(spark, sf):
     """Global 0-based row numbers of lineitem in key order without a
     one-task window; the order key and the price identify the row."""
-    li = number_rows(_t(spark, sf, "lineitem"), LINEITEM_ORDER, "idx")
+    li = number_rows(_t(spark, sf, "lineitem"), LINEITEM_ORDER, "idx", keep=["l_orderkey", "l_linenumber", "l_extendedprice"])
     return li.select("idx", "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
                      _r("l_extendedprice", 2).alias("l_extendedprice"))
 
@@ -585,18 +588,9 @@ TERM_BUCKETS = 1024
 def document_points(spark, sf) -> DataFrame:
     """Each whole document as a sparse hashed term-count vector (1024 buckets
     from md5 of each space-separated token): ``pid`` = doc_id, unit weight.
-    Counted inside the row: sorted buckets, where each run begins, and how
-    far it is to the next.  Documents without tokens have no point."""
-    d = _t(spark, sf, "documents")
-    tok = F.filter(F.split("text", " "), lambda t: t != "")
-    idx = F.transform(tok, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(TERM_BUCKETS)).cast("int"))
-    d = d.select(F.col("doc_id").alias("pid"), F.array_sort(idx).alias("s")).where(F.size("s") > 0)
-    begin = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | (F.element_at("s", i) != F.element_at("s", F.greatest(i - 1, F.lit(1)))))
-    d = d.select("pid", "s", begin.alias("b"))
-    after = F.concat(F.slice("b", 2, F.size("b")), F.array(F.size("s") + 1))
-    vec = F.struct(F.lit(TERM_BUCKETS).alias("size"), F.transform("b", lambda i: F.element_at("s", i)).alias("indices"),
-                   F.zip_with("b", after, lambda x, y: (y - x).cast("double")).alias("values"))
-    return d.select("pid", vec.alias("features"), F.lit(1.0).alias("weight"))
+    Documents without tokens have no point."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("pid"), hashed_terms("text", TERM_BUCKETS).alias("features"))
+    return d.where(F.size("features.indices") > 0).withColumn("weight", F.lit(1.0))
 
 
 def q_document_term_vectors(spark, sf):
@@ -634,23 +628,47 @@ def q_sparse_cluster_coreset(spark, sf):
     return kept.crossJoin(F.broadcast(size))  # one row
 
 
+SPARSE_K, SPARSE_STEPS, SPARSE_SAMPLE = 5, 4, 100
+
+
 def q_sparse_kmeans_coreset(spark, sf):
-    """C6 + M2: sparse sensitivity coreset of documents (rough centres from
-    all of them), weighted k-means (k = 5) on it: facts of the centres."""
+    """C6 + M2: sparse sensitivity coreset of documents against the vectors of
+    the 5 smallest ids, then four weighted Lloyd steps from its 5 smallest
+    ids; beside it the same with rough centres and seeds by k-means||, its
+    model scored on the first sample."""
     pts = materialize(document_points(spark, sf), "document-vectors")
-    s = materialize(SensitivitySampler(k=5, seed=SEED).prepare(pts).sample(pts, [], 100, SEED), "sample")
-    return centre_facts(models.weighted_kmeans(s, 5, SEED, max_iter=100), s, True, 1e-3)
+    rough = SensitivitySampler(centres=first_rows(pts, SPARSE_K))
+    s = materialize(rough.sample(pts, [], SPARSE_SAMPLE, SEED), "sample")
+    centres = models.weighted_kmeans(s, SPARSE_K, max_iter=SPARSE_STEPS, init=first_rows(s, SPARSE_K))
+    own = materialize(SensitivitySampler(k=SPARSE_K, seed=SEED).prepare(pts).sample(pts, [], SPARSE_SAMPLE, SEED), "sample")
+    return model_rows(centres, s, True, models.weighted_kmeans(own, SPARSE_K, SEED, max_iter=20), dense=False)
 
 
 def q_sparse_svd_coreset(spark, sf):
-    """C8 + M3: weighted SVD axes (k = 2) of a sparse norm coreset of documents: their facts."""
+    """C8 + M3: weighted SVD axes (k = 2) of a sparse norm coreset of 100
+    documents: their squared entries and eigenvalues."""
     s = materialize(NormSampler().sample(document_points(spark, sf), [], 100, SEED), "sample")
-    return axes_facts(models.svd_axes(s, 2, weighted=True), s, weighted=True).drop("total")
+    axes = models.svd_axes(s, 2, weighted=True)
+    values = models.svd_values(s, axes, weighted=True)
+    rows = [(c, j, float(x * x), float(e)) for c, (v, e) in enumerate(zip(axes, values)) for j, x in enumerate(v)]
+    out = spark.createDataFrame(rows, "c bigint, j bigint, value double, eigenvalue double")
+    return out.select("c", "j", _r("value").alias("value"), _r("eigenvalue", 3).alias("eigenvalue"))
+
+
+def q_sparse_leverage_coreset(spark, sf):
+    """C8 (rank k, sparse): 50 documents by leverage on the two axes of ``sparse_svd_cost``."""
+    pts = document_points(spark, sf)
+    s = LeverageSampler(axes=SPARSE_AXES).prepare(pts).sample(pts, [], 50, SEED)
+    return s.select("pid", _r("weight").alias("weight"))
+
+
+# Two axes over the term buckets, neither unit nor orthogonal (fixed values).
+SPARSE_AXES = [[1.0] * TERM_BUCKETS, [float(j % 3) for j in range(TERM_BUCKETS)]]
 
 
 def q_sparse_svd_cost(spark, sf):
     """E2 (sparse): all documents' term vectors on two axes that are neither unit nor orthogonal."""
-    c = ev.svd_cost(document_points(spark, sf), [[1.0] * TERM_BUCKETS, [float(j % 3) for j in range(TERM_BUCKETS)]])
+    c = ev.svd_cost(document_points(spark, sf), SPARSE_AXES)
     return c.select(*[_r(x, 3).alias(x) for x in ("projection_norm", "residual_norm", "frobenius_norm")])
 
 
@@ -667,6 +685,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_light_coreset": q_tree_light_coreset,
     "sensitivity_coreset": q_sensitivity_coreset,
     "norm_coreset": q_norm_coreset,
+    "leverage_coreset": q_leverage_coreset,
     "cluster_mean_coreset": q_cluster_mean_coreset,
     "kmeans_cost_label_centres": q_kmeans_cost_label_centres,
     "progressive_cost": q_progressive_cost,
@@ -693,6 +712,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_term_vectors": q_document_term_vectors,
     "sparse_light_coreset": q_sparse_light_coreset,
     "sparse_norm_coreset": q_sparse_norm_coreset,
+    "sparse_leverage_coreset": q_sparse_leverage_coreset,
     "sparse_cluster_coreset": q_sparse_cluster_coreset,
     "sparse_kmeans_coreset": q_sparse_kmeans_coreset,
     "sparse_svd_coreset": q_sparse_svd_coreset,

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every weftcore session wants.  AQE coalesces the many small
 # shuffle partitions of late tree rounds and turns small stats joins into
@@ -94,7 +95,66 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local_dir
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, wherever it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
+class ScratchScope:
+    """K6: the scratch tables and cached frames of one piece of work.
+
+    Inside ``with ScratchScope(spark):`` every :func:`scratch_path` and every
+    :func:`keep` of this thread belongs to the scope; on leaving it the
+    folders are deleted and the frames released, also after an error.  What
+    outlives the scope is written elsewhere before (``outside()`` gives a path
+    that belongs to the scope around it).  Scopes nest."""
+
+    _local = threading.local()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.frames = spark, [], []
+
+    @classmethod
+    def stack(cls) -> list:
+        if not hasattr(cls._local, "scopes"):
+            cls._local.scopes = []
+        return cls._local.scopes
+
+    def __enter__(self) -> "ScratchScope":
+        self.stack().append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.stack().remove(self)
+        for df in self.frames:
+            df.unpersist()
+        for path in self.paths:
+            delete_path(self.spark, path)
+
+    def outside(self, name: str) -> str:
+        path = scratch_path(self.spark, name)
+        self.paths.remove(path)
+        if len(self.stack()) > 1:
+            self.stack()[-2].paths.append(path)
+        return path
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a frame, until the scope around it ends."""
+    df = df.persist()
+    if ScratchScope.stack():
+        ScratchScope.stack()[-1].frames.append(df)
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
+    """A fresh path under the shared checkpoint folder for written tables,
+    deleted with the scope around it if there is one."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "weftcore", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, "weftcore", f"{name}-{uuid.uuid4().hex[:12]}")
+    if ScratchScope.stack():
+        ScratchScope.stack()[-1].paths.append(path)
+    return path

@@ -90,23 +90,31 @@ def materialize(df: DataFrame, name: str = "table", path: str | None = None) ->
     return df.sparkSession.read.parquet(path)
 
 
+def _in_ranges(df: DataFrame, order: list[str], keep: list[str] | None, num_ranges: int | None) -> DataFrame:
+    """Rows in ``num_ranges`` ranges of ``order``, written once with their range
+    (``_part``) and place (``_mid``).  Only the columns of ``order`` and ``keep``
+    are read and shuffled, only those of ``keep`` (default: all) are written."""
+    n = int(num_ranges or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keep = df.columns if keep is None else keep
+    narrow = df.select(*dict.fromkeys([*keep, *order]))
+    ranged = narrow.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    place = [F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mid")]
+    return materialize(ranged.select(*keep, *place), "ranges")
+
+
 def number_rows(df: DataFrame, order_cols: list[str], idx_col: str = "idx",
-                num_ranges: int | None = None) -> DataFrame:
+                num_ranges: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Number rows 0, 1, 2, ... in ``order_cols`` order without a one-task window.
 
-    Range-partition by the order columns, sort within partitions, and cut the
-    lineage so the range boundaries and in-partition order are fixed.  Then
-    a row's number is its partition's offset (running count over the
-    ``num_ranges`` partition counts, a table of ``num_ranges`` rows) plus its
-    position in the partition.  Only the per-partition counts meet on one
-    task; the rows never do.  Ties in ``order_cols`` should be broken by a
-    unique column for a deterministic numbering.
+    Range-partition by the order columns, sort within partitions, and write
+    the columns of ``keep`` (default: all) with their partition and place, so
+    both are fixed.  Then a row's number is its partition's offset (running
+    count over the ``num_ranges`` partition counts, a table of ``num_ranges``
+    rows) plus its position in the partition.  Only the per-partition counts
+    meet on one task; the rows never do.  Ties in ``order_cols`` should be
+    broken by a unique column for a deterministic numbering.
     """
-    spark = df.sparkSession
-    n = int(num_ranges or spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
-    tagged = ranged.select("*", F.spark_partition_id().alias("_part"),
-                           F.monotonically_increasing_id().alias("_mid"))
+    tagged = _in_ranges(df, order_cols, keep, num_ranges)
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_part",
@@ -119,23 +127,19 @@ def number_rows(df: DataFrame, order_cols: list[str], idx_col: str = "idx",
 
 
 def rank_within(df: DataFrame, keys: list[str], order_cols: list[str], out: str = "_rn",
-                count_col: str | None = None, num_ranges: int | None = None) -> DataFrame:
+                count_col: str | None = None, num_ranges: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """1-based rank of each row inside its group (``keys``) in ``order_cols``
     order, and optionally the group size, without putting a group in one task.
 
     Keyed form of :func:`number_rows`: range-partition by keys and order,
-    fix the split with a checkpoint, then a row's rank is the count of its
-    group's rows in earlier partitions plus its position in this one.  A
-    group spread over many partitions (a hot key) stays spread; the per
-    (partition, group) counts table has at most one row per partition for
-    each group.
+    write the split, then a row's rank is the count of its group's rows in
+    earlier partitions plus its position in this one.  A group spread over
+    many partitions (a hot key) stays spread; the per (partition, group)
+    counts table has at most one row per partition for each group.  ``keep``
+    names the columns that are wanted beside ``keys`` (default: all).
     """
-    spark = df.sparkSession
-    n = int(num_ranges or spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*keys, *order_cols]
-    ranged = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    tagged = ranged.select("*", F.spark_partition_id().alias("_part"),
-                           F.monotonically_increasing_id().alias("_mid"))
+    tagged = _in_ranges(df, order, None if keep is None else list(dict.fromkeys([*keys, *keep])), num_ranges)
     pk = tagged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*keys).orderBy("_part")
     offs = pk.withColumn("_off", F.coalesce(F.sum("_c").over(

@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcore.functions.vectors import is_sparse_type, nearest, nearest_sparse
-from weftcore.operators.evaluate import centres_frame
+from weftcore.functions.vectors import is_sparse_type
+from weftcore.operators.kmeans import Centres, nearest_column
 
 
 def random_centres(k: int, dim: int, seed: int) -> list:
@@ -32,16 +32,11 @@ def streaming_kmeans_update(points: DataFrame, centres: list, weights: list,
                             decay: float = 1.0) -> tuple[list, list]:
     """One batch step, dense or sparse points.  Only k cluster sums (k x d)
     reach the driver, one row per centre."""
-    spark = points.sparkSession
-    cdf = centres_frame(spark, centres)
     dim = len(centres[0])
+    x = points.select(nearest_column(points, Centres.of_dense(centres))["idx"].alias("_k"), "features")
     if is_sparse_type(points.schema["features"].dataType):
-        near, cell = nearest_sparse("features", "c", "cn"), F.explode(F.arrays_zip(
-            F.col("features.indices").alias("j"), F.col("features.values").alias("v")))
-        x = points.crossJoin(F.broadcast(cdf)).select(near["idx"].alias("_k"), "features")
-        cells = x.select("_k", cell.alias("e")).select("_k", "e.j", "e.v")
+        cells = x.select("_k", F.explode(F.arrays_zip(F.col("features.indices").alias("j"), F.col("features.values").alias("v"))).alias("e")).select("_k", "e.j", "e.v")
     else:
-        x = points.crossJoin(F.broadcast(cdf)).select(nearest("features", "c")["idx"].alias("_k"), "features")
         cells = x.select("_k", F.posexplode("features").alias("j", "v"))
     sums = cells.groupBy("_k", "j").agg(F.sum("v").alias("s")).groupBy("_k").agg(
         F.collect_list("j").alias("j"), F.collect_list("s").alias("s"))

@@ -9,7 +9,8 @@ Each micro-batch runs in ``foreachBatch``:
    ``state/tree/batch_id=N`` (overwrite: a retried batch replaces itself),
 3. take the final sample (C19), hand it to the model callback and write the
    result to ``results/batch_id=N`` as one file (K2),
-4. write ``state/commits/batch_id=N`` last, which makes version N current.
+4. write the sizes of the forest's nodes to ``state/nodes/batch_id=N`` and
+   ``state/commits/batch_id=N`` last, which makes version N current.
 
 The state lives in files under the shared folder, not in driver variables,
 so a batch run again, by this object or a new one, gives the same rows.
@@ -21,18 +22,23 @@ repeated row.
 from __future__ import annotations
 
 import os
+import threading
 import time
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from weftcore.operators.samplers import POINT_COLS, Sampler
-from weftcore.operators.tree import (TREE_COLS, TreeConfig, assign_leaves, final_sample,
-                                     leaf_sample, rounds_needed, tree_reduce, tree_reduce_planned)
+from weftcore.operators.tree import (TREE_COLS, TreeConfig, assign_leaves, final_sample, leaf_sample,
+                                     node_sizes, rounds_needed, tree_reduce, tree_reduce_planned)
+from weftcore.session import ScratchScope, delete_path
 from weftcore.sources.points import materialize
+from weftcore.streaming.progress import ProgressLog, observed
 
 COMMIT = ("batch_id long, num_points long, tree_path string, max_level int, "
           "sampler_state array<array<double>>, seconds double")
@@ -81,6 +87,46 @@ def latest_result(results: DataFrame) -> DataFrame:
     return results.join(top, "batch_id")
 
 
+class StreamStopped(RuntimeError):
+    """A batch that began after its stream's time was over."""
+
+
+class Gate:
+    """Batches run inside the gate; once closed, none begins."""
+
+    def __init__(self):
+        self.lock, self.closed = threading.Lock(), False
+
+    def __enter__(self):
+        self.lock.acquire()
+        if self.closed:
+            self.lock.release()
+            raise StreamStopped("the stream's time is over")
+
+    def __exit__(self, *error):
+        self.lock.release()
+
+
+def run_for(query: StreamingQuery, secs: float, gate: Gate | None = None) -> bool:
+    """Let the query run for at most ``secs`` seconds.  A batch that is
+    running then ends and is committed; no other begins.  Returns whether the
+    query ended by itself.  A query started again goes on where this one
+    stopped."""
+    if query.awaitTermination(secs):
+        return True
+    if gate is not None:
+        with gate:  # waits for the running batch
+            gate.closed = True
+    query.stop()
+    error = query.exception()
+    if error is not None and StreamStopped.__name__ not in str(error):
+        raise error
+    return False
+
+
+NODES = "level int, nodes long, rows long, smallest long, largest long"
+
+
 @dataclass
 class StreamingTreeSampler:
     """T2 (and T3 with the identity callback, T4 with ``before``/``after``)."""
@@ -96,6 +142,12 @@ class StreamingTreeSampler:
     leaves_per_batch: int | None = None
     id_col: str | None = None
     keep_versions: int | None = None
+    gate: Gate = field(default_factory=Gate)
+
+    @property
+    def nodes_dir(self) -> str:
+        """K3: sizes of the forest's nodes, by batch and level."""
+        return os.path.join(self.state_dir, "nodes")
 
     @property
     def tree_dir(self) -> str:
@@ -124,6 +176,11 @@ class StreamingTreeSampler:
         return materialize(tree, path=path)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """One micro-batch.  Its scratch tables and cached frames end with it (K6)."""
+        with self.gate, ScratchScope(batch.sparkSession):
+            self._process(batch, batch_id)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark, began = batch.sparkSession, time.time()
         if self.id_col:
             batch = batch.withColumnRenamed(self.id_col, "pid") if self.id_col != "pid" else batch
@@ -162,7 +219,7 @@ class StreamingTreeSampler:
             if self.results_dir and result is not None:
                 (result.coalesce(1).write.mode("overwrite")  # at most s rows
                  .parquet(os.path.join(self.results_dir, f"batch_id={batch_id}")))
-            level = tree.agg(F.max("level")).first()[0] or 0
+            level = self._write_nodes(tree, batch_id)
             (spark.createDataFrame([(int(batch_id), int(n), path, int(level), sampler.state(), time.time() - began)], COMMIT)
              .coalesce(1).write.mode("overwrite")  # one row
              .parquet(os.path.join(self.commits_dir, f"batch_id={batch_id}")))
@@ -173,27 +230,41 @@ class StreamingTreeSampler:
         finally:
             batch.unpersist()
 
+    def _write_nodes(self, tree: DataFrame, batch_id: int) -> int:
+        """K3: per level the number of nodes and their sizes, beside the commit; returns the top level."""
+        rows = node_sizes(tree).groupBy("level").agg(
+            F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("rows"), F.min("size").alias("smallest"), F.max("size").alias("largest")).collect()  # a row per level
+        tree.sparkSession.createDataFrame([tuple(r) for r in rows], NODES).coalesce(1).write.mode("overwrite").parquet(
+            os.path.join(self.nodes_dir, f"batch_id={batch_id}"))
+        return max((r["level"] for r in rows), default=0)
+
     def _retire_old_versions(self, spark: SparkSession) -> None:
         """Keep the trees of the last ``keep_versions`` commits, and always
         the two last: the newest batch may run again, and starts from the one
         before it."""
         keep = max(2, self.keep_versions)
         old = spark.read.parquet(self.commits_dir).select("tree_path", "batch_id").orderBy(F.col("batch_id").desc()).offset(keep)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for r in old.limit(64).collect():  # a batch retires one, or a few after a change of keep_versions
-            p = jvm.org.apache.hadoop.fs.Path(r["tree_path"])
-            fs = p.getFileSystem(conf)
-            if fs.exists(p):
-                fs.delete(p, True)
+        for r in old.toLocalIterator():  # commits that are retired already have no folder
+            delete_path(spark, r["tree_path"])
 
     def start(self, points_stream: DataFrame, checkpoint_location: str,
               batch_secs: int | None = None, available_now: bool = False):
         """Run the stream; the source offsets are checkpointed by
         Structured Streaming, the tree by this class."""
-        writer = (points_stream.writeStream.foreachBatch(self.process_batch)
-                  .option("checkpointLocation", checkpoint_location))
-        writer = writer.trigger(**trigger_kwargs(batch_secs, available_now))
-        return writer.start()
+        return start_batches(points_stream, self.process_batch, checkpoint_location, batch_secs, available_now)
+
+
+def start_batches(stream: DataFrame, process: Callable, checkpoint_location: str, batch_secs: int | None = None,
+                  available_now: bool = False) -> StreamingQuery:
+    """Start a query whose progress (:class:`ProgressLog`) is its attribute ``progress``."""
+    name = f"weftcore-{uuid.uuid4().hex[:12]}"
+    log = ProgressLog(name)
+    streams = stream.sparkSession.streams
+    streams.addListener(log)
+    writer = observed(stream).writeStream.queryName(name).foreachBatch(process).option("checkpointLocation", checkpoint_location)
+    query = writer.trigger(**trigger_kwargs(batch_secs, available_now)).start()
+    query.progress = log
+    return query
 
 
 def trigger_kwargs(batch_secs: int | None = None, available_now: bool = False) -> dict:
