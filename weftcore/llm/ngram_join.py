@@ -7,12 +7,14 @@
    candidates, whose band count still meets the target recall at the
    threshold within ``max_hashes``.
 3. Band hashes are shuffled; texts of one band hash are joined to the
-   smallest digest among them, and star contraction turns these edges into
+   smallest number among them, and star contraction turns these edges into
    candidate groups.  Any two texts that share a band are in one group.
-4. Groups are dealt into blocks of bounded size, and every pair of blocks of
-   a group is verified on the full shingle sets, as products of 0/1
-   matrices.  Only counts of links per text and a spanning forest of the
-   links leave a task, never the pairs.
+4. A group of bounded size is verified at once on the full shingle sets, as a
+   product of 0/1 matrices.  A larger one is cut into blocks of neighbours
+   (:func:`block_pairs`), and only blocks that share a band hash meet: a chain
+   of groups costs its length, a crowd of near copies its pairs of blocks.
+   Only counts of links per text and a spanning forest of the links leave a
+   task, never the pairs.
 5. Star contraction of the forests gives the classes.
 
 A link is a pair of different texts with Jaccard similarity of at least
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftcore.llm.common import bounded, materialize, prepare, text_digest
+from weftcore.llm.common import bounded, join_counted, materialize, prepare, text_digest
 from weftcore.llm.components import components
 from weftcore.llm.textgrams import Tokens, batch_tokens, mix64, seeds
 
@@ -158,20 +160,21 @@ def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    """One packet of whole groups, or one pair of blocks of a group."""
+    """One packet of groups: texts of a candidate group (or of one block) that
+    meet each other, or the texts of two blocks that meet those of the other."""
 
     def run(tab: pa.Table) -> pa.Table:
         digest, copies, block = tab["digest"].to_pylist(), tab["copies"].to_numpy(), tab["block"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in tab["set"].to_pylist()]
+        across = tab["across"].to_numpy(zero_copy_only=False)
         groups: dict = {}
-        for k, g in enumerate(tab["comp"].to_pylist()):
+        for k, g in enumerate(tab["group"].to_pylist()):
             groups.setdefault(g, []).append(k)
-        low, high = tab["i"][0].as_py(), tab["j"][0].as_py()
         out: list = []
         for rows in groups.values():
             at = np.array(rows)
             link = _linked([sets[k] for k in rows], threshold)
-            if low != high:  # pairs inside a block belong to that block with itself
+            if across[at[0]]:  # pairs inside a block belong to that block with itself
                 link &= block[at][:, None] != block[at][None, :]
             texts, docs = link.sum(1), link @ copies[at]
             root = list(range(len(rows)))
@@ -194,6 +197,33 @@ def _verify(threshold: float):
     return run
 
 
+def block_pairs(member: DataFrame, keyed: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Blocks of texts of large candidate groups, and the pairs of blocks to verify.
+
+    ``member`` (node, n) and ``keyed`` (node, key): their texts and band
+    hashes.  A text's label is the smallest number within ``hops`` steps of
+    texts that share a band, so a block (a label's texts, cut to a bounded
+    size) is a neighbourhood, not a whole chain of them.  Two blocks are a
+    pair if some band hash occurs in both.  Returns (node, block) and
+    (pair, block, across): each block alone, and each pair of blocks twice."""
+    label = member.select("node", F.col("node").alias("label"))
+    total = keyed.count()
+    for _ in range(hops):
+        of_key = materialize(keyed.join(label, "node").groupBy("key").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("m")), "labels")
+        label = materialize(join_counted(keyed, of_key, ["key"], "m", total).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    sized = member.join(label, "node")
+    room = sized.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    room = materialize(room, "labels")
+    blocks = join_counted(sized, room, ["label"], "m").select("node", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))).alias("block"))
+    blocks = materialize(blocks, "blocks")
+    met = keyed.join(blocks, "node").groupBy("key", "block").agg(F.count(F.lit(1))).groupBy("key").agg(F.sort_array(F.collect_list("block")).alias("b"))
+    two = met.where(F.size("b") > 1).select(F.explode(F.transform("b", lambda x, i: F.struct(x.alias("x"), F.slice("b", i + 2, F.size("b")).alias("ys")))).alias("p"))
+    two = two.select("p.x", F.explode("p.ys").alias("y")).distinct()
+    alone = blocks.select("block").distinct().select(F.xxhash64("block").alias("pair"), "block", F.lit(False).alias("across"))
+    pair = two.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.array("x", "y")).alias("block"), F.lit(True).alias("across"))
+    return blocks, materialize(alone.union(pair), "block-pairs")
+
+
 def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8,
                  recall: float = 0.9999, max_hashes: int = 300) -> DataFrame:
     """One row per different text: digest, copies, min_id, class (a digest),
@@ -209,24 +239,28 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     texts = materialize(signed.join(ids, "digest").withColumn("node", F.xxhash64("digest")), "texts")
 
     keyed = texts.select("node", F.explode("bands").alias("key"))
-    hub = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
-    near = keyed.join(hub, "key").where("node <> hub").select("node", "hub").distinct()
+    hub = materialize(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "hubs")
+    shared = join_counted(keyed, hub, ["key"], "m").select("node", "key", "hub")
+    near = shared.where("node <> hub").select("node", "hub").distinct()
     member = components(near, "node", "hub").withColumnRenamed("root", "comp")
     member = materialize(member.join(texts.select("node", "digest", "n", "copies"), "node"), "members")
-    total = member.count()
 
-    size = member.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    size = member.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
+    sized = materialize(join_counted(member, materialize(size, "sizes"), ["comp"], "m").drop("m"), "members")
     # texts of candidates only, by their 64-bit numbers; another text of an equal number goes at the join below
     few = bounded(member.select("node").distinct())
     sets = base.withColumn("node", F.xxhash64("digest")).join(few, "node", "left_semi").select("digest", "text").mapInArrow(_sets(n), "digest binary, set binary")
-    sets = sets.groupBy("digest").agg(F.first("set").alias("set")).join(member.drop("node"), "digest").join(size, "comp")
-    packets = max(1, total // BLOCK_TEXTS)
-    dealt = sets.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "digest", "copies", "set", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(packets))).otherwise(F.xxhash64("comp")).alias("packet"), (F.col("blocks") == 1).alias("whole"))
-    links = dealt.groupBy("whole", "packet", "i", "j").applyInArrow(_verify(threshold), "digest binary, links long, linked long, other binary")
+    sets = sets.groupBy("digest").agg(F.first("set").alias("set"))
+    dealt = sized.where("blocks = 1").select("digest", "copies", F.col("comp").alias("group"), F.lit(0).cast("long").alias("block"), F.lit(False).alias("across"))
+    large = sized.where("blocks > 1")
+    if not large.isEmpty():
+        mine = materialize(shared.select("node", "key").join(large.select("node"), "node", "left_semi"), "large-keys")
+        blocks, pairs = block_pairs(large.select("node", "n"), mine)
+        dealt = dealt.union(large.join(blocks, "node").join(pairs, "block").select("digest", "copies", F.col("pair").alias("group"), "block", "across"))
+    dealt = materialize(dealt, "dealt")
+    packets = max(1, dealt.count() // (2 * BLOCK_TEXTS))
+    dealt = sets.join(dealt, "digest").withColumn("packet", F.pmod(F.xxhash64("group"), F.lit(packets)))
+    links = dealt.groupBy("packet").applyInArrow(_verify(threshold), "digest binary, links long, linked long, other binary")
     links = materialize(links, "links")
 
     root = components(links, "digest", "other").select(F.col("node").alias("digest"), F.col("root").alias("class"))
