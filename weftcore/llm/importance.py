@@ -14,8 +14,10 @@ feature.  A document's two log probabilities are sums over its features.
 Only the choice of labelled rows is bounded (``max_labels`` ids by hash
 order, broadcast); counts, weights and the k-th key cover all documents.
 ``k`` comes from the labels: the share of documents whose weight lies above
-the cut that best separates good labels from bad ones (no bad labels: all
-are kept; no good ones: every weight is 0 and all are kept).
+the cut that best separates good labels from bad ones by the share of each
+that it gets wrong (no bad labels, or weights that do not separate them: all
+are kept; no good ones: every weight is 0 and all are kept).  A label on an
+id of several rows is judged by their mean weight.
 
 Null and empty texts have no features and weight 0.  Repeated rows get the
 same weight and noise; rows tied with the k-th key all stay.  Labels with a
@@ -97,8 +99,10 @@ def log_ratio(docs: DataFrame, good: list, doc_id: str, text: str, buckets: int,
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The middle of the cut between weights that errs on the fewest labels, a
-    bad one that stays weighing as much as a good one that goes."""
+    """The middle of the cut between weights with the least share of good
+    labels below it plus share of bad ones above it (ties: the lowest).  A cut
+    keeps at least one good label; no cut at all (-inf) keeps every label and
+    errs by 1, so weights that do not separate the labels cut nothing."""
     if not len(bad) or not len(good):
         return -math.inf
     value = np.concatenate([good, bad])
@@ -106,12 +110,12 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     order = np.argsort(value, kind="stable")
     value, kind = value[order], kind[order]
     # cutting before place i loses the good ones below it and keeps the bad ones from it
-    loss = np.concatenate([[0], np.cumsum(kind)]) + (len(bad) - np.concatenate([[0], np.cumsum(1 - kind)]))
+    lost = np.concatenate([[0], np.cumsum(kind)])
+    loss = lost / len(good) + 1 - np.concatenate([[0], np.cumsum(1 - kind)]) / len(bad)
     loss[1:-1][value[1:] == value[:-1]] = np.inf
-    i = int(np.argmin(loss))
-    if i == 0:
-        return -math.inf
-    return math.inf if i == len(value) else float((value[i - 1] + value[i]) / 2)
+    loss[lost == len(good)] = np.inf
+    i = int(np.argmin(loss.round(12)))
+    return -math.inf if i == 0 else float((value[i - 1] + value[i]) / 2)
 
 
 def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 1024, small: int = 4096) -> float:
@@ -152,18 +156,20 @@ def draw(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """(id, w, key) of every row, the k-th largest key, and the log ratio of each bucket."""
     spark = docs.sparkSession
     prepare(spark)
-    judged = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(quality).alias("q"))
-    judged = judged.orderBy(F.xxhash64("id"), "id").limit(max_labels).collect()
+    kind = docs.schema[doc_id].dataType.simpleString()
+    good = F.col(quality).cast("double") > 0
+    judged = labels.select(F.col(doc_id).cast(kind).alias("id"), good.cast("int").alias("q")).where("id is not null and q is not null")
+    judged = judged.groupBy("id").agg(F.min("q").alias("q")).orderBy(F.xxhash64("id"), "id").limit(max_labels).collect()
+    judged = [tuple(r) for r in judged]
     gain = log_ratio(docs, [i for i, q in judged if q > 0], doc_id, text, buckets, smooth)
     part = docs.select(F.col(doc_id).alias("id"), _noise(doc_id, text, seed).alias("noise"), F.col(text).alias("text"))
-    kind = part.schema["id"].dataType.simpleString()
     weighed = part.mapInArrow(_weigh(spark.sparkContext.broadcast(gain), "text", "w", False), f"id {kind}, noise double, w double")
     small = materialize(weighed.select("id", "w", (F.col("w") + F.col("noise")).alias("key")), "weights")
     if k is None:
-        known = spark.createDataFrame([(int(i), int(q)) for i, q in judged], "id long, q int")  # at most max_labels rows
-        seen = small.join(F.broadcast(known), "id").groupBy("id", "q", "w").count().limit(2 * max_labels).collect()
-        cut = best_cut(np.array([w for _, q, w, _ in seen if q > 0]), np.array([w for _, q, w, _ in seen if q <= 0]))
-        k = small.where(F.col("w") >= cut).count() if math.isfinite(cut) else small.count() if cut < 0 else 0
+        known = spark.createDataFrame(judged, f"id {kind}, q int")  # at most max_labels rows
+        seen = small.join(F.broadcast(known), "id").groupBy("id", "q").agg(F.avg("w").alias("w")).collect()  # a row per label
+        cut = best_cut(np.array([r["w"] for r in seen if r["q"] > 0]), np.array([r["w"] for r in seen if r["q"] <= 0]))
+        k = small.where(F.col("w") >= cut).count() if math.isfinite(cut) else small.count()
     return small, kth_largest(small, "key", k), gain
 
 
