@@ -83,11 +83,23 @@ def one_edit(a, b):
     return a[p + 1:] == b[p + 1:] if len(a) == len(b) else a[p:] == b[p + 1:]
 
 
-def kept_lines(rows, shortest=8):
+def within(a, b, edits):
+    """Whether a and b are at most ``edits`` edits apart."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] <= edits
+
+
+def kept_lines(rows, shortest=8, edits=1):
     """rows: (doc_id, text), no equal rows -> {(doc_id, text): kept line numbers}."""
     def key(i, t):
         t = t or ""
-        return (i is not None, i or 0, hashlib.md5(f"{'null' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).digest())
+        return (i is not None, i or 0, hashlib.md5(f"{'null' if i is None else f'i{i}'}:{hashlib.md5(t.encode()).hexdigest()}".encode()).digest())
 
     first, out = {}, {}
     order = sorted(set(rows), key=lambda r: key(*r))
@@ -99,7 +111,7 @@ def kept_lines(rows, shortest=8):
     gone = set()
     for b in range(len(lines)):
         for a in range(b):
-            if min(len(lines[a]), len(lines[b])) >= shortest and one_edit(lines[a], lines[b]):
+            if min(len(lines[a]), len(lines[b])) >= shortest and (one_edit(lines[a], lines[b]) if edits == 1 else within(lines[a], lines[b], edits)):
                 gone.add(lines[b])
     for i, t in order:
         out[i, t] = [n for n, l in enumerate((t or "").split("\n")) if l.strip(" ") and first[l] == (i, t, n) and l not in gone]

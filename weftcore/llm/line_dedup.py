@@ -38,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftcore.llm.common import bounded, materialize, prepare
+from weftcore.llm.common import bounded, join_counted, materialize, prepare
 from weftcore.llm.textgrams import CHUNK, U64, _chunk_powers, _powers, mix64
 
 
 def _row_key(doc_id: str, text: str) -> Column:
-    ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    ident = F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.lit("null"))  # a null id is not the id "null"
     return F.unhex(F.md5(F.concat_ws(":", ident, F.md5(F.coalesce(F.col(text), F.lit(""))))))
 
 
@@ -58,13 +58,22 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 #: A group of at most this many lines is compared pair by pair; a larger one is cut into so many times more parts.
 PAIRS, PARTS = 32, 8
+#: Lines that a task remembers, so equal ones give their keys once.
+SEEN = 1 << 20
 
 
 def _whole_parts(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
     """(code, key): hashes of the parts, of edits + 1, that a line may share unchanged with one ``edits`` edits away."""
-    m = edits + 1
+    m, seen = edits + 1, set()
     for batch in batches:
-        lines, code = batch.column("line").to_pylist(), batch.column("code").to_numpy()
+        # a line that this task met before has given its keys already
+        code, first = np.unique(batch.column("code").to_numpy(), return_index=True)
+        new = np.fromiter((c not in seen for c in code.tolist()), bool, len(code))
+        code, first = code[new], first[new]
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(code.tolist())
+        lines = batch.column("line").take(pa.array(first)).to_pylist()
         n = np.array(list(map(len, lines)), np.int64)
         start = np.cumsum(n) - n
         v = mix64(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) + U64(1))
@@ -169,7 +178,7 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
     first = materialize(lines.groupBy("line_key").agg(F.min(here).alias("at"), F.first("code").alias("code")), "lines")
 
     long = lines.where(F.length("line") >= shortest)
-    keyed = long.select("line", "code").mapInArrow(partial(_whole_parts, edits=edits), "code long, key long")
+    keyed = materialize(long.select("line", "code").mapInArrow(partial(_whole_parts, edits=edits), "code long, key long"), "line-keys")
     shared = keyed.groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a < b").select("key")
     shared = materialize(shared, "parts")
     near = materialize(keyed.join(bounded(shared), "key", "left_semi").select("code").distinct(), "near")
@@ -180,11 +189,13 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
     schema = ", ".join(["key long, code long, parts array<int>, fine boolean", *[f"{r} long" for r in runs]])
     gone, m, current = None, max(PARTS, 2 * (edits + 1)), some.select("line", "code")
     while True:
-        keys = current.mapInArrow(partial(_patterns, m=m, edits=edits), schema).distinct()
-        groups = keys.groupBy("key").agg(F.count_distinct("code").alias("n"), *[F.expr(f"min({r}) < max({r})").alias(r) for r in runs])
+        slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = materialize(current.repartition(slots, "code").mapInArrow(partial(_patterns, m=m, edits=edits), schema), "patterns")
         # where all lines agree in a run, a choice with fewer runs has their pairs
-        groups = materialize(groups.where(" AND ".join(["n > 1", *runs])).select("key", "n"), "groups")
-        member = materialize(keys.drop(*runs).distinct().join(bounded(groups), "key"), "member")
+        groups = keys.groupBy("key").agg(F.expr("min(code) < max(code)").alias("more"), *[F.expr(f"min({r}) < max({r})").alias(r) for r in runs])
+        groups = materialize(groups.where(" AND ".join(["more", *runs])).select("key"), "groups")
+        member = materialize(keys.join(bounded(groups), "key").select("key", "code", "parts", "fine").distinct(), "member")
+        member = materialize(join_counted(member, member.groupBy("key").agg(F.count(F.lit(1)).alias("n")), ["key"], "n", member.count()), "member")
         few = member.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_set("code")).alias("c"))
         few = few.select(F.explode(F.transform("c", lambda x, i: F.struct(x.alias("a"), F.slice("c", i + 2, PAIRS).alias("bs")))).alias("p"))
         pairs = few.select("p.a", F.explode("p.bs").alias("b")).distinct()

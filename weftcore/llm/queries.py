@@ -48,7 +48,7 @@ def op4_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that each document keeps when equal lines and lines one edit apart keep their earliest."""
+    """The lines that each document keeps when equal lines and lines at most two edits apart keep their earliest."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"), edits=2)
 
 
