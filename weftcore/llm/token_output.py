@@ -2,8 +2,9 @@
 
 Documents are put in ascending doc_id order (range partitions, sorted), each
 text is encoded once with a public tokenizer plus an end id, and every
-partition writes one Arrow file: rows of ``length`` ids (``ids``) and as many
-mask bits (``mask``, false where the last row is padded).  All rows of all
+partition writes one Arrow file: rows of ``length`` ids (``ids``), as many
+mask bits (``mask``, false where the last row is padded) and the places at
+which documents end (``ends``), so the files alone tell documents apart.  All rows of all
 batches but the last have the same shape, so row ``i`` of a file is row
 ``i % rows`` of batch ``i // rows``: a memory map gives it without a copy.
 A Parquet index beside the files holds, per document, its file, its first
@@ -169,15 +170,16 @@ class SequenceWriter:
     def __init__(self, sink, kind: np.dtype, length: int, rows: int):
         self.kind, self.length, self.rows = kind, length, rows
         item = pa.uint16() if kind.itemsize == 2 else pa.uint32()
-        self.ids, self.mask = pa.list_(item, length), pa.list_(pa.bool_(), length)
-        self.schema = pa.schema([("ids", self.ids), ("mask", self.mask)])
+        self.ids, self.mask, self.ends = pa.list_(item, length), pa.list_(pa.bool_(), length), pa.list_(pa.int32())
+        self.schema = pa.schema([("ids", self.ids), ("mask", self.mask), ("ends", self.ends)])
         self.writer = pa.ipc.new_file(sink, self.schema)
-        self.parts, self.held, self.total = [], 0, 0
+        self.parts, self.held, self.total, self.written, self.last = [], 0, 0, 0, []
 
     def add(self, ids: bytes) -> None:
         self.parts.append(ids)
         self.held += len(ids)
         self.total += len(ids) // self.kind.itemsize
+        self.last.append(self.total - 1)
         size = self.length * self.rows * self.kind.itemsize
         if self.held >= size:
             data = b"".join(self.parts)
@@ -193,7 +195,14 @@ class SequenceWriter:
             flat = np.concatenate([flat, np.zeros(n * self.length - real, self.kind)])
         mask = np.arange(n * self.length) < real
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t) for x, t in ((flat, self.ids), (mask, self.mask))]
-        self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
+        # places in each row at which a document ends
+        last = np.array(self.last, np.int64) - self.written
+        now = last < real
+        self.last = (last[~now] + self.written).tolist()
+        self.written += real
+        offsets = np.searchsorted(last[now], np.arange(n + 1) * self.length).astype(np.int32)
+        ends = pa.ListArray.from_arrays(pa.array(offsets), pa.array((last[now] % self.length).astype(np.int32)))
+        self.writer.write_batch(pa.RecordBatch.from_arrays([*arrays, ends], schema=self.schema))
 
     def close(self) -> None:
         if self.held:
@@ -269,6 +278,7 @@ class SequenceFile:
         self.length = self.reader.schema.field("ids").type.list_size
         self.rows = len(self.reader.get_batch(0)) if self.reader.num_record_batches else 0
         self.batches: dict = {}
+        self.last: np.ndarray | None = None
 
     def _flat(self, k: int) -> np.ndarray:
         if k not in self.batches:
@@ -289,6 +299,17 @@ class SequenceFile:
         parts = [self._flat(k)[max(0, at - k * size):at + n - k * size] for k in range(at // size, (at + n - 1) // size + 1)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
+    def ends(self) -> np.ndarray:
+        """Positions of the documents' last ids in the file's stream, in order."""
+        if self.last is None:
+            found = [np.zeros(0, np.int64)]
+            for k in range(self.reader.num_record_batches):
+                col = self.reader.get_batch(k).column("ends")
+                row = np.repeat(np.arange(len(col)), np.diff(np.asarray(col.offsets)))
+                found.append((k * self.rows + row) * self.length + np.asarray(col.flatten()))
+            self.last = np.concatenate(found)
+        return self.last
+
     def close(self) -> None:
         self.batches = {}
         self.source.close()
@@ -298,13 +319,17 @@ def _crc(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, file = None, None
         for batch in batches:
-            out = []
-            for shard, at, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "at", "n_tokens"))):
+            out, sizes = [], []
+            for shard, at in zip(*(batch.column(c).to_pylist() for c in ("shard", "at"))):
                 if shard != opened:
                     if file:
                         file.close()
                     opened, file = shard, SequenceFile(f"{path}/sequences/{shard:06d}.arrow")
+                ends = file.ends()
+                n = int(ends[np.searchsorted(ends, at)]) + 1 - at  # up to the end of the document that begins there
+                sizes.append(n)
                 out.append(zlib.crc32(file.ids(at, n).astype("<u4", copy=False).tobytes()))
+            batch = batch.set_column(batch.schema.get_field_index("n_tokens"), "n_tokens", pa.array(sizes, pa.int64()))
             yield batch.append_column("ids_crc32", pa.array(out, pa.int64()))
         if file:
             file.close()
