@@ -381,6 +381,41 @@ def test_language_filters(spark, hard):
     assert all(r.h == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 4 == 2) for r in folds)
 
 
+def test_language_shares_by_plain_counting(spark, docs):
+    def grams(t):
+        s = "    " + "".join(c if c.isalpha() else " " for c in (t or "").lower()) + "    "
+        out = []
+        for n in (2, 3, 4):
+            for k in range(len(s) - n + 1):
+                g = s[k:k + n]
+                if g.strip() and " " not in g[1:-1] and (n > 2 or g != "  "):
+                    out.append(g)
+        return out
+
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs.collect()}
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    for least in (2e-5, 1e-3):
+        count = defaultdict(Counter)
+        for i, t, l in rows:
+            if not held[i] and t is not None and l is not None:
+                count[l].update(grams(t))
+        kept = {l: {g for g, n in c.items() if n >= least * sum(c.values())} for l, c in count.items()}
+        model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))), least=least)
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}
+        close = 0
+        for i, t, _ in rows:
+            g = grams(t)
+            if not any(c.isalpha() for c in t or ""):
+                assert got[i] == ("und", 0.0)
+                continue
+            share = {l: sum(x in kept[l] for x in g) / len(g) for l in sorted(kept)}
+            best = max(share, key=lambda l: share[l])
+            want = share[best] / sum(share.values()) if any(share.values()) else 0.0
+            close += got[i][0] == best and abs(got[i][1] - want) < 0.02  # the filters' false positives are corrected, not gone
+            assert share[got[i][0]] >= share[best] - 0.02
+        assert close >= 0.99 * sum(any(c.isalpha() for c in t or "") for _, t, _ in rows)
+
+
 def test_bit_sliced_masks():
     r = np.random.default_rng(1)
     h = r.integers(0, 1 << 63, 3000).astype(np.uint64)

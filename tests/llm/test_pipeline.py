@@ -47,6 +47,25 @@ def test_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_hard_documents(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing extra columns go through every stage."""
+    long = " ".join(f"w{k % 977} and so on" for k in range(20_000))
+    plain = [(r.doc_id, r.text) for r in table(spark, SF001, "documents").limit(20).collect()]
+    texts = plain + [(None, plain[0][1]), (None, None), (900, None), (901, ""), (902, " \n "), (903, long), (904, long + " end"), (905, plain[1][1]), (905, plain[1][1]), (905, "other text of that id"), (906, "é 中文 <|endoftext|> x")]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, digest string, row string, size string, key string, w string, copies string, shard string, group string, node string"
+    rows_ = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", None if k % 5 == 0 else 3, *["x"] * 9) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows_, cols)
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = docs, materialize(stage(spark, docs, SF001), "hard")
+        if name == "token-ID output":
+            assert out.count() == before.count() and out.where("doc_id is null").count() == before.where("doc_id is null").count()
+        else:
+            assert out.columns == docs.columns
+            assert {r.text for r in out.collect()} <= {r.text for r in before.collect()}
+        docs = out
+    assert docs.where("n_tokens < 1").count() == 0
+
+
 def test_empty_documents(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         table(spark, SF001, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
