@@ -5,24 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcore.session import ensure_checkpoint_dir, scratch_path
+from weftcore.session import ARROW_ROWS, bound_workers, ensure_checkpoint_dir, scratch_path
 from weftcore.sources.points import materialize
 
-__all__ = ["BROADCAST_ROWS", "F", "bounded", "ensure_checkpoint_dir", "expand", "join_counted", "materialize", "prepare", "scratch_path", "table", "text_digest"]
-
-#: Arrow batches stay small even when single texts are long.
-ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "F", "bounded", "ensure_checkpoint_dir", "expand", "join_counted", "materialize", "prepare", "scratch_path", "table", "text_digest"]
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings of the subpackage; the checkpoint folder is read, not replaced."""
     ensure_checkpoint_dir(spark)
-    env = spark.sparkContext.environment
-    # workers give freed batches back instead of keeping them
-    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_TRIM_THRESHOLD_", "4000000"), ("MALLOC_MMAP_THRESHOLD_", "1000000")):
-        env.setdefault(name, value)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    bound_workers(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

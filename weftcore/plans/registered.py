@@ -27,7 +27,7 @@ from weftcore.operators.samplers import (ClusterMeanSampler, FixedCentreReducer,
 from weftcore.operators.tree import (ChunkedTreeConfig, TreeConfig, assign_leaves, chunked_tree_reduce,
                                      coreset, leaf_sample, tree_reduce)
 from weftcore.plans.jobs import JobConfig, run
-from weftcore.session import scratch_path
+from weftcore.session import bound_workers, scratch_path
 from weftcore.sources.points import materialize, number_rows, points_from_array, points_from_columns
 from weftcore.sources.text import dense_line, parse_dense, parse_sparse, sparse_line
 from weftcore.streaming.kmeans import streaming_kmeans_update
@@ -589,6 +589,7 @@ def document_points(spark, sf) -> DataFrame:
     """Each whole document as a sparse hashed term-count vector (1024 buckets
     from md5 of each space-separated token): ``pid`` = doc_id, unit weight.
     Documents without tokens have no point."""
+    bound_workers(spark)
     d = _t(spark, sf, "documents").select(F.col("doc_id").alias("pid"), hashed_terms("text", TERM_BUCKETS).alias("features"))
     return d.where(F.size("features.indices") > 0).withColumn("weight", F.lit(1.0))
 

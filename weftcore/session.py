@@ -69,6 +69,20 @@ def _import_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
+#: Arrow batches stay small even when single texts are long.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
+
+
+def bound_workers(spark: SparkSession) -> None:
+    """Python workers hold small Arrow batches and give freed ones back instead
+    of keeping them."""
+    env = spark.sparkContext.environment
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_TRIM_THRESHOLD_", "4000000"), ("MALLOC_MMAP_THRESHOLD_", "1000000")):
+        env.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting one only if unset.
 
