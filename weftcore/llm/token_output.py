@@ -158,7 +158,8 @@ _encoders: dict = {}
 
 
 def encoder(path: str, end_id: int) -> Encoder:
-    """One for each worker process; its known words serve later tasks too."""
+    """One for each worker process; its known words serve later tasks too,
+    until the worker reads files (:func:`_crc`)."""
     if (path, end_id) not in _encoders:
         _encoders[path, end_id] = Encoder(path, end_id)
     return _encoders[path, end_id]
@@ -317,6 +318,7 @@ class SequenceFile:
 
 def _crc(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # the files are written: later stages get the memory of the known words
         opened, file = None, None
         for batch in batches:
             out, sizes = [], []
