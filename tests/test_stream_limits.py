@@ -90,7 +90,7 @@ def event_stream(spark, tmp_path, files, sampler, s=20, rows=120):
     return pts, sts, f"{base}/ckpt"
 
 
-@pytest.mark.parametrize("sampler,files", [(UniformSampler(), 10), (LightSampler(), 2)])
+@pytest.mark.parametrize("sampler,files", [(UniformSampler(), 10), (LightSampler(), 6)])
 def test_many_batches_leave_no_scratch(spark, tmp_path, sampler, files):
     pts, sts, ckpt = event_stream(spark, tmp_path, files, sampler)
     folders, frames, seen = scratch_folders(spark), cached(spark), []
